@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .media import media_columns
+from .mixing import mix_sources
+from .ngram_join import ngram_jaccard_join
+from .substring_dedup import substring_dedup
 from .token_count import token_counts
 
 
@@ -16,5 +21,27 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, quality: 2 where `labels` calls a document good and 0.5 where it does not."""
+    return _table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("quality"))
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), texts=False)
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_table(spark, sf_dir, "documents"), keep=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op4_ngram_join, op5_substring_dedup, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
