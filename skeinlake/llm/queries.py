@@ -6,9 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_extract import extract_main_text
+from .language_id import identify_language
 from .media import media_columns
 from .mixing import mix_sources
+from .mtree import exact_top_k
 from .ngram_join import ngram_jaccard_join
+from .packing import pack
+from .quality import quality_scores
 from .substring_dedup import substring_dedup
 from .token_count import token_counts
 
@@ -31,6 +36,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -39,9 +48,36 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), texts=False)
 
 
+def document_evidence(docs: DataFrame) -> DataFrame:
+    """The evidence that `documents` hold: the source stands for the host; they have no address."""
+    return docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(document_evidence(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"), keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op4_ngram_join, op5_substring_dedup, op10_media_columns)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_source_mix, op3_quality, op4_ngram_join, op5_substring_dedup,
+        op6_language_id, op7_best_fit_packing, op8_exact_top_k, op9_html_extraction, op10_media_columns,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, only, pieces, rolling, span_hash, store, text_buffers
+from .common import hash_words, pieces, rolling, span_hash, store, text_buffers
 
 _U, _I = np.uint64, np.int64
 _PIECE = 1 << 21
@@ -132,10 +132,11 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 6) -> DataFrame:
     return whole.union(single)
 
 
-def _cut(with_ranges: DataFrame, window: int, keep: bool) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and (keep) kept: the text without the words that
-    the ranges cover."""
+def _cut(with_ranges: DataFrame, window: int, keep: bool, carry: tuple[str, ...]) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, (keep) kept: the text without the words that the
+    ranges cover, and the carried columns, which follow the first three."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep else "")
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in with_ranges.schema.fields[3:])
 
     def rows(batches):
         for batch in batches:
@@ -163,13 +164,15 @@ def _cut(with_ranges: DataFrame, window: int, keep: bool) -> DataFrame:
                     # a text that loses nothing stays as it is
                     kept.append(raw[offsets[i] : offsets[i + 1]].decode() if not gone else text.decode())
             columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if keep else []), [x.split()[0] for x in schema.split(", ")])
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep else []), *carry]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if keep else []) + batch.columns[3:], names)
 
     return with_ranges.mapInArrow(rows, schema)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, k: int = 6, doc_id: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and (texts) kept for every row of docs.
+def substring_dedup(docs: DataFrame, window: int = 20, k: int = 6, doc_id: str = "doc_id", text: str = "text", texts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, (texts) kept and the columns in `carry` for every row
+    of docs.
 
     Words are runs of bytes other than ASCII white space, unchanged; null: none. Every word that a
     window of `window` words covers goes if the same words also start earlier in the table
@@ -178,16 +181,20 @@ def substring_dedup(docs: DataFrame, window: int = 20, k: int = 6, doc_id: str =
     none take their places by (doc_id, nulls last, text), so that one of two equal rows stays.
     Extra columns are ignored; an empty table gives an empty one.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    other = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    names = [f"c{i}" for i in range(len(carry))]
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *other)
     back = None
     if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
         # new ids in the order of the rows: the sort deals ranges, so partitions follow each other
-        docs = store(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").select(F.col("doc_id").alias("was"), F.monotonically_increasing_id().alias("doc_id"), "text"))
-        back, docs = docs.select("doc_id", "was"), docs.select("doc_id", "text")
-    ranges = repeated_spans(docs, window, k)
+        docs = store(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").select(F.col("doc_id").alias("was"), F.monotonically_increasing_id().alias("doc_id"), "text", *names))
+        back, docs = docs.select("doc_id", "was"), docs.select("doc_id", "text", *names)
+    ranges = repeated_spans(docs.select("doc_id", "text"), window, k)
     per = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    joined = docs.join(per, "doc_id", "left").select("doc_id", "text", "ranges")
-    out = _cut(joined, window, texts)
+    joined = docs.join(per, "doc_id", "left").select("doc_id", "text", "ranges", *names)
+    out = _cut(joined, window, texts, tuple(names))
+    for i, c in enumerate(carry):
+        out = out.withColumnRenamed(f"c{i}", c)
     if back is not None:
         out = out.join(back, "doc_id").select(F.col("was").alias("doc_id"), *[c for c in out.columns if c != "doc_id"])
     return out
