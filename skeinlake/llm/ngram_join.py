@@ -8,16 +8,19 @@ the bound are formed:
   share at least l n-grams among the first size - ceil(t * size) + l of each, so these columns
   alone (a bit more than a quarter) are dealt out by n-gram.
 * A class of whose columns fewer than the bound occur elsewhere links to nothing and goes.
-* The entries left are counted in full from the whole sets.
+* The entries left are counted in full, from the whole sets.
 
-Groups are compared through a hub (the member with the fewest columns of its own) first. Only
-where documents that share an n-gram stay in different components are further entries formed, so
-a dense group costs its size and not its square, and no link is lost.
+Every document is first compared with one hub (of those it shares columns with the one with the
+fewest columns of its own). Entries between documents that are then in one component are never
+formed. Of the rest, n-grams of few documents give pairs; where many documents share one, blocks of
+them are multiplied as dense slices, and a block gives only the links that connect it. No link is
+lost, and no group is ever written out as pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +32,10 @@ _U = np.uint64
 #: n-grams held to be frequent at most: the bound on what is sent to the workers (16 bytes each).
 FREQUENT = 1 << 15
 _PIECE = 1 << 21
+#: Sets that link share size / _PART + 1 n-grams within their prefixes, size of the smaller one.
+_PART = 16
+#: More documents than this that share an n-gram are compared as blocks of so many at most.
+_DENSE, _BLOCK = 48, 512
 
 
 def _sets(column: pa.Array, n: int):
@@ -81,11 +88,6 @@ def _repeats(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return v[edge][keep], c[keep].astype(np.int64)
 
 
-def need(size, percent: int):
-    """How many columns a set must share within its prefix with any set that it links to."""
-    return size * percent // 100 // 16 + 1
-
-
 def _incidence(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, n (set size), h1, h2 (of the set), width (of the prefix), keys, light (how many of
     the keys, which come first, are not frequent)."""
@@ -99,8 +101,7 @@ def _incidence(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) ->
                 size.append(m)
                 h1.append(int(mix(u).sum(dtype=_U)) if m else 0)
                 h2.append(int(mix(u ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)) if m else 0)
-                # one more than the floor of the bound of the smallest partner: see need()
-                w = min(m, m - -(-m * percent // 100) + m // 16 + 1) if m else 0
+                w = min(m, m - -(-m * percent // 100) + m // _PART + 1) if m else 0
                 if len(grams) and m:
                     at = np.minimum(np.searchsorted(grams, u), len(grams) - 1)
                     often = np.where(grams[at] == u, counts[at], 0)
@@ -147,7 +148,91 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:
+def _possible(n: str, top: str, alone: str, percent: int) -> str:
+    """Whether a set of n to top n-grams, `alone` of which no candidate has, can link at all."""
+    return f"100 * ({top} - {alone}) >= {percent} * {n}"
+
+
+def _near(percent: int) -> str:
+    """Whether the overlap that two documents can have reaches what their sizes ask for."""
+    bound = "least(top - alone, top2 - alone2)"
+    return f"100 * top2 >= {percent} * n and 100 * top >= {percent} * n2 and {100 + percent} * {bound} >= {percent} * (n + n2)"
+
+
+def _open_cells(cells: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The cells by which links between different components may still be missing: those of keys
+    that several components share, of documents that have enough of them for a link."""
+    left = cells.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+    left = left.select("key", "cls", "n", "top", "width", "comp")
+    for _ in range(2):
+        mixed = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+        left = store(left.select("key", "cls", "n", "top", "width", "comp").join(mixed, "key"))
+        enough = left.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("top").alias("top"), F.first("width").alias("width"))
+        enough = enough.where(f"c >= (cast(ceil(n * {percent} / 100) as int) div {_PART}) + 1").select("cls", "n", "top", F.greatest(F.lit(0), F.col("width") - F.col("c")).cast("int").alias("alone"))
+        left = left.join(enough.where(_possible("n", "top", "alone", percent)).select("cls", "alone"), "cls")
+    return store(left)
+
+
+def _product(grams: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray, cols: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) of enough links between the documents `rows` and `cols` to connect all that
+    link: the overlaps are the product of their incidences, a slice of n-grams at a time."""
+    flat = np.concatenate([grams[i] for i in (*rows, *cols)])
+    doc = np.repeat(np.arange(len(rows) + len(cols)), [len(grams[i]) for i in (*rows, *cols)])
+    _, gram, count = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = count[gram] > 1
+    _, gram = np.unique(gram[keep], return_inverse=True)
+    doc = doc[keep]
+    overlap = np.zeros((len(rows), len(cols)), np.float32)
+    width = 4096
+    for lo in range(0, int(gram.max(initial=-1)) + 1, width):
+        at = (gram >= lo) & (gram < lo + width)
+        x = np.zeros((len(rows) + len(cols), width), np.float32)
+        x[doc[at], gram[at] - lo] = 1
+        overlap += x[: len(rows)] @ x[len(rows) :].T
+    a, b = sizes[rows][:, None], sizes[cols][None, :]
+    link = (100 * overlap >= percent * (a + b - overlap)) & (comp[rows][:, None] != comp[cols][None, :])
+    label, out = comp.copy(), []
+    for i in np.flatnonzero(link.any(1)):
+        for j in np.flatnonzero(link[i]):
+            x, y = label[rows[i]], label[cols[j]]
+            if x != y:
+                label[label == x] = y
+                out.append((int(rows[i]), int(cols[j])))
+    return out
+
+
+def _block_links(dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the documents of each dense group, enough to connect all that link.
+    dense: cls, first (a document that shares an n-gram with it), comp (what is known to link).
+
+    A group is dealt into blocks by hash, and each pair of its blocks is one task of bounded size."""
+    group = connected_components(dense.select(F.col("cls").alias("a"), F.col("first").alias("b")))
+    docs = dense.groupBy(F.col("cls").alias("node")).agg(F.min("comp").alias("comp")).join(group, "node")
+    docs = store(docs.select(F.col("node").alias("cls"), "comp", F.col("component").alias("family")))
+    size = docs.groupBy("family").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    docs = docs.join(size, "family").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    docs = docs.join(sets, "cls")
+    docs = docs.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    docs = docs.select("family", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "cls", "comp", "grams")
+
+    def multiply(got):
+        comp = np.unique(got["comp"].to_numpy(), return_inverse=True)[1]
+        out = []
+        if len(comp) and comp.max() > 0:
+            grams, ids = got["grams"].tolist(), got["cls"].to_numpy()
+            sizes, first = np.array([len(g) for g in grams]), (got["block"] == got["x"]).to_numpy()
+            rows = np.flatnonzero(first)
+            cols = rows if got["x"].iloc[0] == got["y"].iloc[0] else np.flatnonzero(~first)
+            # a block that hashing made larger than meant is taken in parts
+            for i in range(0, len(rows), 2 * _BLOCK):
+                for j in range(0, len(cols), 2 * _BLOCK):
+                    out += [(ids[a], ids[b]) for a, b in _product(grams, sizes, rows[i : i + 2 * _BLOCK], cols[j : j + 2 * _BLOCK], comp, percent)]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return docs.groupBy("family", "x", "y").applyInPandas(multiply, "a long, b long")
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A row's set: its
@@ -169,43 +254,33 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: s
     cells = store(cold.union(hot))
 
     sizes = reps.groupBy(F.col("doc_id").alias("cls")).agg(F.min("n").alias("n"), F.max("n").alias("top"), F.max("width").alias("width"))
-    least = F.expr(f"(cast(ceil(n * {percent} / 100) as int) div 16) + 1")
+    least = F.expr(f"(cast(ceil(n * {percent} / 100) as int) div {_PART}) + 1")  # of the smallest partner
     kept = cells.groupBy("cls").agg(F.count("*").alias("c")).join(sizes, "cls").where(F.col("c") >= least)
-    kept = store(kept.select("cls", "n", "top", F.greatest(F.lit(0), F.col("width") - F.col("c")).cast("int").alias("alone")))
+    alone = F.greatest(F.lit(0), F.col("width") - F.col("c")).cast("int").alias("alone")
+    kept = store(kept.select("cls", "n", "top", "width", alone).where(_possible("n", "top", "alone", percent)))
     cells = store(cells.join(kept, "cls"))
     sets = store(_whole_sets(docs, kept.select("cls"), n, doc_id, text), "lz4")
 
-    near = f"100 * greatest(top, top2) >= 0 and 100 * top2 >= {percent} * n and 100 * top >= {percent} * n2"
-    hub = F.struct("alone", "cls", "n", "top")
-    links = None
-    found = None
-    for i in range(rounds + 1):
-        if found is None:
-            left = cells
-        else:
-            left = cells.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-            mixed = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y")
-            left = store(left.join(mixed.select("key", "m"), "key").select("key", "cls", "n", "top", "alone", "comp"))
-            total = left.groupBy("key").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * F.col("m"))).first()
-            if not total[0]:
-                break
-        if found is not None and (i == rounds or total[1] <= 16 * total[0] + 200_000):
-            other = left.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("top").alias("top2"), F.col("comp").alias("comp2"))
-            joined = left.join(other, "key").where("comp < comp2").where(near)
-            last = True
-        else:
-            if i:  # other hubs than before
-                hub = F.struct(F.xxhash64("cls", F.lit(i)).alias("alone"), "cls", "n", "top")
-            hubs = left.groupBy("key").agg(F.count("*").alias("m"), F.min(hub).alias("h")).where("m > 1")
-            hubs = hubs.select("key", F.col("h.cls").alias("cls2"), F.col("h.n").alias("n2"), F.col("h.top").alias("top2"))
-            joined = left.join(hubs, "key").where("cls <> cls2").where(near)
-            last = False
-        pairs = joined.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
-        more = store(_verified(pairs, sets, percent))
-        links = more if links is None else links.union(more)
-        found = connected_components(links)
-        if last:
-            break
+    near = _near(percent)
+    # each document meets the hub of most of its columns: the one with the fewest of its own
+    hubs = cells.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("alone", "cls", "n", "top")).alias("h")).where("m > 1")
+    hubs = hubs.select("key", F.col("h.cls").alias("cls2"), F.col("h.n").alias("n2"), F.col("h.top").alias("top2"), F.col("h.alone").alias("alone2"))
+    met = cells.join(hubs, "key").where("cls <> cls2").where(near).groupBy("cls", "cls2").agg(F.count("*").alias("c"))
+    met = met.groupBy("cls").agg(F.max_by("cls2", F.struct("c", "cls2")).alias("cls2"))
+    links = store(_verified(met.select(F.col("cls").alias("a"), F.col("cls2").alias("b")), sets, percent))
+    found = connected_components(links)
+
+    left = _open_cells(cells, found, percent)
+    m = left.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("first")).where("m > 1")
+    thin = left.join(m.where(f"m <= {_DENSE}").select("key"), "key")
+    other = thin.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("top").alias("top2"), F.col("alone").alias("alone2"), F.col("comp").alias("comp2"))
+    both = thin.join(other, "key").where("comp < comp2").where(near)
+    pairs = both.groupBy("cls", "cls2").agg(F.count("*").alias("c"), F.least(F.min("n"), F.min("n2")).alias("n")).where(f"c >= n div {_PART} + 1")
+    links = links.union(store(_verified(pairs.select(F.col("cls").alias("a"), F.col("cls2").alias("b")), sets, percent)))
+    dense = store(left.join(m.where(f"m > {_DENSE}"), "key").select("cls", "first", "comp"))
+    if not dense.isEmpty():
+        links = links.union(store(_block_links(dense, sets, percent)))
+    found = connected_components(links)
 
     member = real.select("doc_id", "h1", "h2", F.col("n").alias("size")).join(classes, ["h1", "h2"]).where("n = size")
     member = member.join(found.withColumnRenamed("node", "cls"), "cls", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "cls")).alias("c"))
