@@ -76,7 +76,7 @@ _METHOD = re.compile(
     r"(?:^|(?<=[;{}\n]))[ \t]*(?:(?:public|private|protected|static|readonly|override|abstract|async|get|set|final)\s+)*\*?\s*(?P<name>\#?[A-Za-z_$][\w$]*|constructor)\s*(?:<[^>(]*>)?\(",
     re.M,
 )
-_WORDS = frozenset("if for while switch catch return function new typeof await super else do try with throw delete void in of case".split())
+_WORDS = frozenset("if for while switch catch return function new typeof await super else do try with throw delete".split())
 
 
 def _statement_end(quiet: str, place: int) -> int:
