@@ -113,7 +113,7 @@ def _methods(text: str, quiet: str, kind: str, name: str, start: int, end: int)
         if m["name"] in _WORDS or paren < 0:
             at = m.end()
             continue
-        body = re.compile(r"\s*(?::[^{;=]+(?:\{[^{}]*\}[^{;=]*)?)?\{").match(quiet, paren + 1)
+        body = re.compile(r"\s*(?::\s*(?:\{[^{}]*\}|[^{};=]+))?\s*\{").match(quiet, paren + 1)
         if body is None:
             at = m.end()
             continue

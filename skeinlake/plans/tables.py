@@ -18,11 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back; it goes when the driver's JVM ends."""
+def settled(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage and survives lost executors.
+    The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skeinlake/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
