@@ -2,42 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import settled as store
+
+__all__ = ["WORD", "Powers", "hash_words", "mix", "only", "pieces", "rolling", "span_hash", "store", "text_buffers"]
+
 #: What separates words: the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 _U = np.uint64
-_MASK = (1 << 64) - 1
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is
-    unset, as in tests) a new temporary folder that is then set for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skeinlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def store(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and
-    survives lost executors. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skeinlake/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -157,7 +136,3 @@ def span_hash(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(words) + 1, _U)
     np.cumsum(words * up[: len(words)], out=sums[1:])
     return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(_U) * _U(0x8CB92BA72F3D8DD7))
-
-
-def fixed(value: int) -> np.uint64:
-    return _U(value & _MASK)

@@ -16,7 +16,7 @@ from .html_blocks import FEATURES, blocks
 _MARK = "\ue000"
 
 
-def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 480, seed: int = 5) -> list[str]:
     """Training pages, made here: layouts of many kinds, the text of the article marked by a
     private character at the front of each of its blocks."""
     r = random.Random(seed)
@@ -30,11 +30,11 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
 
     def junk(kind: str) -> str:
         if kind == "nav":
-            return pick([f"<nav>{links()}</nav>", f'<div class="{pick(["menu", "main-nav", "navbar", "breadcrumb"])}">{links()}</div>', f'<div role="navigation">{link()} | {link()} | {link()}</div>', f'<ul id="menu"><li>{link()}<li>{link()}<li>{link()}</ul>'])
+            return pick([f"<nav>{links()}</nav>", f"<nav>{words(1, 12)}</nav>", f"<nav><p>{sentence()}</p></nav>", f'<div class="{pick(["menu", "main-nav", "navbar", "breadcrumb"])}">{links()}</div>', f'<div role="navigation">{link()} | {link()} | {link()}</div>', f'<ul id="menu"><li>{link()}<li>{link()}<li>{link()}</ul>'])
         if kind == "header":
-            return pick([f"<header><h1>{words(1, 3)}</h1><p>{words(3, 8)}</p></header>", f'<div id="header"><a href="/">{words(1, 2)}</a><p>{sentence()}</p></div>', f"<header>{links()}</header>", f'<div class="masthead">{words(1, 4)}</div>'])
+            return pick([f"<header>{words(1, 9)}</header>", f"<header><h1>{words(1, 3)}</h1><p>{words(3, 8)}</p></header>", f'<div id="header"><a href="/">{words(1, 2)}</a><p>{sentence()}</p></div>', f"<header>{links()}</header>", f'<div class="masthead">{words(1, 4)}</div>'])
         if kind == "footer":
-            return pick([f"<footer>&copy; {word()} &middot; {sentence()}</footer>", f'<footer><p>{sentence()}</p>{links()}</footer>', f'<div class="footer"><p>&copy; 2024 {words(1, 3)}. All rights reserved.</p></div>', f'<div id="site-footer"><p>{para(2)}</p></div>', f"<footer><div>{para(3)}</div></footer>"])
+            return pick([f"<footer>{words(1, 9)}</footer>", f"<footer>&copy; {word()} &middot; {sentence()}</footer>", f'<footer><p>{sentence()}</p>{links()}</footer>', f'<div class="footer"><p>&copy; 2024 {words(1, 3)}. All rights reserved.</p></div>', f'<div id="site-footer"><p>{para(2)}</p></div>', f"<footer><div>{para(3)}</div></footer>"])
         if kind == "aside":
             return pick([f"<aside><h3>{words(1, 3)}</h3>{links()}</aside>", f'<div class="sidebar"><h2>{words(1, 3)}</h2><p>{para(3)}</p></div>', f"<aside><p>{para(4)}</p></aside>", f'<div id="related"><h3>{words(1, 3)}</h3><ul><li>{link()}</li><li>{link()}</li></ul></div>', f'<section class="related-posts"><p>{sentence()}</p></section>'])
         if kind == "ad":
@@ -54,7 +54,8 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
         for _ in range(r.randint(1, 9)):
             x = r.random()
             if x < 0.62:
-                out.append(f"<p>{_MARK}{para(9) if r.random() < 0.8 else sentence()}" + pick(["</p>", "</p>", "</p>", ""]))
+                text = para(9) if r.random() < 0.7 else sentence() if r.random() < 0.6 else words(1, 60)
+                out.append(f"<p>{_MARK}{text}" + pick(["</p>", "</p>", "</p>", ""]))
             elif x < 0.68:
                 out.append(f"<p>{_MARK}{sentence()} {link()} {para(3)}</p>")
             elif x < 0.73:
@@ -88,6 +89,10 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
             content = content.replace("</article>", junk(pick(["comments", "share", "ad"])) + "</article>")
         r.shuffle(before)
         foot = junk("footer") if r.random() < 0.85 else ""
+        if i % 8 == 5:  # nothing but the article
+            before, after, foot = [], [], ""
+        if i % 24 == 5:
+            content = f"<article><p>{_MARK}{words(3, 80)}</article>"
         pages.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><script>var a='<p>';</script></head><body>{''.join(before)}{content}{''.join(after)}{foot}" + pick(["</body></html>", ""]))
     return pages
 
@@ -117,7 +122,7 @@ class Chain:
         return label[::-1]
 
 
-def train(pages: list[str], rounds: int = 250, ridge: float = 0.02) -> Chain:
+def train(pages: list[str], rounds: int = 250, ridge: float = 0.005) -> Chain:
     """Maximum likelihood by gradient steps; forward and backward sums over all pages at once."""
     found = []
     for p in pages:

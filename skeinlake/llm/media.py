@@ -79,8 +79,10 @@ def ima_encode(samples: np.ndarray, block: int = 256) -> np.ndarray:
     pcm = np.zeros(n * each, np.int32)
     pcm[: len(samples)] = samples
     pcm = pcm.reshape(n, each)
-    value, index = pcm[:, 0].copy(), np.zeros(n, np.int32)
+    value = pcm[:, 0].copy()
+    index = np.clip(np.searchsorted(IMA_STEPS, np.abs(pcm[:, 1] - value)), 0, 88).astype(np.int32)
     out = np.zeros((n, block), np.uint8)
+    out[:, 2] = index
     out[:, :2] = value.astype("<i2")[:, None].view(np.uint8)
     for i in range(1, each):
         gap, step = pcm[:, i] - value, IMA_STEPS[index]
