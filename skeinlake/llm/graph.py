@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     pairs = store(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels = None
+    steps = []
     for i in range(rounds):
         if pairs.isEmpty():
             break
@@ -26,17 +26,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         both = pairs.union(pairs.select("v", "u"))
         to = store(both.groupBy("u").agg(F.least(F.min(rank(F.col("v"))), rank(F.col("u")))["n"].alias("t")))
         left = to.select(F.col("u").alias("v"), F.col("t").alias("tv"))
+        steps.append(to)
         pairs = store(
             pairs.join(to, "u").join(left, "v").where("t <> tv").select(F.least("t", "tv").alias("u"), F.greatest("t", "tv").alias("v")).distinct()
         )
-        if labels is None:
-            labels = to.select(F.col("u").alias("node"), F.col("t").alias("label"))
-        else:
-            step = to.select(F.col("u").alias("label"), F.col("t").alias("next"))
-            labels = store(labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    if labels is None:
+    if not steps:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    labels = steps[0].select(F.col("u").alias("node"), F.col("t").alias("label"))
+    for to in steps[1:]:
+        labels = labels.join(to.select(F.col("u").alias("label"), F.col("t").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    labels = store(labels)
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return store(labels.join(least, "label").select("node", "component"))
+
+
+def more_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `found` (node, component) joined further by links (a, b)."""
+    at = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    merged = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    nodes = found.union(merged.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    step = merged.select(F.col("node").alias("component"), F.col("component").alias("next"))
+    return store(nodes.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")))

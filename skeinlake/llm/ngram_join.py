@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_words, mix, only, pieces, rolling, store, text_buffers
-from .graph import connected_components
+from .graph import connected_components, more_components
 
 _U = np.uint64
 #: n-grams held to be frequent at most: the bound on what is sent to the workers (16 bytes each).
@@ -35,7 +35,7 @@ _PIECE = 1 << 21
 #: Sets that link share size / _PART + 1 n-grams within their prefixes, size of the smaller one.
 _PART = 16
 #: More documents than this that share an n-gram are compared as blocks of so many at most.
-_DENSE, _BLOCK = 48, 512
+_DENSE, _BLOCK = 32, 512
 
 
 def _sets(column: pa.Array, n: int):
@@ -271,16 +271,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: s
     found = connected_components(links)
 
     left = _open_cells(cells, found, percent)
-    m = left.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("first")).where("m > 1")
-    thin = left.join(m.where(f"m <= {_DENSE}").select("key"), "key")
+    sign = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"s{i}") for i in (0, 1)]
+    m = left.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("first"), *sign).where("m > 1")
+    # n-grams of the same documents, as those of a passage are, count together
+    m = store(m.groupBy("s0", "s1", "m", "first").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "m", "first", "weight"))
+    thin = left.join(m.where(f"m <= {_DENSE}").select("key", "weight"), "key")
     other = thin.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("top").alias("top2"), F.col("alone").alias("alone2"), F.col("comp").alias("comp2"))
     both = thin.join(other, "key").where("comp < comp2").where(near)
-    pairs = both.groupBy("cls", "cls2").agg(F.count("*").alias("c"), F.least(F.min("n"), F.min("n2")).alias("n")).where(f"c >= n div {_PART} + 1")
-    links = links.union(store(_verified(pairs.select(F.col("cls").alias("a"), F.col("cls2").alias("b")), sets, percent)))
+    pairs = both.groupBy("cls", "cls2").agg(F.sum("weight").alias("c"), F.least(F.min("n"), F.min("n2")).alias("n")).where(f"c >= n div {_PART} + 1")
+    links = _verified(pairs.select(F.col("cls").alias("a"), F.col("cls2").alias("b")), sets, percent)
     dense = store(left.join(m.where(f"m > {_DENSE}"), "key").select("cls", "first", "comp"))
     if not dense.isEmpty():
-        links = links.union(store(_block_links(dense, sets, percent)))
-    found = connected_components(links)
+        links = links.union(_block_links(dense, sets, percent))
+    found = more_components(found, store(links))
 
     member = real.select("doc_id", "h1", "h2", F.col("n").alias("size")).join(classes, ["h1", "h2"]).where("n = size")
     member = member.join(found.withColumnRenamed("node", "cls"), "cls", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "cls")).alias("c"))
