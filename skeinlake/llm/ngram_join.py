@@ -72,7 +72,15 @@ def _frequent(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in seen]).view(np.int64)), pa.array(np.concatenate([x[1] for x in seen]))], ["gram", "n"])
 
     found = docs.select(F.col(text).alias("t")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
+    found = store(found)
+    # the lowest power of two above which few enough stand: the driver gets these alone
+    level, held = 63, 0
+    for r in sorted(found.groupBy(F.floor(F.log2("n")).cast("int").alias("l")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        level = r["l"]
+    rows = found.where(F.floor(F.log2("n")) >= level).toPandas()
     grams = rows["gram"].to_numpy(np.int64).view(_U)
     order = np.argsort(grams)
     return grams[order], rows["n"].to_numpy(np.int64)[order]
