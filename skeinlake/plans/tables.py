@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +20,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables of each open scratch().
+_open: list[list[str]] = []
+
+
+def _on_disk(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables settled inside go at its end, but for those put into the list that it yields. For an
+    operator whose result is settled too: nothing then hangs on its intermediate tables."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        stay = {getattr(df, "_settled_at", None) for df in kept}
+        for path in _open.pop():
+            if path in stay:
+                if _open:
+                    _open[-1].append(path)
+            else:
+                fs, where = _on_disk(spark, path)
+                fs.delete(where, True)
+
+
 def settled(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors.
     The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skeinlake/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _on_disk(spark, path)
+    fs.deleteOnExit(where)
+    if _open:
+        _open[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
