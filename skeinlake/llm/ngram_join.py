@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_words, mix, only, pieces, rolling, store, text_buffers
+from ..plans.tables import scratch
 from .graph import connected_components, more_components
 
 _U = np.uint64
@@ -35,7 +36,7 @@ _PIECE = 1 << 21
 #: Sets that link share size / _PART + 1 n-grams within their prefixes, size of the smaller one.
 _PART = 16
 #: More documents than this that share an n-gram are compared as blocks of so many at most.
-_DENSE, _BLOCK = 32, 512
+_DENSE, _BLOCK = 16, 512
 
 
 def _sets(column: pa.Array, n: int):
@@ -250,7 +251,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: s
     doc_id are one node. Extra columns are ignored; an empty table gives an empty one. Shingles
     are compared by 64-bit hashes, classes of equal sets by 128 bits.
     """
-    docs = only(docs, doc_id, text)
+    with scratch(docs.sparkSession) as kept:
+        out = store(_components(only(docs, doc_id, text), n, percent, doc_id, text))
+        kept.append(out)
+    return out
+
+
+def _components(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
     rows = store(_incidence(docs, n, percent, doc_id, text))
     real = rows.where("n > 0 and doc_id is not null")
     classes = store(real.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cls")))
