@@ -20,9 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, store, text_buffers
 
-#: A declared language with at least this share of the declarations is one to identify: at most
-#: 1 / share languages, 256 KB of model each.
-LEAST_SHARE, TEMPER, STRENGTH = 0.01, 0.25, 20.0
+TEMPER, STRENGTH = 0.25, 20.0
 _PAIRS = 1 << 16
 
 
@@ -46,65 +44,71 @@ def _pair_counts(rows: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
             declared = batch.column(0).dictionary_encode()
-            names, code = declared.dictionary.to_pylist(), declared.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            sums = np.zeros((len(names), _PAIRS + 1), np.int64)
-            for a, b in pieces(offsets, 1 << 20):
-                pairs, _ = _pair_codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                of = np.repeat(code[a:b], np.diff(offsets[a : b + 1]))
-                for i in np.unique(of[of >= 0]):
-                    sums[i] += np.bincount(pairs[of == i], minlength=_PAIRS + 1)
-            for i, name in enumerate(names):
-                at = np.flatnonzero(sums[i, :_PAIRS])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(sums[i, at])], ["lang", "pair", "n"])
+            code = declared.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            data, offsets = text_buffers(batch.column(1).take(pa.array(order)))
+            bounds = np.searchsorted(code[order], np.arange(len(declared.dictionary) + 1))
+            # one language at a time, however many a batch has
+            for i, name in enumerate(declared.dictionary.to_pylist()):
+                lo, hi = int(bounds[i]), int(bounds[i + 1])
+                sums = np.zeros(_PAIRS + 1, np.int64)
+                for a, b in pieces(offsets[lo : hi + 1], 1 << 20):
+                    at = offsets[lo + a : lo + b + 1]
+                    if at[-1] > at[0]:
+                        sums += np.bincount(_pair_codes(data[at[0] : at[-1]], at - at[0])[0], minlength=_PAIRS + 1)
+                at = np.flatnonzero(sums[:_PAIRS])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(sums[at])], ["lang", "pair", "n"])
 
     return rows.select("declared", "text").mapInArrow(count, "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n"))
 
 
-def language_model(rows: DataFrame, least_share: float = LEAST_SHARE) -> tuple[list[str], np.ndarray]:
-    """The languages and log P(pair | language), from the rows' declared languages."""
-    declared = rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
-    total = F.sum("n").over
-    from pyspark.sql import Window
-
-    names = sorted(r["declared"] for r in declared.withColumn("all", total(Window.partitionBy())).where(F.col("n") >= least_share * F.col("all")).select("declared").collect())
-    found = _pair_counts(rows.where(F.col("declared").isin(names))).toPandas() if names else None
-    counts = np.full((len(names), _PAIRS + 1), 0.5)
-    if found is not None and len(found):
-        at = {x: i for i, x in enumerate(names)}
-        counts[found["lang"].map(at).to_numpy(), found["pair"].to_numpy()] += found["n"].to_numpy()
-    model = np.log(counts / counts[:, :_PAIRS].sum(1, keepdims=True))
-    model[:, _PAIRS] = 0
-    return names, model.astype(np.float32)
-
-
-def _likelihoods(rows: DataFrame, names: list[str], model: np.ndarray, temper: float) -> DataFrame:
+def language_model(rows: DataFrame) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray, float]]]:
+    """Every declared language and its log P(pair | language): the pairs that it has, theirs, and
+    that of any other pair (Witten-Bell: unseen pairs share what the seen kinds weigh, so that a
+    language of one page is as well described as a large one)."""
+    declared = rows.where("declared is not null")
+    names = sorted(r["declared"] for r in declared.select("declared").distinct().collect())
+    found = _pair_counts(declared).toPandas() if names else None
+    parts = {} if found is None else {x: (g["pair"].to_numpy(), g["n"].to_numpy()) for x, g in found.groupby("lang")}
+    model = []
+    for name in names:
+        pairs, n = parts.get(name, (np.zeros(0, np.int32), np.zeros(0, np.int64)))
+        each = max(1, len(pairs)) / _PAIRS
+        total = n.sum() + each * _PAIRS
+        model.append((pairs, np.log((n + each) / total).astype(np.float32), float(np.log(each / total))))
+    return names, model
+
+
+def _likelihoods(rows: DataFrame, model: list[tuple[np.ndarray, np.ndarray, float]], temper: float) -> DataFrame:
     """The rows' other columns, ll (tempered log likelihood by language, the best is 0), letters
     (share of the bytes that are not white space)."""
     other = [c for c in rows.columns if c != "text"]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in other) + ", ll array<double>, letters double"
+    k = len(model)
+    most = max(1, (1 << 22) // k)  # rows whose ll are held at a time
 
     def score(batches):
+        row = np.empty(_PAIRS + 1, np.float32)
         for batch in batches:
             data, offsets = text_buffers(batch.column(len(other)))
-            ll, letters = np.zeros((batch.num_rows, len(names))), np.zeros(batch.num_rows)
-            for a, b in pieces(offsets, 1 << 20):
+            for a, b in ((lo, min(lo + most, to)) for at, to in pieces(offsets, 1 << 20) for lo in range(at, to, most)):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                if not len(part):
-                    continue
-                pairs, before = _pair_codes(part, at)
-                solid = np.zeros(len(part) + 1, np.int64)
-                np.cumsum((part > 32), out=solid[1:])
-                full = np.flatnonzero(np.diff(at) > 0)
-                for i in range(len(names)):
-                    ll[a + full, i] = np.add.reduceat(model[i][pairs], at[:-1][full], dtype=np.float64)
-                letters[a:b] = (before[at[1:]] - before[at[:-1]]) / np.maximum(1, solid[at[1:]] - solid[at[:-1]])
-            ll *= temper
-            if len(names):
-                ll -= ll.max(1, keepdims=True)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(names)), pa.array(ll.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(other)], flat, pa.array(letters)], [*other, "ll", "letters"])
+                ll, letters = np.zeros((b - a, k)), np.zeros(b - a)
+                if len(part):
+                    pairs, before = _pair_codes(part, at)
+                    solid = np.zeros(len(part) + 1, np.int64)
+                    np.cumsum((part > 32), out=solid[1:])
+                    full = np.flatnonzero(np.diff(at) > 0)
+                    for i, (has, logs, rest) in enumerate(model):
+                        row[:_PAIRS], row[_PAIRS] = rest, 0
+                        row[has] = logs
+                        ll[full, i] = np.add.reduceat(row[pairs], at[:-1][full], dtype=np.float64)
+                    letters[:] = (before[at[1:]] - before[at[:-1]]) / np.maximum(1, solid[at[1:]] - solid[at[:-1]])
+                    ll *= temper
+                    ll -= ll.max(1, keepdims=True)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * k), pa.array(ll.ravel()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(other)]), flat, pa.array(letters)], [*other, "ll", "letters"])
 
     return rows.select(*other, "text").mapInArrow(score, schema)
 
@@ -117,12 +121,13 @@ def _smoothed(counts: DataFrame, base: Column | str, strength: float) -> DataFra
 
 
 def identify_language(
-    rows: DataFrame, least_share: float = LEAST_SHARE, temper: float = TEMPER, strength: float = STRENGTH, least_letters: float = 0.35, least_posterior: float = 0.5
+    rows: DataFrame, temper: float = TEMPER, strength: float = STRENGTH, least_letters: float = 0.35, least_posterior: float = 0.5
 ) -> DataFrame:
     """id, lang, posterior, text_lang, accepted for every row of id, text, declared, host, suffix.
 
     Any column but `id` may be null or missing: that evidence is then left out (a null host is a
-    host of its own). accepted: the text has letters in at least `least_letters` of its bytes that
+    host of its own). Every language that a row declares is one to identify, however rare; time and
+    memory a row grow with their number. accepted: the text has letters in at least `least_letters` of its bytes that
     are not white space, and the posterior is at least `least_posterior`; so null, empty and blank
     texts are rejected, with the language that the other evidence points to. Equal posteriors go
     to the alphabetically first language. With no declared language in the table there is nothing
@@ -133,39 +138,43 @@ def identify_language(
     pick = lambda c: F.col(f"`{c}`").cast("string") if c in have else F.lit(None).cast("string")
     rows = rows.select(F.col("id"), F.lower(F.trim(pick("declared"))).alias("declared"), F.lower(pick("host")).alias("host"), F.lower(pick("suffix")).alias("suffix"), pick("text").alias("text"))
     rows = rows.withColumn("declared", F.when(F.col("declared") != "", F.regexp_extract("declared", r"^[^-_]*", 0)))
-    names, model = language_model(rows, least_share)
+    names, model = language_model(rows)
     if not names:
         return rows.select("id", *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("posterior", "double"), ("text_lang", "string"))], F.lit(False).alias("accepted"))
     n = len(names)
-    scored = _likelihoods(rows, names, model, temper)
+    scored = _likelihoods(rows, model, temper)
     best = F.array_position("ll", F.array_max("ll")) - 1
     scored = store(scored.withColumn("best", F.when(F.col("letters") >= least_letters, best).cast("int")))
     sure = scored.where("best is not null")
-    vector = F.array(*[F.count_if(F.col("best") == i).cast("double") for i in range(n)])
+
+    def counted(*by: str) -> DataFrame:
+        """c, the sure rows of each language as an array, by these columns; no expression is as
+        long as the list of languages."""
+        per = sure.groupBy(*by, "best").agg(F.count("*").cast("double").alias("n"))
+        return per.groupBy(*by).agg(dense.alias("c"))
+
+    held = F.map_from_entries(F.collect_list(F.struct("best", "n")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0.0)))
 
     # languages of all rows, then of parent domains, then of hosts
     parent = F.when(F.size(F.split("host", r"\.")) > 2, F.regexp_extract("host", r"[^.]+\.[^.]+$", 0)).otherwise(F.col("host"))
-    every = sure.agg(vector.alias("c"))
-    every = _smoothed(every, F.array(*[F.lit(1.0 / n)] * n), strength).select(F.col("p").alias("pa"))
-    hosts = store(sure.groupBy("host").agg(vector.alias("c")))
-    add = F.array(*[F.sum(F.col("c")[i]) for i in range(n)])
-    domains = _smoothed(hosts.withColumn("parent", parent).groupBy("parent").agg(add.alias("c")).crossJoin(F.broadcast(every)), "pa", strength)
+    sure = sure.withColumn("parent", parent)
+    every = _smoothed(counted(), F.array_repeat(F.lit(1.0 / n), n), strength).select(F.col("p").alias("pa"))
+    hosts = counted("host")
+    domains = _smoothed(counted("parent").crossJoin(F.broadcast(every)), "pa", strength)
     domains = domains.select(F.col("parent").alias("dp"), F.col("p").alias("pd"))
     priors = hosts.withColumn("parent", parent).join(domains, F.col("parent").eqNullSafe(F.col("dp")))
     priors = _smoothed(priors, "pd", strength).select(F.col("host").alias("h"), F.col("p").alias("prior"))
 
     def table(column: str) -> DataFrame:
         """P(value | language) up to a factor: what goes with each language, smoothed evenly."""
-        counts = sure.where(f"{column} is not null").groupBy(column).agg(vector.alias("c"))
-        of = every_of(counts)
+        counts = counted(column).where(F.col(column).isNotNull())
+        of = sure.where(F.col(column).isNotNull()).groupBy("best").agg(F.count("*").cast("double").alias("n")).agg(dense.alias("t"))
         both = counts.crossJoin(F.broadcast(of))
         ratio = F.zip_with("c", "t", lambda x, t: F.ln((x + 1.0) / (t + F.lit(float(n)))))
         return both.select(F.col(column).alias(f"_{column}"), ratio.alias(f"l_{column}"))
 
-    def every_of(counts: DataFrame) -> DataFrame:
-        return counts.agg(F.array(*[F.coalesce(F.sum(F.col("c")[i]), F.lit(0.0)) for i in range(n)]).alias("t"))
-
-    zero = F.array(*[F.lit(0.0)] * n)
+    zero = F.array_repeat(F.lit(0.0), n)
     out = scored.join(priors, scored["host"].eqNullSafe(F.col("h")), "left")
     for c in ("declared", "suffix"):
         out = out.join(table(c), F.col(c) == F.col(f"_{c}"), "left")

@@ -284,6 +284,26 @@ def test_language_fuses_its_evidence(spark):
     assert identify_language(df.select("id", "text")).where("accepted").count() == 0
 
 
+def test_rare_languages_are_identified(spark):
+    r = random.Random(10)
+    letters = {"en": "ethoanisrw", "de": "schenirtuü", "it": "iaoelnrtcz", "pl": "zczyswiałę"}
+    text = lambda k, n: " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(2, 7))) for _ in range(n))
+    of = lambda i: "it" if i % 150 == 7 else "pl" if i == 600 else ("en", "de")[i % 2]
+    rows = [(i, text(of(i), 60), None if i == 157 else of(i)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id bigint, text string, declared string").withColumn("host", F.lit("one"))
+    got = {x.id: x for x in identify_language(df).collect()}
+    assert {i: x.lang for i, x in got.items()} == {i: of(i) for i in range(1200)} and all(x.accepted for x in got.values())
+
+
+def test_hundreds_of_declared_languages(spark):
+    r = random.Random(11)
+    kinds = [r.sample("abcdefghijklmnopqrstuvwxyz", 6) for _ in range(300)]
+    text = lambda k: " ".join("".join(r.choice(kinds[k]) for _ in range(5)) for _ in range(40))
+    df = spark.createDataFrame([(i, text(i % 300), f"l{i % 300}") for i in range(900)], "id bigint, text string, declared string")
+    got = identify_language(df).collect()
+    assert len(got) == 900 and all(x.lang == f"l{x.id % 300}" for x in got)
+
+
 def test_page_evidence(spark):
     df = spark.createDataFrame([(1, "https://a.b.co.uk:80/fr/x?q", '<html lang="fr-CA"><script>no</script><p>oui</p>'), (2, None, None)], "page_id bigint, url string, html string")
     got = {r.id: r for r in page_rows(df).collect()}
