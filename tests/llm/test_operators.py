@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from skeinlake.llm import html_blocks, html_extract, media
 from skeinlake.llm.graph import connected_components
 from skeinlake.llm.language_id import identify_language, page_rows
-from skeinlake.llm.media import media_columns
+from skeinlake.llm.media import media_columns, media_features
 from skeinlake.llm.mixing import mix_sources
 from skeinlake.llm.mtree import exact_top_k
 from skeinlake.llm.ngram_join import ngram_jaccard_join
@@ -245,6 +245,69 @@ def test_audio_tables_and_blocks():
     assert media.resample(np.arange(10, dtype=np.int16), 1, 2).tolist() == [0, 2, 4, 6, 8]
 
 
+def slow_ima(data, block, channels=1):
+    """IMA ADPCM by the book, one code at a time: frames."""
+    out = []
+    for at in range(0, len(data), block):
+        part = [int(x) for x in data[at : at + block]]
+        if len(part) < 4 * channels:
+            break
+        tracks = []
+        for c in range(channels):
+            value, index = part[4 * c] | part[4 * c + 1] << 8, min(88, part[4 * c + 2])
+            value -= 65536 if value > 32767 else 0
+            track, body = [value], part[4 * channels :]
+            for x in [x for g in range(4 * c, len(body), 4 * channels) for x in body[g : g + 4]]:
+                for code in (x & 15, x >> 4):
+                    step = int(media.IMA_STEPS[index])
+                    move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                    value = max(-32768, min(32767, value - move if code & 8 else value + move))
+                    index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                    track.append(value)
+            tracks.append(track)
+        out += list(zip(*tracks))
+    return out
+
+
+@pytest.mark.parametrize("block,channels,size", [(256, 1, 1024), (512, 1, 1300), (1024, 1, 1027), (512, 2, 1024), (256, 2, 789), (256, 2, 260)])
+def test_expand_reads_all_formats(block, channels, size):
+    data = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8)
+    want = slow_ima(data, block, channels)
+    rate, pcm = media.expand(media.wav(data.tobytes(), 8000, media.IMA, channels, block))
+    assert rate == 8000 and pcm.reshape(-1, channels).tolist() == [list(x) for x in want]
+    for kind, table in ((media.MULAW, media.MULAW_TABLE), (media.ALAW, media.ALAW_TABLE)):
+        whole = size // channels * channels
+        pcm = media.expand(media.wav(data.tobytes(), 8000, kind, channels))[1]
+        assert pcm.shape == ((size,) if channels == 1 else (size // channels, channels)) and (pcm.ravel() == table[data[:whole]]).all()
+    samples = media.ima_encode(np.arange(700, dtype=np.int16), 512)
+    assert len(media.expand(media.wav(samples.tobytes(), 8000, media.IMA, 1, 512))[1]) == (2 * 508 + 1) * (len(samples) // 512)
+
+
+def test_media_columns_by_every_codec(spark):
+    rows = [(1, "hello"), (2, None), (3, "é" * 100), (4, "y" * 5000)]
+    text = dict(rows)
+    plain = {r.doc_id: r.feature.split("|") for r in media_columns(docs(spark, rows)).collect()}
+    for codec, name in ((media.MULAW, "mulaw"), (media.ALAW, "alaw"), (media.IMA, "adpcm")):
+        for r in media_columns(docs(spark, rows), codec=codec).collect():
+            raw = (text[r.doc_id] or "").encode()
+            codes = np.frombuffer(raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw)), np.uint8)
+            kind = media.read_wav(r.media)
+            assert (kind.kind, kind.data) == (codec, codes.tobytes())
+            want = {"mulaw": media.MULAW_TABLE[codes].tolist(), "alaw": media.ALAW_TABLE[codes].tolist(), "adpcm": [x for (x,) in slow_ima(codes, 64)]}[name]
+            assert media.expand(r.media)[1].tolist() == want and media.expand(r.pcm)[1][::2].tolist() == want
+            feature = r.feature.split("|")[0]
+            assert feature == plain[r.doc_id][0] if name == "mulaw" else f"{name}:{feature}" in plain[r.doc_id]
+
+
+def test_media_features_of_a_media_column(spark):
+    data = bytes(range(256)) * 3
+    files = [(1, media.wav(data, 8000, media.ALAW)), (2, media.wav(data, 8000, media.IMA, 2, 512)), (3, b"no file"), (4, None)]
+    got = {r.doc_id: r for r in media_features(spark.createDataFrame(files, "doc_id bigint, media binary"), up=1).collect()}
+    assert (media.expand(got[1].pcm)[1] == media.ALAW_TABLE[np.frombuffer(data, np.uint8)]).all() and got[1].channels == 1
+    assert media.expand(got[2].pcm)[1].tolist() == [list(x) for x in slow_ima(data, 512, 2)] and got[2].channels == 2
+    assert got[3].feature is None and got[4].pcm is None and len(got) == 4
+
+
 def test_quality_on_held_out_documents(spark):
     r = random.Random(8)
     rows, labels = [], []
