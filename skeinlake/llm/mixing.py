@@ -60,9 +60,10 @@ def exponential_key(doc_id: Column, text: Column, quality: Column, seed: int) ->
 
 def mix_sources(
     docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS,
-    seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, part, taken for every row of docs.
+    """doc_id, size, source, source_size, target, copies, part, taken and the columns in `carry` for
+    every row of docs.
 
     size: words of the whole text (null: 0). copies: how often the mix takes the document whole;
     part: words of the one document a source that the end of its budget cuts, beside its copies;
@@ -74,14 +75,16 @@ def mix_sources(
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     # the hash goes by the text, of which nothing but its hash is kept
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), F.xxhash64(F.col(text)).alias("h")
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), F.xxhash64(F.col(text)).alias("h"),
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)],
     )
+    names = [f"c{i}" for i in range(len(carry))]
     if quality is None:
         rows = rows.withColumn("quality", F.lit(1.0))
     else:
         per = quality.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("quality"))
         rows = rows.join(per, "doc_id", "left")
-    rows = store(rows.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), F.col("h"), F.col("quality"), seed).alias("key")))
+    rows = store(rows.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), F.col("h"), F.col("quality"), seed).alias("key"), *names))
 
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -101,4 +104,4 @@ def mix_sources(
     full = F.col("part") >= F.col("size")
     out = dealt.withColumn("part", F.when(F.col("rest") > 0, part).otherwise(0).cast("long"))
     out = out.withColumn("copies", (F.col("whole") + F.when(full & (F.col("size") > 0), 1).otherwise(0)).cast("long")).withColumn("part", F.when(full, 0).otherwise(F.col("part")).cast("long"))
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", "part", (F.col("size") * F.col("copies") + F.col("part")).alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", "copies", "part", (F.col("size") * F.col("copies") + F.col("part")).alias("taken"), *[F.col(n).alias(c) for n, c in zip(names, carry)])
