@@ -12,8 +12,10 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-#: Elements whose content is not text of the page.
-RAW = frozenset("script style title textarea noscript template iframe svg math object audio video canvas select datalist xmp noembed noframes".split())
+#: Elements whose content is not text of the page: those of raw text, which end at the first closing
+#: tag or with the page, and those of markup, which nest and hide nothing where they are not closed.
+RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
+HIDING = frozenset("template svg math object audio video canvas select datalist".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr link meta base embed param area col".split()
 )
@@ -78,6 +80,8 @@ def blocks(page: str, seen: dict | None = None) -> list[Block]:
     found: list[tuple[str, int, str, int, int]] = []
     parts: list[str] = []
     linked = link_chars = number = 0
+    # the open elements of HIDING: tag, and what was read before each
+    hiding: list[tuple[str, int, list, list, int, int]] = []
 
     def flush() -> None:
         nonlocal link_chars
@@ -108,7 +112,16 @@ def blocks(page: str, seen: dict | None = None) -> list[Block]:
             continue
         tag = tag.lower()
         attrs = (m["attrs"] if m["tag"] else m["attrs2"]) or ""
+        inside = len(hiding[-1][3]) if hiding else 1  # places of the stack from which on elements are hidden
         if m["end"] or m["end2"]:
+            if tag in HIDING and any(h[0] == tag for h in hiding):
+                while True:
+                    name, count, before, stack_, linked, link_chars = hiding.pop()
+                    if name == tag:
+                        break
+                del found[count:]
+                parts[:], stack[:] = before, stack_
+                continue
             if tag == "a":
                 linked = 0
             elif tag in INLINE:
@@ -119,8 +132,15 @@ def blocks(page: str, seen: dict | None = None) -> list[Block]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
+                        # what an element around them ends was not closed
+                        while hiding and len(hiding[-1][3]) > i:
+                            hiding.pop()
                         break
             continue
+        if tag in HIDING:
+            if not attrs.endswith("/"):
+                hiding.append((tag, len(found), parts[:], stack[:], linked, link_chars))
+            continue
         if tag in RAW:
             if not attrs.endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -137,11 +157,11 @@ def blocks(page: str, seen: dict | None = None) -> list[Block]:
             bits = _own_bits(tag, attrs, seen) if tag == "body" else 0
             stack[0] = ("body", stack[0][1] | (bits & (1 << AT["hidden"])), 0)
             continue
-        if stack[-1][0] == "p":
+        if stack[-1][0] == "p" and len(stack) > inside:
             stack.pop()
         if tag in CLOSES:
             close_tags, barrier = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, inside - 1, -1):
                 if stack[i][0] in barrier:
                     break
                 if stack[i][0] in close_tags:

@@ -219,6 +219,17 @@ def test_html_extraction(spark):
     assert html_extract.extract_main_text(df.where("false")).count() == 0
 
 
+def test_unclosed_elements_hide_no_later_blocks():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    for tag in ("select", "datalist", "svg", "math", "object", "audio", "video", "canvas", "template"):
+        assert "Later one." in texts(f"<div><{tag} x=1></div><article><p>First.<p>Later one.</article>"), tag
+        assert texts(f"<div><{tag}></div><p>A.</p><{tag}><p>no</p></{tag}><p>B.</p>") == ["A.", "B."]
+        assert texts(f"<p>One <{tag}>no<{tag}><p>no</p></{tag}>no<div>no</{tag}> two.</p><p>B.</p>") == ["One two.", "B."]
+    assert texts("<ul><li>A<svg><title>no</title><li>no</svg>b<li>C</ul>") == ["Ab", "C"]
+    assert texts("<object><video></object><p>A.</p>") == ["A."] and texts("<p>A<svg/>b</p></video><p>C") == ["Ab", "C"]
+    assert texts("<p>A</p><script>no <p>no") == ["A"]
+
+
 def test_media_round_trip(spark):
     rows = [(1, "hello"), (2, None), (3, ""), (4, "é" * 100), (5, "hello"), (5, "hello"), (6, "x" * 64), (7, "y" * 300_000)]
     got = media_columns(docs(spark, rows)).collect()
