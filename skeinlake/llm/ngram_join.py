@@ -241,6 +241,19 @@ def _block_links(dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return docs.groupBy("family", "x", "y").applyInPandas(multiply, "a long, b long")
 
 
+def _same_documents(left: DataFrame) -> DataFrame:
+    """key, m, first, weight: one of the keys of each set of the cells' documents, and how many there
+    are; n-grams of the same documents, as those of a passage are, count together. Sums of 32-bit
+    halves of hashes: unlike an exclusive or they do not cancel a cls that a key holds twice, as
+    under a repeated doc_id, and they cannot overflow."""
+    sign = []
+    for i in (0, 1):
+        h = F.xxhash64("cls", F.lit(i))
+        sign += [F.sum(h.bitwiseAND(0xFFFFFFFF)).alias(f"s{i}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"t{i}")]
+    m = left.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("first"), *sign).where("m > 1")
+    return m.groupBy("s0", "s1", "t0", "t1", "m", "first").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "m", "first", "weight")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
@@ -286,10 +299,7 @@ def _components(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -
     found = connected_components(links)
 
     left = _open_cells(cells, found, percent)
-    sign = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"s{i}") for i in (0, 1)]
-    m = left.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("first"), *sign).where("m > 1")
-    # n-grams of the same documents, as those of a passage are, count together
-    m = store(m.groupBy("s0", "s1", "m", "first").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "m", "first", "weight"))
+    m = store(_same_documents(left))
     thin = left.join(m.where(f"m <= {_DENSE}").select("key", "weight"), "key")
     other = thin.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("top").alias("top2"), F.col("alone").alias("alone2"), F.col("comp").alias("comp2"))
     both = thin.join(other, "key").where("comp < comp2").where(near)

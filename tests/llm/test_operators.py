@@ -13,7 +13,7 @@ from skeinlake.llm.language_id import identify_language, page_rows
 from skeinlake.llm.media import media_columns, media_features
 from skeinlake.llm.mixing import mix_sources
 from skeinlake.llm.mtree import exact_top_k
-from skeinlake.llm.ngram_join import ngram_jaccard_join
+from skeinlake.llm.ngram_join import _same_documents, ngram_jaccard_join
 from skeinlake.llm.packing import best_fit, pack
 from skeinlake.llm.quality import quality_scores
 from skeinlake.llm.substring_dedup import substring_dedup
@@ -70,6 +70,20 @@ def test_ngram_join_dense_group_and_odd_rows(spark):
     assert ngram_jaccard_join(docs(spark, [])).count() == 0
 
 
+def test_keys_of_repeated_documents_stay_apart(spark):
+    lists = {10: (1, 5, 5), 11: (1, 7, 7), 12: (1, 5, 5), 13: (1, 8), 14: (1,), 15: (1, 8)}
+    left = spark.createDataFrame([(k, c) for k, cs in lists.items() for c in cs], "key bigint, cls bigint")
+    assert sorted(map(tuple, _same_documents(left).collect())) == [(10, 3, 1, 2), (11, 3, 1, 1), (13, 2, 1, 2)]
+
+
+def test_ngram_join_of_repeated_ids_matches_all_pairs(spark):
+    rows = corpus(4)
+    want = brute.jaccard_components(rows)
+    again = rows + rows[:40] + rows[20:50]
+    got = ngram_jaccard_join(docs(spark, again)).collect()
+    assert len(got) == len(again) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in connected_components(edges).collect()}
