@@ -16,6 +16,7 @@ from skeinlake.llm.mtree import exact_top_k
 from skeinlake.llm.ngram_join import _same_documents, ngram_jaccard_join
 from skeinlake.llm.packing import best_fit, pack
 from skeinlake.llm.quality import quality_scores
+from skeinlake.llm.queries import op7_best_fit_packing
 from skeinlake.llm.substring_dedup import substring_dedup
 from skeinlake.llm.token_count import Merges, token_counts
 
@@ -184,6 +185,17 @@ def test_packing_keeps_all_words_and_conflicts_apart(spark):
     assert sum(texts.values()) == len(rows) and pack(docs(spark, [])).count() == 0
 
 
+def test_packing_query_keeps_near_copies_apart(spark, tmp_path):
+    base = [[f"{k}{i}" for i in range(60)] for k in "abc"]
+    near = lambda i: " ".join(base[i % 3][:30] + [f"new{i}"] + base[i % 3][31:]).upper()
+    rows = [(i, near(i)) for i in range(12)] + [(None, "same text"), (None, "same text"), (50, None)]
+    docs(spark, rows, lambda d: f"s{d}").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op7_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(x.length for x in got) == 12 * 60 + 4
+    used = Counter((x.bin, "null" if x.doc_id is None else x.doc_id % 3) for x in got if x.bin is not None)
+    assert max(used.values()) == 1 and len({x.bin for x in got if x.bin is not None}) == 4
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     assert best_fit([(6, 0, -1), (5, 1, -1), (4, 2, -1)], 10, 1) == [(0, 0), (1, 0), (0, 6)]
     assert best_fit([(6, 0, 0), (5, 1, -1), (4, 2, 0)], 10, 1) == [(0, 0), (1, 0), (1, 5)]
