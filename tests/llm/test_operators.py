@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -409,3 +410,16 @@ def test_page_evidence(spark):
     got = {r.id: r for r in page_rows(df).collect()}
     assert (got[1].declared, got[1].host, got[1].suffix, got[1].text.split()) == ("fr", "a.b.co.uk", "uk/fr", ["oui"])
     assert got[2].text is None and got[2].host is None
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_language_of_whole_pages(spark):
+    pages = page_rows(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    truth = {r.id: r.declared for r in pages.collect()}
+    assert pages.where("declared is null or host is null or suffix is null").count() == 0
+    # of every third page the declaration is hidden: the text and the address alone must tell
+    hidden = pages.withColumn("declared", F.when(F.col("id") % 3 != 0, F.col("declared")))
+    got = {r.id: r for r in identify_language(hidden).collect()}
+    right = [got[i].lang == x for i, x in truth.items()]
+    unseen = [got[i].lang == x for i, x in truth.items() if i % 3 == 0]
+    assert len(got) == len(right) and sum(right) >= 0.98 * len(right) and sum(unseen) >= 0.97 * len(unseen)
