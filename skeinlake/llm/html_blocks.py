@@ -11,13 +11,15 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_VALUES = re.compile(r""""[^"]*"|'[^']*'""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_UNSEEN = re.compile(r"""display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 #: Elements whose content is not text of the page: those of raw text, which end at the first closing
 #: tag or with the page, and those of markup, which nest and hide nothing where they are not closed.
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
-HIDING = frozenset("template svg math object audio video canvas select datalist".split())
+HIDING = frozenset("template svg object audio video canvas select datalist annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr link meta base embed param area col".split()
+    "math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mfenced mover munder semantics a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr link meta base embed param area col".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag that closes an open element of these, up to the barrier.
@@ -28,24 +30,37 @@ FAMILIES = {
     "menu": r"nav|navbar|navigation|menu\w*|breadcrumbs?|topbar|toolbar|tabs?|pagination|pager|toc|skip",
     "advert": r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|outbrain|taboola|affiliate",
     "comment": r"comments?\w*|respond|repl(?:y|ies)|discussion|disqus|reader|guestbook",
-    "side": r"side|sidebar\w*|related\w*|widgets?|rail|recommend\w*|trending|popular|more|complementary|aside",
-    "notice": r"cookies?\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|paywall|toast",
+    "side": r"side|sidebar\w*|related\w*|widgets?|rail|recommend\w*|trending|popular|more|complementary|aside|teasers?",
+    "notice": r"cookies?\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|dialog|newsletter|subscri\w*|signup|paywall|toast",
     "foot": r"footer|foot|copyright|legal|colophon|contentinfo|disclaimer|bottom",
     "head": r"header|masthead|head|logo|branding|topbar|hero",
     "form": r"form|search\w*|login|contact|input|register",
-    "social": r"share\w*|social\w*|follow|tweet|facebook|twitter|tags?|meta|byline|author\w*|timestamp",
-    "content": r"content|article\w*|post|entry|story|main|body|text|prose|page",
+    "social": r"share\w*|sharing|social\w*|follow|tweet|facebook|twitter|tags?|meta|byline|author\w*|bio|timestamp|date\w*|published|updated",
+    "content": r"content|article\w*|post|entry|story|main|body|text|prose",
 }
-_FAMILY = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?=$|[\s_-])") for k, v in FAMILIES.items()}
+_FAMILY = {k: re.compile(rf"(?:^|-)(?:{v})(?=$|-)") for k, v in FAMILIES.items()}
+#: Names that say what a page has or what an article is about, not what an element is.
+_ABOUT = re.compile(r"(?:has|no|not|with|without|is|hide|show|category|tag|type|status|format|lang|js|col|theme|template)-|.*-(?:enabled|disabled|open|closed|on|off|active|count)$")
+#: Of the names of these elements only the families named count: a heading or an article with a
+#: misleading name is a heading or an article still.
+_TRUSTED = dict.fromkeys(("main", "html", "body", "h1"), frozenset()) | {"article": frozenset(("comment", "advert"))}
 TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "div", "section", "article", "main", "body", "blockquote", "pre", "figcaption", "dd", "dt", "button", "footer", "header", "nav", "aside", "form")
+#: What the containers around a block say together, the innermost last: nothing, content, something
+#: beside it, content inside that, that inside content, the head of content.
+PLACES = ("nowhere", "content", "beside", "content_in_beside", "beside_in_content", "head_of_content")
+_CONTENT, _BESIDE, _HEAD = 1, 2, 3
+#: Place after a container of that kind, by the place before it.
+_ENTER = {_CONTENT: (1, 1, 3, 3, 4, 1), _BESIDE: (2, 4, 2, 2, 4, 4), _HEAD: (2, 5, 2, 2, 4, 5)}
+_KINDS = dict.fromkeys(("article", "main"), _CONTENT) | dict.fromkeys(("nav", "footer", "aside", "form", "dialog", "menu", "fieldset", "button"), _BESIDE) | {"header": _HEAD}
 FEATURES = (
-    [f"in_{x}" for x in ANCESTORS] + [f"named_{x}" for x in FAMILIES] + ["hidden"] + [f"tag_{x}" for x in TAGS] + ["tag_other"]
+    [f"in_{x}" for x in ANCESTORS] + [f"named_{x}" for x in FAMILIES] + ["hidden"] + [f"place_{x}" for x in PLACES] + [f"tag_{x}" for x in TAGS] + ["tag_other"]
     + ["length_1", "length_2", "length_3", "length_4", "links_none", "links_some", "links_most", "ends_sentence", "sentences", "sign_copyright", "first", "last", "same_parent", "always"]
+    + ["outside_landmark", "outside_content", "no_content", "head_of_landmark", "link_alone"]
 )
 AT = {f: i for i, f in enumerate(FEATURES)}
 _ANCESTOR_BIT = {x: 1 << AT[f"in_{x}"] for x in ANCESTORS}
 _TAG = {x: AT[f"tag_{x}"] for x in TAGS}
-_BITS = len(ANCESTORS) + len(FAMILIES) + 1
+_LANDMARK = _ANCESTOR_BIT["article"] | _ANCESTOR_BIT["main"]
 
 
 class Block(NamedTuple):
@@ -53,30 +68,60 @@ class Block(NamedTuple):
     features: list[int]
 
 
-def _own_bits(tag: str, attrs: str, seen: dict) -> int:
+def _own(tag: str, attrs: str, seen: dict) -> tuple[int, int]:
+    """The features that an element gives to the blocks in it, and the kind of container it is."""
     key = (tag, attrs)
-    bits = seen.get(key)
-    if bits is None:
-        bits = _ANCESTOR_BIT.get(tag, 0)
-        if attrs:
-            names = " ".join(m.strip("\"'") for m in _NAMES.findall(attrs))
-            if names:
-                names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower()
-                for family, found in _FAMILY.items():
-                    if found.search(names):
-                        bits |= 1 << AT[f"named_{family}"]
-            if _HIDDEN.search(attrs):
-                bits |= 1 << AT["hidden"]
-        if len(seen) < 10_000:
-            seen[key] = bits
-    return bits
+    if key in seen:
+        return seen[key]
+    bits, kind = _ANCESTOR_BIT.get(tag, 0), _KINDS.get(tag, 0)
+    if attrs:
+        trusted, families = _TRUSTED.get(tag), set()
+        for value in _NAMES.findall(attrs):
+            for name in value.strip("\"'").split():
+                name = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower().replace("_", "-")
+                if not _ABOUT.match(name):
+                    found = {f for f, pattern in _FAMILY.items() if pattern.search(name)}
+                    # the content of something is not the content of the page
+                    families |= found - {"content"} if len(found) > 1 else found
+                    if found == {"content", "head"}:
+                        families -= {"head"}
+                        kind = kind or _HEAD
+        if trusted is not None:
+            families &= trusted
+            kind = _KINDS.get(tag, 0)
+        for f in families:
+            bits |= 1 << AT[f"named_{f}"]
+        beside = families - {"content", "head"}
+        if beside:
+            kind = _BESIDE
+        elif not kind and families:
+            kind = _HEAD if "head" in families else _CONTENT
+        if _HIDDEN.search(_VALUES.sub("", attrs)) or _UNSEEN.search(attrs):
+            bits |= 1 << AT["hidden"]
+    if len(seen) < 10_000:
+        seen[key] = bits, kind
+    return bits, kind
+
+
+def _below(parent: tuple, tag: str, number: int, bits: int, kind: int) -> tuple:
+    """An element on the stack: tag, features of it and its ancestors, number, place, and its own
+    features and kind."""
+    return tag, parent[1] | bits, number, _ENTER[kind][parent[3]] if kind else parent[3], bits, kind
+
+
+def _without_form(stack: list[tuple]) -> list[tuple]:
+    """The stack as if its forms were plain: one that holds the article is the page's own."""
+    out = [stack[0]]
+    for tag, _, number, _, bits, kind in stack[1:]:
+        out.append(_below(out[-1], tag, number, *((0, 0) if tag == "form" else (bits, kind))))
+    return out
 
 
 def blocks(page: str, seen: dict | None = None) -> list[Block]:
     """The leaf blocks in page order: runs of text that no block-level tag breaks, character
     references decoded, white space turned into one space, trimmed; empty ones left out."""
     seen = {} if seen is None else seen
-    stack: list[tuple[str, int, int]] = [("body", 0, 0)]  # tag, bits of it and its ancestors, number
+    stack: list[tuple] = [("body", 0, 0, 0, 0, 0)]
     found: list[tuple[str, int, str, int, int]] = []
     parts: list[str] = []
     linked = link_chars = number = 0
@@ -89,8 +134,8 @@ def blocks(page: str, seen: dict | None = None) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                tag, bits, me = stack[-1]
-                found.append((text, bits, tag, link_chars, me))
+                tag, bits, _, place = stack[-1][:4]
+                found.append((text, bits, tag, link_chars, place))
         link_chars = 0
 
     at, n = 0, len(page)
@@ -154,8 +199,8 @@ def blocks(page: str, seen: dict | None = None) -> list[Block]:
             continue
         flush()
         if tag in ("html", "body", "head"):
-            bits = _own_bits(tag, attrs, seen) if tag == "body" else 0
-            stack[0] = ("body", stack[0][1] | (bits & (1 << AT["hidden"])), 0)
+            bits = _own(tag, attrs, seen)[0] if tag == "body" else 0
+            stack[0] = ("body", stack[0][1] | (bits & (1 << AT["hidden"])), 0, 0, 0, 0)
             continue
         if stack[-1][0] == "p" and len(stack) > inside:
             stack.pop()
@@ -168,14 +213,25 @@ def blocks(page: str, seen: dict | None = None) -> list[Block]:
                     del stack[i:]
                     break
         if tag not in VOID:
+            if tag in ("article", "main", "h1") and stack[-1][1] & _ANCESTOR_BIT["form"]:
+                stack[:] = _without_form(stack)
             number += 1
-            stack.append((tag, stack[-1][1] | _own_bits(tag, attrs, seen), number))
+            stack.append(_below(stack[-1], tag, number, *_own(tag, attrs, seen)))
     flush()
 
+    # a page that marks its article says of the rest that it is none
+    inside = [place in (1, 4, 5) and (2 if bits & _LANDMARK else 1) for _, bits, _, _, place in found]
+    marked = max(inside, default=0)
     out = []
     parents: list[int] = []
-    for i, (text, bits, tag, links, me) in enumerate(found):
-        f = [AT["always"], _TAG.get(tag, AT["tag_other"])]
+    for i, (text, bits, tag, links, place) in enumerate(found):
+        f = [AT["always"], _TAG.get(tag, AT["tag_other"]), AT["place_nowhere"] + place]
+        if not marked:
+            f.append(AT["no_content"])
+        elif inside[i] < marked:
+            f.append(AT["outside_landmark"] if marked == 2 else AT["outside_content"])
+        if place == 5 and bits & _LANDMARK:
+            f.append(AT["head_of_landmark"])
         b = bits
         while b:
             low = b & -b
@@ -184,6 +240,8 @@ def blocks(page: str, seen: dict | None = None) -> list[Block]:
         size = len(text)
         f.append(AT["length_1"] if size < 25 else AT["length_2"] if size < 80 else AT["length_3"] if size < 250 else AT["length_4"])
         f.append(AT["links_none"] if not links else AT["links_most"] if links > 0.5 * size else AT["links_some"])
+        if links > 0.9 * size:
+            f.append(AT["link_alone"])
         if text[-1] in ".!?:;\"'»”…)":
             f.append(AT["ends_sentence"])
         if ". " in text:

@@ -16,85 +16,196 @@ from .html_blocks import FEATURES, blocks
 _MARK = "\ue000"
 
 
-def labelled_pages(n: int = 480, seed: int = 5) -> list[str]:
-    """Training pages, made here: layouts of many kinds, the text of the article marked by a
-    private character at the front of each of its blocks."""
-    r = random.Random(seed)
-    word = lambda: "".join(r.choice("aeiou" if i % 2 else "bcdfglmnprst") for i in range(r.randint(2, 9)))
-    words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
-    sentence = lambda: words(4, 18).capitalize() + "."
-    para = lambda most=8: " ".join(sentence() for _ in range(r.randint(1, most)))
-    link = lambda: f'<a href="/{word()}">{words(1, 3)}</a>'
-    links = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 8))) + "</ul>"
-    pick = r.choice
-
-    def junk(kind: str) -> str:
-        if kind == "nav":
-            return pick([f"<nav>{links()}</nav>", f"<nav>{words(1, 12)}</nav>", f"<nav><p>{sentence()}</p></nav>", f'<div class="{pick(["menu", "main-nav", "navbar", "breadcrumb"])}">{links()}</div>', f'<div role="navigation">{link()} | {link()} | {link()}</div>', f'<ul id="menu"><li>{link()}<li>{link()}<li>{link()}</ul>'])
-        if kind == "header":
-            return pick([f"<header>{words(1, 9)}</header>", f"<header><h1>{words(1, 3)}</h1><p>{words(3, 8)}</p></header>", f'<div id="header"><a href="/">{words(1, 2)}</a><p>{sentence()}</p></div>', f"<header>{links()}</header>", f'<div class="masthead">{words(1, 4)}</div>'])
-        if kind == "footer":
-            return pick([f"<footer>{words(1, 9)}</footer>", f"<footer>&copy; {word()} &middot; {sentence()}</footer>", f'<footer><p>{sentence()}</p>{links()}</footer>', f'<div class="footer"><p>&copy; 2024 {words(1, 3)}. All rights reserved.</p></div>', f'<div id="site-footer"><p>{para(2)}</p></div>', f"<footer><div>{para(3)}</div></footer>"])
-        if kind == "aside":
-            return pick([f"<aside><h3>{words(1, 3)}</h3>{links()}</aside>", f'<div class="sidebar"><h2>{words(1, 3)}</h2><p>{para(3)}</p></div>', f"<aside><p>{para(4)}</p></aside>", f'<div id="related"><h3>{words(1, 3)}</h3><ul><li>{link()}</li><li>{link()}</li></ul></div>', f'<section class="related-posts"><p>{sentence()}</p></section>'])
-        if kind == "ad":
-            return pick([f'<div class="ad">{sentence()}</div>', f'<div class="{pick(["ads", "advertisement", "ad-slot", "sponsored", "promo-box"])}"><p>{para(3)}</p></div>', f'<div id="banner">{link()}</div>', f'<div class="ad">{para(4)}</div>'])
-        if kind == "notice":
-            return pick([f'<div class="{pick(["cookie-banner", "cookie-notice", "consent", "newsletter", "notice", "alert"])}"><p>{para(3)}</p><button>{words(1, 2)}</button></div>', f'<div id="cookies">{sentence()} {link()}</div>', f'<div role="dialog"><p>{sentence()}</p></div>', f"<dialog><p>{para(2)}</p></dialog>"])
-        if kind == "form":
-            return pick([f'<form action="/x"><label>{words(1, 3)}</label><input name="q"><button>{word()}</button></form>', f'<form class="search"><p>{sentence()}</p><input><select><option>{word()}<option>{word()}</select></form>', f'<div class="login-form"><form><p>{para(2)}</p><textarea>x</textarea></form></div>'])
-        if kind == "comments":
-            one = lambda: pick([f'<div class="comment"><b>{word()}</b><p>{para(5)}</p></div>', f"<li><p>{para(4)}</p></li>", f"<p>{para(3)}</p>", f"<article><h4>{word()}</h4><p>{para(3)}</p></article>"])
-            inner = "".join(one() for _ in range(r.randint(1, 4)))
-            return pick([f'<section class="comments"><h3>{words(1, 3)}</h3>{inner}</section>', f'<div id="comments">{inner}</div>', f'<ol class="comment-list">{inner}</ol>', f'<div class="reader-comments"><h2>{word()}</h2>{inner}</div>'])
-        return pick([f'<div class="share">{link()} {link()}</div>', f'<div class="social-links">{words(1, 4)}</div>'])
-
-    def body() -> str:
-        out = [] if r.random() < 0.15 else [f"<h1>{_MARK}{words(2, 9).capitalize()}{pick(['', '', '.'])}</h1>"]
-        for _ in range(r.randint(1, 9)):
-            x = r.random()
-            if x < 0.62:
-                text = para(9) if r.random() < 0.7 else sentence() if r.random() < 0.6 else words(1, 60)
-                out.append(f"<p>{_MARK}{text}" + pick(["</p>", "</p>", "</p>", ""]))
-            elif x < 0.68:
-                out.append(f"<p>{_MARK}{sentence()} {link()} {para(3)}</p>")
-            elif x < 0.73:
-                out.append(f"<p><b>{_MARK}{words(1, 9)}<br>")
-            elif x < 0.79:
-                out.append(f"<h{pick('2234')}>{_MARK}{words(1, 7)}</h2>" if r.random() < 0.2 else (lambda k: f"<h{k}>{_MARK}{words(1, 7)}</h{k}>")(pick("234")))
-            elif x < 0.85:
-                out.append(pick(["<ul>", "<ol>"]) + "".join(f"<li>{_MARK}{words(2, 14)}</li>" for _ in range(r.randint(2, 6))) + "</ul></ol>")
-            elif x < 0.88:
-                out.append(f"<blockquote><p>{_MARK}{para(3)}</p></blockquote>")
-            elif x < 0.91:
-                out.append("<table>" + "".join(f"<tr><td>{_MARK}{words(1, 4)}</td><td>{_MARK}{words(1, 4)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
-            elif x < 0.93:
-                out.append(f"<pre>{_MARK}{words(3, 20)}</pre>")
-            elif x < 0.95:
-                out.append(f"<figure><img src=x><figcaption>{_MARK}{words(2, 9)}.</figcaption></figure>")
-            else:
-                out.append(junk(pick(["ad", "ad", "aside", "share", "notice", "form"])))
+class _Writer:
+    """Random pieces of web pages; a block of the article has the mark at its front."""
+
+    def __init__(self, seed: int) -> None:
+        self.r = random.Random(seed)
+        self.pick, self.chance = self.r.choice, lambda p: self.r.random() < p
+
+    def word(self) -> str:
+        return "".join(self.pick("aeiou" if i % 2 else "bcdfglmnprst") for i in range(self.r.randint(2, 9)))
+
+    def words(self, a: int, b: int) -> str:
+        return " ".join(self.word() for _ in range(self.r.randint(a, b)))
+
+    def sentence(self) -> str:
+        return self.words(3, 18).capitalize() + self.pick("....?!")
+
+    def para(self, most: int = 8) -> str:
+        return " ".join(self.sentence() for _ in range(self.r.randint(1, most)))
+
+    def link(self, a: int = 1, b: int = 3) -> str:
+        return f'<a href="/{self.word()}">{self.words(a, b)}</a>'
+
+    def links(self) -> str:
+        return "<ul>" + "".join(f"<li>{self.link(1, 6)}</li>" for _ in range(self.r.randint(2, 8))) + "</ul>"
+
+    def some(self, *makers, least: int = 1, most: int = 4) -> str:
+        return "".join(self.pick(makers)() for _ in range(self.r.randint(least, most)))
+
+    def named(self, *names: str) -> str:
+        return f'{self.pick(("class", "class", "id"))}="{self.pick(names)}"'
+
+    # ---- what is not the article
+    def nav(self) -> str:
+        return self.pick([
+            lambda: f"<nav>{self.links()}</nav>", lambda: f"<nav>{self.words(1, 12)}</nav>", lambda: f"<nav><p>{self.sentence()}</p></nav>",
+            lambda: f'<div {self.named("menu", "main-nav", "navbar", "breadcrumb", "top-menu", "nav_main")}>{self.links()}</div>',
+            lambda: f'<div role="navigation">{self.link()} | {self.link()} | {self.link()}</div>',
+            lambda: f'<ul id="menu"><li>{self.link()}<li>{self.link()}<li>{self.link()}</ul>',
+        ])()
+
+    def header(self) -> str:
+        return self.pick([
+            lambda: f"<header>{self.words(1, 9)}</header>", lambda: f"<header>{self.links()}</header>",
+            lambda: f"<header><h1>{self.words(1, 3)}</h1><p>{self.words(3, 8)}</p></header>",
+            lambda: f"<header><a href=/>{self.words(1, 3)}</a>{self.nav()}</header>",
+            lambda: f'<div id="header"><a href="/">{self.words(1, 2)}</a><p>{self.sentence()}</p></div>',
+            lambda: f'<div {self.named("masthead", "site-header", "page-header", "branding")}><div>{self.words(1, 4)}</div>{self.pick(("", self.nav()))}</div>',
+        ])()
+
+    def footer(self) -> str:
+        return self.pick([
+            lambda: f"<footer>{self.words(1, 9)}</footer>", lambda: f"<footer>&copy; {self.word()} &middot; {self.sentence()}</footer>",
+            lambda: f"<footer><p>{self.sentence()}</p>{self.links()}</footer>", lambda: f"<footer><div>{self.para(4)}</div></footer>",
+            lambda: f'<div class="footer"><p>&copy; 2024 {self.words(1, 3)}. All rights reserved.</p></div>',
+            lambda: f'<div id="site-footer"><p>{self.para(3)}</p></div>', lambda: f'<div {self.named("copyright", "legal", "colophon")}>{self.para(2)}</div>',
+        ])()
+
+    def aside(self) -> str:
+        return self.pick([
+            lambda: f"<aside><h3>{self.words(1, 3)}</h3>{self.links()}</aside>", lambda: f"<aside><p>{self.para(4)}</p></aside>", lambda: f"<aside>{self.sentence()}</aside>",
+            lambda: f'<div {self.named("sidebar", "right-rail", "widget")}><h2>{self.words(1, 3)}</h2><p>{self.para(4)}</p></div>',
+            lambda: f'<div {self.named("related", "recommended", "trending")}><h3>{self.words(1, 3)}</h3>{self.links()}</div>',
+            lambda: f'<section class="related-posts">{self.some(lambda: f"<article><h4>{self.link(2, 6)}</h4><p>{self.sentence()}</p></article>", lambda: f"<p>{self.sentence()}</p>")}</section>',
+            lambda: f'<div class="sidebar-content"><div class="post"><p>{self.para(2)}</p></div></div>',
+        ])()
+
+    def advert(self) -> str:
+        return self.pick([
+            lambda: f'<div class="ad">{self.para(4)}</div>', lambda: f'<div id="banner">{self.link()}</div>', lambda: f"<div class=ad-box>{self.sentence()}</div>",
+            lambda: f'<div class="{self.pick(("ads", "advertisement", "ad-slot", "sponsored", "promo-box", "sponsored-content"))}"><p>{self.para(3)}</p></div>',
+        ])()
+
+    def notice(self) -> str:
+        return self.pick([
+            lambda: f'<div {self.named("cookie-banner", "cookie-notice", "consent", "newsletter", "notice", "alert", "paywall")}><p>{self.para(3)}</p><button>{self.words(1, 2)}</button></div>',
+            lambda: f'<div id="cookies">{self.sentence()} {self.link()}</div>', lambda: f'<div role="{self.pick(("dialog", "alert"))}"><p>{self.sentence()}</p></div>',
+            lambda: f"<dialog><p>{self.para(2)}</p></dialog>", self.unseen,
+        ])()
+
+    def unseen(self) -> str:
+        return f"<{(k := self.pick(('div', 'section', 'p')))} {self.pick(('hidden', 'style=display:none', 'aria-hidden=true'))}>{self.para(3)}</{k}>"
+
+    def form(self) -> str:
+        return self.pick([
+            lambda: f'<form action="/x"><label>{self.words(1, 3)}</label><input name="q"><button>{self.word()}</button></form>',
+            lambda: f'<form class="search"><p>{self.sentence()}</p><input><select><option>{self.word()}</select></form>',
+            lambda: f'<div class="login-form"><form><p>{self.para(2)}</p><textarea>x</textarea></form></div>',
+            lambda: f"<form><h3>{self.words(1, 4)}</h3><p>{self.para(2)}</p><input><button>{self.words(1, 2)}</button></form>",
+        ])()
+
+    def comments(self) -> str:
+        one = (
+            lambda: f'<div class="comment"><b>{self.word()}</b><p>{self.para(5)}</p></div>', lambda: f"<li><p>{self.para(4)}</p></li>", lambda: f"<p>{self.para(3)}</p>",
+            lambda: f"<article><h4>{self.word()}</h4><p>{self.para(3)}</p></article>", lambda: f'<div class="comment-content"><p>{self.para(4)}</p></div>',
+            lambda: f"<article><header>{self.words(1, 3)}</header><p>{self.para(3)}</p><footer>{self.link()}</footer></article>",
+        )
+        inner, head = self.some(*one), self.pick(("", f"<h3>{self.words(1, 3)}</h3>", f"<h2>{self.words(1, 3)}</h2>"))
+        return self.pick([
+            lambda: f"<section {self.named('comments', 'comments-area')}>{head}{inner}</section>", lambda: f'<div {self.named("comments", "reader-comments", "disqus_thread")}>{head}{inner}</div>',
+            lambda: f'{head and head.replace(">", " class=comments-title>", 1)}<ol class="comment-list">{inner}</ol>', lambda: f'<div id="respond">{head}{inner}{self.form()}</div>',
+        ])()
+
+    def byline(self) -> str:
+        text = self.pick((f"{self.words(2, 4).title()}", f"By {self.words(2, 2).title()}, {self.r.randint(1, 28)} {self.word()} 2024", f"{self.link()} &middot; <time>2024-01-{self.r.randint(10, 28)}</time>"))
+        tag = self.pick(("p", "div", "p", "address"))
+        return f"<{tag} {self.named('byline', 'meta', 'post-meta', 'entry-meta', 'meta-content', 'author', 'article-date', 'author-info')}>{text}</{tag}>"
+
+    def share(self) -> str:
+        return self.pick([
+            lambda: f'<div class="share">{self.link()} {self.link()}</div>', lambda: f'<div class="social-links">{self.words(1, 4)}</div>', lambda: f'<ul class="tags"><li>{self.link()}<li>{self.link()}</ul>',
+            lambda: f'<div class="author-bio"><h4>{self.words(2, 3)}</h4><p>{self.para(3)}</p></div>', self.byline, lambda: f'<p class="tags">{self.link()}, {self.link()}</p>',
+        ])()
+
+    # ---- the article
+    def block(self) -> str:
+        x = self.r.random()
+        if x < 0.55:
+            text = self.para(9) if self.chance(0.6) else self.sentence() if self.chance(0.6) else self.words(1, 60)
+            return f"<p{self.pick(('', '', '', ' class=lead', ' class=text', ' class=intro'))}>{_MARK}{text}" + self.pick(("</p>", "</p>", "</p>", ""))
+        return self.pick([
+            lambda: f"<p>{_MARK}{self.sentence()} {self.link()} {self.para(3)}</p>", lambda: f"<p><b>{_MARK}{self.words(1, 9)}<br>", lambda: f"<div>{_MARK}{self.para(5)}</div>",
+            lambda: (lambda k: f"<h{k}>{_MARK}{self.words(1, 7)}</h{k}>")(self.pick("234")), lambda: f"<h{self.pick('2234')}>{_MARK}{self.words(1, 7)}</h2>",
+            lambda: self.pick(("<ul>", "<ol>")) + self.some(lambda: f"<li>{_MARK}{self.words(2, 14)}</li>", least=2, most=6) + "</ul></ol>",
+            lambda: "<ul>" + self.some(lambda: f"<li>{_MARK}{self.link(1, 6)}{self.pick(('', ' ' + self.words(2, 9)))}</li>", most=5) + "</ul>",
+            lambda: f"<blockquote><p>{_MARK}{self.para(3)}</p></blockquote>", lambda: f"<pre>{_MARK}{self.words(3, 20)}</pre>", lambda: f"<dl><dt>{_MARK}{self.word()}<dd>{_MARK}{self.sentence()}</dl>",
+            lambda: "<table>" + self.some(lambda: f"<tr><td>{_MARK}{self.words(1, 4)}</td><td>{_MARK}{self.words(1, 4)}</td></tr>") + "</table>",
+            lambda: f"<figure><img src=x><figcaption>{_MARK}{self.words(2, 9)}{self.pick('. ')}</figcaption></figure>",
+            lambda: f"<section><h2>{_MARK}{self.words(1, 5)}</h2><p>{_MARK}{self.para(5)}</p></section>",
+        ])()
+
+    def interruption(self) -> str:
+        return self.pick((self.advert, self.aside, self.aside, self.share, self.notice, self.form, self.nav, self.unseen))()
+
+    def title(self) -> str:
+        h1 = f"<h1{self.pick(('', '', ' class=entry-title', ' class=page-title'))}>{_MARK}{self.words(1, 9).capitalize()}{self.pick(('', '', '.', '?'))}</h1>"
+        if self.chance(0.35):
+            lead = f"<p class={self.pick(('lead', 'subtitle', 'standfirst'))}>{_MARK}{self.sentence()}</p>" if self.chance(0.3) else ""
+            by = self.byline() if self.chance(0.5) else ""
+            return self.pick((f"<header>{h1}{lead}{by}</header>", f'<div class="{self.pick(("entry-header", "post-header", "article-head"))}">{h1}{by}{lead}</div>'))
+        return h1 + (self.byline() if self.chance(0.25) else "")
+
+    def article(self) -> str:
+        out = [] if self.chance(0.2) else [self.title()]
+        for _ in range(self.pick((1, 1, 2, 3, 4, 5, 7, 9))):
+            out.append(self.block())
+            if self.chance(0.08):
+                out.append(self.interruption())
+        if self.chance(0.3):
+            # something beside the article, then its last paragraph
+            out += [self.interruption(), f"<p>{_MARK}{self.para(4)}</p>"]
         return "".join(out)
 
-    pages = []
-    for i in range(n):
-        inner = body()
-        if i % 3 == 0:
-            content = f"<article>{inner}</article>"
-        else:
-            content = pick([f"<main>{inner}</main>", f'<div class="{pick(["content", "post-content", "entry", "article-body", "story", "post"])}">{inner}</div>', f"<main><article>{inner}</article></main>", f'<div id="main"><div class="{word()}">{inner}</div></div>', f"<div>{inner}</div>", inner, f"<section>{inner}</section>", f'<div class="{word()}">{inner}</div>'])
-        before = [junk(k) for k in ("nav", "header", "ad", "notice", "aside", "form", "share") if r.random() < 0.4]
-        after = [junk(k) for k in ("comments", "aside", "ad", "share", "form", "notice") if r.random() < 0.35]
-        if content.startswith("<article>") and r.random() < 0.2:
-            content = content.replace("</article>", junk(pick(["comments", "share", "ad"])) + "</article>")
-        r.shuffle(before)
-        foot = junk("footer") if r.random() < 0.85 else ""
+    def container(self, inner: str) -> str:
+        """The article in what holds it; an article element may hold comments and a footer too."""
+        odd = f'{self.word()} {self.pick(("popular-content", "social-story", "legal", "more-news", "contact", "search-page", "has-sidebar", "with-comments", "comment-enabled", ""))}'
+        tail = self.pick((self.comments, self.share, self.advert, lambda: f"<footer><p>{self.words(1, 9)}</p>{self.pick(('', self.links()))}</footer>"))() if self.chance(0.3) else ""
+        held = self.pick((lambda: inner, lambda: f'<div class="{self.pick(("entry-content", "article-body", "text", self.word()))}">{inner}</div>'))()
+        return self.pick([
+            lambda: f"<article>{held}{tail}</article>", lambda: f"<article>{inner}</article>", lambda: f"<article class='{odd}'>{inner}</article>{tail}", lambda: f"<main class='{odd}'>{held}</main>",
+            lambda: f"<main><article>{held}{tail}</article></main>", lambda: f"<main>{held}{tail}</main>", lambda: f'<div role="main">{held}</div>',
+            lambda: f'<div {self.named("content", "post-content", "entry", "article-body", "story", "post", "main-content", "main")}>{inner}</div>{tail}',
+            lambda: f'<div id="main"><div class="{self.word()}">{inner}</div>{tail}</div>', lambda: f"<div>{inner}</div>", lambda: inner, lambda: f"<section>{inner}</section>",
+            lambda: f'<div class="{self.word()}">{inner}</div>', lambda: f'<table><tr><td class="menu">{self.links()}</td><td class="content">{inner}</td></tr></table>',
+        ])()
+
+    def page(self, i: int) -> str:
+        content = self.container(self.article())
+        before = [f() for f in (self.nav, self.header, self.advert, self.notice, self.aside, self.form, self.share) if self.chance(0.35)]
+        after = [f() for f in (self.comments, self.aside, self.advert, self.share, self.form, self.notice, self.nav) if self.chance(0.3)]
+        self.r.shuffle(before)
+        foot = self.footer() if self.chance(0.8) else ""
         if i % 8 == 5:  # nothing but the article
             before, after, foot = [], [], ""
         if i % 24 == 5:
-            content = f"<article><p>{_MARK}{words(3, 80)}</article>"
-        pages.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><script>var a='<p>';</script></head><body>{''.join(before)}{content}{''.join(after)}{foot}" + pick(["</body></html>", ""]))
-    return pages
+            content = f"<article><p>{_MARK}{self.words(1, 80)}</article>"
+        if i % 12 == 7:  # one short paragraph between menu and footer
+            content, before, after = f"<{(k := self.pick(('article', 'main')))}><p>{_MARK}{self.words(1, 5).capitalize()}.</p></{k}>", [self.nav()], []
+        inner = "".join(before) + content + "".join(after) + foot
+        if self.chance(0.3):
+            open_ = self.pick((f'<div id="{self.pick(("page", "wrapper", "container", "main-wrapper"))}">', '<div class="layout has-sidebar">', "<form id=aspnetForm method=post>", '<div class="row">'))
+            inner = f"{open_}{inner}</{open_[1:].split()[0]}>"
+        body = self.pick(("<body>", "<body>", "<body class='page with-sidebar no-comments'>"))
+        return f"<!DOCTYPE html><html><head><title>{self.words(1, 5)}</title><script>var a='<p>';</script></head>{body}{inner}" + self.pick(("</body></html>", ""))
+
+
+def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
+    """Training pages, made here: layouts of many kinds, the text of the article marked by a
+    private character at the front of each of its blocks."""
+    w = _Writer(seed)
+    return [w.page(i) for i in range(n)]
 
 
 class Chain:
@@ -122,45 +233,63 @@ class Chain:
         return label[::-1]
 
 
-def train(pages: list[str], rounds: int = 250, ridge: float = 0.005) -> Chain:
-    """Maximum likelihood by gradient steps; forward and backward sums over all pages at once."""
+def gradient(w: np.ndarray, s: np.ndarray, x: np.ndarray, y: np.ndarray, at: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of the labels y and its gradient by the weights w and the steps s.
+
+    x, y: features and label of every block; at: for each place the rows of the blocks that stand
+    there, pages in one order with the longest first, so that a place's pages are the first of the
+    place before. Forward and backward sums over all pages at once."""
+    e = np.zeros((len(y), 2))
+    e[:, 1] = x @ w
+    fw, bw = e.copy(), np.zeros_like(e)
+    for before, here in zip(at, at[1:]):
+        fw[here] += np.logaddexp(fw[before[: len(here)], :1] + s[0], fw[before[: len(here)], 1:] + s[1])
+    for before, here in zip(reversed(at[:-1]), reversed(at[1:])):
+        after = e[here] + bw[here]
+        bw[before[: len(here)]] = np.logaddexp(s[:, 0] + after[:, :1], s[:, 1] + after[:, 1:])
+    z = np.zeros(len(y))
+    z[at[0]] = np.logaddexp(*(fw[at[0]] + bw[at[0]]).T)
+    for before, here in zip(at, at[1:]):
+        z[here] = z[before[: len(here)]]
+    gs, total = np.zeros((2, 2)), float((e[np.arange(len(y)), y]).sum() - z[at[0]].sum())
+    for before, here in zip(at, at[1:]):
+        b = before[: len(here)]
+        pair = np.exp(fw[b][:, :, None] + s + (e[here] + bw[here])[:, None, :] - z[here, None, None])
+        np.add.at(gs, (y[b], y[here]), 1)
+        gs -= pair.sum(0)
+        total += float(s[y[b], y[here]].sum())
+    return total, (y - np.exp(fw[:, 1] + bw[:, 1] - z)) @ x, gs
+
+
+def examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """What gradient() takes, of marked pages."""
     found = []
     for p in pages:
-        marked = blocks(p)
-        label = [int(_MARK in b.text) for b in marked]
+        label = [int(_MARK in b.text) for b in blocks(p)]
         if label:
             found.append(([b.features for b in blocks(p.replace(_MARK, ""))], label))
-    longest, n, k = max(len(y) for _, y in found), len(found), len(FEATURES)
-    x, y, real = np.zeros((n, longest, k)), np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
-    for i, (fs, label) in enumerate(found):
-        real[i, : len(label)], y[i, : len(label)] = True, label
-        for t, f in enumerate(fs):
-            x[i, t, f] = 1
-    w, s = np.zeros(k), np.zeros((2, 2))
-    mw, vw, ms, vs = np.zeros(k), np.zeros(k), np.zeros((2, 2)), np.zeros((2, 2))
-    seen = np.zeros((2, 2))
-    for t in range(1, longest):
-        np.add.at(seen, (y[real[:, t], t - 1], y[real[:, t], t]), 1)
+    found.sort(key=lambda f: -len(f[1]))
+    x = np.zeros((sum(len(y) for _, y in found), len(FEATURES)))
+    starts = np.cumsum([0, *(len(y) for _, y in found)])[:-1]
+    for i, f in enumerate(f for fs, _ in found for f in fs):
+        x[i, f] = 1
+    size = np.array([len(y) for _, y in found])
+    return x, np.concatenate([y for _, y in found]), [starts[size > t] + t for t in range(int(size.max()))]
+
+
+def train(pages: list[str], rounds: int = 160, ridge: float = 0.002) -> Chain:
+    """Maximum likelihood with a ridge, by Adam."""
+    x, y, at = examples(pages)
+    n = len(at[0])
+    w, s = np.zeros(len(FEATURES)), np.zeros((2, 2))
+    state = [(p, np.zeros_like(p), np.zeros_like(p)) for p in (w, s)]
     for step in range(1, rounds + 1):
-        e = np.stack([np.zeros((n, longest)), x @ w], 2)
-        fw, bw = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        fw[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            fw[:, t] = np.where(real[:, t, None], np.logaddexp.reduce(fw[:, t - 1, :, None] + s, axis=1) + e[:, t], fw[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            bw[:, t] = np.where(real[:, t + 1, None], np.logaddexp.reduce(s + (e[:, t + 1] + bw[:, t + 1])[:, None, :], axis=2), 0)
-        z = np.logaddexp.reduce(fw[:, -1], axis=1)
-        one = np.exp(fw[:, :, 1] + bw[:, :, 1] - z[:, None]) * real
-        gw = ((y * real - one)[:, :, None] * x).sum((0, 1)) / n - ridge * w
-        pair = np.zeros((2, 2))
-        for t in range(1, longest):
-            m = real[:, t]
-            pair += np.exp(fw[m, t - 1, :, None] + s + (e[m, t] + bw[m, t])[:, None, :] - z[m, None, None]).sum(0)
-        gs = (seen - pair) / n - ridge * s
-        for p, g, m, v in ((w, gw, mw, vw), (s, gs, ms, vs)):
+        _, *gradients = gradient(w, s, x, y, at)
+        for (p, m, v), g in zip(state, gradients):
+            g = g / n - ridge * p
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            p += 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Chain(w, s)
 
 
@@ -179,7 +308,9 @@ def extract_main_text(pages: DataFrame, chain: Chain | None = None, page_id: str
 
     text: the leaf blocks that the chain labels as article, in page order, joined by two line ends;
     character references decoded, white space inside a block one space. Null, empty or blank html
-    and pages without an article: the empty text. Nothing is cut however long the page. Repeated
+    and pages without an article: the empty text. Nothing is cut however long the page. Formulas
+    (math) are text of their sentence; drawings (svg), players, templates, choice lists, scripts and
+    styles are no text of the page. A byline is not article, a heading in the article's header is. Repeated
     rows are all kept, null ids and addresses pass through, extra columns are ignored; an empty
     table gives an empty one. The chain (by default trained on labelled_pages()) goes to the
     workers: about a hundred numbers.
