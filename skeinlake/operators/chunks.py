@@ -140,16 +140,29 @@ def file_chunks(path: str, text: str, limits: dict[str, int] | None = None, stra
     return [y for c in named for y in _oversize(c, MAX_CHUNK_CHARS if limits is None else limits, strategy)]
 
 
-def chunk_files(files: DataFrame, limits: dict[str, int] | None = None, strategy: str = "split") -> DataFrame:
+def chunk_files(files: DataFrame, limits: dict[str, int] | None = None, strategy: str = "split", errors: bool = False) -> DataFrame:
     """Chunks of every row of files (file_path, content), by extension. Markdown is cut in the JVM;
-    the rest file by file in Python, narrow and parallel over files."""
+    the rest file by file in Python, narrow and parallel over files. errors: a file that cannot be
+    cut ends nothing but gives one row without id, what went wrong in the column `error`."""
     markdown = F.lower("file_path").rlike(r"\.mdx?$")
+    columns = ["id", "file_path", "chunk_type", "content", "start_line", "end_line", "language"]
+
+    def cut(path: str, text: str) -> list[tuple]:
+        if not errors:
+            return file_chunks(path, text, limits, strategy)
+        try:
+            return [(*c, None) for c in file_chunks(path, text, limits, strategy)]
+        except Exception as e:  # noqa: BLE001  any error is the file's own
+            return [(None, path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
 
     def rows(batches):
         for pdf in batches:
-            found = [c for path, text in zip(pdf["file_path"], pdf["content"]) for c in file_chunks(path, text or "", limits, strategy)]
-            yield pd.DataFrame(found, columns=["id", "file_path", "chunk_type", "content", "start_line", "end_line", "language"])
+            found = [c for path, text in zip(pdf["file_path"], pdf["content"]) for c in cut(path, text)]
+            out = pd.DataFrame(found, columns=[*columns, *(["error"] if errors else [])])
+            yield out.astype({"start_line": "Int32", "end_line": "Int32"})
 
     files = files.select("file_path", F.coalesce("content", F.lit("")).alias("content"))
     docs = split_oversize(markdown_sections(files.where(markdown)), limits, strategy)
-    return files.where(~markdown).mapInPandas(rows, NEW_CHUNK).unionByName(docs)
+    if errors:
+        docs = docs.withColumn("error", F.lit(None).cast("string"))
+    return files.where(~markdown).mapInPandas(rows, NEW_CHUNK + (", error string" if errors else "")).unionByName(docs)

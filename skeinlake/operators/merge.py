@@ -56,7 +56,7 @@ def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def merge_edges(existing: DataFrame, chunks: DataFrame, new: DataFrame, extracted: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """Edges after a merge: those that start at re-indexed chunks are made anew (containment and what
-    was extracted from the source), edges that lost an end go."""
+    was extracted from the source), edges that lost an end go. decisions (id): nodes too."""
     kept = existing.join(new.select(F.col("id").alias("source_id")), "source_id", "left_anti").select(*existing.columns)
     nodes = [chunks.where("not is_deleted"), *([decisions] if decisions is not None else [])]
     return valid_edges(add_edges(add_edges(kept, contains_edges(new)), extracted), *nodes)

@@ -20,7 +20,7 @@ _NAMES = r"(?P<names>[^;'\"]*?)"
 _IMPORT = re.compile(rf"^[ \t]*import\b\s*(?:type\s+)?(?:{_NAMES}\s*\bfrom\s*)?(?P<q>['\"])(?P<spec>[^'\"\n]+)(?P=q)", re.M)
 _EXPORT = re.compile(r"^[ \t]*export\s+(?:type\s+)?(?:\*(?:\s+as\s+\w+)?|\{(?P<names>[^}]*)\})\s*from\s*(?P<q>['\"])(?P<spec>[^'\"\n]+)(?P=q)", re.M)
 _SCRIPT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-_ROWS = "source_id string, target_path string, name string, edge_type string"
+_ROWS = "source_id string, targets array<string>, name string, edge_type string"
 
 
 def _candidates(path: str, spec: str) -> list[str]:
@@ -50,59 +50,68 @@ def _bindings(names: str) -> dict[str, str]:
     return out
 
 
-def file_references(path: str, text: str) -> list[tuple[str, str, str, str]]:
-    """(source id, possible target path, name, edge type); name empty: the module itself. A path with
-    several candidates gives a row for each: the join with existing files keeps the first."""
+def file_references(path: str, text: str) -> list[tuple[str, tuple[str, ...], str, str]]:
+    """(source id, possible target paths, the first that exists is meant; name, edge type) of a script;
+    name empty: the module itself."""
     if not path.lower().endswith(_SCRIPT):
         return []
     module, out, known = f"{path}::module::default", [], {}
-    clean = re.sub(r"//[^\n]*|/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+    # specifiers are strings, so these stay; what looks like code in other strings starts no line
+    clean = S.silent_script(text, strings=True)
     for m in _IMPORT.finditer(clean):
         targets = _candidates(path, m["spec"])
-        out += [(module, t, "", "IMPORTS") for t in targets]
+        out.append((module, targets, "", "IMPORTS"))
         for local, name in _bindings(m["names"] or "").items():
             known[local] = (targets, name)
     for m in _EXPORT.finditer(clean):
         targets = _candidates(path, m["spec"])
-        names = [x for x in _bindings("{" + (m["names"] or "") + "}").values()] if m["names"] is not None else [""]
-        out += [(module, t, n, "RE_EXPORTS") for t in targets for n in names]
-    pieces = [p for p in S.script(text) if p.kind in ("function", "method", "class")]
-    quiet = S.silent(text, "c")
-    for m in re.finditer(r"(?<![\w$.])([A-Za-z_$][\w$]*)(?:\s*\.\s*([A-Za-z_$][\w$]*))?\s*(?:<[^<>()]*>)?\(", quiet):
-        if m[1] not in known:
+        names = [*_bindings("{" + m["names"] + "}").values()] if m["names"] is not None else [""]
+        out += [(module, targets, n, "RE_EXPORTS") for n in names]
+    pieces = [p for p in S.script(text) if p.kind in ("function", "method")]
+    quiet = S.silent(text, "script")
+    for m in re.finditer(r"(?<![\w$.])(new\s+)?([A-Za-z_$][\w$]*)(?:\s*\.\s*([A-Za-z_$][\w$]*))?\s*(?:<[^<>()]*>)?\(", quiet):
+        if m[1] or m[2] not in known:
             continue
-        targets, name = known[m[1]]
-        called = (m[2] or "") if name == "*" else name
+        targets, name = known[m[2]]
+        called = (m[3] or "") if name == "*" else name
         if not called:
             continue
-        inner = [p for p in pieces if p.kind != "class" and p.start <= m.start() < p.end]
+        inner = [p for p in pieces if p.start <= m.start() < p.end]
         source = f"{path}::{max(inner, key=lambda p: p.start).name}" if inner else module
-        out += [(source, t, called, "CALLS") for t in targets]
-    return list(dict.fromkeys(out))
+        out.append((source, targets, called, "CALLS"))
+    return list(dict.fromkeys((a, tuple(t), n, e) for a, t, n, e in out if t))
 
 
 def extract_edges(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Edges of the scripts in files to chunks that exist: a narrow pass over the files, then joins by
-    path and name. `default` and names without a chunk of their own go to the module for re-exports
-    and to nothing for calls."""
+    """source_id, target_id, edge_type of the scripts in files (file_path, content) to chunks that exist.
+
+    A narrow pass over the files, then joins: the possible paths of a specifier with the modules there
+    are, of which the first is its target, and the name with the chunks of that file. Imports and
+    whole re-exports go to the module; calls and re-exports of a name without a chunk of its own
+    (`default` of an unnamed value, a constant) give none. Files without text, of other languages or
+    repeated give none or the same edges once."""
 
     def rows(batches):
         for pdf in batches:
-            yield pd.DataFrame([r for p, t in zip(pdf["file_path"], pdf["content"]) for r in file_references(p, t or "")], columns=["source_id", "target_path", "name", "edge_type"])
+            found = [r for p, t in zip(pdf["file_path"], pdf["content"]) for r in file_references(p, t or "")]
+            yield pd.DataFrame([(a, list(t), n, e) for a, t, n, e in found], columns=["source_id", "targets", "name", "edge_type"])
 
     found = files.select("file_path", "content").mapInPandas(rows, _ROWS)
     kinds = ("function", "class", "interface", "type", "enum", "namespace")
+    exists = chunks.where("chunk_type = 'module'").select(F.col("file_path").alias("target_path")).distinct()
+    tries = found.select("targets").distinct().select("targets", F.posexplode("targets").alias("place", "target_path"))
+    meant = tries.join(exists, "target_path").groupBy("targets").agg(F.min_by("target_path", "place").alias("target_path"))
+    found = found.join(meant, "targets")
     named = chunks.where(F.col("chunk_type").isin(*kinds)).select(F.col("file_path").alias("target_path"), F.regexp_extract("id", r"::([^:]+)$", 1).alias("name"), F.col("id").alias("target_id"))
-    modules = chunks.where("chunk_type = 'module'").select(F.col("file_path").alias("target_path"), F.concat("file_path", F.lit("::module::default")).alias("module_id")).distinct()
     to_names = found.where("name <> ''").join(named, ["target_path", "name"]).select("source_id", "target_id", "edge_type")
-    to_modules = found.where("name = ''").join(modules, "target_path").select("source_id", F.col("module_id").alias("target_id"), "edge_type")
+    to_modules = found.where("name = ''").select("source_id", F.concat("target_path", F.lit("::module::default")).alias("target_id"), "edge_type")
     return to_names.union(to_modules).where("source_id <> target_id").distinct()
 
 
 _SURFACE = {
     "py": (re.compile(r"^[ \t]*(?:async\s+)?(?:def|class)\s+\w+[^\n]*?(?:\((?:[^()]|\([^()]*\))*\))?[^:\n]*:", re.M), "hash"),
-    "go": (re.compile(r"^(?:func\b[^\n{]*|type\s+\w+[^\n{]*(?:struct|interface))(?=\s*\{)", re.M), "c"),
-    "rs": (re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?:fn|struct|enum|trait|impl|mod)\b[^\n{;]*(?:\([^{;]*\)[^{;]*)?(?=\s*\{)", re.M), "c"),
+    "go": (re.compile(r"^(?:func\b[^\n{]*|type\s+\w+[^\n{]*(?:struct|interface))(?=\s*\{)", re.M), "go"),
+    "rs": (re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?:fn|struct|enum|trait|impl|mod)\b[^\n{;]*(?:\([^{;]*\)[^{;]*)?(?=\s*\{)", re.M), "rust"),
     "java": (re.compile(r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?:(?:class|interface|enum|record)\s+\w+[^{;]*|[\w<>\[\],.?]+\s+\w+\s*\([^)]*\)[^{;]*)(?=\s*\{)", re.M), "c"),
     "php": (re.compile(r"(?:(?:abstract|final|public|private|protected|static)\s+)*(?:class|interface|trait|enum|function)\s+\w+[^{;]*(?=\s*\{)", re.M), "php"),
 }
@@ -119,7 +128,7 @@ def file_surface(path: str, text: str) -> tuple[str, str]:
                 continue
             if not body.startswith("export"):
                 continue
-            cut = S.silent(body, "c").find("{")
+            cut = S.silent(body, "script").find("{")
             keep_whole = p.kind in ("interface", "type", "enum")
             out.append(body.strip() if keep_whole or cut < 0 else body[:cut].rstrip() + " { ... }")
         return "\n\n".join(out), "declarations"

@@ -28,6 +28,9 @@ class Lines:
 
 
 _QUIET = {
+    "go": r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'|`[^`]*`?",
+    "rust": r"//[^\n]*|/\*.*?(?:\*/|\Z)|r(?P<h>\#*)\".*?\"(?P=h)|\"(?:\\.|[^\"\\])*\"?|'(?:\\[^'\n]*|[^'\\\n])'",
+    "sharp": r"//[^\n]*|/\*.*?(?:\*/|\Z)|\$?@\$?\"(?:\"\"|[^\"])*\"?|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'",
     "c": r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?",
     "php": r"//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?",
     "css": r"/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?",
@@ -38,9 +41,86 @@ _QUIET = {
 _QUIET = {k: re.compile(v, re.S) for k, v in _QUIET.items()}
 
 
+_TOKEN = re.compile(
+    r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)|(?P<word>[\w$]+)|(?P<space>\s+)|\+\+|--|</|.", re.S
+)
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.S)
+_REGEX = re.compile(r"/(?![*/>])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
+#: Words after which an expression starts, so that a slash opens a regular expression.
+_BEFORE_VALUE = frozenset("return typeof case in of delete void throw new instanceof do else yield await".split())
+
+
+def _blank(part: str) -> str:
+    return re.sub(r"[^\n]", " ", part)
+
+
+def silent_script(text: str, strings: bool = False) -> str:
+    """A script with comments, regular expressions and the text of templates blanked out, and strings
+    too unless `strings`; places and lines stay. The code in a template's ${} stays, in round brackets."""
+    out: list[str] = []
+    parens: list[bool] = []  # of each open bracket: whether a statement follows what it closes
+    braces: list[int] = []  # of each open ${}: braces open in it
+    value, word = True, ""  # whether a value may start here; the word just before
+    at = 0
+
+    def template(at: int) -> int:
+        m = _TEMPLATE.match(text, at)
+        out.append(_blank(m[0]))
+        if text.startswith("${", m.end()):
+            out.append(" (")
+            braces.append(0)
+            return m.end() + 2
+        out.append(" " * len(text[m.end() : m.end() + 1]))
+        return m.end() + 1
+
+    while at < len(text):
+        m = _REGEX.match(text, at) if value and text[at] == "/" else None
+        if m:
+            out.append(_blank(m[0]))
+            at, value, word = m.end(), False, ""
+            continue
+        m = _TOKEN.match(text, at)
+        at, c, before = m.end(), m[0], word
+        word = ""
+        if m["comment"]:
+            out.append(_blank(c))
+            word = before
+            continue
+        if m["space"] or c in ("++", "--"):
+            out.append(c)
+            word = before
+            continue
+        if c == "`":
+            out.append(" ")
+            at, value = template(at), False
+            value = bool(braces) and out[-1] == " ("
+            continue
+        if c == "}" and braces and braces[-1] == 0:
+            braces.pop()
+            out.append(")")
+            at = template(at)
+            value = bool(braces) and out[-1] == " ("
+            continue
+        out.append(_blank(c) if m["string"] and not strings else c)
+        if m["word"]:
+            value, word = c in _BEFORE_VALUE and before != ".", c if before != "." else ""
+        elif c == "(":
+            parens.append(before in ("if", "while", "for", "with"))
+            value = True
+        elif c == ")":
+            value = parens.pop() if parens else False
+        elif c == ".":
+            value, word = True, "."
+        else:
+            if braces and c in "{}":
+                braces[-1] += 1 if c == "{" else -1
+            value = not m["string"] and c not in ("]", "</")
+    return "".join(out)
+
+
 def silent(text: str, style: str) -> str:
     """The text with comments and strings blanked out; places and lines stay."""
-    return _QUIET[style].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    return silent_script(text) if style == "script" else _QUIET[style].sub(lambda m: _blank(m[0]), text)
 
 
 def closing(text: str, place: int, pair: str = "{}") -> int:
@@ -127,7 +207,7 @@ def _methods(text: str, quiet: str, kind: str, name: str, start: int, end: int)
 
 def script(text: str) -> list[Piece]:
     """JavaScript and TypeScript: top-level declarations and the methods of classes."""
-    quiet = silent(text, "c")
+    quiet = silent(text, "script")
     marks, lines, out, busy = _depths(quiet), Lines(text), [], 0
     for m in _JS.finditer(quiet):
         start = m.start() + len(m[0]) - len(m[0].lstrip())
@@ -373,7 +453,7 @@ _SHARP = re.compile(r"^[ \t]*(?:\[[^\]\n]*\]\s*)*(?:(?:public|private|protected|
 
 def c_sharp(text: str) -> list[Piece]:
     """C#: classes, interfaces, enums and methods at any depth."""
-    quiet, out = silent(text, "c"), []
+    quiet, out = silent(text, "sharp"), []
     for m in _SHARP.finditer(quiet):
         start = m.start() + len(m[0]) - len(m[0].lstrip())
         if m["method"]:
@@ -401,7 +481,7 @@ _GO = re.compile(r"^func\s+(?P<name>[A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\(", re.M)
 
 def go(text: str) -> list[Piece]:
     """Go: functions without a receiver."""
-    quiet, out = silent(text, "c"), []
+    quiet, out = silent(text, "go"), []
     for m in _GO.finditer(quiet):
         paren = closing(quiet, m.end() - 1, "()")
         opened = quiet.find("{", paren)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths of the tables of each open scratch().
-_open: list[list[str]] = []
+#: Paths of the tables of each open scratch(), the innermost last; each thread has its own.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def _on_disk(spark: SparkSession, path: str):
@@ -34,15 +35,17 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Tables settled inside go at its end, but for those put into the list that it yields. For an
     operator whose result is settled too: nothing then hangs on its intermediate tables."""
     kept: list[DataFrame] = []
-    _open.append([])
+    around, mine = _open.get(), []
+    token = _open.set((*around, mine))
     try:
         yield kept
     finally:
+        _open.reset(token)
         stay = {getattr(df, "_settled_at", None) for df in kept}
-        for path in _open.pop():
+        for path in mine:
             if path in stay:
-                if _open:
-                    _open[-1].append(path)
+                if around:
+                    around[-1].append(path)
             else:
                 fs, where = _on_disk(spark, path)
                 fs.delete(where, True)
@@ -56,8 +59,8 @@ def settled(df: DataFrame, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     fs, where = _on_disk(spark, path)
     fs.deleteOnExit(where)
-    if _open:
-        _open[-1].append(path)
+    if _open.get():
+        _open.get()[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out

@@ -2,65 +2,136 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..schema import TABLES, VERSION
+from ..schema import TABLES, VERSION, EngineError
+
+#: What each keyed table is dealt by: the file that its rows belong to.
+KEYS = {"chunks": "file_path", "scan_cache": "file_path", "vectors": "id", "edges": "source_id"}
+
+
+def file_of(column: str) -> Column:
+    """The file of a path or of an id that starts with one."""
+    return F.substring_index(F.col(column), "::", 1)
 
 
 class SnapshotStore:
     """All tables of an index below one path, in any store that Spark reaches.
 
-    commit() writes every table of the new state to a folder of its own, then the pointer; a writer
-    that dies before that leaves the old state in place. One writer at a time.
+    A state is a small JSON pointer: for each table the folders that hold it. The keyed tables are
+    dealt by file into `buckets` folders, so that commit() writes only what changed, a table or some
+    buckets of one, to a folder of its own, and then the pointer; a writer that dies before that leaves
+    the old state in place. One writer at a time. The number of buckets is fixed by the first state.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        now = self.current()
+        self.buckets = now["buckets"] if now else buckets
 
-    def current(self) -> str | None:
-        """Folder of the newest state, None before the first commit."""
+    def _pointers(self) -> list[str]:
         where = self._path(f"{self.root}/_pointers")
-        if not self._fs.exists(where):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(where))
-        return f"{self.root}/{names[-1].split('-', 1)[1]}" if names else None
-
-    def read(self, table: str) -> DataFrame:
-        at = self.current()
-        if at is None:
+        names = [s.getPath().getName() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        return sorted(n for n in names if n.endswith(".json"))
+
+    def _read_pointer(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/_pointers/{name}", wholetext=True).first()[0])
+
+    def current(self) -> dict | None:
+        """The newest state, None before the first commit."""
+        names = self._pointers()
+        return self._read_pointer(names[-1]) if names else None
+
+    def bucket(self, table: str) -> Column:
+        return F.pmod(F.xxhash64(file_of(KEYS[table])), F.lit(self.buckets)).cast("int")
+
+    def buckets_of(self, files: DataFrame) -> list[int]:
+        """The buckets of the files (file_path): a bounded list."""
+        return sorted(r[0] for r in files.select(self.bucket("chunks")).distinct().collect())
+
+    def read(self, table: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """A table of the newest state, or of a keyed one these buckets alone."""
+        state = self.current()
+        held = state["tables"].get(table, {}) if state else {}
+        wanted = None if buckets is None else {str(b) for b in buckets}
+        paths = [f"{self.root}/{p}" for b, p in held.items() if wanted is None or b in wanted]
+        if not paths:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{at}/{table}")
+        return self.spark.read.schema(TABLES[table]).parquet(*paths)
 
     def read_all(self) -> dict[str, DataFrame]:
         return {t: self.read(t) for t in TABLES}
 
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Write a new state: the tables given, the others as they are."""
+    def commit(self, tables: dict[str, DataFrame], buckets: dict[str, list[int]] | None = None, batch: int | None = None) -> dict:
+        """Write a new state: the tables given, the others stay where they are. buckets: of which
+        buckets of a keyed table the rows given are all; those of other buckets stay. batch: the
+        number of a stream's batch, kept in the state."""
         now = self.current()
-        number = 0 if now is None else int(now.rsplit("/", 1)[1].split("_")[1]) + 1
+        number, held = (now["number"] + 1, dict(now["tables"])) if now else (0, {})
         name = f"v{VERSION}_{number:012d}_{uuid.uuid4().hex[:8]}"
-        for t in TABLES:
-            df = tables[t] if t in tables else self.read(t)
-            df.write.parquet(f"{self.root}/{name}/{t}")
-        self._fs.mkdirs(self._path(f"{self.root}/_pointers"))
-        # created whole or not at all
-        self._fs.create(self._path(f"{self.root}/_pointers/{number:012d}-{name}"), False).close()
-        return f"{self.root}/{name}"
+        for t, df in tables.items():
+            if t not in KEYS:
+                df.write.parquet(f"{self.root}/{name}/{t}")
+                held[t] = {"all": f"{name}/{t}"}
+                continue
+            # dealt by bucket; a large one is split over several tasks
+            df.withColumn("bucket", self.bucket(t)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}/{t}")
+            found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{name}/{t}"))]
+            new = {n.split("=")[1]: f"{name}/{t}/{n}" for n in found if n.startswith("bucket=")}
+            replaced = None if buckets is None or t not in buckets else {str(b) for b in buckets[t]}
+            if replaced is not None and not set(new) <= replaced:
+                raise ValueError(f"rows of {t} outside the buckets that are replaced")
+            held[t] = new if replaced is None else {b: p for b, p in held.get(t, {}).items() if b not in replaced} | new
+        state = {"version": VERSION, "number": number, "name": name, "buckets": self.buckets, "batch": batch if batch is not None else (now or {}).get("batch"), "tables": held}
+        self._point(f"{number:012d}-{name}.json", state)
+        return state
+
+    def _point(self, name: str, state: dict) -> None:
+        where = self._path(f"{self.root}/_pointers")
+        self._fs.mkdirs(where)
+        part = self._path(f"{self.root}/_pointers/{name}.part")
+        out = self._fs.create(part, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        # there whole or not at all
+        if not self._fs.rename(part, self._path(f"{self.root}/_pointers/{name}")):
+            raise OSError(f"{name} could not be created")
 
     def drop_old(self, keep: int = 2) -> int:
-        """Delete all but the newest states; returns how many went."""
-        where = self._path(f"{self.root}/_pointers")
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+        """Delete all but the newest states, and the folders that none of these holds; returns how many
+        states went."""
+        names = self._pointers()
+        kept = [self._read_pointer(n) for n in names[-keep:]]
+        needed = {p for state in kept for paths in state["tables"].values() for p in paths.values()}
         for n in names[:-keep]:
+            gone = self._read_pointer(n)
+            for p in {p for paths in gone["tables"].values() for p in paths.values()} - needed:
+                self._fs.delete(self._path(f"{self.root}/{p}"), True)
             self._fs.delete(self._path(f"{self.root}/_pointers/{n}"), False)
-            self._fs.delete(self._path(f"{self.root}/{n.split('-', 1)[1]}"), True)
         return len(names[:-keep])
 
+    def migrate(self, steps: dict[int, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]], to: int = VERSION) -> int:
+        """Bring the newest state to the version `to`, a step a version: steps[n] takes the tables of
+        version n - 1 and returns those that change. Returns the version; a newer state or a missing
+        step is an error."""
+        state = self.current()
+        version = state["version"] if state else to
+        if version > to:
+            raise EngineError("FULL_REINDEX_REQUIRED", f"state of version {version}")
+        for n in range(version + 1, to + 1):
+            if n not in steps:
+                raise EngineError("FULL_REINDEX_REQUIRED", f"no step to version {n}")
+            done = self.commit(steps[n](self.read_all()))
+            self._point(f"{done['number']:012d}-{done['name']}~{n}.json", done | {"version": n})
+        return max(version, to)
+
 
 class VectorStore:
     """Vectors as a DataFrame: upsert, query, delete."""

@@ -2,41 +2,146 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunks import chunk_files
-from ..operators.merge import merge_chunks
+from ..operators.graph import valid_edges
+from ..operators.merge import merge_chunks, merge_edges, merge_vectors
+from ..operators.references import extract_edges
+from ..plans.tables import scratch, settled
+from ..schema import EngineError
 from ..sources.snapshots import SnapshotStore
+from ..sources.tree import refreshed_cache, under
 
 TTL = "30 minutes"
-
-
-def index_batch(store: SnapshotStore, files: DataFrame, now=None) -> dict[str, DataFrame]:
-    """Chunk the files (file_path, content, content_hash) and merge them into the store: one commit."""
+CHANGED = "file_path string, content string, content_hash string, mtime_ns bigint, size_bytes bigint"
+
+
+class Batch(NamedTuple):
+    """What a batch did: files merged and failed, chunks of the merged ones, seconds, and the failed
+    files with their errors (file_path, error)."""
+
+    succeeded: int
+    failed: int
+    chunks: int
+    seconds: float
+    errors: list[tuple[str, str]]
+
+
+def index_batch(
+    store: SnapshotStore, files: DataFrame, now: Column | None = None, embed: Callable[[DataFrame], DataFrame] | None = None,
+    removed: DataFrame | None = None, number: int | None = None, shown: int = 100,
+) -> Batch:
+    """Chunk, embed and link the files (file_path, content, content_hash; mtime_ns and size_bytes if
+    there) and merge chunks, vectors, edges and scan cache into the store: one commit.
+
+    Of several versions of a file the newest counts (largest mtime_ns, of equal ones the larger
+    content_hash). A file that cannot be cut is counted, its first `shown` errors are returned, and
+    its old chunks stay; if all files fail, that is an error. removed (file_path): files that are no
+    more lose their chunks. embed: chunks (id, content) to id, embedding; without it vectors only
+    lose those of dead chunks. number: of a stream's batch; one that is in the store already is not
+    merged again. Only the buckets of the files are rewritten, and those of edges that lose an end.
+    """
+    began = time.monotonic()
+    state = store.current()
+    if number is not None and state and state["batch"] is not None and number <= state["batch"]:
+        return Batch(0, 0, 0, 0.0, [])
     now = F.current_timestamp() if now is None else now
-    latest = files.groupBy("file_path").agg(F.max_by("content", "content_hash").alias("content"), F.max("content_hash").alias("content_hash"))
-    new = chunk_files(latest).join(latest.select("file_path", "content_hash"), "file_path")
-    merged = merge_chunks(store.read("chunks"), new, latest.select("file_path"), now)
-    store.commit({"chunks": merged})
-    return store.read_all()
-
-
-def index_stream(spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, schema: str = "file_path string, content string, content_hash string") -> StreamingQuery:
-    """Index JSON rows of changed files as they arrive under source. The checkpoint and the batch's
-    single commit make a batch that is run again write the same state."""
+    for c, kind in (("mtime_ns", "bigint"), ("size_bytes", "bigint")):
+        if c not in files.columns:
+            files = files.withColumn(c, F.lit(None).cast(kind))
+    with scratch(store.spark):
+        row = F.struct("content", "content_hash", "mtime_ns", "size_bytes")
+        latest = files.groupBy("file_path").agg(F.max_by(row, F.struct("mtime_ns", "content_hash")).alias("r")).select("file_path", "r.*")
+        latest = settled(latest)
+        cut = settled(chunk_files(latest, errors=True))
+        bad = cut.where("id is null").select("file_path", "error")
+        good = latest.join(bad.select("file_path"), "file_path", "left_anti")
+        new = cut.where("id is not null").drop("error").join(good.select("file_path", "content_hash"), "file_path")
+        succeeded, failed = good.count(), bad.count()
+        errors = [tuple(r) for r in bad.orderBy("file_path").limit(shown).collect()]
+        if failed and not succeeded:
+            raise EngineError("INDEX_BATCH_FAILED", "; ".join(f"{p}: {e}" for p, e in errors[:3]))
+        touched = good.select("file_path")
+        if removed is not None:
+            touched = touched.union(removed.select("file_path"))
+        buckets = store.buckets_of(touched)
+
+        merged = settled(merge_chunks(store.read("chunks", buckets), new, touched, now))
+        dead = merged.where("is_deleted").select("id")
+        vectors = store.read("vectors", buckets)
+        made = embed(new.select("id", "content")) if embed is not None else vectors.where("false")
+        # edges of other files that end at a chunk which is no more
+        elsewhere = store.read("edges", [b for b in range(store.buckets) if b not in set(buckets)])
+        broken = elsewhere.join(dead.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+        hit = sorted(r[0] for r in broken.select(store.bucket("edges")).distinct().collect())
+        rest = store.read("chunks", [b for b in range(store.buckets) if b not in set(buckets)]).select("id", "file_path", "chunk_type", "is_deleted")
+        nodes = rest.union(merged.select(*rest.columns)).where("not is_deleted")
+        ledger = store.read("ledger").select("id")
+        edges = merge_edges(store.read("edges", buckets), nodes.withColumn("is_deleted", F.lit(False)), new, extract_edges(good, nodes), ledger)
+        edges = edges.unionByName(valid_edges(store.read("edges", hit), nodes, ledger)) if hit else edges
+        cache = refreshed_cache(store.read("scan_cache", buckets), good, now)
+        if removed is not None:
+            cache = cache.join(removed.select("file_path"), "file_path", "left_anti")
+        store.commit(
+            {"chunks": merged, "vectors": merge_vectors(vectors, made, merged), "edges": edges, "scan_cache": cache},
+            {"chunks": buckets, "vectors": buckets, "edges": [*buckets, *hit], "scan_cache": buckets}, number,
+        )
+        return Batch(succeeded, failed, new.count(), time.monotonic() - began, errors)
+
+
+def force_index(store: SnapshotStore, files: DataFrame, path: str = ".", **how) -> Batch:
+    """Index the files at or below a path whether they changed or not; those of the store that are no
+    more there lose their chunks."""
+    mine = under(files, path)
+    known = under(store.read("scan_cache").select("file_path"), path)
+    return index_batch(store, mine, removed=known.join(mine.select("file_path"), "file_path", "left_anti"), **how)
+
+
+def index_stream(spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, schema: str = CHANGED, done: Callable[[Batch], None] | None = None, **how) -> StreamingQuery:
+    """Index JSON rows of changed files as they arrive under source. The checkpoint numbers the
+    batches and the store knows the last one merged, so each is merged once. done: gets each batch's
+    counters."""
     files = spark.readStream.schema(schema).json(source)
 
     def merge(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            index_batch(store, batch)
+            found = index_batch(store, batch, number=number, **how)
+            if done is not None:
+                done(found)
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Indexer:
+    """An index stream that can be paused and resumed: what was merged stays, what comes meanwhile
+    waits under the source."""
+
+    def __init__(self, *args, **how) -> None:
+        self._args, self._how, self.query = args, how, None
+
+    def resume(self) -> Indexer:
+        if self.query is None or not self.query.isActive:
+            self.query = index_stream(*self._args, **self._how)
+        return self
+
+    def pause(self) -> Indexer:
+        if self.query is not None:
+            self.query.stop()
+        return self
+
+    def heartbeat(self) -> dict | None:
+        """Number, time and rows of the last batch begun, None before the first."""
+        last = self.query.lastProgress if self.query is not None else None
+        return None if last is None else {"batch": last["batchId"], "timestamp": last["timestamp"], "rows": last["numInputRows"]}
+
+
 def session_windows(events: DataFrame, ttl: str = TTL, late: str | None = None) -> DataFrame:
     """user_id, start, end, n: sessions that end after `ttl` without an event; batch or stream."""
     if late is not None:
@@ -52,7 +157,5 @@ def stream_sessions(events: DataFrame, sink: Callable[[DataFrame, int], None], c
 
 def crash_allowed(times: DataFrame, window_s: int = 600, most: int = 3) -> DataFrame:
     """ts, crashes, restart: whether fewer than `most` crashes lie in the window up to each."""
-    from pyspark.sql import Window
-
     recent = Window.partitionBy("worker").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-window_s, 0)
     return times.withColumn("crashes", F.count("*").over(recent)).withColumn("restart", F.col("crashes") < most)

@@ -1,8 +1,10 @@
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from skeinlake.operators import chunks as C
 from skeinlake.operators import references as R
+from skeinlake.operators import scanners as S
 
 TS = '''import { add as plus } from "./math.js";
 // class Fake {}
@@ -33,6 +35,24 @@ def test_script():
     assert C.file_chunks("a/s.ts", TS)[0][5] == TS.count("\n")
 
 
+@pytest.mark.parametrize("value", ['/[{"]/', "/[{]/", "/[`]/", '/["]/', "/a\\/{/g", "a / b", '`x ${a ? `{${b}` : "}"} {`', "x++ / 2 / y", "f(`${`}`}`)", "(1 + 2) / 3 / {}.y", "<b>{x}</b>", "[/}/, /{/]"])
+def test_script_with_regular_expressions_and_templates(value):
+    text = f"const re = {value};\nexport class A {{ m(s) {{ if (s) /}}/.test(s); return 1; }} }}\nexport function g() {{ return /[}}/]{{/; }}\n"
+    assert ids("a.ts", text) == ["module::default", "class::A", "class::A::method::m", "function::g"]
+
+
+@given(st.text(alphabet="ab/`'\"{}()$\\\n[]*= ", max_size=60))
+def test_silent_script_keeps_places(text):
+    for strings in (False, True):
+        quiet = S.silent_script(text, strings)
+        assert len(quiet) == len(text) and [i for i, c in enumerate(text) if c == "\n"] == [i for i, c in enumerate(quiet) if c == "\n"]
+
+
+def test_quoted_braces_of_other_languages():
+    assert ids("g.go", "var q = `\\`\nfunc A() string {\n return `{` + string('{')\n}\nfunc B() {}\n") == ["module::default", "function::A", "function::B"]
+    assert ids("c.cs", 'class A {\n  public string P() { return @"c:\\"; }\n  public int B() { return 1; }\n}\n') == ["module::default", "class::A", "method::P", "method::B"]
+
+
 def test_other_languages():
     php = "<?php\nnamespace A;\nclass K { public function run($a) { return '}'; } }\ntrait T { function t() {} }\nfunction f() {}\n"
     assert ids("k.php", php) == ["module::default", "class::K", "class::K::method::run", "trait::T", "trait::T::method::t", "function::f"]
@@ -99,6 +119,15 @@ def test_edges_from_source(spark):
     }
 
 
+def test_edges_past_strings_and_with_several_candidates(spark):
+    text = 'const g = "src/*";\nimport { f } from "./b";\nconst t = `\nimport { x } from "./no"\n${f(1)}`;\nexport function run() { f(); new f(); } /* end */\n'
+    files = [("src/a.ts", text), ("src/b.ts", "export function f() {}\n"), ("src/b/index.ts", "export function f() {}\n"), ("src/no.ts", "export const x = 1;\n"), ("n.ts", None)]
+    df = spark.createDataFrame(files, "file_path string, content string")
+    got = sorted(tuple(r) for r in R.extract_edges(df, C.chunk_files(df)).collect())
+    a = "src/a.ts::module::default"
+    assert got == sorted([(a, "src/b.ts::module::default", "IMPORTS"), (a, "src/b.ts::function::f", "CALLS"), ("src/a.ts::function::run", "src/b.ts::function::f", "CALLS")])
+
+
 def test_surfaces(spark):
     files = [("a.ts", "export function f(a: string): void { return; }\nfunction hidden() {}\nexport type T = number;\n"), ("b.py", "class A:\n    def m(self, x):\n        pass\n"), ("c.txt", "x")]
     got = {r.path: (r.surface, r.strategy) for r in R.api_surface(spark.createDataFrame(files, "file_path string, content string")).collect()}

@@ -1,3 +1,4 @@
+import threading
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,6 +9,7 @@ from skeinlake.operators import evaluate as E
 from skeinlake.operators import health as H
 from skeinlake.operators import merge as M
 from skeinlake.operators import sessions as D
+from skeinlake.plans import tables
 from skeinlake.sources import connectors, reports, tree
 from skeinlake.sources.snapshots import SnapshotStore, VectorStore
 from skeinlake.streaming import incremental
@@ -161,6 +163,83 @@ def test_snapshots_and_index_stream(spark, tmp_path):
     assert store.drop_old(1) == 2 and store.read("edges").count() == 1 and store.read("chunks").count() == 3
 
 
+def test_newest_version_wins_and_bad_files_are_counted(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store", buckets=8)
+    rows = lambda *r: spark.createDataFrame(r, incremental.CHANGED)
+    embed = lambda chunks: connectors.hash_embedding(chunks, 8)
+    b = 'import { f } from "./a";\nexport function g() { f(); }\n'
+    deep = "a{" * 5000 + "}" * 5000
+    done = incremental.index_batch(store, rows(("a.ts", "function old() {}\n", "ff", 1, 1), ("a.ts", "export function f() {}\n", "00", 2, 1), ("b.ts", b, "1", 1, 1), ("deep.css", deep, "1", 1, 1)), embed=embed, number=0)
+    assert (done.succeeded, done.failed, done.chunks) == (2, 1, 4) and done.errors[0][0] == "deep.css"
+    assert {r.id for r in store.read("chunks").collect()} == {f"{p}::{x}" for p, x in (("a.ts", "module::default"), ("a.ts", "function::f"), ("b.ts", "module::default"), ("b.ts", "function::g"))}
+    edges = {tuple(r) for r in store.read("edges").collect()}
+    assert ("b.ts::function::g", "a.ts::function::f", "CALLS") in edges and ("a.ts::module::default", "a.ts::function::f", "CONTAINS") in edges
+    assert store.read("vectors").count() == 4 and {(r.file_path, r.mtime_ns) for r in store.read("scan_cache").collect()} == {("a.ts", 2), ("b.ts", 1)}
+    # a batch that is run again changes nothing; another one writes its buckets alone
+    before = store.current()
+    assert incremental.index_batch(store, rows(("a.ts", "x", "9", 9, 1)), number=0).succeeded == 0 and store.current() == before
+    incremental.index_batch(store, rows(("c.ts", "type T = string;\n", "1", 1, 1)), embed=embed, number=1)
+    moved = {k for k, v in store.current()["tables"]["chunks"].items() if before["tables"]["chunks"].get(k) != v}
+    assert len(moved) == 1 and store.read("chunks").count() == 6
+    # a chunk that goes takes the edges of other files with it
+    incremental.index_batch(store, rows(("a.ts", "let x;\n", "3", 3, 1)), embed=embed)
+    assert "CALLS" not in {r.edge_type for r in store.read("edges").collect()} and ("b.ts::module::default", "a.ts::module::default", "IMPORTS") in {tuple(r) for r in store.read("edges").collect()}
+    assert store.read("vectors").where("id = 'a.ts::function::f'").count() == 0
+    with pytest.raises(schema.EngineError, match="INDEX_BATCH_FAILED"):
+        incremental.index_batch(store, rows(("deep.css", deep, "1", 1, 1)))
+    assert store.drop_old(1) == 2 and store.read("chunks").count() == 6
+    incremental.force_index(store, rows(("b.ts", b, "1", 1, 1)))
+    assert {r.file_path for r in store.read("chunks").where("not is_deleted").collect()} == {"b.ts"}
+
+
+def test_indexer_pauses_and_resumes(spark, tmp_path):
+    store, seen = SnapshotStore(spark, f"file://{tmp_path}/store"), []
+    rows = lambda *r: spark.createDataFrame(r, incremental.CHANGED)
+    rows(("a.go", "func A() {\n}\n", "1", 1, 1)).write.json(str(tmp_path / "in" / "1"))
+    indexer = incremental.Indexer(spark, f"{tmp_path}/in/*", store, str(tmp_path / "check"), done=seen.append).resume()
+    indexer.query.awaitTermination()
+    assert indexer.heartbeat()["batch"] == 0
+    indexer.pause()
+    rows(("b.go", "func B() {\n}\n", "1", 1, 1)).write.json(str(tmp_path / "in" / "2"))
+    indexer.resume().query.awaitTermination()
+    assert [x.succeeded for x in seen] == [1, 1] and store.read("chunks").count() == 4
+
+
+def test_migration_of_a_state(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    store.commit({"fingerprint": spark.createDataFrame([("local", "m", "1", 8, "none", NOW)], schema.FINGERPRINT)})
+    with pytest.raises(schema.EngineError, match="FULL_REINDEX_REQUIRED"):
+        store.migrate({}, schema.VERSION + 1)
+    fixed = lambda tables: {"fingerprint": tables["fingerprint"].withColumn("normalization", F.lit("l2"))}
+    assert store.migrate({schema.VERSION + 1: fixed}, schema.VERSION + 1) == schema.VERSION + 1
+    assert store.read("fingerprint").first().normalization == "l2" and store.current()["version"] == schema.VERSION + 1
+    with pytest.raises(schema.EngineError, match="newer|version"):
+        store.migrate({})
+
+
+def test_scratch_of_two_threads_are_apart(spark):
+    inside, go = threading.Event(), threading.Event()
+
+    def other():
+        with tables.scratch(spark):
+            inside.set()
+            go.wait(60)
+
+    worker = threading.Thread(target=other)
+    worker.start()
+    inside.wait(60)
+    with tables.scratch(spark) as kept:
+        mine = tables.settled(spark.range(3))
+        kept.append(mine)
+        go.set()
+        worker.join()
+        gone = tables.settled(spark.range(4))
+        assert mine.count() == 3
+    assert mine.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        gone.count()
+
+
 def test_session_stream(spark, tmp_path):
     ts = [(1, datetime(2024, 1, 1, 0, m)) for m in (0, 10, 20)] + [(1, datetime(2024, 1, 1, 2, 0)), (2, datetime(2024, 1, 1, 5, 0))]
     df = spark.createDataFrame(ts, "user_id bigint, ts timestamp")
