@@ -3,10 +3,13 @@
 The product's entry for two documents is their overlap. Only blocks that can hold an entry over
 the bound are formed:
 
-* Equal sets are one class, and a class is one row of the incidence.
+* Equal sets are one class, and a class is one row of the incidence. Of the copies that a batch
+  holds, one alone brings its columns.
 * Rows are put in one global order, rare n-grams first. Two sets with overlap o >= ceil(t * size)
   share at least l n-grams among the first size - ceil(t * size) + l of each, so these columns
-  alone (a bit more than a quarter) are dealt out by n-gram.
+  alone (a bit more than a quarter) are dealt out by n-gram. They travel in packed slices of the
+  key range, sorted and matched as arrays; an n-gram that several documents of one batch have sends
+  one entry for all of them, so that a frequent one brings a row a batch and not one a document.
 * A class of whose columns fewer than the bound occur elsewhere links to nothing and goes.
 * The entries left are counted in full, from the whole sets.
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_words, mix, only, pieces, rolling, store, text_buffers
@@ -99,32 +102,45 @@ def _repeats(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _incidence(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, n (set size), h1, h2 (of the set), width (of the prefix), keys, light (how many of
-    the keys, which come first, are not frequent)."""
+    the keys, which come first, are not frequent). Of equal sets in one batch the one with the
+    smallest doc_id has keys, the others none."""
     grams, counts = _frequent(docs, n, text)
 
     def rows(batches):
         for batch in batches:
             size, h1, h2, width, light, keys = [], [], [], [], [], []
-            for u in _sets(batch.column(1), n):
+            first: dict[tuple, tuple] = {}  # by set: (doc_id, place) of the smallest doc_id
+            for i, (u, d) in enumerate(zip(_sets(batch.column(1), n), batch.column(0).to_pylist())):
                 m = len(u)
                 size.append(m)
                 h1.append(int(mix(u).sum(dtype=_U)) if m else 0)
                 h2.append(int(mix(u ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)) if m else 0)
                 w = min(m, m - -(-m * percent // 100) + m // _PART + 1) if m else 0
-                if len(grams) and m:
+                width.append(w)
+                of = (m, h1[-1], h2[-1])
+                held = first.get(of)
+                if d is None or not w or held is not None and held[0] <= d:
+                    light.append(0)
+                    keys.append(u[:0].view(np.int64))
+                    continue
+                if held is not None:  # a copy with a larger doc_id gives its keys away
+                    keys.append(keys[held[1]])
+                    light.append(light[held[1]])
+                    keys[held[1]], light[held[1]] = u[:0].view(np.int64), 0
+                    first[of] = d, i
+                    continue
+                first[of] = d, i
+                rare = w
+                if len(grams):
                     at = np.minimum(np.searchsorted(grams, u), len(grams) - 1)
                     often = np.where(grams[at] == u, counts[at], 0)
                     if often.any():
                         order = np.argsort(often, kind="stable")
                         u = u[order]
-                        light.append(int((often[order[:w]] == 0).sum()))
-                    else:
-                        light.append(w)
-                else:
-                    light.append(w)
-                width.append(w)
+                        rare = int((often[order[:w]] == 0).sum())
+                light.append(rare)
                 keys.append(u[:w].view(np.int64))
-            offsets = np.r_[0, np.cumsum(width)].astype(np.int32)
+            offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *keys])
             as_long = lambda x: pa.array(np.array(x, _U).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -135,6 +151,64 @@ def _incidence(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) ->
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(rows, "doc_id long, n int, h1 long, h2 long, width int, keys array<long>, light int")
 
 
+def _sorted_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The light columns of a batch of doc_id, keys, light in the order of the keys: keys, documents,
+    and how many of the batch have the key of each."""
+    lists = batch.column(1)
+    size = np.diff(lists.offsets.to_numpy())
+    keys = lists.flatten().to_numpy(zero_copy_only=False).view(_U)
+    place = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
+    at = np.flatnonzero(place < np.repeat(batch.column(2).to_numpy(), size))
+    keys, cls = keys[at], np.repeat(batch.column(0).to_numpy(), size)[at]
+    order = np.argsort(keys)
+    keys, cls = keys[order], cls[order]
+    return keys, cls, _run_lengths(keys)
+
+
+def _run_lengths(sorted_: np.ndarray) -> np.ndarray:
+    """For each entry how many equal it."""
+    edge = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[edge, len(sorted_)])
+    return np.repeat(size, size)
+
+
+def _shared_cells(rows: DataFrame, slices: int) -> DataFrame:
+    """key, cls: the light columns of rows that more than one document has."""
+    cut = (np.arange(1, slices, dtype=np.float64) / slices * 2.0**64).astype(_U)  # of the key range
+
+    def together(batches):
+        """What batches see for themselves."""
+        for batch in batches:
+            keys, cls, n = _sorted_cells(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(cls[n > 1])], ["key", "cls"])
+
+    def packed(batches):
+        """slice, keys and cls of columns that one document of the batch has, and the keys that more have."""
+        for batch in batches:
+            keys, cls, n = _sorted_cells(batch)
+            many = keys[n > 1]
+            many = many[np.r_[True, many[1:] != many[:-1]]] if len(many) else many
+            keys, cls = keys[n == 1], cls[n == 1]
+            ends = lambda x: pa.array(np.r_[0, np.searchsorted(x, cut), len(x)].astype(np.int32))
+            at, more = ends(keys), ends(many)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(slices, dtype=np.int32)), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(cls)), pa.ListArray.from_arrays(more, pa.array(many.view(np.int64)))],
+                ["slice", "keys", "cls", "many"],
+            )
+
+    def matched(got: pa.Table) -> pa.Table:
+        flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        keys, cls = flat("keys"), flat("cls")
+        both = np.concatenate([keys, flat("many")])
+        order = np.argsort(both)
+        again = order[(_run_lengths(both[order]) > 1) & (order < len(keys))]
+        return pa.table({"key": keys[again], "cls": cls[again]})
+
+    held = rows.where("light > 0").select("doc_id", "keys", "light")
+    apart = held.mapInArrow(packed, "slice int, keys array<long>, cls array<long>, many array<long>").where("size(keys) + size(many) > 0")
+    return held.mapInArrow(together, "key long, cls long").union(apart.groupBy("slice").applyInArrow(matched, "key long, cls long"))
+
+
 def _whole_sets(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
     """cls, grams: the whole sets of the documents in ids."""
 
@@ -274,13 +348,13 @@ def _components(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -
     rows = store(_incidence(docs, n, percent, doc_id, text))
     real = rows.where("n > 0 and doc_id is not null")
     classes = store(real.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cls")))
-    reps = real.join(classes.select(F.col("cls").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
-
-    cold = reps.select(F.explode(F.expr("slice(keys, 1, light)")).alias("key"), F.col("doc_id").alias("cls"))
-    cold = cold.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").select("key", "cls")
-    hot = reps.where("light < width").select(F.explode(F.expr("slice(keys, light + 1, width)")).alias("key"), F.col("doc_id").alias("cls"))
-    cells = store(cold.union(hot))
+    # slices of about half a million columns each, and enough of them to be dealt evenly
+    slices = 64 + (rows.agg(F.coalesce(F.sum("light"), F.lit(0))).first()[0] >> 19)
+    hot = real.where("light < size(keys)").select(F.explode(F.expr("slice(keys, light + 1, size(keys))")).alias("key"), F.col("doc_id").alias("cls"))
+    # a copy from another batch than the first of its class goes
+    cells = store(_shared_cells(real, slices).union(hot).join(classes.select("cls"), "cls", "left_semi").select("key", "cls"))
 
+    reps = real.select("doc_id", "h1", "h2", "n", "width").join(classes.select(F.col("cls").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
     sizes = reps.groupBy(F.col("doc_id").alias("cls")).agg(F.min("n").alias("n"), F.max("n").alias("top"), F.max("width").alias("width"))
     least = F.expr(f"(cast(ceil(n * {percent} / 100) as int) div {_PART}) + 1")  # of the smallest partner
     kept = cells.groupBy("cls").agg(F.count("*").alias("c")).join(sizes, "cls").where(F.col("c") >= least)

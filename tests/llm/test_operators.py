@@ -86,6 +86,22 @@ def test_ngram_join_of_repeated_ids_matches_all_pairs(spark):
     assert len(got) == len(again) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_ngram_join_of_frequent_ngrams_over_many_batches(spark):
+    """Batches of few rows: a sentence that most documents have once, copies that no batch holds
+    together, and near copies of those."""
+    r = random.Random(12)
+    common = "this very sentence stands in nearly all of the documents here ".split()
+    texts = [[f"v{r.randrange(60)}" for _ in range(r.randint(3, 50))] for _ in range(60)]
+    texts += [list(t) for t in texts[:30]] + [[*t[:2], "other", *t[3:]] for t in texts[:30] if len(t) > 30]
+    rows = [(i, " ".join(t[: len(t) // 2] + common + t[len(t) // 2 :] if i % 7 else t)) for i, t in enumerate(texts)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 6)
+    try:
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard_join(docs(spark, rows).repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute.jaccard_components(rows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in connected_components(edges).collect()}
