@@ -61,10 +61,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies, as the n-gram join finds them, are one duplicate cluster; rows of which it says
     nothing (a null doc_id) go by their text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = ngram_jaccard_join(docs).groupBy(F.col("doc_id").alias("d")).agg(F.min("component_id").alias("component"))
-    # a text without words is packed nowhere, so it needs no cluster
-    cluster = F.coalesce(F.col("component").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256)))
-    return pack(docs.join(found, F.col("doc_id") == F.col("d"), "left").withColumn("cluster", cluster), cluster="cluster")
+    found = ngram_jaccard_join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("cluster"))
+    return pack(docs, clusters=found)
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
