@@ -9,7 +9,10 @@ this span stands for all of them, and the spans are joined on their anchors:
   own documents first, so that a frequent passage leaves one row a batch and not one an occurrence.
 * Spans with an anchor that only equal spans have hold nothing else that repeats.
 * Where one anchor stands in different spans, the earliest of each is cut to the maximal repeats:
-  its windows are compared one by one.
+  its windows are compared one by one, and again batches see to their own repeats first.
+* An anchor with many different spans in one batch is crowded: its spans there go straight to the
+  comparison of windows, and one mark tells the other batches. So no anchor, span or window, however
+  frequent, brings more than a bounded number of rows a batch to one task.
 """
 
 from __future__ import annotations
@@ -21,11 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, pieces, rolling, span_hash, store, text_buffers
+from .common import hash_words, mix, pieces, rolling, span_hash, store, text_buffers
 
 _U, _I = np.uint64, np.int64
 _PIECE = 1 << 21
 _PLACE = (1 << 28) - 1
+#: Different spans of one anchor in one batch beyond which it is crowded.
+CROWD = 64
+#: What a batch knows of a span: first of its kind, repeats one of the batch, of a crowded anchor, or
+#: no span but the mark of such an anchor. Only the first and the mark are dealt by anchor.
+_FIRST, _AGAIN, _CROWDED, _MARK = range(4)
 
 
 def _runs(words: np.ndarray, at: np.ndarray, window: int, k: int):
@@ -58,11 +66,22 @@ def _runs(words: np.ndarray, at: np.ndarray, window: int, k: int):
     return d[new], lo - at[:-1][d[new]], hi - at[:-1][d[new]], anchor[new] - lo, grams[anchor[new]], span_hash(words, lo, hi + window)
 
 
-_SPANS = "doc_id long, lo int, hi int, off int, anchor long, span long, repeated boolean"
+_SPANS = "doc_id long, lo int, hi int, off int, anchor long, span long, state byte"
+
+
+def _apart(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A key of its own for every place of every document, for rows that need not meet others."""
+    return mix(doc.view(_U) * _U(0x9E3779B97F4A7C15) ^ mix(place.astype(_U)))
+
+
+def _same_as_before(*sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_[0]):
+        return np.zeros(0, bool)
+    return np.r_[False, np.logical_and.reduce([x[1:] == x[:-1] for x in sorted_])]
 
 
 def _spans(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """One row for each span; repeated: the same span stands earlier in the same batch."""
+    """One row for each span, and one for each crowded anchor of a batch."""
 
     def rows(batches):
         for batch in batches:
@@ -72,20 +91,35 @@ def _spans(docs: DataFrame, window: int, k: int) -> DataFrame:
             for a, b in pieces(offsets, _PIECE):
                 words, at = hash_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 d, lo, hi, off, anchor, span = _runs(words, at, window, k)
-                parts.append((ids[a:b][d], lo.astype(np.int32), hi.astype(np.int32), off.astype(np.int8), anchor.view(_I), span.view(_I)))
+                parts.append((ids[a:b][d], lo.astype(np.int32), hi.astype(np.int32), off.astype(np.int32), anchor, span))
+            if not parts:
+                continue
             doc, lo, hi, off, anchor, span = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((lo, doc, span))
+            order = np.lexsort((lo, doc, off, span, anchor))
             doc, lo, hi, off, anchor, span = (x[order] for x in (doc, lo, hi, off, anchor, span))
-            again = np.r_[False, (span[1:] == span[:-1]) & (anchor[1:] == anchor[:-1]) & (off[1:] == off[:-1])] if len(span) else np.zeros(0, bool)
+            state = np.where(_same_as_before(anchor, span, off), _AGAIN, _FIRST).astype(np.int8)
+            edge = np.flatnonzero(~_same_as_before(anchor)) if len(anchor) else np.zeros(0, _I)
+            of = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(anchor)]))
+            crowded = np.bincount(of[state == _FIRST], minlength=len(edge)) > CROWD
+            state[crowded[of] & (state == _FIRST)] = _CROWDED
+            marks = anchor[edge[crowded]]
+            alone = (state == _AGAIN) | (state == _CROWDED)
+            # rows that are dealt apart can never be taken for one of the anchor that they fall on
+            key, kind, value = np.where(alone, _apart(doc, lo), anchor), np.where(alone, -2 - off, off).astype(np.int32), np.where(alone, _U(0), span)
+            none = np.zeros(len(marks), np.int32)
+            doc, lo, hi = np.r_[doc, none.astype(_I)], np.r_[lo, none], np.r_[hi, none]
+            kind, key, value = np.r_[kind, none - 1], np.r_[key, marks], np.r_[value, none.astype(_U)]
+            state = np.r_[state, np.full(len(marks), _MARK, np.int8)]
             for i in range(0, len(doc), 200_000):
                 s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (doc[s], lo[s], hi[s], off[s].astype(np.int32), anchor[s], span[s], again[s]))], [x.split()[0] for x in _SPANS.split(", ")])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (doc[s], lo[s], hi[s], kind[s], key[s].view(_I), value[s].view(_I), state[s]))], [x.split()[0] for x in _SPANS.split(", ")])
 
     return docs.mapInArrow(rows, _SPANS)
 
 
 def _windows(marked: DataFrame, window: int, k: int) -> DataFrame:
-    """doc_id, start, off, anchor, hash of every window of the spans in `at` of each row."""
+    """doc_id, start, off, anchor, hash, again of every window of the spans in `at` of each row; again:
+    the same window stands earlier in the same piece of a batch."""
 
     def rows(batches):
         for batch in batches:
@@ -94,42 +128,44 @@ def _windows(marked: DataFrame, window: int, k: int) -> DataFrame:
             spans = batch.column(2)
             for a, b in pieces(offsets, _PIECE):
                 words, at = hash_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                which, start, off = [], [], []
-                for i in range(a, b):
-                    for s in spans[i].as_py():
-                        n = s["hi"] - s["lo"] + 1
-                        which.append(np.full(n, i - a))
-                        start.append(np.arange(s["lo"], s["hi"] + 1))
-                        off.append(s["off"] - np.arange(n))
-                if not which:
+                part = spans.slice(a, b - a)
+                flat = part.flatten()
+                lo, hi, off = (flat.field(c).to_numpy(zero_copy_only=False).astype(_I) for c in ("lo", "hi", "off"))
+                if not len(lo):
                     continue
-                which, start, off = np.concatenate(which), np.concatenate(start), np.concatenate(off)
-                lo = at[:-1][which] + start
-                grams = rolling(words, k)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[a:b][which], start.astype(np.int32), off.astype(np.int32), grams[lo + off].view(_I), span_hash(words, lo, lo + window).view(_I)))], ["doc_id", "start", "off", "anchor", "hash"])
+                of = np.repeat(np.arange(b - a), np.diff(part.offsets.to_numpy()))
+                n = hi - lo + 1
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                which, start, off = np.repeat(of, n), np.repeat(lo, n) + step, np.repeat(off, n) - step
+                first = at[:-1][which] + start
+                anchor, hashed, doc = rolling(words, k)[first + off], span_hash(words, first, first + window), ids[a:b][which]
+                order = np.lexsort((start, doc, off, hashed, anchor))
+                doc, start, off, anchor, hashed = (x[order] for x in (doc, start, off, anchor, hashed))
+                again = _same_as_before(anchor, hashed, off)
+                anchor, off = np.where(again, _apart(doc, start), anchor), np.where(again, -2, off)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (doc, start.astype(np.int32), off.astype(np.int32), anchor.view(_I), hashed.view(_I), again))], ["doc_id", "start", "off", "anchor", "hash", "again"])
 
-    return marked.mapInArrow(rows, "doc_id long, start int, off int, anchor long, hash long")
+    return marked.mapInArrow(rows, "doc_id long, start int, off int, anchor long, hash long, again boolean")
 
 
 def repeated_spans(docs: DataFrame, window: int = 20, k: int = 6) -> DataFrame:
     """doc_id, lo, hi: ranges of window starts whose window also starts earlier (smaller doc_id, or
     the same document and an earlier start). docs: doc_id (not null, unique), text."""
-    spans = store(_spans(docs, window, k))
-    first = spans.where("not repeated")
     by = Window.partitionBy("anchor")
     same = Window.partitionBy("anchor", "span", "off").orderBy("doc_id", "lo")
     # dealt by anchor once; this order also serves the second window
-    ranked = first.repartition("anchor").withColumn("at", F.row_number().over(same))
+    ranked = _spans(docs, window, k).repartition("anchor").withColumn("at", F.row_number().over(same))
     ranked = ranked.withColumns({"x": F.min("span").over(by), "y": F.max("span").over(by), "v": F.min("off").over(by), "w": F.max("off").over(by)})
-    ranked = store(ranked.where("at > 1 or x <> y or v <> w").select("doc_id", "lo", "hi", "off", (F.col("at") > 1).alias("repeated")))
+    repeated = (F.col("state") == _AGAIN) | (F.col("state") == _FIRST) & (F.col("at") > 1)
+    off = F.when(F.col("off") < 0, -2 - F.col("off")).otherwise(F.col("off"))
+    ranked = ranked.where(F.col("state") != _MARK).where(repeated | (F.col("state") == _CROWDED) | (F.col("x") != F.col("y")) | (F.col("v") != F.col("w")))
+    ranked = store(ranked.select("doc_id", "lo", "hi", off.cast("int").alias("off"), repeated.alias("repeated")))
 
     unclear = ranked.where("not repeated").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "off")).alias("at"))
     marked = docs.join(unclear, "doc_id").select("doc_id", "text", "at")
-    windows = _windows(marked, window, k)
     number = F.row_number().over(Window.partitionBy("anchor", "hash", "off").orderBy("doc_id", "start"))
-    single = windows.withColumn("at", number).where("at > 1").select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    whole = spans.where("repeated").select("doc_id", "lo", "hi").union(ranked.where("repeated").select("doc_id", "lo", "hi"))
-    return whole.union(single)
+    single = _windows(marked, window, k).withColumn("at", number).where("again or at > 1").select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    return ranked.where("repeated").select("doc_id", "lo", "hi").union(single)
 
 
 def _cut(with_ranges: DataFrame, window: int, keep: bool, carry: tuple[str, ...]) -> DataFrame:

@@ -118,6 +118,24 @@ def test_substring_dedup_matches_every_window(spark, seed):
     assert sum(r.n_removed for r in got) > 500
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_substring_dedup_of_a_crowded_anchor(spark, batch):
+    """Six frequent words in ever new surroundings, and a frequent passage in them."""
+    r = random.Random(14)
+    common, passage = "a b c d e f".split(), [f"p{i}" for i in range(24)]
+    prose = lambda k: [f"w{r.randrange(3)}" for _ in range(k)]
+    rows = []
+    for i in range(150):
+        t = prose(r.randint(0, 9)) + common + prose(r.randint(12, 30)) + common + (passage if i % 3 else prose(8)) + common + prose(r.randint(0, 20))
+        rows.append((i, " ".join(t)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = substring_dedup(docs(spark, rows).repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in got} == brute.without_repeats(rows)
+
+
 def test_substring_dedup_of_repeated_ids(spark):
     t = " ".join(f"w{i}" for i in range(30))
     got = substring_dedup(docs(spark, [(5, t), (5, t), (None, t), (2, "x " + t)])).collect()
