@@ -121,13 +121,17 @@ def _smoothed(counts: DataFrame, base: Column | str, strength: float) -> DataFra
 
 
 def identify_language(
-    rows: DataFrame, temper: float = TEMPER, strength: float = STRENGTH, least_letters: float = 0.35, least_posterior: float = 0.5
-) -> DataFrame:
+    rows: DataFrame, temper: float = TEMPER, strength: float = STRENGTH, least_letters: float = 0.35, least_posterior: float = 0.5,
+    evidence: DataFrame | None = None, by: str = "id",
+) -> DataFrame:
     """id, lang, posterior, text_lang, accepted for every row of id, text, declared, host, suffix.
 
     Any column but `id` may be null or missing: that evidence is then left out (a null host is a
     host of its own). Every language that a row declares is one to identify, however rare; time and
-    memory a row grow with their number. accepted: the text has letters in at least `least_letters` of its bytes that
+    memory a row grow with their number. evidence (key, declared, host, suffix; one row each at most)
+    takes the place of what the rows with that key in the column `by` say themselves, where it is
+    not null; the byte-pair models are counted by the rows' own declarations. It meets the rows
+    when their texts are gone. accepted: the text has letters in at least `least_letters` of its bytes that
     are not white space, and the posterior is at least `least_posterior`; so null, empty and blank
     texts are rejected, with the language that the other evidence points to. Equal posteriors go
     to the alphabetically first language. With no declared language in the table there is nothing
@@ -136,16 +140,21 @@ def identify_language(
     """
     have = set(rows.columns)
     pick = lambda c: F.col(f"`{c}`").cast("string") if c in have else F.lit(None).cast("string")
-    rows = rows.select(F.col("id"), F.lower(F.trim(pick("declared"))).alias("declared"), F.lower(pick("host")).alias("host"), F.lower(pick("suffix")).alias("suffix"), pick("text").alias("text"))
-    rows = rows.withColumn("declared", F.when(F.col("declared") != "", F.regexp_extract("declared", r"^[^-_]*", 0)))
+    subtag = lambda c: F.regexp_extract(F.when(F.trim(c) != "", F.lower(F.trim(c))), r"^[^-_]*", 0)
+    rows = rows.select(F.col("id"), F.col(by).alias("by"), subtag(pick("declared")).alias("declared"), F.lower(pick("host")).alias("host"), F.lower(pick("suffix")).alias("suffix"), pick("text").alias("text"))
     names, model = language_model(rows)
     if not names:
         return rows.select("id", *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("posterior", "double"), ("text_lang", "string"))], F.lit(False).alias("accepted"))
     n = len(names)
     scored = _likelihoods(rows, model, temper)
+    if evidence is not None:
+        more = evidence.select(F.col("key").alias("by"), subtag(F.col("declared")).alias("d"), F.lower("host").alias("h"), F.lower("suffix").alias("x"))
+        scored = scored.join(more, "by", "left").withColumns({"declared": F.coalesce("d", "declared"), "host": F.coalesce("h", "host"), "suffix": F.coalesce("x", "suffix")}).drop("d", "h", "x")
     best = F.array_position("ll", F.array_max("ll")) - 1
     scored = store(scored.withColumn("best", F.when(F.col("letters") >= least_letters, best).cast("int")))
-    sure = scored.where("best is not null")
+    # the last two labels of an address; a host that is no more than that has no parent
+    domain = F.when(F.col("host").contains("."), F.regexp_extract("host", r"[^.]+\.[^.]+$", 0))
+    sure = scored.where("best is not null").withColumn("domain", domain)
 
     def counted(*by: str) -> DataFrame:
         """c, the sure rows of each language as an array, by these columns; no expression is as
@@ -157,14 +166,10 @@ def identify_language(
     dense = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0.0)))
 
     # languages of all rows, then of parent domains, then of hosts
-    parent = F.when(F.size(F.split("host", r"\.")) > 2, F.regexp_extract("host", r"[^.]+\.[^.]+$", 0)).otherwise(F.col("host"))
-    sure = sure.withColumn("parent", parent)
-    every = _smoothed(counted(), F.array_repeat(F.lit(1.0 / n), n), strength).select(F.col("p").alias("pa"))
-    hosts = counted("host")
-    domains = _smoothed(counted("parent").crossJoin(F.broadcast(every)), "pa", strength)
-    domains = domains.select(F.col("parent").alias("dp"), F.col("p").alias("pd"))
-    priors = hosts.withColumn("parent", parent).join(domains, F.col("parent").eqNullSafe(F.col("dp")))
-    priors = _smoothed(priors, "pd", strength).select(F.col("host").alias("h"), F.col("p").alias("prior"))
+    every = F.broadcast(_smoothed(counted(), F.array_repeat(F.lit(1.0 / n), n), strength).select(F.col("p").alias("pa")))
+    domains = _smoothed(counted("domain").where("domain is not null").crossJoin(every), "pa", strength).select("domain", F.col("p").alias("pd"))
+    hosts = counted("host").withColumn("domain", F.when(domain != F.col("host"), domain)).join(domains, "domain", "left").crossJoin(every)
+    priors = _smoothed(hosts, F.coalesce("pd", "pa"), strength).select(F.col("host").alias("h"), F.col("p").alias("prior"))
 
     def table(column: str) -> DataFrame:
         """P(value | language) up to a factor: what goes with each language, smoothed evenly."""
@@ -191,16 +196,26 @@ def identify_language(
     return out.select("id", F.element_at(name, at).alias("lang"), posterior.alias("posterior"), text_lang.alias("text_lang"), accepted.alias("accepted"))
 
 
-def page_rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """id, text, declared, host, suffix of web pages: the text without tags, the lang attribute of
-    <html>, and the host and its last label (with the first part of the path where that is a
-    two-letter code) of the address."""
-    h = F.col(html)
-    bare = F.regexp_replace(F.regexp_replace(h, r"(?is)<(script|style|title)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    declared = F.regexp_extract(h, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", 1)
+def _said(url: str, html: str) -> list[Column]:
+    """declared, host, suffix: the lang attribute of <html>, and the host and its last label (with the
+    first part of the path where that is a two-letter code) of the address."""
+    declared = F.regexp_extract(F.col(html), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", 1)
     host = F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     code = F.lower(F.regexp_extract(F.col(url), r"^[^?#]*?://[^/]+/([A-Za-z]{2})(?:[/?#]|$)", 1))
     suffix = F.concat_ws("/", F.regexp_extract(host, r"[^.]+$", 0), F.when(code != "", code))
-    return pages.select(
-        F.col(page_id).alias("id"), bare.alias("text"), F.when(declared != "", declared).alias("declared"), F.when(host != "", host).alias("host"), F.when(suffix != "", suffix).alias("suffix")
-    )
+    return [F.when(c != "", c).alias(name) for c, name in ((declared, "declared"), (host, "host"), (suffix, "suffix"))]
+
+
+def page_rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """id, text, declared, host, suffix of web pages; text: what is left without tags."""
+    bare = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style|title)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    return pages.select(F.col(page_id).alias("id"), bare.alias("text"), *_said(url, html))
+
+
+def page_evidence(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """key, declared, host, suffix of the documents that pages show: the number at the end of the
+    address's path is the document's id. Of several pages of one document that with the smallest id
+    speaks; pages without such an address (null, no number) speak for none."""
+    number = F.regexp_extract(F.col(url), r"^[^?#]*?://[^?#]*/([0-9]{1,18})(?:\.\w+)?/?(?:[?#]|$)", 1)
+    rows = pages.select(F.when(number != "", number.cast("long")).alias("key"), F.col(page_id).alias("id"), F.struct(*_said(url, html)).alias("r"))
+    return rows.where("key is not null").groupBy("key").agg(F.min_by("r", F.struct("id", "r")).alias("r")).select("key", "r.*")

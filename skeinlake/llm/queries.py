@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html_extract import extract_main_text
-from .language_id import identify_language
+from .language_id import identify_language, page_evidence
 from .media import media_columns
 from .mixing import mix_sources
 from .mtree import exact_top_k
@@ -49,12 +49,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
-    """The evidence that `documents` hold: the source stands for the host; they have no address."""
+    """The evidence that `documents` themselves hold: the source stands for the host."""
     return docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_language(document_evidence(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    """Documents that a page shows have its markup language, host and address for evidence."""
+    rows = document_evidence(_table(spark, sf_dir, "documents"))
+    return identify_language(rows, evidence=page_evidence(_table(spark, sf_dir, "pages"))).withColumnRenamed("id", "doc_id")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from skeinlake.llm import html_blocks, html_extract, media
 from skeinlake.llm.graph import connected_components
-from skeinlake.llm.language_id import identify_language, page_rows
+from skeinlake.llm.language_id import identify_language, page_evidence, page_rows
 from skeinlake.llm.media import media_columns, media_features
 from skeinlake.llm.mixing import mix_sources
 from skeinlake.llm.mtree import exact_top_k
@@ -428,10 +428,75 @@ def test_hundreds_of_declared_languages(spark):
 
 
 def test_page_evidence(spark):
-    df = spark.createDataFrame([(1, "https://a.b.co.uk:80/fr/x?q", '<html lang="fr-CA"><script>no</script><p>oui</p>'), (2, None, None)], "page_id bigint, url string, html string")
+    rows = [
+        (1, "https://a.b.co.uk:80/fr/x?q", '<html lang="fr-CA"><script>no</script><p>oui</p>'), (2, None, None), (7, "http://x.de/de/12.html#a", "<html lang=de>"),
+        (5, "http://y.x.de/de/12/?p=3", "<html>"), (9, "http://x.de/12345678901234567890", None), (None, "http://z.de/8", "<html lang=it>"), (4, "http://z.de/8", "<html lang=it>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("key", F.lit("clash"))
     got = {r.id: r for r in page_rows(df).collect()}
     assert (got[1].declared, got[1].host, got[1].suffix, got[1].text.split()) == ("fr", "a.b.co.uk", "uk/fr", ["oui"])
     assert got[2].text is None and got[2].host is None
+    assert sorted(map(tuple, page_evidence(df).collect())) == [(8, "it", "z.de", "de"), (12, None, "y.x.de", "de/de")]
+    assert page_evidence(df.where("false")).count() == 0
+
+
+def plain_posteriors(rows, evidence, temper=0.25, strength=20.0, least_letters=0.35):
+    """id -> (lang, posterior), by the formulas alone."""
+    low = lambda t: bytes(c + 32 if 65 <= c < 91 else c for c in (t or "").encode())
+    pairs = lambda t: [(x, y) for x, y in zip(low(t), low(t)[1:])]
+    names = sorted({r[2] for r in rows if r[2]})
+    logs = {}
+    for k in names:
+        n = Counter(p for r in rows if r[2] == k for p in pairs(r[1]))
+        each = max(1, len(n)) / 65536
+        total = sum(n.values()) + each * 65536
+        logs[k] = lambda p, n=n, each=each, total=total: np.log((n.get(p, 0) + each) / total)
+    full = []
+    for i, text, declared, host, suffix in rows:
+        e = evidence.get(i, (None, None, None))
+        t = low(text)
+        solid = sum(c > 32 for c in t)
+        letters = sum(97 <= c < 123 or c >= 128 for c in t) / max(1, solid)
+        ll = np.array([temper * sum(logs[k](p) for p in pairs(text)) for k in names])
+        full.append((i, ll - ll.max(), letters, e[0] or declared, e[1] or host, e[2] or suffix))
+    best = lambda r: int(np.argmax(r[1])) if r[2] >= least_letters else None
+    counts = lambda keep: np.bincount([best(r) for r in full if best(r) is not None and keep(r)], minlength=len(names)).astype(float)
+    smooth = lambda c, base: (c + strength * base) / (c.sum() + strength)
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h and "." in h else None
+    every = smooth(counts(lambda r: True), np.full(len(names), 1 / len(names)))
+    out = {}
+    for r in full:
+        s = r[1].copy() if r[2] > 0 else np.zeros(len(names))
+        mine = counts(lambda q: q[4] == r[4])
+        if mine.sum():
+            d = domain(r[4])
+            base = smooth(counts(lambda q: domain(q[4]) == d), every) if d and d != r[4] else every
+            s += np.log(smooth(mine, base))
+        for at in (3, 5):
+            with_it = counts(lambda q: q[at] == r[at] and r[at] is not None)
+            if with_it.sum():
+                s += np.log((with_it + 1) / (counts(lambda q: q[at] is not None) + len(names)))
+        p = np.exp(s - s.max())
+        out[r[0]] = names[int(np.argmax(s))], 1 / p.sum()
+    return out
+
+
+def test_language_posterior_by_the_formulas(spark):
+    r = random.Random(15)
+    letters = {"en": "ethoanisrw", "de": "etschnirtu", "fr": "eauxionqré"}
+    rows = []
+    for i in range(70):
+        k = r.choice("en de fr".split())
+        text = " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 12)))
+        rows.append((i, r.choice((text, text, text, text.upper(), "12 -- 7", None)), r.choice((k, k, "en", None)), r.choice(("a.s.org", "b.s.org", "s.org", "src1", None)), r.choice((None, k))))
+    evidence = {i: (r.choice((None, "fr")), r.choice((None, "c.t.net", "a.s.org")), r.choice((None, "org", "net/de"))) for i in range(0, 90, 3)}
+    want = plain_posteriors(rows, evidence)
+    df = spark.createDataFrame(rows, "id bigint, text string, declared string, host string, suffix string")
+    more = spark.createDataFrame([(i, *e) for i, e in evidence.items()], "key bigint, declared string, host string, suffix string")
+    repeated = df.union(df.where("id < 5")).withColumns({"best": F.lit("clash"), "by": F.lit(1)})
+    got = identify_language(df, evidence=more).collect()
+    assert len(got) == 70 and all(x.lang == want[x.id][0] and abs(x.posterior - want[x.id][1]) < 1e-5 for x in got)
+    assert identify_language(repeated, evidence=more).count() == 75
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
