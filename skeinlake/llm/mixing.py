@@ -6,7 +6,8 @@ what is left of the target goes to a prefix of that order.
 
 No source meets in one task: the keys are cut into buckets whose number grows with the square root
 of the source's rows, the buckets' sizes are summed first, and the prefix sums run within a bucket
-on top of what the buckets before it hold.
+on top of what the buckets before it hold. Nor do all sources, which may be hosts: they are sorted
+by range, and each range starts from the sums of those before it.
 """
 
 from __future__ import annotations
@@ -20,32 +21,37 @@ from .common import WORD, store
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
 
 
+def _in_order(rows: DataFrame, by: list[Column | str], **sums: str) -> DataFrame:
+    """rows with, by these names, the running sum of a column over all rows in this order, the row's
+    own included. The sort deals ranges; a range's own sums start from those of the ranges before."""
+    placed = store(rows.orderBy(*by).withColumn("place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("range", F.shiftrightunsigned("place", 33))
+    held = placed.groupBy("range").agg(*[F.sum(c).alias(f"b_{name}") for name, c in sums.items()])
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    held = held.select(F.col("range").alias("r_"), *[F.coalesce(F.sum(f"b_{n}").over(earlier), F.lit(0)).alias(f"b_{n}") for n in sums])
+    inside = Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.join(F.broadcast(held), F.col("range") == F.col("r_"))
+    return out.withColumns({n: F.col(f"b_{n}") + F.sum(c).over(inside) for n, c in sums.items()}).select(*rows.columns, *sums)
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
-    """source, source_size, n -> those and target.
+    """source, source_size, n -> those and target. One row a source; an empty table gives an empty one.
 
     Sources by code point, null last, weigh `weights` in turn and share `share` times all words.
     A target stops at `epochs` times its source's size and the excess is shared among the rest by
     weight until none is above: the sources by size to weight stop in this order, so one prefix
-    sum finds where the sharing ends. Sources of size 0 get 0. One row a source meets in one task.
+    sum finds where the sharing ends (of equal ratios all stop or none). Sources of size 0 get 0.
     """
-    at = (F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1) % len(weights)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (at + 1).cast("int"))
-    by = sources.withColumn("w", w).withColumn("r", epochs * F.col("source_size") / F.col("w"))
-    all_of, so_far = Window.partitionBy(), Window.orderBy("r").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    by = by.withColumns(
-        {
-            "total": share * F.sum("source_size").over(all_of),
-            "stopped": epochs * F.sum("source_size").over(so_far),
-            "open": F.sum("w").over(all_of) - F.sum("w").over(so_far),
-        }
-    )
-    stops = F.col("stopped") + F.col("r") * F.col("open") <= F.col("total")
-    by = by.withColumn("stops", stops).withColumns(
-        {
-            "held": F.coalesce(F.sum(F.when(F.col("stops"), epochs * F.col("source_size"))).over(all_of), F.lit(0.0)),
-            "sharing": F.sum(F.when(~F.col("stops"), F.col("w"))).over(all_of),
-        }
-    )
+    ranked = _in_order(sources.withColumn("one", F.lit(1)), [F.col("source").isNull(), "source"], rank="one")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    by = ranked.withColumn("w", w).withColumn("r", epochs * F.col("source_size") / F.col("w"))
+    by = store(_in_order(by, ["r"], so_far="source_size", w_so_far="w"))
+    total = by.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))
+    by = by.crossJoin(F.broadcast(total)).withColumn("total", share * F.col("all_size"))
+    stops = epochs * F.col("so_far") + F.col("r") * (F.col("all_w") - F.col("w_so_far")) <= F.col("total")
+    by = by.withColumn("stops", stops)
+    rest = by.agg(F.coalesce(F.sum(F.when(F.col("stops"), epochs * F.col("source_size"))), F.lit(0.0)).alias("held"), F.sum(F.when(~F.col("stops"), F.col("w"))).alias("sharing"))
+    by = by.crossJoin(F.broadcast(rest))
     full = (epochs * F.col("source_size")).cast("double")
     part = (F.col("total") - F.col("held")) * F.col("w") / F.col("sharing")
     return by.select("source", "source_size", "n", F.when(F.col("stops"), full).otherwise(F.least(full, part)).alias("target"))

@@ -67,3 +67,39 @@ def water_fill(sizes, weights, share=1.5, epochs=2):
             left -= target[i]
         free -= over
     return target
+
+
+def mix(rows, sources, weights, keys, epochs=2):
+    """(doc, size, taken) of every row, by place: rows of (id, text), the source and the key of each."""
+    size = [len(words(t)) for _, t in rows]
+    names = sorted({x for x in sources if x is not None}) + [None] * (None in sources)
+    held = {x: sum(n for n, s in zip(size, sources) if s == x) for x in names}
+    target = dict(zip(names, water_fill([held[x] for x in names], [weights[i % len(weights)] for i in range(len(names))], epochs=epochs)))
+    taken = [0] * len(rows)
+    for x in names:
+        mine = [i for i, s in enumerate(sources) if s == x]
+        whole, left = divmod(target[x], held[x]) if held[x] else (0, 0)
+        left = int(left + 1e-9)
+        for i in sorted(mine, key=lambda i: keys[i]):
+            part = min(size[i], left)
+            taken[i], left = int(whole) * size[i] + part, left - part
+    return [(d, n, t) for (d, _), n, t in zip(rows, size, taken)]
+
+
+def packed(items, capacity, per_source):
+    """(bin, offset) of each (size, source, cluster), cluster -1: none: the larger first, each in the
+    fullest bin that it fits and that takes it, the first opened of equals."""
+    bins, out = [], [None] * len(items)
+    for i in sorted(range(len(items)), key=lambda i: (-items[i][0], i)):
+        size, source, cluster = items[i]
+        fits = [b for b in bins if b["left"] >= size and b["sources"].count(source) < per_source and (cluster < 0 or cluster not in b["clusters"])]
+        if fits:
+            best = min(fits, key=lambda b: (b["left"], b["number"]))
+        else:
+            best = {"number": len(bins), "left": capacity, "sources": [], "clusters": set()}
+            bins.append(best)
+        out[i] = best["number"], capacity - best["left"]
+        best["left"] -= size
+        best["sources"].append(source)
+        best["clusters"].add(cluster)
+    return out

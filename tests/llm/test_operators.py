@@ -12,7 +12,7 @@ from skeinlake.llm import html_blocks, html_extract, media
 from skeinlake.llm.graph import connected_components
 from skeinlake.llm.language_id import identify_language, page_evidence, page_rows
 from skeinlake.llm.media import media_columns, media_features
-from skeinlake.llm.mixing import mix_sources
+from skeinlake.llm.mixing import mix_sources, targets
 from skeinlake.llm.mtree import exact_top_k
 from skeinlake.llm.ngram_join import _same_documents, ngram_jaccard_join
 from skeinlake.llm.packing import best_fit, pack
@@ -183,6 +183,34 @@ def test_mixing_targets_and_budgets(spark):
     assert [x.taken for x in mix_sources(docs(spark, [(1, None)])).collect()] == [0]
 
 
+def test_mixing_draws_as_a_plain_form_does(spark):
+    r = random.Random(16)
+    names = [f"host{i}" for i in range(90)] + [None]
+    rows = [(i, " ".join(["w"] * r.randint(0, 60))) for i in range(500)] + [(3, "w w"), (None, "w " * 9), (1000, None)]
+    of = {d: r.choice(names) for d, _ in rows}
+    good = [(i, r.choice((None, 0.0, 0.5, 4.0, float("nan")))) for i in range(0, 400, 2)] + [(0, 3.0)]
+    df, quality = docs(spark, rows, lambda d: of[d]), spark.createDataFrame(good, "doc_id bigint, quality double")
+    mean = defaultdict(list)
+    for d, q in good:
+        if q is not None:
+            mean[d].append(q)
+    keyed = df.select("doc_id", "text", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(7)).alias("h")).collect()
+    q = lambda d: sum(mean[d]) / len(mean[d]) if mean.get(d) else 1.0
+    keys = [-np.log((((x.h % (1 << 64)) >> 11) + 1) / 2.0**53) / (q(x.doc_id) if q(x.doc_id) > 0 else 1.0) for x in keyed]
+    want = Counter(brute.mix(rows, [of[d] for d, _ in rows], (5, 2, 1), keys))
+    assert Counter((x.doc_id, x.size, x.taken) for x in mix_sources(df, quality).collect()) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_of_many_sources(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"s{i:03d}": r.choice((0, 1, 5, 5, 400, 10_000)) for i in range(r.choice((1, 3, 200)))}
+    df = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "source string, source_size bigint, n bigint").repartition(3)
+    want = brute.water_fill(list(sizes.values()), [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    got = {x.source: x.target for x in targets(df).collect()}
+    assert len(got) == len(sizes) and all(abs(got[k] - t) < 1e-6 * max(1, t) for k, t in zip(sizes, want))
+
+
 def test_mixing_prefers_quality(spark):
     rows = [(i, "w " * 10) for i in range(2000)]
     good = spark.createDataFrame([(i, 8.0 if i % 2 else 1.0) for i in range(2000)], "doc_id bigint, quality double")
@@ -231,6 +259,13 @@ def test_packing_query_keeps_near_copies_apart(spark, tmp_path):
     assert max(used.values()) == 1 and len({x.bin for x in got if x.bin is not None}) == 4
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_best_fit_as_a_plain_search_does(seed):
+    r = random.Random(seed)
+    items = [(r.randint(1, 20), r.randrange(4), r.choice((-1, -1, 0, 1, 2))) for _ in range(r.randint(0, 120))]
+    assert best_fit(items, 20, 1 + seed % 3) == brute.packed(items, 20, 1 + seed % 3)
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     assert best_fit([(6, 0, -1), (5, 1, -1), (4, 2, -1)], 10, 1) == [(0, 0), (1, 0), (0, 6)]
     assert best_fit([(6, 0, 0), (5, 1, -1), (4, 2, 0)], 10, 1) == [(0, 0), (1, 0), (1, 5)]
