@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skeinlake.llm import html_blocks, html_extract, media
+from skeinlake.llm import html_blocks, html_extract, media, mtree
 from skeinlake.llm.graph import connected_components
 from skeinlake.llm.language_id import identify_language, page_evidence, page_rows
 from skeinlake.llm.media import media_columns, media_features
@@ -272,21 +272,73 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert best_fit([(6, 0, -1), (5, 1, -1), (4, 0, -1)], 10, 1) == [(0, 0), (1, 0), (1, 5)]
 
 
+def plain_top(v, ids, every=50, k=5):
+    """query -> [(vec_id, score)] by exact products of whole numbers."""
+    out = {}
+    for q in sorted({i for i in ids if i % every == 0}):
+        mine = min(v[j] for j in range(len(v)) if ids[j] == q)
+        scores = [(sum(a * b for a, b in zip(v[j], mine)), i) for j, i in enumerate(ids) if i != q and len(v[j]) == len(mine)]
+        out[q] = [(i, max(-(1 << 63), min((1 << 63) - 1, s))) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:k]]
+    return out
+
+
+def found_top(df, **how):
+    got = defaultdict(list)
+    for y in exact_top_k(df, **how).orderBy("query_id", "rank").collect():
+        got[y.query_id].append((y.vec_id, y.score))
+        assert y.rank == len(got[y.query_id])
+    return got
+
+
+def whole(x):
+    return [int(np.floor(256 * float(a))) for a in x]
+
+
 def test_exact_top_k_matches_brute_force(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(700, 12)).astype(np.float32)
     x[100:130] = x[0]
-    rows = [(i, x[i].tolist()) for i in range(700)] + [(700, None), (750, [float("nan")] * 12), (800, [None] * 12), (850, []), (None, x[3].tolist()), (50, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    got = defaultdict(list)
-    for y in exact_top_k(df, block=200, queries=5).orderBy("query_id", "rank").collect():
-        got[y.query_id].append((y.vec_id, y.score))
-    v = np.floor(256 * x.astype(np.float64)).astype(np.int64)
-    for q in range(0, 700, 50):
-        s = v @ v[q]
-        assert got[q] == [(i, int(s[i])) for i in sorted((i for i in range(700) if i != q), key=lambda i: (-s[i], i))[:5]]
-    assert set(got) == set(range(0, 700, 50))
+    x[300:400] = x[300] + r.normal(size=(100, 12)) / 50
+    x[400:420] = 0
+    vectors = [*x.tolist(), [1.0, 2.0], [3.0, 4.0], x[5].tolist()]
+    ids = [*range(700), 50, 51, 5]
+    more = [(700, None), (750, [float("nan")] * 12), (800, [None] * 12), (850, []), (None, x[3].tolist()), (900, [float("inf")] + [0.0] * 11)]
+    df = spark.createDataFrame([*zip(ids, vectors), *more], "vec_id bigint, embedding array<float>").selectExpr("*", "1 as id", "2 as dim", "3 as cell")
+    keep = [j for j in range(len(ids)) if j != 700]  # of the two vectors of id 50 the smaller one asks
+    want = plain_top([whole(v) for v in vectors], ids)
+    for how in ({"block": 60, "queries": 5, "pivots": 7}, {}):
+        got = found_top(df, **how)
+        assert set(got) == set(want) == set(range(0, 700, 50)) and len(keep) == 702
+        assert all(got[q] == want[q] for q in want)
     assert exact_top_k(df.where("false")).count() == 0
+    assert exact_top_k(df.where("vec_id = 50 and size(embedding) = 2")).count() == 0
+
+
+def test_exact_top_k_of_large_components(spark):
+    r = np.random.default_rng(2)
+    near = (1e8 + r.normal(size=(150, 8)) * 1e3).tolist()
+    small = r.normal(size=(60, 8)).tolist()
+    huge = [[2.0**62 / 256, *[1.0] * 7], [-(2.0**62), *[3.0] * 7], [1e38] * 8, [-1e38] * 8, [1e150, *[0.0] * 7], [1e200] * 8, [0.0] * 8]
+    for vectors in (near, [*small, *huge], huge):
+        df = spark.createDataFrame([*enumerate(vectors)], "vec_id bigint, embedding array<double>")
+        held = [i for i, v in enumerate(vectors) if max(abs(256 * a) for a in v) <= 1e150]
+        assert found_top(df, query_every=3, block=40, pivots=5) == plain_top([whole(vectors[i]) for i in held], held, 3)
+
+
+def test_bounds_spare_distances():
+    """On rows in clusters most distances are never computed."""
+    r = np.random.default_rng(3)
+    centers = r.normal(size=(40, 16)) * 40
+    x = np.floor(np.repeat(centers, 200, 0) + r.normal(size=(8000, 16)))
+    longest = float(np.sqrt((x * x).sum(1)).max()) * (1 + 1e-9)
+    asked = np.arange(0, 8000, 400)
+    found, computed = mtree._block_top(x, np.arange(8000), x[asked], asked, np.full(len(asked), np.inf), longest, 5)
+    scores = x @ x[asked].T
+    scores[asked, np.arange(len(asked))] = -np.inf
+    for n, q in enumerate(asked.tolist()):
+        want = sorted(((-s, i) for i, s in enumerate(scores[:, n].tolist())))[:5]
+        assert sorted((-s, i) for qid, i, s in found if qid == q) == want
+    assert computed < 0.5 * len(asked) * len(x)
 
 
 def test_html_extraction(spark):
