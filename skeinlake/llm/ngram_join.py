@@ -42,38 +42,50 @@ _PART = 16
 _DENSE, _BLOCK = 16, 512
 
 
-def _sets(column: pa.Array, n: int):
-    """For each document of a batch its sorted distinct n-gram hashes."""
+def _grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram hashes of whole documents, one after the other, the offset of each document's first,
+    and how many words it has."""
+    words, at = hash_words(data, offsets, lower=True)
+    size = np.diff(at)
+    count = np.where(size >= n, size - n + 1, np.minimum(size, 1))
+    out = np.zeros(count.sum(), _U)
+    first = np.r_[0, np.cumsum(count)]
+    if len(words) >= n:
+        doc = np.repeat(np.arange(len(size)), size)[: len(words) - n + 1]
+        full = np.arange(len(doc)) - at[:-1][doc] + n <= size[doc]
+        out[np.repeat(size >= n, count)] = rolling(words, n)[full]
+    for i in np.flatnonzero((size > 0) & (size < n)):
+        out[first[i]] = mix(rolling(words[at[i] : at[i + 1]], int(size[i])) + _U(size[i]))[0]
+    return out, first, size
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _grams, but the distinct ones of each document in the order of their values."""
+    flat, first, words = _grams(data, offsets, n)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        flat[a:b].sort()
+    keep = np.ones(len(flat), bool)
+    keep[1:] = flat[1:] != flat[:-1]
+    keep[first[:-1][first[:-1] < len(flat)]] = True
+    return flat[keep], np.r_[0, np.cumsum(keep)][first], words
+
+
+def _pieces(column: pa.Array):
+    """Texts of a batch a piece at a time: first and last row, bytes, offsets."""
     data, offsets = text_buffers(column)
     for a, b in pieces(offsets, _PIECE):
-        words, at = hash_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
-        grams = rolling(words, n)
-        for i in range(b - a):
-            lo, hi = int(at[i]), int(at[i + 1])
-            if hi - lo >= n:
-                yield np.unique(grams[lo : hi - n + 1])
-            elif hi > lo:
-                whole = rolling(words[lo:hi], hi - lo)
-                yield mix(whole + _U(hi - lo))
-            else:
-                yield np.zeros(0, _U)
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
 def _frequent(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams most often seen in several documents of one batch, over all documents. They
-    only set the order of the columns: any order gives the same links."""
+    """The n-grams most often met in one batch, over all documents. They only set the order of the
+    columns: any order gives the same links."""
 
     def count(batches):
         for batch in batches:
-            seen, held, size = [], [], 0
-            for s in _sets(batch.column(0), n):
-                held.append(s)
-                size += len(s)
-                if size > 1_500_000:
-                    seen.append(_repeats(held))
-                    held, size = [], 0
-            seen.append(_repeats(held))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in seen]).view(np.int64)), pa.array(np.concatenate([x[1] for x in seen]))], ["gram", "n"])
+            for _, _, data, offsets in _pieces(batch.column(0)):
+                gram, times = _repeats(_grams(data, offsets, n)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(times)], ["gram", "n"])
 
     found = docs.select(F.col(text).alias("t")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = store(found)
@@ -90,65 +102,74 @@ def _frequent(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarra
     return grams[order], rows["n"].to_numpy(np.int64)[order]
 
 
-def _repeats(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not held:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    v = np.sort(np.concatenate(held))
+def _repeats(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    v = np.sort(v)
     edge = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
     c = np.diff(np.r_[edge, len(v)])
     keep = c >= 4
     return v[edge][keep], c[keep].astype(np.int64)
 
 
-def _incidence(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (of the set), width (of the prefix), keys, light (how many of
-    the keys, which come first, are not frequent). Of equal sets in one batch the one with the
-    smallest doc_id has keys, the others none."""
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the values of each document, modulo 2^64."""
+    total = np.zeros(len(values) + 1, _U)
+    np.cumsum(values, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
+
+
+def _prefixes(data: np.ndarray, offsets: np.ndarray, n: int, percent: int, grams: np.ndarray, counts: np.ndarray):
+    """For each document: words, set size, two hashes of the set, width of the prefix, how many of it
+    are not frequent, and the prefixes, rare n-grams first, with their offsets."""
+    flat, first, words = _sets(data, offsets, n)
+    m = np.diff(first)
+    h1, h2 = _sums(mix(flat), first), _sums(mix(flat ^ _U(0x5851F42D4C957F2D)), first)
+    width = np.where(m > 0, np.minimum(m, m + (-m * percent) // 100 + m // _PART + 1), 0)
+    light = width.copy()
+    doc = np.repeat(np.arange(len(m)), m)
+    if len(grams) and len(flat):
+        at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
+        often = np.where(grams[at] == flat, counts[at], 0)
+        for i in np.unique(doc[often > 0]).tolist():
+            a, b = first[i], first[i + 1]
+            order = np.argsort(often[a:b], kind="stable")
+            flat[a:b] = flat[a:b][order]
+            light[i] = np.count_nonzero(often[a:b][order[: width[i]]] == 0)
+    keys = flat[np.arange(len(flat)) - first[:-1][doc] < width[doc]]
+    return words, m, h1, h2, width, light, keys, np.r_[0, np.cumsum(width)]
+
+
+_INCIDENCE = "doc_id long, words long, n int, h1 long, h2 long, width int, keys array<long>, light int"
+
+
+def _incidence(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, words, n (set size), h1, h2 (of the set), width (of the prefix), keys, light (how many
+    of the keys, which come first, are not frequent), and the carried columns. Of equal sets in one
+    batch the one with the smallest doc_id has keys, the others none."""
     grams, counts = _frequent(docs, n, text)
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
+    more = "".join(f", c{i} {f.dataType.simpleString()}" for i, f in enumerate(picked.schema.fields[2:]))
 
     def rows(batches):
         for batch in batches:
-            size, h1, h2, width, light, keys = [], [], [], [], [], []
-            first: dict[tuple, tuple] = {}  # by set: (doc_id, place) of the smallest doc_id
-            for i, (u, d) in enumerate(zip(_sets(batch.column(1), n), batch.column(0).to_pylist())):
-                m = len(u)
-                size.append(m)
-                h1.append(int(mix(u).sum(dtype=_U)) if m else 0)
-                h2.append(int(mix(u ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)) if m else 0)
-                w = min(m, m - -(-m * percent // 100) + m // _PART + 1) if m else 0
-                width.append(w)
-                of = (m, h1[-1], h2[-1])
-                held = first.get(of)
-                if d is None or not w or held is not None and held[0] <= d:
-                    light.append(0)
-                    keys.append(u[:0].view(np.int64))
-                    continue
-                if held is not None:  # a copy with a larger doc_id gives its keys away
-                    keys.append(keys[held[1]])
-                    light.append(light[held[1]])
-                    keys[held[1]], light[held[1]] = u[:0].view(np.int64), 0
+            parts = [_prefixes(data, offsets, n, percent, grams, counts) for _, _, data, offsets in _pieces(batch.column(1))]
+            if not parts:
+                continue
+            words, m, h1, h2, width, light, keys = (np.concatenate([p[i] for p in parts]) for i in range(7))
+            first: dict[tuple, tuple] = {}  # by set: smallest doc_id and its place
+            for i, (*of, d) in enumerate(zip(m.tolist(), h1.tolist(), h2.tolist(), batch.column(0).to_pylist())):
+                of = tuple(of)
+                if d is not None and (of not in first or d < first[of][0]):
                     first[of] = d, i
-                    continue
-                first[of] = d, i
-                rare = w
-                if len(grams):
-                    at = np.minimum(np.searchsorted(grams, u), len(grams) - 1)
-                    often = np.where(grams[at] == u, counts[at], 0)
-                    if often.any():
-                        order = np.argsort(often, kind="stable")
-                        u = u[order]
-                        rare = int((often[order[:w]] == 0).sum())
-                light.append(rare)
-                keys.append(u[:w].view(np.int64))
-            offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *keys])
-            as_long = lambda x: pa.array(np.array(x, _U).view(np.int64))
+            has = np.zeros(len(m), bool)
+            has[[i for _, i in first.values()]] = True
+            keys, light = keys[np.repeat(has, width)], np.where(has, light, 0)
+            at = np.r_[0, np.cumsum(np.where(has, width, 0))].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int32()), as_long(h1), as_long(h2), pa.array(width, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(light, pa.int32())],
-                ["doc_id", "n", "h1", "h2", "width", "keys", "light"],
+                [batch.column(0), pa.array(words.astype(np.int64)), pa.array(m.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(width.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64))), pa.array(light.astype(np.int32)), *batch.columns[2:]],
+                [*(x.split()[0] for x in _INCIDENCE.split(", ")), *(f"c{i}" for i in range(len(carry)))],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(rows, "doc_id long, n int, h1 long, h2 long, width int, keys array<long>, light int")
+    return picked.mapInArrow(rows, _INCIDENCE + more)
 
 
 def _sorted_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,41 +193,39 @@ def _run_lengths(sorted_: np.ndarray) -> np.ndarray:
     return np.repeat(size, size)
 
 
+_PACKED = "slice long, keys array<long>, cls array<long>, many array<long>, both array<long>, docs array<long>"
+
+
 def _shared_cells(rows: DataFrame, slices: int) -> DataFrame:
     """key, cls: the light columns of rows that more than one document has."""
-    cut = (np.arange(1, slices, dtype=np.float64) / slices * 2.0**64).astype(_U)  # of the key range
-
-    def together(batches):
-        """What batches see for themselves."""
-        for batch in batches:
-            keys, cls, n = _sorted_cells(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(cls[n > 1])], ["key", "cls"])
 
     def packed(batches):
-        """slice, keys and cls of columns that one document of the batch has, and the keys that more have."""
+        """By slice of the key range: keys and cls of columns that one document of the batch has, and
+        the keys that more have. The cells of those (both, docs) need meet no others: they are spread
+        over the slices evenly."""
         for batch in batches:
             keys, cls, n = _sorted_cells(batch)
-            many = keys[n > 1]
+            both, docs, many = keys[n > 1], cls[n > 1], keys[n > 1]
             many = many[np.r_[True, many[1:] != many[:-1]]] if len(many) else many
             keys, cls = keys[n == 1], cls[n == 1]
-            ends = lambda x: pa.array(np.r_[0, np.searchsorted(x, cut), len(x)].astype(np.int32))
-            at, more = ends(keys), ends(many)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(slices, dtype=np.int32)), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(cls)), pa.ListArray.from_arrays(more, pa.array(many.view(np.int64)))],
-                ["slice", "keys", "cls", "many"],
-            )
+            part = lambda x: ((x >> _U(32)) * _U(slices) >> _U(32)).astype(np.int64)
+            at, more = part(keys), part(many)
+            which = np.union1d(at, more)
+            ends = lambda x: pa.array(np.r_[np.searchsorted(x, which), len(x)].astype(np.int32))
+            at, more, even = ends(at), ends(more), pa.array(np.linspace(0, len(both), len(which) + 1).astype(np.int32))
+            lists = ((at, keys.view(np.int64)), (at, cls), (more, many.view(np.int64)), (even, both.view(np.int64)), (even, docs))
+            yield pa.RecordBatch.from_arrays([pa.array(which), *(pa.ListArray.from_arrays(o, pa.array(x)) for o, x in lists)], [x.split()[0] for x in _PACKED.split(", ")])
 
     def matched(got: pa.Table) -> pa.Table:
         flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         keys, cls = flat("keys"), flat("cls")
-        both = np.concatenate([keys, flat("many")])
-        order = np.argsort(both)
-        again = order[(_run_lengths(both[order]) > 1) & (order < len(keys))]
-        return pa.table({"key": keys[again], "cls": cls[again]})
+        all_ = np.concatenate([keys, flat("many")])
+        order = np.argsort(all_)
+        again = order[(_run_lengths(all_[order]) > 1) & (order < len(keys))]
+        return pa.table({"key": np.r_[keys[again], flat("both")], "cls": np.r_[cls[again], flat("docs")]})
 
     held = rows.where("light > 0").select("doc_id", "keys", "light")
-    apart = held.mapInArrow(packed, "slice int, keys array<long>, cls array<long>, many array<long>").where("size(keys) + size(many) > 0")
-    return held.mapInArrow(together, "key long, cls long").union(apart.groupBy("slice").applyInArrow(matched, "key long, cls long"))
+    return held.mapInArrow(packed, _PACKED).groupBy("slice").applyInArrow(matched, "key long, cls long")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
@@ -214,9 +233,9 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str)
 
     def rows(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for s in _sets(batch.column(1), n)]
-            offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["cls", "grams"])
+            for a, b, data, offsets in _pieces(batch.column(1)):
+                flat, first, _ = _sets(data, offsets, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.view(np.int64)))], ["cls", "grams"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("cls"), F.col(text).alias("t")).join(ids, "cls", "left_semi")
     return picked.mapInArrow(rows, "cls long, grams array<long>")
@@ -328,28 +347,35 @@ def _same_documents(left: DataFrame) -> DataFrame:
     return m.groupBy("s0", "s1", "t0", "t1", "m", "first").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "m", "first", "weight")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
+def ngram_jaccard_join(
+    docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), measures: bool = False,
+) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs; with measures also n_words and set_hash
+    (equal for equal sets), and the columns in `carry`.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A row's set: its
     distinct n-word shingles; with fewer words the whole sequence; null, empty or blank text: the
     empty set, linked with nothing (component: itself). Rows link when 100 * intersection >=
-    percent * union. A null doc_id takes no part and has a null component. Rows that repeat a
-    doc_id are one node. Extra columns are ignored; an empty table gives an empty one. Shingles
-    are compared by 64-bit hashes, classes of equal sets by 128 bits.
+    percent * union; percent from 50 to 100. A null doc_id takes no part and has a null component.
+    Rows that repeat a doc_id are one node. Extra columns are ignored; an empty table gives an empty
+    one. Shingles are compared by 64-bit hashes, classes of equal sets by 128 bits.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError(f"percent must be from 50 to 100, not {percent}: below, links may share too few columns of their prefixes")
     with scratch(docs.sparkSession) as kept:
-        out = store(_components(only(docs, doc_id, text), n, percent, doc_id, text))
+        out = _components(only(docs, doc_id, text, *carry), n, percent, doc_id, text, carry)
+        names = ["doc_id", "n_shingles", "component_id"] + ["n_words", "set_hash"] * measures
+        out = store(out.select(*names, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]))
         kept.append(out)
     return out
 
 
-def _components(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    rows = store(_incidence(docs, n, percent, doc_id, text))
+def _components(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, carry: tuple[str, ...]) -> DataFrame:
+    rows = store(_incidence(docs, n, percent, doc_id, text, carry))
     real = rows.where("n > 0 and doc_id is not null")
     classes = store(real.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cls")))
-    # slices of about half a million columns each, and enough of them to be dealt evenly
-    slices = 64 + (rows.agg(F.coalesce(F.sum("light"), F.lit(0))).first()[0] >> 19)
+    # of about 65 000 columns each
+    slices = 1 + (rows.agg(F.coalesce(F.sum("light"), F.lit(0))).first()[0] >> 16)
     hot = real.where("light < size(keys)").select(F.explode(F.expr("slice(keys, light + 1, size(keys))")).alias("key"), F.col("doc_id").alias("cls"))
     # a copy from another batch than the first of its class goes
     cells = store(_shared_cells(real, slices).union(hot).join(classes.select("cls"), "cls", "left_semi").select("key", "cls"))
@@ -386,5 +412,5 @@ def _components(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -
 
     member = real.select("doc_id", "h1", "h2", F.col("n").alias("size")).join(classes, ["h1", "h2"]).where("n = size")
     member = member.join(found.withColumnRenamed("node", "cls"), "cls", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "cls")).alias("c"))
-    out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(member, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("words").alias("n_words"), F.xxhash64("n", "h1", "h2").alias("set_hash"), *[f"c{i}" for i in range(len(carry))])
+    return out.join(member, "doc_id", "left").withColumn("component_id", F.coalesce("c", "doc_id"))

@@ -60,11 +60,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies, as the n-gram join finds them, are one duplicate cluster; rows of which it says
-    nothing (a null doc_id) go by their text."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = ngram_jaccard_join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("cluster"))
-    return pack(docs, clusters=found)
+    """Near copies, as the n-gram join finds them, are one duplicate cluster; rows that it cannot link
+    (a null doc_id) go by their set of n-grams. It counts the words too, so that texts are read once."""
+    found = ngram_jaccard_join(_table(spark, sf_dir, "documents"), carry=("source",), measures=True)
+    linked = F.concat(F.lit("component "), F.col("component_id").cast("string"))
+    cluster = F.coalesce(linked, F.concat(F.lit("set "), F.col("set_hash").cast("string")))
+    return pack(found.withColumn("cluster", cluster), cluster="cluster", size="n_words")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
