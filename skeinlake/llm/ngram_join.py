@@ -83,9 +83,13 @@ def _frequent(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarra
 
     def count(batches):
         for batch in batches:
-            for _, _, data, offsets in _pieces(batch.column(0)):
-                gram, times = _repeats(_grams(data, offsets, n)[0])
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(times)], ["gram", "n"])
+            held = []
+            for _, to, data, offsets in _pieces(batch.column(0)):
+                held.append(_grams(data, offsets, n)[0])
+                if sum(map(len, held)) > 1_500_000 or to == batch.num_rows:
+                    gram, times = _repeats(np.concatenate(held))
+                    held = []
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(times)], ["gram", "n"])
 
     found = docs.select(F.col(text).alias("t")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = store(found)
