@@ -55,7 +55,7 @@ def neighbourhood(edges: DataFrame, start: str, max_depth: int = MAX_DEPTH, max_
     reached once, where a walk of simple paths would meet it along each of them.
     """
     both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "edge_type")
-    both = both.union(edges.select("target_id", "source_id", "edge_type"))
+    both = settled(both.union(edges.select("target_id", "source_id", "edge_type")))
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(start,)], "a string")
     seen = None

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from contextlib import suppress
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..plans.tables import settled
 from ..schema import NOTES
 
 #: Candidates of each retriever; results of the fusion; constant of reciprocal ranks.
@@ -37,34 +44,103 @@ def nearest(vectors: DataFrame, query: Sequence[float], limit: int = CANDIDATES)
     return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATES, rows: int = 4096, asked: int = 512) -> DataFrame:
     """query_id, id, distance, rank for every row of queries (query_id, query): a stated query set
-    against all rows. Each task cuts its rows to the best `limit` a query before the shuffle."""
-    pairs = vectors.crossJoin(queries).select("query_id", "id", V.l2_distance(F.col("embedding"), F.col("query")).alias("distance"))
+    against all rows. Blocks of both meet, one row each, and each pair of blocks gives its best `limit`
+    a query; so neither side need fit in a worker. Vectors of different lengths have no distance."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    a, b = _blocks(vectors, "id", "embedding", rows, "string"), _blocks(queries, "query_id", "query", asked, kind)
+    pairs = a.crossJoin(b.select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))).where("dim = q_dim")
+
+    def best(batches):
+        for batch in batches:
+            for ids, dim, data, q_ids, _, q_data in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = (np.frombuffer(d, np.float64).reshape(-1, dim) for d in (data, q_data))
+                ids, out = np.array(ids, object), [[], [], []]
+                for q, v in zip(q_ids, y):
+                    distance = np.sqrt(((x - v) ** 2).sum(1))
+                    at = np.flatnonzero(distance <= np.partition(distance, min(limit, len(x)) - 1)[min(limit, len(x)) - 1])
+                    at = at[np.lexsort((ids[at].astype(str), distance[at]))][:limit]
+                    for held, new in zip(out, ([q] * len(at), ids[at].tolist(), distance[at].tolist())):
+                        held += new
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("q_ids").type.value_type), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["query_id", "id", "distance"])
+
+    found = pairs.mapInArrow(best, f"query_id {kind}, id string, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return pairs.where("distance is not null").withColumn("rank", rank).where(F.col("rank") <= limit)
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def _blocks(vectors: DataFrame, id_: str, vector: str, most: int, kind: str) -> DataFrame:
+    """ids, dim, data: the vectors of one length in blocks of at most `most`, as doubles in bytes; a
+    vector that is null, empty or has a null component is left out."""
+
+    def pack(batches):
+        for batch in batches:
+            dim = batch.column(2).to_numpy()
+            for d in np.unique(dim).tolist():
+                at = np.flatnonzero(dim == d)
+                for lo in range(0, len(at), most):
+                    part = batch.take(pa.array(at[lo : lo + most]))
+                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([d], pa.int32()), pa.array([flat.tobytes()], pa.binary())], ["ids", "dim", "data"])
+
+    good = vectors.select(F.col(id_).cast(kind).alias("id"), V.doubles(F.col(vector)).alias("v"), F.size(vector).alias("dim"))
+    return good.where((F.col("dim") > 0) & ~F.exists("v", F.isnull)).mapInArrow(pack, f"ids array<{kind}>, dim int, data binary")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """tok, id, tf, doc_len: the keyword index, written partitioned or bucketed by tok for reuse."""
+    """tok, id, tf, doc_len: a row for each term of each live chunk."""
     words = live(chunks).select("id", X.tokens(F.col("content")).alias("toks"))
     words = words.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("tok"))
     return words.groupBy("tok", "id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
-def keyword_search(chunks: DataFrame, query: str, limit: int = CANDIDATES) -> DataFrame:
+class KeywordIndex(NamedTuple):
+    """Postings settled in folders by a hash of the term, sorted by term within; totals: n, avg_len of
+    the live chunks, those without a term too."""
+
+    postings: DataFrame
+    totals: DataFrame
+    buckets: int
+
+    def of(self, terms: Sequence[str]) -> DataFrame:
+        """The postings of these terms: their folders alone are read."""
+        one = lambda t: (F.col("bucket") == _bucket(F.lit(t), self.buckets)) & (F.col("tok") == t)
+        return self.postings.where(reduce(lambda a, b: a | b, map(one, terms), F.lit(False)))
+
+
+def _bucket(tok: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(tok), F.lit(buckets)).cast("int")
+
+
+def keyword_index(chunks: DataFrame, buckets: int = 32) -> KeywordIndex:
+    """The chunks tokenised once, for any number of keyword queries. A frequent term is split over
+    several files of its folder."""
+    dealt = postings(chunks).withColumn("bucket", _bucket(F.col("tok"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "tok")
+    held = settled(dealt, by="bucket")
+    n = live(chunks).agg(F.count("*").alias("n"))
+    words = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    return KeywordIndex(held, settled(n.crossJoin(words).select("n", F.try_divide("words", "n").alias("avg_len"))), buckets)
+
+
+def keyword_search(chunks: DataFrame | KeywordIndex, query: str, limit: int = CANDIDATES) -> DataFrame:
     """id, score, rank: BM25 (k1 1.2, b 0.75, inverse frequency at least 1e-6) of the live chunks
-    that hold all terms of the query. One pass counts, one scores; nothing is shuffled but one row
-    of counts a task and the best `limit`."""
+    that hold all terms of the query. chunks: an index over them, or the chunks themselves, which are
+    then tokenised for this query."""
     terms = X.query_terms(query)
-    words = live(chunks).select("id", X.tokens(F.col("content")).alias("toks"))
+    if isinstance(chunks, KeywordIndex):
+        hits, totals = chunks.of(terms), chunks.totals
+    else:
+        words = live(chunks).select("id", X.tokens(F.col("content")).alias("toks"))
+        totals = words.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avg_len"))
+        each = words.select("id", F.size("toks").alias("doc_len"), F.explode(F.filter("toks", lambda t: t.isin(*terms))).alias("tok"))
+        hits = each.groupBy("tok", "id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
     if not terms:
-        return words.where("false").select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    tf = [F.size(F.filter("toks", _equals(w))) for w in terms]
-    counted = words.select("id", F.size("toks").alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
-    totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    hits = counted.where(reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(terms))]))
-    both = hits.crossJoin(F.broadcast(totals))
+        return hits.where("false").select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    frequency = hits.agg(*[F.count_if(F.col("tok") == t).alias(f"df{i}") for i, t in enumerate(terms)])
+    per = hits.groupBy("id").agg(F.count("*").alias("has"), F.first("doc_len").alias("len"), *[F.max(F.when(F.col("tok") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    both = per.where(F.col("has") == len(terms)).crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(frequency))  # one row each
 
     def part(i: int):
         idf = F.greatest(F.ln((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
@@ -74,10 +150,6 @@ def keyword_search(chunks: DataFrame, query: str, limit: int = CANDIDATES) -> Da
     return _top(scored, limit)
 
 
-def _equals(word: str) -> Callable:
-    return lambda t: t == word
-
-
 def _top(scored: DataFrame, limit: int) -> DataFrame:
     best = scored.orderBy(F.desc("score"), "id").limit(limit)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
@@ -94,10 +166,10 @@ def substring_search(chunks: DataFrame, query: str, limit: int = CANDIDATES) ->
     return _top(live(chunks).where(low.contains(phrase.lower())).select("id", (1.0 / (1.0 + hit)).alias("score")), limit)
 
 
-def routed_search(chunks: DataFrame, query: str, limit: int = CANDIDATES) -> tuple[DataFrame, str]:
+def routed_search(chunks: DataFrame, query: str, limit: int = CANDIDATES, index: KeywordIndex | None = None) -> tuple[DataFrame, str]:
     """(hits, route): keyword hits if there are any; else the substring's where the query looks like
-    a name or path; else nothing. One small action decides."""
-    hits = keyword_search(chunks, query, limit)
+    a name or path; else nothing. The hits, at most `limit`, are settled to decide."""
+    hits = settled(keyword_search(index or chunks, query, limit))
     if not hits.isEmpty():
         return hits, "kw"
     if _looks_like_name(query):
@@ -121,27 +193,46 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, intent: str = "semanti
     return scored.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def rerank(candidates: DataFrame, logit: Callable | None) -> tuple[DataFrame, bool]:
+def rerank(candidates: DataFrame, logit: Callable | None, most_ms: int | None = None) -> tuple[DataFrame, bool]:
     """(candidates, used): scores replaced by sigmoid(logit(content)) and ranked anew; without a
-    reranker the order stays and used is False. logit: Column -> Column, a pandas UDF for a model."""
+    reranker, or where it takes longer than most_ms, the order stays and used is False. logit:
+    Column -> Column, a pandas UDF for a model."""
     if logit is None:
         return candidates, False
     scored = candidates.withColumn("before", F.col("rank")).withColumn("score", V.sigmoid(logit(F.col("content"))))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "before"))).drop("before"), True
+    ranked = scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "before"))).drop("before")
+    if most_ms is None:
+        return ranked, True
+    tag, spark = f"rerank-{uuid.uuid4().hex}", candidates.sparkSession
+    answer: list[DataFrame] = []
+
+    def work() -> None:
+        spark.addTag(tag)
+        with suppress(Exception):  # cancelled, or failed: the order stays
+            answer.append(settled(ranked))
+
+    thread = InheritableThread(target=work)
+    thread.start()
+    thread.join(most_ms / 1000)
+    if answer:
+        return answer[0], True
+    spark.interruptTag(tag)
+    return candidates, False
 
 
 def hybrid_search(
     chunks: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], intent: str = "semantic",
-    limit: int = DEFAULT_LIMIT, logit: Callable | None = None,
+    limit: int = DEFAULT_LIMIT, logit: Callable | None = None, index: KeywordIndex | None = None, most_ms: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """(results, reranker used): both retrievers' best 30, of which live chunks keep their order, are
-    fused to 12, reranked, and cut to `limit` (1 to 20)."""
+    fused to 12, reranked, and cut to `limit` (1 to 20). Results keep the ranks by which they were
+    fused (vec_rank, fts_rank)."""
     if not 1 <= limit <= LARGEST_LIMIT:
         raise ValueError(f"limit must be from 1 to {LARGEST_LIMIT}")
     found = lookup(nearest(vectors, query_vector), chunks)
-    words, _ = routed_search(chunks, query)
+    words, _ = routed_search(chunks, query, index=index)
     fused = fuse(found.select("id", "rank"), words.select("id", "rank"), intent)
-    results, used = rerank(lookup(fused.select("id", "rank", "score"), chunks), logit)
+    results, used = rerank(lookup(fused, chunks), logit, most_ms)
     return results.where(F.col("rank") <= limit), used
 
 
@@ -156,7 +247,7 @@ def render(results: DataFrame, score: str | None = "score") -> DataFrame:
 
 def investigate(
     chunks: DataFrame, vectors: DataFrame, edges: DataFrame, query: str, intent: str = "semantic", limit: int = DEFAULT_LIMIT,
-    embed: Callable[[str], Sequence[float]] | None = None, logit: Callable | None = None,
+    embed: Callable[[str], Sequence[float]] | None = None, logit: Callable | None = None, index: KeywordIndex | None = None,
 ) -> tuple[DataFrame | None, list[str]]:
     """(results, notes). structural: the graph around the id `query`; semantic: hybrid search."""
     from .graph import neighbourhood
@@ -168,7 +259,7 @@ def investigate(
         return None, [NOTES["INDEX_EMPTY"]]
     if embed is None:
         raise ValueError("a semantic query needs embed")
-    results, used = hybrid_search(chunks, vectors, query, embed(query), intent, limit, logit)
+    results, used = hybrid_search(chunks, vectors, query, embed(query), intent, limit, logit, index)
     if results.isEmpty():
         return None, [NOTES["NO_MATCH"]]
     return results, [] if used else [NOTES["RERANKER_UNAVAILABLE"]]

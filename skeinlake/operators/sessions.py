@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import threading
 from collections.abc import Callable
 from datetime import datetime
 
@@ -30,6 +31,14 @@ def transcript(turns: DataFrame, session_id: str) -> DataFrame:
     return turns.where(F.col("session_id") == session_id).orderBy("turn_index")
 
 
+def transcripts(turns: DataFrame) -> DataFrame:
+    """session_id, transcript: each session's turns in order (equal turn numbers by role and content),
+    a line of role and content each."""
+    one = F.struct("turn_index", "role", "content")
+    text = F.transform(F.sort_array(F.collect_list(one)), lambda t: F.concat(t["role"], F.lit(": "), t["content"]))
+    return turns.groupBy("session_id").agg(F.array_join(text, "\n").alias("transcript"))
+
+
 def turn_text(content: Column) -> Column:
     """The text of a turn stored as JSON ({"text": ...}); as it is where it is not."""
     return F.coalesce(F.try_variant_get(F.try_parse_json(content), "$.text", "string"), content)
@@ -48,6 +57,31 @@ def check_budget(fixed_chars: int, budget: int) -> None:
         raise EngineError("CONTEXT_BUDGET_EXCEEDED", str(budget))
 
 
+class SessionQueue:
+    """Requests of a session one after the other, on the driver; a session with `depth` of them waiting
+    or running takes no more."""
+
+    def __init__(self, depth: int = 5) -> None:
+        self._depth, self._guard, self._held = depth, threading.Lock(), {}
+
+    def run(self, session_id: str, request: Callable):
+        with self._guard:
+            turn, waiting = self._held.get(session_id, (threading.Lock(), 0))
+            if waiting >= self._depth:
+                raise EngineError("SESSION_BUSY", session_id)
+            self._held[session_id] = turn, waiting + 1
+        try:
+            with turn:
+                return request()
+        finally:
+            with self._guard:
+                waiting = self._held[session_id][1] - 1
+                if waiting:
+                    self._held[session_id] = turn, waiting
+                else:
+                    del self._held[session_id]
+
+
 def hash_secret(secret: str, salt: str) -> str:
     """PBKDF2-HMAC-SHA256; another scheme can be passed to decommission()."""
     return salt + "$" + hashlib.pbkdf2_hmac("sha256", secret.encode(), salt.encode(), 100_000).hex()

@@ -7,6 +7,8 @@ customer is the graph, `orders` the decision ledger, `events` the activity log.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ from ..operators import evaluate as E
 from ..operators import graph as G
 from ..operators import health as H
 from ..operators import merge as M
+from ..operators import references as R
 from ..operators import search as S
 from ..operators import sessions as D
+from ..schema import EDGES, LEDGER
 from ..sources import tree as T
 from ..streaming.incremental import crash_allowed, session_windows
 
@@ -89,9 +93,8 @@ _EXT = "CASE lang WHEN 'en' THEN '.ts' WHEN 'fr' THEN '.md' WHEN 'de' THEN '.py'
 SELECT CASE WHEN p LIKE '%.ts' THEN 'typescript' WHEN p LIKE '%.md' THEN 'markdown' ELSE 'python' END AS language, count(*) AS n
 FROM f WHERE p NOT LIKE '%.txt' GROUP BY 1""")
 def q_scan_ext_filter(spark: SparkSession, sf: str) -> DataFrame:
-    paths = table(spark, sf, "documents").select(F.concat(F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.expr(_EXT)).alias("p"))
-    kept = paths.where(F.lower(F.regexp_extract("p", r"\.[^./]+$", 0)).isin(*T.EXTENSIONS))
-    return kept.groupBy(X.language_of(F.col("p")).alias("language")).agg(F.count("*").alias("n"))
+    paths = table(spark, sf, "documents").select(F.concat(F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.expr(_EXT)).alias("file_path"))
+    return T.source_files(paths).groupBy(X.language_of(F.col("file_path")).alias("language")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT source || '/' || doc_id AS file_path, 'sha256:' || sha256(text) AS content_hash FROM documents WHERE position(chr(0) in text) = 0")
@@ -128,16 +131,6 @@ def q_scan_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- lookups and search -------------------------------------------------------------------------
-@query(f"""WITH {CH}, r AS (SELECT CAST(vec_id AS VARCHAR) AS v, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings)
-SELECT id, file_path, 'text' AS language, row_number() OVER (ORDER BY k) AS rank FROM r JOIN chunks c ON c.doc_id = CAST(r.v AS BIGINT) WHERE NOT is_deleted""")
-def q_live_filter_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    alive = S.live(chunks(spark, sf))
-    wanted = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    found = alive.join(wanted, "doc_id").select("id", "file_path", X.language_of(F.col("file_path")).alias("language"), "doc_id")
-    rank = F.row_number().over(Window.orderBy("doc_id"))
-    return found.select("id", "file_path", "language", rank.cast("long").alias("rank"))
-
-
 _DIST = "sqrt(list_sum(list_transform(range(1, len({a}) + 1), lambda i: power(CAST({a}[i] AS DOUBLE) - CAST({b}[i] AS DOUBLE), 2))))"
 
 
@@ -167,6 +160,17 @@ def q_knn_truncate_renorm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TOK = r"regexp_extract_all(lower(strip_accents(content)), '[\p{L}\p{N}._:/#<>?!-]+')"
+_INDEX: dict[tuple[str, str], S.KeywordIndex] = {}
+
+
+def keyword_index(spark: SparkSession, sf: str) -> S.KeywordIndex:
+    """The keyword index over the chunks, built by the first query of a session that needs it."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _INDEX:
+        _INDEX[key] = S.keyword_index(chunks(spark, sf))
+    return _INDEX[key]
+
+
 _BM25 = f"""{CH}, t AS (SELECT id, {_TOK} AS toks FROM chunks WHERE NOT is_deleted),
 c AS (SELECT id, len(toks) AS l, len(list_filter(toks, lambda x: x = 'the')) AS a, len(list_filter(toks, lambda x: x = 'of')) AS b FROM t),
 s AS (SELECT count(*) AS n, avg(l) AS al, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c),
@@ -177,14 +181,14 @@ kw AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FRO
 
 @query(f"WITH {_BM25} SELECT id, round(score, 9) AS score, rank FROM kw")
 def q_fts_kw_bm25_top30(spark: SparkSession, sf: str) -> DataFrame:
-    return S.keyword_search(chunks(spark, sf), WORDS).select("id", F.round("score", 9).alias("score"), *_long("rank"))
+    return S.keyword_search(keyword_index(spark, sf), WORDS).select("id", F.round("score", 9).alias("score"), *_long("rank"))
 
 
 @query(f"""WITH {CH}, t AS (SELECT id, {_TOK} AS toks FROM chunks WHERE NOT is_deleted),
 e AS (SELECT id, len(toks) AS doc_len, unnest(toks) AS tok FROM t), p AS (SELECT tok, id, count(*) AS tf, any_value(doc_len) AS doc_len FROM e GROUP BY tok, id)
 SELECT tok, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(doc_len) AS longest FROM p GROUP BY tok""")
 def q_fts_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return S.postings(chunks(spark, sf)).groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("doc_len").cast("long").alias("longest"))
+    return keyword_index(spark, sf).postings.groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("doc_len").cast("long").alias("longest"))
 
 
 @query(f"""WITH {CH}, h AS (SELECT id, 1.0::DOUBLE / (1 + instr(lower(content), '{PHRASE}')) AS score FROM chunks WHERE NOT is_deleted AND contains(lower(content), '{PHRASE}'))
@@ -193,16 +197,14 @@ def q_fts_substring(spark: SparkSession, sf: str) -> DataFrame:
     return S.substring_search(chunks(spark, sf), PHRASE).select("id", F.round("score", 9).alias("score"), *_long("rank"))
 
 
-_ROUTES = [("a::b", 0), ("src/x", 0), ("a.b", 0), ('"quoted words"', 0), ("plain words", 0), ("plain words", 3), ("a::b", 2), ('"half', 0)]
+_ASK = "CASE doc_id % 6 WHEN 0 THEN source || '::' || lang WHEN 1 THEN source || '/x' WHEN 2 THEN '\"' || lang || ' words\"' WHEN 3 THEN lang || ' words' WHEN 4 THEN '\"' || lang ELSE lang || '.x' END"
 
 
-@query(
-    "SELECT q AS query, CAST(h AS BIGINT) AS kw_hits, CASE WHEN h > 0 THEN 'kw' WHEN contains(q, '::') OR contains(q, '/') OR contains(q, '.') OR regexp_full_match(trim(q), '\".+\"') THEN 'sub' ELSE 'none' END AS route FROM (VALUES "
-    + ", ".join(f"('{q}', {h})" for q, h in _ROUTES)
-    + ") t(q, h)"
-)
+@query(f"""WITH a AS (SELECT doc_id, {_ASK} AS query, doc_id % 4 % 3 AS kw_hits FROM documents)
+SELECT doc_id, query, kw_hits, CASE WHEN kw_hits > 0 THEN 'kw' WHEN contains(query, '::') OR contains(query, '/') OR contains(query, '.') OR regexp_full_match(trim(query), '".+"') THEN 'sub' ELSE 'none' END AS route FROM a""")
 def q_fts_route(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_ROUTES, "query string, kw_hits bigint").withColumn("route", X.route(F.col("query"), F.col("kw_hits")))
+    asked = table(spark, sf, "documents").select("doc_id", F.expr(_ASK).alias("query"), F.expr("doc_id % 4 % 3").alias("kw_hits"))
+    return asked.withColumn("route", X.route(F.col("query"), F.col("kw_hits")))
 
 
 _VEC = f"""vd AS (SELECT c.id, {_DIST.format(a="e.embedding", b="q.embedding")} AS distance, CAST(e.vec_id AS VARCHAR) AS v, c.is_deleted
@@ -216,11 +218,25 @@ def _fused_sql(wv: float, wf: float) -> str:
 fused AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_rank NULLS LAST, fts_rank NULLS LAST, id) AS rank FROM f ORDER BY score DESC, vec_rank NULLS LAST, fts_rank NULLS LAST, id LIMIT 12)"""
 
 
-def fused(spark: SparkSession, sf: str, intent: str) -> DataFrame:
-    all_ = chunks(spark, sf)
-    near = S.nearest(index(spark, sf), first_vector(spark, sf)).select(F.col("id").cast("long").alias("doc_id"), "rank")
-    ids = S.live(all_).join(F.broadcast(near), "doc_id").select("id", F.row_number().over(Window.orderBy("rank")).alias("rank"))
-    return S.fuse(ids, S.keyword_search(all_, WORDS).select("id", "rank"), intent)
+def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors by the id of their document's chunk; those without a document by an id of no chunk."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.concat(F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.lit("::doc::default")).alias("id"))
+    return table(spark, sf, "embeddings").join(docs, "vec_id", "left").select(F.coalesce("id", F.concat(F.lit("none/"), F.col("vec_id").cast("string"))).alias("id"), "embedding")
+
+
+def near(spark: SparkSession, sf: str) -> DataFrame:
+    """The 30 vectors nearest to the first, by their chunks' ids."""
+    return S.nearest(chunk_vectors(spark, sf), first_vector(spark, sf))
+
+
+@query(f"WITH {CH}, {_VEC} SELECT id, file_path, 'text' AS language, rank FROM vec JOIN chunks c USING (id)")
+def q_live_filter_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return S.lookup(near(spark, sf).select("id", "rank"), chunks(spark, sf)).select("id", "file_path", "language", *_long("rank"))
+
+
+def hybrid(spark: SparkSession, sf: str, limit: int, intent: str = "semantic", logit=None) -> DataFrame:
+    found, _ = S.hybrid_search(chunks(spark, sf), chunk_vectors(spark, sf), WORDS, first_vector(spark, sf), intent, limit, logit, keyword_index(spark, sf))
+    return found
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -229,32 +245,31 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_fused_sql(0.7, 0.3)} SELECT id, round(score, 9) AS score, vec_rank, fts_rank, rank FROM fused")
 def q_rrf_semantic(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(fused(spark, sf, "semantic"))
+    return _shown(hybrid(spark, sf, S.FUSED))
 
 
 @query(f"WITH {_fused_sql(0.3, 0.7)} SELECT id, round(score, 9) AS score, vec_rank, fts_rank, rank FROM fused")
 def q_rrf_structural(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(fused(spark, sf, "structural"))
+    return _shown(hybrid(spark, sf, S.FUSED, "structural"))
 
 
 @query(f"WITH {_fused_sql(0.7, 0.3)} SELECT f.id, round(score, 9) AS score, rank, file_path, chunk_type, CAST(length(content) AS BIGINT) AS chars FROM fused f JOIN chunks c USING (id) WHERE rank <= 8")
 def q_hybrid_top8(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.lookup(fused(spark, sf, "semantic").select("id", "rank", "score"), chunks(spark, sf)).where(f"rank <= {S.DEFAULT_LIMIT}")
+    found = hybrid(spark, sf, S.DEFAULT_LIMIT)
     return found.select("id", F.round("score", 9).alias("score"), *_long("rank"), "file_path", "chunk_type", F.length("content").cast("long").alias("chars"))
 
 
 @query(f"""WITH {_fused_sql(0.7, 0.3)}, r AS (SELECT f.id, f.rank AS before, 1 / (1 + exp(-(length(content) / 1000.0 - 2))) AS score FROM fused f JOIN chunks c USING (id))
 SELECT id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, before) AS rank FROM r""")
 def q_rerank_sigmoid(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.lookup(fused(spark, sf, "semantic").select("id", "rank", "score"), chunks(spark, sf))
-    ranked, _ = S.rerank(found, lambda content: F.length(content) / 1000.0 - 2)
+    ranked = hybrid(spark, sf, S.FUSED, logit=lambda content: F.length(content) / 1000.0 - 2)
     return ranked.select("id", F.round("score", 9).alias("score"), *_long("rank"))
 
 
 @query(f"""WITH {_fused_sql(0.7, 0.3)} SELECT string_agg('--- CHUNK ' || rank || ' score=' || printf('%.4f', score) || ' ' || f.id || ' [' || file_path || ':0-' || (length(content) - length(replace(content, chr(10), ''))) || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS text
 FROM fused f JOIN chunks c USING (id)""")
 def q_render_results(spark: SparkSession, sf: str) -> DataFrame:
-    return S.render(S.lookup(fused(spark, sf, "semantic").select("id", "rank", "score"), chunks(spark, sf)))
+    return S.render(hybrid(spark, sf, S.FUSED))
 
 
 # ---- graph --------------------------------------------------------------------------------------
@@ -415,9 +430,18 @@ def q_chunk_module(spark: SparkSession, sf: str) -> DataFrame:
     return C.module_chunks(files(spark, sf)).select("id", *_long("end_line"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT source || '/' || doc_id || '::module::default' AS id, text, string_split(text, chr(10)) AS s FROM documents),
+g AS (SELECT id, text, list_filter(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN i < len(s) THEN s[i] || chr(10) ELSE s[i] END), lambda x: x <> '') AS l FROM f WHERE length(text) > 1000),
+w(id, l, i, first, extra, held) AS (SELECT id, l, 1, 1, (greatest(length(l[1]), 1) - 1) // 1000, length(l[1]) - ((greatest(length(l[1]), 1) - 1) // 1000) * 1000 FROM g
+ UNION ALL SELECT id, l, i + 1, first + extra + CASE WHEN held + length(l[i + 1]) > 1000 THEN 1 ELSE 0 END,
+ CASE WHEN held + length(l[i + 1]) > 1000 THEN (length(l[i + 1]) - 1) // 1000 ELSE 0 END,
+ CASE WHEN held + length(l[i + 1]) > 1000 THEN length(l[i + 1]) - ((length(l[i + 1]) - 1) // 1000) * 1000 ELSE held + length(l[i + 1]) END FROM w WHERE i < len(l)),
+p AS (SELECT id, i, first + k AS part, k, substr(l[i], CAST(k * 1000 + 1 AS BIGINT), 1000) AS t FROM (SELECT *, unnest(range(0, extra + 1)) AS k FROM w)),
+q AS (SELECT id, part, string_agg(t, '' ORDER BY i, k) AS content, min(i) - 1 AS start_line FROM p GROUP BY id, part)
+SELECT id || '#part' || CAST(part AS BIGINT) AS id, content, CAST(start_line AS BIGINT) AS start_line, CAST(start_line + length(content) - length(replace(content, chr(10), '')) - CASE WHEN content LIKE '%' || chr(10) THEN 1 ELSE 0 END AS BIGINT) AS end_line FROM q
+UNION ALL SELECT id, text, 0, length(text) - length(replace(text, chr(10), '')) FROM f WHERE length(text) <= 1000""")
 def q_chunk_oversize_split(spark: SparkSession, sf: str) -> DataFrame:
-    return C.split_oversize(C.module_chunks(files(spark, sf)), {"module": 1000})
+    return C.split_oversize(C.module_chunks(files(spark, sf)), {"module": 1000}).select("id", "content", *_long("start_line", "end_line"))
 
 
 @query("""WITH d AS (SELECT *, length(text) AS n FROM documents)
@@ -437,10 +461,27 @@ def q_chunk_yaml(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.regexp_replace("file_path", r"\.yaml$", "").alias("file_path"), key.alias("key"), *_long("start_line", "end_line"), "content")
 
 
-@query("SELECT lower(tag) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(/?[A-Za-z][^\\s/>]*)', 1)) AS tag FROM pages) GROUP BY 1")
+@query("""WITH e AS (SELECT doc_id, 'm' || doc_id || '/etc/di.xml' AS p, unnest(['element::type[' || source || ']', 'element::plugin[p' || doc_id || ']', 'element::preference[' || lang || ']', 'module::default']) AS n, unnest([1, 2, 4, 0]) AS a, unnest([3, 2, 4, 5]) AS b FROM documents)
+SELECT p || '::' || n AS id, CASE WHEN n = 'module::default' THEN 'module' ELSE 'element' END AS chunk_type, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line FROM e""")
 def q_chunk_xml_tags(spark: SparkSession, sf: str) -> DataFrame:
-    tags = table(spark, sf, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r"<(/?[A-Za-z][^\s/>]*)"), F.lit(1))).alias("tag"))
-    return tags.groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n"))
+    text = F.format_string('<config>\n<type name="%s">\n<plugin name="p%d" x=\'>\'/>\n</type>\n<preference for="%s"/><!-- <type name="no"/> -->\n</config>', "source", "doc_id", "lang")
+    trees = table(spark, sf, "documents").select(F.format_string("m%d/etc/di.xml", "doc_id").alias("file_path"), text.alias("content"))
+    return C.chunk_files(trees).select("id", "chunk_type", *_long("start_line", "end_line"))
+
+
+@query("""WITH d AS (SELECT doc_id, 's' || doc_id || '/a.ts' AS a, 's' || doc_id || '/b.ts' AS b FROM documents)
+SELECT a || '::module::default' AS source_id, b || '::module::default' AS target_id, 'IMPORTS' AS edge_type FROM d
+UNION ALL SELECT a || '::function::run', b || '::function::f', 'CALLS' FROM d
+UNION ALL SELECT a || '::module::default', b || '::function::g', 'RE_EXPORTS' FROM d WHERE doc_id % 2 = 0""")
+def q_source_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Two scripts a document; a folder of the same name is a later candidate of the import."""
+    docs = table(spark, sf, "documents")
+    again = F.when(F.col("doc_id") % 2 == 0, F.lit('export { g } from "./b";\n')).otherwise("")
+    a = F.concat(F.lit('const glob = "src/*", re = /[{"`]/;\nimport { f as h } from "./b.js";\n'), again, F.lit("export function run() {\n  return `${h(1)}`; // */\n}\n"))
+    path = lambda name: F.format_string(f"s%d/{name}", "doc_id").alias("file_path")
+    both = docs.select(path("a.ts"), a.alias("content")).union(docs.select(path("b.ts"), F.lit("export function f(x) { return x; }\nexport function g() {}\n")))
+    both = both.union(docs.select(path("b/index.ts"), F.lit("export function f(x) {}\n")))
+    return R.extract_edges(both, C.chunk_files(both))
 
 
 @query("""SELECT CASE WHEN row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) > 1 THEN source || '::' || lang || '#L' || doc_id ELSE source || '::' || lang END AS id, doc_id AS start_line FROM documents""")
@@ -471,9 +512,7 @@ def q_transcript_next_turn(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id AS session_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY conv_id")
 def q_transcript_order(spark: SparkSession, sf: str) -> DataFrame:
-    one = F.struct("turn_index", "role", "content")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda t: F.concat(t["role"], F.lit(": "), t["content"])), "\n")
-    return turns(spark, sf).groupBy("session_id").agg(text.alias("transcript"))
+    return D.transcripts(turns(spark, sf))
 
 
 @query("""WITH t AS (SELECT conv_id AS session_id, turn AS turn_index, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS held FROM conversations)
@@ -482,10 +521,17 @@ def q_context_budget_trim(spark: SparkSession, sf: str) -> DataFrame:
     return D.trim_context(turns(spark, sf), 600, 100).select("session_id", "turn_index", "held")
 
 
-@query("SELECT c_mktsegment AS name, c_custkey AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS generation_id FROM customer")
+@query("""SELECT 's' || c_custkey AS id, c_name AS name, 'decommissioned' AS status, c_custkey AS generation_id FROM customer
+UNION ALL SELECT 'new', 'oracle', 'active', max(c_custkey) + 1 FROM customer""")
 def q_session_generation(spark: SparkSession, sf: str) -> DataFrame:
-    generation = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")).cast("long")
-    return table(spark, sf, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("id"), generation.alias("generation_id"))
+    """A session spawned after those of all customers, which are closed."""
+    at = F.lit(NOW).cast("timestamp")
+    closed = table(spark, sf, "customer").select(
+        F.format_string("s%d", "c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("decommissioned").alias("status"), F.col("c_custkey").cast("int").alias("generation_id"),
+        F.lit(None).cast("string").alias("secret_hash"), at.alias("created_at"), at.alias("updated_at"),
+    )
+    sessions, _, _ = D.spawn(closed, "oracle", "new", datetime.fromisoformat(NOW))
+    return sessions.select("id", "name", "status", *_long("generation_id"))
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -497,9 +543,15 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
 _LEDGER = "ledger AS (SELECT o_orderkey AS seq, printf('MADR-%03d', o_orderkey) AS id, o_custkey, o_orderdate AS ts, o_orderpriority AS title, lag(printf('MADR-%03d', o_orderkey)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS supersedes FROM orders)"
 
 
-@query(f"WITH {_LEDGER} SELECT seq, id, supersedes FROM ledger")
+@query(f"""WITH {_LEDGER}, n AS (SELECT max(seq) + 1 AS seq, min(id) AS old FROM ledger)
+SELECT l.seq, l.id, l.supersedes, CASE WHEN l.id = n.old THEN 'superseded' ELSE 'accepted' END AS status FROM ledger l, n UNION ALL SELECT seq, printf('MADR-%03d', seq), old, 'accepted' FROM n""")
 def q_decision_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger(spark, sf).select("seq", "id", "supersedes")
+    """One more decision, which supersedes the first by id and affects a file of the index."""
+    parts = table(spark, sf, "part").select(F.format_string("part%d::module::default", "p_partkey").alias("id"), F.lit(False).alias("is_deleted"))
+    old = full_ledger(spark, sf)
+    new = {"title": "t", "context_and_problem": "c", "decision_outcome": "o", "supersedes": old.agg(F.min("id")).first()[0]}
+    rows, _, _ = D.commit_decision(old, spark.createDataFrame([], EDGES), parts, new, ["part1"], datetime.fromisoformat(NOW))
+    return rows.select("seq", "id", "supersedes", "status")
 
 
 @query(f"WITH {_LEDGER} SELECT supersedes AS id, id AS superseded_by FROM ledger WHERE supersedes IS NOT NULL")
@@ -507,10 +559,21 @@ def q_supersede(spark: SparkSession, sf: str) -> DataFrame:
     return D.superseded(ledger(spark, sf))
 
 
-@query(f"WITH {_LEDGER} SELECT id, id || '-' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') || '.md' AS file_name FROM ledger")
+def full_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    kept = {"generation_id": F.lit(1), "status": F.lit("accepted"), "context_and_problem": F.lit("why"), "decision_drivers": F.array("title"), "considered_options": none, "decision_outcome": F.lit("so")}
+    return ledger(spark, sf).withColumns(kept).select(*[x.split()[0] for x in LEDGER.split(", ")])
+
+
+_NOTE = """'---' || n || 'madr_id: ' || id || n || 'title: ' || title || n || 'status: accepted' || n || 'timestamp: ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || n || 'generation_id: 1' || n
+|| 'context_and_problem: |' || n || '  why' || n || 'decision_drivers:' || n || '  - ' || title || n || 'considered_options:' || n || n || 'decision_outcome: |' || n || '  so' || n || 'supersedes_madr: ' || coalesce(supersedes, '') || n || '---'
+|| n || n || '# ' || id || ' — ' || title || n || n || CASE WHEN supersedes IS NULL THEN '' ELSE '> This decision supersedes [[' || supersedes || ']]' || n || n END
+|| '## Context and Problem' || n || 'why' || n || n || '## Decision Drivers' || n || '- ' || title || n || n || '## Considered Options' || n || n || n || '## Decision Outcome' || n || 'so'"""
+
+
+@query(f"""WITH {_LEDGER} SELECT id, id || '-' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') || '.md' AS file_name, {_NOTE} AS note FROM ledger, (SELECT chr(10) AS n)""")
 def q_decision_note_name(spark: SparkSession, sf: str) -> DataFrame:
-    full = ledger(spark, sf).select("*", F.lit("").alias("context_and_problem"), F.array().cast("array<string>").alias("decision_drivers"), F.array().cast("array<string>").alias("considered_options"), F.lit("").alias("decision_outcome"), F.lit("accepted").alias("status"), F.lit(1).alias("generation_id"))
-    return D.decision_note(full).select("id", "file_name")
+    return D.decision_note(full_ledger(spark, sf))
 
 
 # ---- evaluation ---------------------------------------------------------------------------------

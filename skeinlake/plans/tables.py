@@ -51,12 +51,13 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
                 fs.delete(where, True)
 
 
-def settled(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage and survives lost executors.
-    The files go when the driver's JVM ends."""
+def settled(df: DataFrame, compression: str = "zstd", by: str | None = None) -> DataFrame:
+    """df written to the shared folder, dealt into folders `by` a column, and read back: cuts the
+    lineage and survives lost executors. The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skeinlake/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    out = df.write.option("compression", compression)
+    (out.partitionBy(by) if by else out).parquet(path)
     fs, where = _on_disk(spark, path)
     fs.deleteOnExit(where)
     if _open.get():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,14 +33,20 @@ def with_retries(call: Callable[[], Sequence], attempts: int = 3, sleep: Callabl
 
 def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[Sequence[float]]], dimensions: int, batch: int = 32) -> DataFrame:
     """id, embedding at unit length, cut to `dimensions`. embed takes a batch of texts and returns
-    their vectors in order; it runs on the executors, `batch` texts a call, with retries."""
+    their vectors in order, or mappings with `index` and `embedding` in any; it runs on the executors,
+    `batch` texts a call, with retries."""
 
     def rows(batches):
         for pdf in batches:
             out = []
             for at in range(0, len(pdf), batch):
                 texts = pdf["content"].iloc[at : at + batch].fillna("").tolist()
-                out += [list(map(float, v)) for v in with_retries(lambda texts=texts: embed(texts))]
+                got = with_retries(lambda texts=texts: embed(texts))
+                if got and isinstance(got[0], Mapping):
+                    got = [g["embedding"] for g in sorted(got, key=lambda g: g["index"])]
+                if len(got) != len(texts):
+                    raise ValueError(f"{len(got)} embeddings of {len(texts)} texts")
+                out += [list(map(float, v)) for v in got]
             yield pd.DataFrame({"id": pdf["id"], "embedding": out})
 
     raw = chunks.select("id", "content").mapInPandas(rows, "id string, embedding array<double>")

@@ -53,6 +53,14 @@ def write_run(judged: DataFrame, summary: DataFrame, difficulty: DataFrame, conf
     render_run(summary, difficulty).coalesce(1).write.mode("overwrite").text(f"{path}/summary_md")
 
 
+def newest_run(spark: SparkSession, path: str) -> str | None:
+    """The folder below path that was written last (of equal times the last by name); None if there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(s.getModificationTime(), s.getPath().toString()) for s in (fs.listStatus(where) if fs.exists(where) else []) if s.isDirectory()]
+    return max(found)[1] if found else None
+
+
 def render_run(summary: DataFrame, difficulty: DataFrame) -> DataFrame:
     """value: the averages as one Markdown text."""
     line = lambda name, c: F.format_string(f"- {name}: %.4f", F.col(c))

@@ -107,10 +107,14 @@ def read_contents(listing: DataFrame) -> DataFrame:
 def scan_store(spark: SparkSession, path: str) -> DataFrame:
     """file_path, mtime_ns, size_bytes, content of a tree in any store that Spark reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    extension = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
     root = F.lit(path.rstrip("/") + "/")
     relative = F.when(F.col("path").contains(root), F.substring_index(F.col("path"), root, -1)).otherwise(F.regexp_replace("path", r"^\w+:/*", ""))
-    return files.where(extension.isin(*EXTENSIONS)).select(relative.alias("file_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size_bytes"), "content")
+    return source_files(files.select(relative.alias("file_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size_bytes"), "content"))
+
+
+def source_files(listing: DataFrame) -> DataFrame:
+    """The files of a listing (file_path) that a scan takes, by extension."""
+    return listing.where(F.lower(F.regexp_extract("file_path", r"\.[^./]+$", 0)).isin(*EXTENSIONS))
 
 
 def without_binary(files: DataFrame) -> DataFrame:
