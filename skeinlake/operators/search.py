@@ -126,13 +126,13 @@ def keyword_index(chunks: DataFrame, buckets: int = 32) -> KeywordIndex:
 
 def keyword_search(chunks: DataFrame | KeywordIndex, query: str, limit: int = CANDIDATES) -> DataFrame:
     """id, score, rank: BM25 (k1 1.2, b 0.75, inverse frequency at least 1e-6) of the live chunks
-    that hold all terms of the query. chunks: an index over them, or the chunks themselves, which are
+    that hold all terms of the query; a null content is an empty one. chunks: an index over them, or the chunks themselves, which are
     then tokenised for this query."""
     terms = X.query_terms(query)
     if isinstance(chunks, KeywordIndex):
         hits, totals = chunks.of(terms), chunks.totals
     else:
-        words = live(chunks).select("id", X.tokens(F.col("content")).alias("toks"))
+        words = live(chunks).select("id", X.tokens(F.coalesce("content", F.lit(""))).alias("toks"))
         totals = words.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avg_len"))
         each = words.select("id", F.size("toks").alias("doc_len"), F.explode(F.filter("toks", lambda t: t.isin(*terms))).alias("tok"))
         hits = each.groupBy("tok", "id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))

@@ -1,3 +1,7 @@
+import time
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +41,47 @@ def test_keyword_search_needs_all_terms_and_live_chunks(spark):
     assert S.keyword_search(c, "``").count() == 0
 
 
+def test_index_gives_what_the_chunks_give(spark):
+    words = "red blue Élan élan a.b x::y green".split()
+    rows = [chunk(f"f{i}::x", " ".join(words[(i * j) % 7] for j in range(i % 11)), i % 9 == 4) for i in range(80)] + [chunk("none::x", None)]
+    c = spark.createDataFrame(rows, CHUNKS)
+    index = S.keyword_index(c, 4)
+    for query in ("red", "Elan red", "a.b x::y blue", "missing", "``", "red red green"):
+        got, want = ([(r.id, round(r.score, 9), r["rank"]) for r in S.keyword_search(at, query).orderBy("rank").collect()] for at in (index, c))
+        assert got == want
+    plan = index.of(["red"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(tok), EqualTo(tok,red)]" in plan
+
+
+def test_nearest_batch_is_brute_force(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(130, 6)).astype(np.float32).tolist()
+    x[7] = x[99] = x[3]
+    rows = [(str(i), v) for i, v in enumerate(x)] + [("short", [1.0]), ("null", None), ("hole", [None] * 6), ("empty", [])]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(3)
+    asked = df.where("id in ('3', '20', '41', 'short', 'null')").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    got = S.nearest_batch(df, asked, 4, rows=50, asked=2).orderBy("query_id", "rank").collect()
+    for q in ("3", "20", "41"):
+        want = sorted((float(np.sqrt(((np.array(v, float) - np.array(x[int(q)], float)) ** 2).sum())), str(i)) for i, v in enumerate(x))[:4]
+        assert [(round(y.distance, 9), y.id) for y in got if y.query_id == q] == [(round(d, 9), i) for d, i in want]
+    assert [(y.id, y.distance) for y in got if y.query_id == "short"] == [("short", 0.0)] and not [y for y in got if y.query_id == "null"]
+
+
+def test_rerank_gives_up_after_its_time(spark, ranks):
+    c = ranks("a", "b").withColumns({"content": F.concat("id", F.lit("x")), "score": F.lit(0.5)})
+
+    @F.pandas_udf("double")
+    def slow(text: pd.Series) -> pd.Series:
+        time.sleep(20)
+        return text.str.len().astype(float)
+
+    began = time.monotonic()
+    kept, used = S.rerank(c, slow, 250)
+    assert not used and order(kept) == ["a", "b"] and time.monotonic() - began < 15
+    ranked, used = S.rerank(c, lambda t: F.when(t == "bx", 2.0).otherwise(1.0), 60_000)
+    assert used and order(ranked) == ["b", "a"]
+
+
 def test_substring_search_and_routing(spark):
     c = spark.createDataFrame([chunk("a::x", "see Foo::Bar here"), chunk("b::x", "foo::barx"), chunk("c::x", "nothing")], CHUNKS)
     assert order(S.substring_search(c, '"foo::bar"')) == ["b::x", "a::x"]

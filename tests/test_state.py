@@ -1,3 +1,4 @@
+import os
 import threading
 from datetime import datetime, timedelta
 
@@ -102,6 +103,32 @@ def test_sessions(spark):
     assert D.spawn(closed, "n", "s2", NOW)[0].agg(F.max("generation_id")).first()[0] == 2
 
 
+def test_a_session_takes_five_requests_at_most():
+    queue, go, done, started = D.SessionQueue(5), threading.Event(), [], threading.Semaphore(0)
+
+    def request():
+        started.release()
+        go.wait(60)
+        done.append(1)
+
+    def ask():
+        queue.run("s", request)
+
+    threads = [threading.Thread(target=ask) for _ in range(5)]
+    for t in threads:
+        t.start()
+    started.acquire(timeout=60)
+    while queue._held["s"][1] < 5:
+        pass
+    with pytest.raises(schema.EngineError, match="SESSION_BUSY"):
+        queue.run("s", request)
+    assert queue.run("other", lambda: 7) == 7
+    go.set()
+    for t in threads:
+        t.join(60)
+    assert len(done) == 5 and queue.run("s", lambda: 8) == 8
+
+
 def test_context_drops_the_oldest_turns(spark):
     t = spark.createDataFrame([("s", i, "user", "x" * 10, NOW) for i in range(5)], schema.TURNS)
     assert sorted(r.turn_index for r in D.trim_context(t, 45, 20).collect()) == [3, 4]
@@ -268,6 +295,9 @@ def test_connectors(spark):
     c = corpus(spark, [("a", "doc", 3, False, None), ("b", "doc", 5, False, None)])
     got = connectors.embed_chunks(c, lambda texts: [[float(len(t)), 0.0, 9.0] for t in texts], 2).collect()
     assert all(abs(r.embedding[0] - 1) < 1e-6 and len(r.embedding) == 2 for r in got)
+    mixed = lambda texts: [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(texts)))]
+    by_index = {r.id: r.embedding for r in connectors.embed_chunks(c, mixed, 2).collect()}
+    assert all(abs(v[0] / v[1] - (3 if k.startswith("a") else 5)) < 1e-5 for k, v in by_index.items())
     h = connectors.hash_embedding(c, 8)
     assert h.count() == 2 and VectorStore(h).upsert(h).vectors.count() == 2 and VectorStore(h).query([0.0] * 8, 1).count() == 1
     with pytest.raises(schema.EngineError, match="AUTH_INVALID"):
@@ -285,4 +315,7 @@ def test_query_sets_and_reports(spark, tmp_path):
         reports.read_query_set(spark, str(tmp_path / "bad")).collect()
     j = E.per_query(q.select(F.col("id").alias("query_id"), "difficulty", "relevant_chunks"), spark.createDataFrame([("a", 1, "f::module::default")], "query_id string, rank int, chunk_id string"))
     reports.write_run(j, E.summary(j), E.by_difficulty(j), spark.range(1), str(tmp_path / "run"))
+    assert reports.newest_run(spark, str(tmp_path / "none")) is None
+    os.utime(tmp_path / "run", (1, 1))
+    assert reports.newest_run(spark, str(tmp_path)).rstrip("/").endswith(("bad", "q"))
     assert "- Precision@1: 0.5000" in [r.value for r in spark.read.text(str(tmp_path / "run/summary_md")).collect()]
