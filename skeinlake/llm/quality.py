@@ -92,8 +92,18 @@ def text_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return only(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, x array<float>")
 
 
+def pair_loss(w: np.ndarray, d: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean logistic loss of the pairs' feature differences (better less worse) with a ridge, its
+    gradient and its second derivative."""
+    u = np.clip(d @ w, -40, 40)
+    p = 1 / (1 + np.exp(u))
+    loss = float(np.log1p(np.exp(-u)).mean() + ridge / 2 * (w @ w))
+    return loss, ridge * w - (d * p[:, None]).mean(0), (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+
+
 class Ranker:
-    """Utilities u(x) = w . (x - mean) / scale and the threshold; score = sigmoid(gain * (u - at))."""
+    """Utilities u(x) = w . (x - mean) / scale and the threshold; score = sigmoid(gain * (u - at)). The
+    threshold is the middle of the gap below which the training rows lie as often as label 0 does."""
 
     def __init__(self, x: np.ndarray, good: np.ndarray, pairs: int = 60_000, ridge: float = 1.0, seed: int = 11) -> None:
         x = np.asarray(x, np.float64).reshape(-1, len(NAMES))
@@ -108,10 +118,8 @@ class Ranker:
         # every document meets several of the other label
         n = max(pairs, len(up), len(down))
         d = up[draw.permutation(np.arange(n) % len(up))] - down[draw.permutation(np.arange(n) % len(down))]
-        for _ in range(40):  # Newton's method on mean log(1 + exp(-d . w)) + ridge
-            p = 1 / (1 + np.exp(np.clip(d @ self.w, -40, 40)))
-            g = -(d * p[:, None]).mean(0) + ridge / 1000 * self.w
-            h = (d * (p * (1 - p))[:, None]).T @ d / n + ridge / 1000 * np.eye(len(self.w))
+        for _ in range(40):  # Newton's method
+            _, g, h = pair_loss(self.w, d, ridge / 1000)
             step = np.linalg.solve(h, g)
             self.w -= step
             if np.abs(step).max() < 1e-8:

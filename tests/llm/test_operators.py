@@ -1,5 +1,7 @@
+import hashlib
 import os
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -16,7 +18,7 @@ from skeinlake.llm.mixing import mix_sources, targets
 from skeinlake.llm.mtree import exact_top_k
 from skeinlake.llm.ngram_join import _same_documents, ngram_jaccard_join
 from skeinlake.llm.packing import best_fit, pack
-from skeinlake.llm.quality import quality_scores
+from skeinlake.llm.quality import NAMES, Ranker, pair_loss, quality_scores
 from skeinlake.llm.queries import op7_best_fit_packing
 from skeinlake.llm.substring_dedup import substring_dedup
 from skeinlake.llm.token_count import Merges, token_counts
@@ -377,6 +379,14 @@ def test_media_round_trip(spark):
         rate, pcm = media.expand(r.pcm)
         assert rate == 16000 and len(pcm) == 2 * len(payload)
         assert (pcm[::2] == media.mulaw(np.frombuffer(payload, np.uint8))).all()
+        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
+        x, flat = [int(a) for a in pcm], [int(a) for a in media.MULAW_TABLE[list(payload)]]
+        doubled = [v for a, b in zip(flat, [*flat[1:], flat[-1]]) for v in (a, (a + b) // 2)]
+        assert x == doubled
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        crc = zlib.crc32(b"".join(a.to_bytes(2, "little", signed=True) for a in x))
+        assert r.feature.split("|")[0] == f"n={len(x)};peak={max(map(abs, x))};power={sum(a * a for a in x) // len(x)};crossings={crossings};crc={crc:08x}"
     assert len(got) == len(rows) and len({r.feature for r in got if r.doc_id in (1, 5)}) == 1
     assert media_columns(docs(spark, []), keep=False).count() == 0
 
@@ -475,6 +485,24 @@ def test_quality_on_held_out_documents(spark):
     assert {x.score for x in none} == {0.5}
 
 
+def test_pair_loss_and_quantile():
+    r = np.random.default_rng(7)
+    d, w = r.normal(size=(300, 6)) + 0.3, r.normal(size=6)
+    loss, g, h = pair_loss(w, d, 0.01)
+    assert abs(loss - np.mean([np.log(1 + np.exp(-x @ w)) for x in d]) - 0.005 * w @ w) < 1e-12
+    for i, e in enumerate(np.eye(6) * 1e-5):
+        up, down = pair_loss(w + e, d, 0.01), pair_loss(w - e, d, 0.01)
+        assert abs((up[0] - down[0]) / 2e-5 - g[i]) < 1e-6 and np.abs((up[1] - down[1]) / 2e-5 - h[i]).max() < 1e-5
+    x = r.normal(size=(400, len(NAMES)))
+    good = (x[:, 3] + 0.5 * r.normal(size=400) > 0.4).astype(int)
+    ranker = Ranker(x, good)
+    assert (ranker.score(x) < 0.5).sum() == (good == 0).sum()
+    assert ((ranker.score(x) >= 0.5) == good).mean() > 0.8 and np.argmax(np.abs(ranker.w)) == 3
+    # one label, none, equal rows
+    assert (Ranker(x[:5], np.ones(5, int)).score(x) > 0.5).all() and (Ranker(x[:5], np.zeros(5, int)).score(x) < 0.5).all()
+    assert (Ranker(x[:0], good[:0]).score(x) == 0.5).all() and np.isfinite(Ranker(np.repeat(x[:1], 8, 0), good[:8]).score(x)).all()
+
+
 def test_language_fuses_its_evidence(spark):
     r = random.Random(9)
     letters = {"en": "ethoanisrw", "de": "schenirtuü", "fr": "éeauxionqr"}
