@@ -65,3 +65,11 @@ def settled(df: DataFrame, compression: str = "zstd", by: str | None = None) ->
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what settled() wrote for df, which must not be read again; other tables are left alone."""
+    path = getattr(df, "_settled_at", None)
+    if path:
+        fs, where = _on_disk(df.sparkSession, path)
+        fs.delete(where, True)

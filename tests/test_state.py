@@ -263,8 +263,10 @@ def test_scratch_of_two_threads_are_apart(spark):
         gone = tables.settled(spark.range(4))
         assert mine.count() == 3
     assert mine.count() == 3
-    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
-        gone.count()
+    tables.forget(mine)
+    for df in (gone, mine):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+            df.count()
 
 
 def test_session_stream(spark, tmp_path):
