@@ -8,6 +8,7 @@ customer is the graph, `orders` the decision ledger, `events` the activity log.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,9 +98,11 @@ def q_scan_ext_filter(spark: SparkSession, sf: str) -> DataFrame:
     return T.source_files(paths).groupBy(X.language_of(F.col("file_path")).alias("language")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT source || '/' || doc_id AS file_path, 'sha256:' || sha256(text) AS content_hash FROM documents WHERE position(chr(0) in text) = 0")
+@query("SELECT source || '/' || doc_id AS file_path, 'sha256:' || sha256(text) AS content_hash FROM documents WHERE doc_id % 5 <> 0")
 def q_content_hash(spark: SparkSession, sf: str) -> DataFrame:
-    kept = T.without_binary(files(spark, sf).withColumn("content", F.encode("content", "UTF-8")))
+    """Every fifth file has a zero byte at its front, so a scan leaves it out."""
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("\0"), "text")).otherwise(F.col("text"))
+    kept = T.without_binary(table(spark, sf, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), F.encode(text, "UTF-8").alias("content")))
     return kept.select("file_path", X.content_hash(F.col("content")).alias("content_hash"))
 
 
@@ -276,17 +279,18 @@ def q_render_results(spark: SparkSession, sf: str) -> DataFrame:
 def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     edge = lambda t, a, b, ka, kb: table(spark, sf, t).select(F.concat(F.lit(a), F.col(ka).cast("string")).alias("source_id"), F.concat(F.lit(b), F.col(kb).cast("string")).alias("target_id"), F.lit("CONTAINS").alias("edge_type"))
     parts = [edge("nation", "region", "nation", "n_regionkey", "n_nationkey"), edge("supplier", "nation", "supplier", "s_nationkey", "s_suppkey"), edge("customer", "nation", "customer", "c_nationkey", "c_custkey")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # suppliers have an edge of a second type, which comes first by name
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[1].withColumn("edge_type", F.lit("CALLS")))
 
 
 _EDGES = """edges AS (SELECT 'region' || n_regionkey AS source_id, 'nation' || n_nationkey AS target_id, 'CONTAINS' AS edge_type FROM nation
-UNION ALL SELECT 'nation' || s_nationkey, 'supplier' || s_suppkey, 'CONTAINS' FROM supplier UNION ALL SELECT 'nation' || c_nationkey, 'customer' || c_custkey, 'CONTAINS' FROM customer)"""
+UNION ALL SELECT 'nation' || s_nationkey, 'supplier' || s_suppkey, unnest(['CONTAINS', 'CALLS']) FROM supplier UNION ALL SELECT 'nation' || c_nationkey, 'customer' || c_custkey, 'CONTAINS' FROM customer)"""
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges),
+@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT source_id AS a, target_id AS b, edge_type AS t FROM edges UNION ALL SELECT target_id, source_id, edge_type FROM edges),
 w(n, d) AS (SELECT 'supplier1', 0 UNION SELECT b.b, w.d + 1 FROM w JOIN b ON b.a = w.n WHERE w.d < 6),
-m AS (SELECT n, min(d) AS d FROM w WHERE n <> 'supplier1' GROUP BY n)
-SELECT n AS node_id, CAST(d AS BIGINT) AS depth, 'CONTAINS' AS edge_type FROM m""")
+m AS (SELECT n, min(d) AS d FROM w GROUP BY n)
+SELECT m.n AS node_id, CAST(m.d AS BIGINT) AS depth, min(b.t) AS edge_type FROM m JOIN b ON b.b = m.n JOIN m p ON p.n = b.a AND p.d = m.d - 1 WHERE m.n <> 'supplier1' GROUP BY ALL""")
 def q_graph_bfs(spark: SparkSession, sf: str) -> DataFrame:
     return G.neighbourhood(hierarchy(spark, sf), "supplier1", 6, None).select("node_id", *_long("depth"), "edge_type")
 
@@ -469,6 +473,28 @@ def q_chunk_xml_tags(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunk_files(trees).select("id", "chunk_type", *_long("start_line", "end_line"))
 
 
+#: A small file for each language, %d the document's id, and its chunks: name, kind, first and last line.
+_SOURCES = {
+    "a.php": ("<?php\nclass K%d {\n  function run() { return '}'; }\n}\ntrait T {\n}\n", ["class::K%d class 1 3", "class::K%d::method::run method 2 2", "trait::T trait 4 5", "module::default module 0 6"]),
+    "b.sql": ("-- create function no()\nCREATE FUNCTION s.f%d(x int) RETURNS int AS $$\n SELECT ';';\n$$ LANGUAGE sql;\n", ["function::s.f%d function 1 3", "module::default module 0 4"]),
+    "c.css": (".a%d, .b {\n  color: red; background: blue; border: 1px solid black; margin: 0; padding: 0;\n}\n/* .c { */\n@media print {}\n", ["rule::.a%d, .b rule 0 2", "at_rule::@media print at_rule 4 4", "module::default module 0 5"]),
+    "d.scss": ("@mixin m%d($x) {\n  a: $x;\n}\n", ["mixin::m%d mixin 0 2", "module::default module 0 3"]),
+    "e.rb": ("module M%d\n  class A\n    def b?\n      'end'\n    end\n  end\nend\n", ["module::M%d module 0 6", "class::A class 1 5", "method::b? method 2 4", "module::default module 0 7"]),
+    "f.cs": ('class A%d {\n  public string P() { return @"}\\"; }\n}\n', ["class::A%d class 0 2", "method::P method 1 1", "module::default module 0 3"]),
+    "g.go": ("func F%d() string {\n  return `}`\n}\nfunc (r R) M() {}\n", ["function::F%d function 0 2", "module::default module 0 4"]),
+    "h.ts": ("const q = /[{]/;\nexport class A%d {\n  run() { return `${1}`; }\n}\n", ["class::A%d class 1 3", "class::A%d::method::run method 2 2", "module::default module 0 4"]),
+}
+_CHUNKS_OF = ", ".join("('{}', '{}', '{}', {}, {})".format(path, *c.rsplit(" ", 3)) for path, (_, found) in _SOURCES.items() for c in found)
+
+
+@query(f"""WITH x(path, name, kind, a, b) AS (VALUES {_CHUNKS_OF})
+SELECT 'd' || doc_id || '/' || path || '::' || replace(name, '%d', CAST(doc_id AS VARCHAR)) AS id, kind AS chunk_type, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line FROM documents, x""")
+def q_chunk_languages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id")
+    made = [docs.select(F.format_string(f"d%d/{path}", "doc_id").alias("file_path"), F.replace(F.lit(text), F.lit("%d"), F.col("doc_id").cast("string")).alias("content")) for path, (text, _) in _SOURCES.items()]
+    return C.chunk_files(reduce(DataFrame.unionByName, made)).select("id", "chunk_type", *_long("start_line", "end_line"))
+
+
 @query("""WITH d AS (SELECT doc_id, 's' || doc_id || '/a.ts' AS a, 's' || doc_id || '/b.ts' AS b FROM documents)
 SELECT a || '::module::default' AS source_id, b || '::module::default' AS target_id, 'IMPORTS' AS edge_type FROM d
 UNION ALL SELECT a || '::function::run', b || '::function::f', 'CALLS' FROM d
