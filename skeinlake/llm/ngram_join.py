@@ -78,14 +78,14 @@ def _pieces(column: pa.Array):
 
 
 def _frequent(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams most often met in one batch, over all documents. They only set the order of the
+    """The n-grams most often met in several documents of one batch, over all documents. They only set the order of the
     columns: any order gives the same links."""
 
     def count(batches):
         for batch in batches:
             held = []
             for _, to, data, offsets in _pieces(batch.column(0)):
-                held.append(_grams(data, offsets, n)[0])
+                held.append(_sets(data, offsets, n)[0])
                 if sum(map(len, held)) > 1_500_000 or to == batch.num_rows:
                     gram, times = _repeats(np.concatenate(held))
                     held = []
