@@ -17,7 +17,7 @@ from ..operators.references import extract_edges
 from ..plans.tables import scratch, settled
 from ..schema import EngineError
 from ..sources.snapshots import SnapshotStore
-from ..sources.tree import refreshed_cache, under
+from ..sources.tree import changed_candidates, confirmed_changes, read_contents, refreshed_cache, scan_tree, under, vanished_files
 
 TTL = "30 minutes"
 CHANGED = "file_path string, content string, content_hash string, mtime_ns bigint, size_bytes bigint"
@@ -104,6 +104,22 @@ def force_index(store: SnapshotStore, files: DataFrame, path: str = ".", **how)
     return index_batch(store, mine, removed=known.join(mine.select("file_path"), "file_path", "left_anti"), **how)
 
 
+def sync_tree(store: SnapshotStore, root: str, path: str = ".", force: bool = False, **how) -> Batch:
+    """Bring the store up to date with a file tree, or with the part of it at or below a path: scan,
+    read what may have changed, and index what did; files that are no more lose their chunks. force:
+    index all files again."""
+    listing = under(scan_tree(store.spark, root), path)
+    known = under(store.read("scan_cache"), path)
+    changed = confirmed_changes(read_contents(changed_candidates(listing, known, force)), force=force)
+    files = changed.withColumn("content", F.decode("content", "UTF-8")).select("file_path", "content", "content_hash", "mtime_ns", "size_bytes")
+    gone = vanished_files(listing, known)
+    with scratch(store.spark):
+        files, gone = settled(files), settled(gone)
+        if files.isEmpty() and gone.isEmpty():
+            return Batch(0, 0, 0, 0.0, [])
+        return index_batch(store, files, removed=gone, **how)
+
+
 def index_stream(spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, schema: str = CHANGED, done: Callable[[Batch], None] | None = None, **how) -> StreamingQuery:
     """Index JSON rows of changed files as they arrive under source. The checkpoint numbers the
     batches and the store knows the last one merged, so each is merged once. done: gets each batch's

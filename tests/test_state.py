@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from skeinlake import __main__ as cli
 from skeinlake import schema
 from skeinlake.operators import evaluate as E
 from skeinlake.operators import health as H
@@ -219,6 +220,29 @@ def test_newest_version_wins_and_bad_files_are_counted(spark, tmp_path):
     assert {r.file_path for r in store.read("chunks").where("not is_deleted").collect()} == {"b.ts"}
 
 
+def test_tree_in_one_call(spark, tmp_path, capsys):
+    root = tmp_path / "src"
+    (root / "lib").mkdir(parents=True)
+    (root / "a.ts").write_text('import { f } from "./lib/b";\nf();\n')
+    (root / "lib" / "b.ts").write_text("export function f() { return 1; }\n")
+    (root / "no.bin").write_text("x")
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    embed = lambda chunks: connectors.hash_embedding(chunks, 16)
+    assert incremental.sync_tree(store, str(root), embed=embed)[:3] == (2, 0, 3)
+    assert ("a.ts::module::default", "lib/b.ts::function::f", "CALLS") in {tuple(r) for r in store.read("edges").collect()}
+    assert incremental.sync_tree(store, str(root), embed=embed).succeeded == 0
+    assert incremental.sync_tree(store, str(root), "lib", force=True, embed=embed)[:3] == (1, 0, 2)
+    (root / "a.ts").unlink()
+    incremental.sync_tree(store, str(root), embed=embed)
+    assert {r.id for r in store.read("chunks").where("not is_deleted").collect()} == {"lib/b.ts::module::default", "lib/b.ts::function::f"}
+    cli.main(["search", f"file://{tmp_path}/store", "function"], spark)
+    cli.main(["health", f"file://{tmp_path}/store"], spark)
+    cli.main(["collect", f"file://{tmp_path}/store", "--days", "0"], spark)
+    out = capsys.readouterr().out
+    assert "--- CHUNK 1 score=" in out and "lib/b.ts" in out and "total_chunks: 2" in out and "collected: 1" in out
+    assert store.read("chunks").count() == 2
+
+
 def test_indexer_pauses_and_resumes(spark, tmp_path):
     store, seen = SnapshotStore(spark, f"file://{tmp_path}/store"), []
     rows = lambda *r: spark.createDataFrame(r, incremental.CHANGED)
