@@ -77,22 +77,26 @@ def _pieces(column: pa.Array):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def _frequent(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams most often met in several documents of one batch, over all documents. They only set the order of the
-    columns: any order gives the same links."""
+def _frequent(docs: DataFrame, n: int, percent: int, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """The n-grams most often met in several documents of one batch, over all documents, and the columns
+    of all prefixes. They only set the order of the columns: any order gives the same links."""
 
     def count(batches):
         for batch in batches:
-            held = []
+            held, columns = [], 0
             for _, to, data, offsets in _pieces(batch.column(0)):
-                held.append(_sets(data, offsets, n)[0])
+                flat, first, _ = _sets(data, offsets, n)
+                held.append(flat)
+                columns += int(_width(np.diff(first), percent).sum())
                 if sum(map(len, held)) > 1_500_000 or to == batch.num_rows:
                     gram, times = _repeats(np.concatenate(held))
-                    held = []
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(times)], ["gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([*gram.view(np.int64).tolist(), None], pa.int64()), pa.array(np.r_[times, columns])], ["gram", "n"])
+                    held, columns = [], 0
 
     found = docs.select(F.col(text).alias("t")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = store(found)
+    columns = sum(r["n"] for r in found.where("gram is null").collect())
+    found = found.where("gram is not null")
     # the lowest power of two above which few enough stand: the driver gets these alone
     level, held = 63, 0
     for r in sorted(found.groupBy(F.floor(F.log2("n")).cast("int").alias("l")).count().collect(), reverse=True):
@@ -103,7 +107,12 @@ def _frequent(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarra
     rows = found.where(F.floor(F.log2("n")) >= level).toPandas()
     grams = rows["gram"].to_numpy(np.int64).view(_U)
     order = np.argsort(grams)
-    return grams[order], rows["n"].to_numpy(np.int64)[order]
+    return grams[order], rows["n"].to_numpy(np.int64)[order], columns
+
+
+def _width(m: np.ndarray, percent: int) -> np.ndarray:
+    """Columns of the prefix of a set of that size."""
+    return np.where(m > 0, np.minimum(m, m + (-m * percent) // 100 + m // _PART + 1), 0)
 
 
 def _repeats(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +136,7 @@ def _prefixes(data: np.ndarray, offsets: np.ndarray, n: int, percent: int, grams
     flat, first, words = _sets(data, offsets, n)
     m = np.diff(first)
     h1, h2 = _sums(mix(flat), first), _sums(mix(flat ^ _U(0x5851F42D4C957F2D)), first)
-    width = np.where(m > 0, np.minimum(m, m + (-m * percent) // 100 + m // _PART + 1), 0)
+    width = _width(m, percent)
     light = width.copy()
     doc = np.repeat(np.arange(len(m)), m)
     if len(grams) and len(flat):
@@ -142,16 +151,27 @@ def _prefixes(data: np.ndarray, offsets: np.ndarray, n: int, percent: int, grams
     return words, m, h1, h2, width, light, keys, np.r_[0, np.cumsum(width)]
 
 
-_INCIDENCE = "doc_id long, words long, n int, h1 long, h2 long, width int, keys array<long>, light int"
+_SETS = "doc_id long, words long, n int, h1 long, h2 long, width int"
+_PACKED = "slice long, keys array<long>, cls array<long>, many array<long>, both array<long>, docs array<long>"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _incidence(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, words, n (set size), h1, h2 (of the set), width (of the prefix), keys, light (how many
-    of the keys, which come first, are not frequent), and the carried columns. Of equal sets in one
-    batch the one with the smallest doc_id has keys, the others none."""
-    grams, counts = _frequent(docs, n, text)
+    """Two kinds of rows. Without a slice, one a document: doc_id, words, n (set size), h1, h2 (of the
+    set), width (of the prefix) and the carried columns. With one, a batch's prefix columns in a slice
+    of the key range: keys and cls (document) of those that one document of the batch has; many: keys
+    that more have; both, docs: the cells of these and of the frequent keys, which need meet no others
+    and are spread over the slices evenly. Of equal sets in one batch the one with the smallest doc_id
+    brings its columns, the others none."""
+    grams, counts, columns = _frequent(docs, n, percent, text)
+    slices = 1 + (columns >> 16)  # of about 65 000 columns each
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
     more = "".join(f", c{i} {f.dataType.simpleString()}" for i, f in enumerate(picked.schema.fields[2:]))
+    names = [*_names(_SETS), *(f"c{i}" for i in range(len(carry))), *_names(_PACKED)]
+    lists = pa.list_(pa.int64())
 
     def rows(batches):
         for batch in batches:
@@ -160,34 +180,44 @@ def _incidence(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, ca
                 continue
             words, m, h1, h2, width, light, keys = (np.concatenate([p[i] for p in parts]) for i in range(7))
             first: dict[tuple, tuple] = {}  # by set: smallest doc_id and its place
-            for i, (*of, d) in enumerate(zip(m.tolist(), h1.tolist(), h2.tolist(), batch.column(0).to_pylist())):
+            ids = batch.column(0).to_pylist()
+            for i, (*of, d) in enumerate(zip(m.tolist(), h1.tolist(), h2.tolist(), ids)):
                 of = tuple(of)
-                if d is not None and (of not in first or d < first[of][0]):
+                if of[0] and d is not None and (of not in first or d < first[of][0]):
                     first[of] = d, i
+            of_set = [batch.column(0), *map(pa.array, (words.astype(np.int64), m.astype(np.int32), h1.view(np.int64), h2.view(np.int64), width.astype(np.int32))), *batch.columns[2:]]
+            none = [pa.nulls(len(ids), pa.int64()), *(pa.nulls(len(ids), lists) for _ in range(5))]
+            yield pa.RecordBatch.from_arrays(of_set + none, names)
             has = np.zeros(len(m), bool)
             has[[i for _, i in first.values()]] = True
-            keys, light = keys[np.repeat(has, width)], np.where(has, light, 0)
-            at = np.r_[0, np.cumsum(np.where(has, width, 0))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words.astype(np.int64)), pa.array(m.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(width.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64))), pa.array(light.astype(np.int32)), *batch.columns[2:]],
-                [*(x.split()[0] for x in _INCIDENCE.split(", ")), *(f"c{i}" for i in range(len(carry)))],
-            )
-
-    return picked.mapInArrow(rows, _INCIDENCE + more)
-
-
-def _sorted_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The light columns of a batch of doc_id, keys, light in the order of the keys: keys, documents,
-    and how many of the batch have the key of each."""
-    lists = batch.column(1)
-    size = np.diff(lists.offsets.to_numpy())
-    keys = lists.flatten().to_numpy(zero_copy_only=False).view(_U)
-    place = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
-    at = np.flatnonzero(place < np.repeat(batch.column(2).to_numpy(), size))
-    keys, cls = keys[at], np.repeat(batch.column(0).to_numpy(), size)[at]
+            owner = batch.column(0).fill_null(0).to_numpy()
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(width) - width, width)
+            mine, rare = np.repeat(has, width), place < np.repeat(light, width)
+            packed = _packed(keys[mine], np.repeat(owner, width)[mine], rare[mine], slices)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(packed[0]), a.type) for a in of_set), *packed], names)
+
+    return picked.mapInArrow(rows, f"{_SETS}{more}, {_PACKED}")
+
+
+def _packed(keys: np.ndarray, cls: np.ndarray, rare: np.ndarray, slices: int) -> list[pa.Array]:
+    hot, hot_cls = keys[~rare], cls[~rare]
+    keys, cls = keys[rare], cls[rare]
     order = np.argsort(keys)
     keys, cls = keys[order], cls[order]
-    return keys, cls, _run_lengths(keys)
+    n = _run_lengths(keys)
+    many = keys[n > 1]
+    both, docs = np.r_[many, hot], np.r_[cls[n > 1], hot_cls]
+    many = many[np.r_[True, many[1:] != many[:-1]]] if len(many) else many
+    keys, cls = keys[n == 1], cls[n == 1]
+    part = lambda x: ((x >> _U(32)) * _U(slices) >> _U(32)).astype(np.int64)  # noqa: E731  of the key range
+    at, more = part(keys), part(many)
+    which = np.union1d(at, more)
+    if len(both) and not len(which):
+        which = np.zeros(1, np.int64)
+    ends = lambda x: pa.array(np.r_[np.searchsorted(x, which), len(x)].astype(np.int32))
+    at, more, even = ends(at), ends(more), pa.array(np.linspace(0, len(both), len(which) + 1).astype(np.int32))
+    lists = ((at, keys.view(np.int64)), (at, cls), (more, many.view(np.int64)), (even, both.view(np.int64)), (even, docs))
+    return [pa.array(which), *(pa.ListArray.from_arrays(o, pa.array(x)) for o, x in lists)]
 
 
 def _run_lengths(sorted_: np.ndarray) -> np.ndarray:
@@ -197,28 +227,8 @@ def _run_lengths(sorted_: np.ndarray) -> np.ndarray:
     return np.repeat(size, size)
 
 
-_PACKED = "slice long, keys array<long>, cls array<long>, many array<long>, both array<long>, docs array<long>"
-
-
-def _shared_cells(rows: DataFrame, slices: int) -> DataFrame:
-    """key, cls: the light columns of rows that more than one document has."""
-
-    def packed(batches):
-        """By slice of the key range: keys and cls of columns that one document of the batch has, and
-        the keys that more have. The cells of those (both, docs) need meet no others: they are spread
-        over the slices evenly."""
-        for batch in batches:
-            keys, cls, n = _sorted_cells(batch)
-            both, docs, many = keys[n > 1], cls[n > 1], keys[n > 1]
-            many = many[np.r_[True, many[1:] != many[:-1]]] if len(many) else many
-            keys, cls = keys[n == 1], cls[n == 1]
-            part = lambda x: ((x >> _U(32)) * _U(slices) >> _U(32)).astype(np.int64)
-            at, more = part(keys), part(many)
-            which = np.union1d(at, more)
-            ends = lambda x: pa.array(np.r_[np.searchsorted(x, which), len(x)].astype(np.int32))
-            at, more, even = ends(at), ends(more), pa.array(np.linspace(0, len(both), len(which) + 1).astype(np.int32))
-            lists = ((at, keys.view(np.int64)), (at, cls), (more, many.view(np.int64)), (even, both.view(np.int64)), (even, docs))
-            yield pa.RecordBatch.from_arrays([pa.array(which), *(pa.ListArray.from_arrays(o, pa.array(x)) for o, x in lists)], [x.split()[0] for x in _PACKED.split(", ")])
+def _shared_cells(packed: DataFrame) -> DataFrame:
+    """key, cls: the columns that more than one document has, and those of frequent n-grams."""
 
     def matched(got: pa.Table) -> pa.Table:
         flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -228,8 +238,7 @@ def _shared_cells(rows: DataFrame, slices: int) -> DataFrame:
         again = order[(_run_lengths(all_[order]) > 1) & (order < len(keys))]
         return pa.table({"key": np.r_[keys[again], flat("both")], "cls": np.r_[cls[again], flat("docs")]})
 
-    held = rows.where("light > 0").select("doc_id", "keys", "light")
-    return held.mapInArrow(packed, _PACKED).groupBy("slice").applyInArrow(matched, "key long, cls long")
+    return packed.groupBy("slice").applyInArrow(matched, "key long, cls long")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
@@ -375,30 +384,31 @@ def ngram_jaccard_join(
 
 
 def _components(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, carry: tuple[str, ...]) -> DataFrame:
-    rows = store(_incidence(docs, n, percent, doc_id, text, carry))
+    both = store(_incidence(docs, n, percent, doc_id, text, carry))
+    rows = both.where("slice is null").drop(*_names(_PACKED))
     real = rows.where("n > 0 and doc_id is not null")
     classes = store(real.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cls")))
-    # of about 65 000 columns each
-    slices = 1 + (rows.agg(F.coalesce(F.sum("light"), F.lit(0))).first()[0] >> 16)
-    hot = real.where("light < size(keys)").select(F.explode(F.expr("slice(keys, light + 1, size(keys))")).alias("key"), F.col("doc_id").alias("cls"))
-    # a copy from another batch than the first of its class goes
-    cells = store(_shared_cells(real, slices).union(hot).join(classes.select("cls"), "cls", "left_semi").select("key", "cls"))
+    cells = store(_shared_cells(both.where("slice is not null").select(*_names(_PACKED))))
 
     reps = real.select("doc_id", "h1", "h2", "n", "width").join(classes.select(F.col("cls").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
     sizes = reps.groupBy(F.col("doc_id").alias("cls")).agg(F.min("n").alias("n"), F.max("n").alias("top"), F.max("width").alias("width"))
     least = F.expr(f"(cast(ceil(n * {percent} / 100) as int) div {_PART}) + 1")  # of the smallest partner
+    # sizes has classes alone: a copy from another batch than the first of its class goes here
     kept = cells.groupBy("cls").agg(F.count("*").alias("c")).join(sizes, "cls").where(F.col("c") >= least)
     alone = F.greatest(F.lit(0), F.col("width") - F.col("c")).cast("int").alias("alone")
-    kept = store(kept.select("cls", "n", "top", "width", alone).where(_possible("n", "top", "alone", percent)))
+    kept = kept.select("cls", "n", "top", "width", alone).where(_possible("n", "top", "alone", percent))
+    # smaller for fewer columns alone; ties by hash, and two that share a code are two hubs
+    code = F.shiftleft(F.least(F.col("alone"), F.lit((1 << 20) - 1)).cast("long"), 43).bitwiseOR(F.xxhash64("cls").bitwiseAND((1 << 43) - 1))
+    kept = store(kept.withColumn("code", code))
     cells = store(cells.join(kept, "cls"))
     sets = store(_whole_sets(docs, kept.select("cls"), n, doc_id, text), "lz4")
 
     near = _near(percent)
     # each document meets the hub of most of its columns: the one with the fewest of its own
-    hubs = cells.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("alone", "cls", "n", "top")).alias("h")).where("m > 1")
-    hubs = hubs.select("key", F.col("h.cls").alias("cls2"), F.col("h.n").alias("n2"), F.col("h.top").alias("top2"), F.col("h.alone").alias("alone2"))
-    met = cells.join(hubs, "key").where("cls <> cls2").where(near).groupBy("cls", "cls2").agg(F.count("*").alias("c"))
-    met = met.groupBy("cls").agg(F.max_by("cls2", F.struct("c", "cls2")).alias("cls2"))
+    hubs = cells.groupBy("key").agg(F.count("*").alias("m"), F.min("code").alias("hub")).where("m > 1").select("key", "hub")
+    met = cells.join(hubs, "key").where("code <> hub").groupBy("cls", "n", "top", "alone", "hub").agg(F.count("*").alias("c"))
+    hub = kept.select(F.col("code").alias("hub"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("top").alias("top2"), F.col("alone").alias("alone2"))
+    met = met.join(hub, "hub").where(near).groupBy("cls").agg(F.max_by("cls2", F.struct("c", "cls2")).alias("cls2"))
     links = store(_verified(met.select(F.col("cls").alias("a"), F.col("cls2").alias("b")), sets, percent))
     found = connected_components(links)
 
