@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import scratch
 from .common import pieces, store, text_buffers
 
 TEMPER, STRENGTH = 0.25, 20.0
@@ -138,6 +139,13 @@ def identify_language(
     to identify: lang is null and nothing is accepted. Whole texts are read. Extra columns are
     ignored, repeated rows kept; an empty table gives an empty one.
     """
+    with scratch(rows.sparkSession) as kept:
+        out = store(_identified(rows, temper, strength, least_letters, least_posterior, evidence, by))
+        kept.append(out)
+    return out
+
+
+def _identified(rows: DataFrame, temper: float, strength: float, least_letters: float, least_posterior: float, evidence: DataFrame | None, by: str) -> DataFrame:
     have = set(rows.columns)
     pick = lambda c: F.col(f"`{c}`").cast("string") if c in have else F.lit(None).cast("string")
     subtag = lambda c: F.regexp_extract(F.when(F.trim(c) != "", F.lower(F.trim(c))), r"^[^-_]*", 0)

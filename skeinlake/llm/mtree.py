@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import scratch
 from .common import store
 
 #: Vectors of one block and queries of one task; vectors of a leaf page; children of an inner page;
@@ -184,6 +185,13 @@ def exact_top_k(
 
     A task holds about `block` rows and `queries` queries; the workers get `pivots` vectors a length.
     """
+    with scratch(vectors.sparkSession) as kept:
+        out = store(_top_k(vectors, k, query_every, scale, id_col, vector, block, queries, pivots))
+        kept.append(out)
+    return out
+
+
+def _top_k(vectors: DataFrame, k: int, query_every: int, scale: int, id_col: str, vector: str, block: int, queries: int, pivots: int) -> DataFrame:
     y = lambda x: F.lit(float(scale)) * x.cast("double")
     whole = F.transform(F.col(vector), lambda x: F.when(F.abs(y(x)) < float(1 << 53), F.floor(y(x)).cast("double")).otherwise(y(x)))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e150))

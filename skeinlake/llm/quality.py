@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import scratch
 from .common import hash_words, only, pieces, store, text_buffers
 
 _U = np.uint64
@@ -146,6 +147,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 12_000, doc
     what the driver gets. Null and empty texts are scored like others. A null doc_id is not held
     out and never labelled. Repeated rows are all scored. Without labels every score is 0.5.
     """
+    with scratch(docs.sparkSession) as kept:
+        out = store(_scores(docs, labels, sample, doc_id, text, label))
+        kept.append(out)
+    return out
+
+
+def _scores(docs: DataFrame, labels: DataFrame, sample: int, doc_id: str, text: str, label: str) -> DataFrame:
     features = store(text_features(docs, doc_id, text))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("good"))
