@@ -38,6 +38,8 @@ FREQUENT = 1 << 15
 _PIECE = 1 << 21
 #: Sets that link share size / _PART + 1 n-grams within their prefixes, size of the smaller one.
 _PART = 16
+#: Documents whose ids are sent to the workers at most (8 bytes each); more are joined by a shuffle.
+BROADCAST = 1 << 20
 #: More documents than this that share an n-gram are compared as blocks of so many at most.
 _DENSE, _BLOCK = 16, 512
 
@@ -250,6 +252,8 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str)
                 flat, first, _ = _sets(data, offsets, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.view(np.int64)))], ["cls", "grams"])
 
+    if ids.count() <= BROADCAST:
+        ids = F.broadcast(ids)
     picked = docs.select(F.col(doc_id).cast("long").alias("cls"), F.col(text).alias("t")).join(ids, "cls", "left_semi")
     return picked.mapInArrow(rows, "cls long, grams array<long>")
 
