@@ -124,9 +124,9 @@ def file_chunks(path: str, text: str, limits: dict[str, int] | None = None, stra
     extension = os.path.splitext(path)[1].lower().removeprefix(".")
     language = _SCRIPT.get(extension) or _OTHER.get(extension, "text")
     if extension in _SCRIPT:
-        found = S.script(text)
+        found = S.script(text, extension != "ts")
     else:
-        of = {"php": S.php, "phtml": S.php, "sql": S.sql, "yaml": S.yaml, "yml": S.yaml, "rb": S.ruby, "cs": S.c_sharp, "go": S.go}.get(extension)
+        of = {"php": S.php, "java": S.java, "sql": S.sql, "yaml": S.yaml, "yml": S.yaml, "rb": S.ruby, "cs": S.c_sharp, "go": S.go}.get(extension)
         found = of(text) if of else S.styles(text, extension == "scss") if extension in ("css", "scss") else S.xml(text, path) if extension == "xml" else []
     lines = S.Lines(text)
     out = [(f"{path}::module::default", path, "module", text, 0, lines.of(len(text)), language)]

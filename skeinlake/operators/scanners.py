@@ -4,27 +4,10 @@ brackets, not grammars: a declaration is where a keyword stands at the start of
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from typing import NamedTuple
-
-MIN_RULE_CHARS = 80
-
-
-class Piece(NamedTuple):
-    kind: str
-    name: str  # what follows the path in the id, kind included for methods
-    start: int
-    end: int
 
+from .scripts import Lines, Piece, script, silent_script
 
-class Lines:
-    """Line numbers, from 0, of places in a text."""
-
-    def __init__(self, text: str) -> None:
-        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
-
-    def of(self, place: int) -> int:
-        return bisect_right(self.starts, place) - 1
+MIN_RULE_CHARS = 80
 
 
 _QUIET = {
@@ -32,6 +15,7 @@ _QUIET = {
     "rust": r"//[^\n]*|/\*.*?(?:\*/|\Z)|r(?P<h>\#*)\".*?\"(?P=h)|\"(?:\\.|[^\"\\])*\"?|'(?:\\[^'\n]*|[^'\\\n])'",
     "sharp": r"//[^\n]*|/\*.*?(?:\*/|\Z)|\$?@\$?\"(?:\"\"|[^\"])*\"?|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'",
     "c": r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?",
+    "java": r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"\"\".*?(?:\"\"\"|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?",
     "php": r"//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?",
     "css": r"/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?",
     "scss": r"(?<!:)//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?",
@@ -41,83 +25,10 @@ _QUIET = {
 _QUIET = {k: re.compile(v, re.S) for k, v in _QUIET.items()}
 
 
-_TOKEN = re.compile(
-    r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)|(?P<word>[\w$]+)|(?P<space>\s+)|\+\+|--|</|.", re.S
-)
-_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.S)
-_REGEX = re.compile(r"/(?![*/>])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
-#: Words after which an expression starts, so that a slash opens a regular expression.
-_BEFORE_VALUE = frozenset("return typeof case in of delete void throw new instanceof do else yield await".split())
-
-
 def _blank(part: str) -> str:
     return re.sub(r"[^\n]", " ", part)
 
 
-def silent_script(text: str, strings: bool = False) -> str:
-    """A script with comments, regular expressions and the text of templates blanked out, and strings
-    too unless `strings`; places and lines stay. The code in a template's ${} stays, in round brackets."""
-    out: list[str] = []
-    parens: list[bool] = []  # of each open bracket: whether a statement follows what it closes
-    braces: list[int] = []  # of each open ${}: braces open in it
-    value, word = True, ""  # whether a value may start here; the word just before
-    at = 0
-
-    def template(at: int) -> int:
-        m = _TEMPLATE.match(text, at)
-        out.append(_blank(m[0]))
-        if text.startswith("${", m.end()):
-            out.append(" (")
-            braces.append(0)
-            return m.end() + 2
-        out.append(" " * len(text[m.end() : m.end() + 1]))
-        return m.end() + 1
-
-    while at < len(text):
-        m = _REGEX.match(text, at) if value and text[at] == "/" else None
-        if m:
-            out.append(_blank(m[0]))
-            at, value, word = m.end(), False, ""
-            continue
-        m = _TOKEN.match(text, at)
-        at, c, before = m.end(), m[0], word
-        word = ""
-        if m["comment"]:
-            out.append(_blank(c))
-            word = before
-            continue
-        if m["space"] or c in ("++", "--"):
-            out.append(c)
-            word = before
-            continue
-        if c == "`":
-            out.append(" ")
-            at, value = template(at), False
-            value = bool(braces) and out[-1] == " ("
-            continue
-        if c == "}" and braces and braces[-1] == 0:
-            braces.pop()
-            out.append(")")
-            at = template(at)
-            value = bool(braces) and out[-1] == " ("
-            continue
-        out.append(_blank(c) if m["string"] and not strings else c)
-        if m["word"]:
-            value, word = c in _BEFORE_VALUE and before != ".", c if before != "." else ""
-        elif c == "(":
-            parens.append(before in ("if", "while", "for", "with"))
-            value = True
-        elif c == ")":
-            value = parens.pop() if parens else False
-        elif c == ".":
-            value, word = True, "."
-        else:
-            if braces and c in "{}":
-                braces[-1] += 1 if c == "{" else -1
-            value = not m["string"] and c not in ("]", "</")
-    return "".join(out)
-
-
 def silent(text: str, style: str) -> str:
     """The text with comments and strings blanked out; places and lines stay."""
     return silent_script(text) if style == "script" else _QUIET[style].sub(lambda m: _blank(m[0]), text)
@@ -133,110 +44,10 @@ def closing(text: str, place: int, pair: str = "{}") -> int:
     return -1
 
 
-def _depths(text: str) -> list[int]:
-    """Places of braces and the depth after each, for depth_at."""
-    out, depth = [], 0
-    for m in re.finditer(r"[{}]", text):
-        depth += 1 if m[0] == "{" else -1
-        out.append((m.start(), depth))
-    return out
-
-
-def _at_depth(marks: list, place: int) -> int:
-    i = bisect_right(marks, (place, 1 << 60)) - 1
-    return marks[i][1] if i >= 0 else 0
-
-
-_JS = re.compile(
-    r"^[ \t]*(?P<export>export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
-    r"(?:(?P<kind>function|class|interface|enum|namespace|module|type)\b\s*\*?\s*(?P<name>[A-Za-z_$][\w$.]*)?|(?:const|let|var)\s+(?P<var>[A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?P<value>function\b|class\b|\(|[A-Za-z_$][\w$]*\s*=>))",
-    re.M,
-)
-_METHOD = re.compile(
-    r"(?:^|(?<=[;{}\n]))[ \t]*(?:(?:public|private|protected|static|readonly|override|abstract|async|get|set|final)\s+)*\*?\s*(?P<name>\#?[A-Za-z_$][\w$]*|constructor)\s*(?:<[^>(]*>)?\(",
-    re.M,
-)
+#: Words before a bracket that name no method.
 _WORDS = frozenset("if for while switch catch return function new typeof await super else do try with throw delete".split())
 
 
-def _statement_end(quiet: str, place: int) -> int:
-    """End (exclusive) of the statement that starts at `place`: its closing brace or semicolon."""
-    depth = 0
-    for m in re.compile(r"[{}()\[\];]|\n(?=\s*(?:export|const|let|var|function|class|interface|type|enum|import)\b)").finditer(quiet, place):
-        c = m[0]
-        if c in "([":
-            depth += 1
-        elif c in ")]":
-            depth -= 1
-        elif c == "{" and depth == 0:
-            end = closing(quiet, m.start())
-            return len(quiet.rstrip()) if end < 0 else end + 1
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-        elif c == ";" and depth <= 0:
-            return m.end()
-        elif c[0] == "\n" and depth <= 0:
-            return m.start()
-    return len(quiet.rstrip())
-
-
-def _methods(text: str, quiet: str, kind: str, name: str, start: int, end: int) -> list[Piece]:
-    opened = quiet.find("{", start, end)
-    if opened < 0:
-        return []
-    out, at = [], opened + 1
-    while m := _METHOD.search(quiet, at, end):
-        begin = m.start() + len(m[0]) - len(m[0].lstrip())
-        paren = closing(quiet, m.end() - 1, "()")
-        if m["name"] in _WORDS or paren < 0:
-            at = m.end()
-            continue
-        body = re.compile(r"\s*(?::\s*(?:\{[^{}]*\}|[^{};=]+))?\s*\{").match(quiet, paren + 1)
-        if body is None:
-            at = m.end()
-            continue
-        stop = closing(quiet, body.end() - 1)
-        if stop < 0:
-            break
-        out.append(Piece("method", f"{kind}::{name}::method::{m['name']}", begin, stop + 1))
-        at = stop + 1
-    return out
-
-
-def script(text: str) -> list[Piece]:
-    """JavaScript and TypeScript: top-level declarations and the methods of classes."""
-    quiet = silent(text, "script")
-    marks, lines, out, busy = _depths(quiet), Lines(text), [], 0
-    for m in _JS.finditer(quiet):
-        start = m.start() + len(m[0]) - len(m[0].lstrip())
-        if start < busy or _at_depth(marks, start) != 0:
-            continue
-        kind = m["kind"] or ("class" if m["value"].startswith("class") else "function")
-        kind = "namespace" if kind == "module" else kind
-        if m["value"] and m["value"][0] == "(":
-            paren = closing(quiet, m.end() - 1, "()")
-            if paren < 0 or not re.compile(r"\s*(?::[^=]+)?=>").match(quiet, paren + 1):
-                continue
-        name = m["var"] or m["name"]
-        if kind in ("type", "namespace") and not name:
-            continue
-        if kind == "type" and not re.compile(r"\s*(?:<[^=]*>)?\s*=").match(quiet, m.end()):
-            continue
-        if not name:
-            name = "default" if (m["export"] or "").strip().endswith("default") else f"anonymous_L{lines.of(start)}"
-        end = _statement_end(quiet, m.end() - (1 if m["value"] == "(" else 0))
-        if kind == "type" or m["var"]:
-            while end < len(quiet) and quiet[end - 1] == "}" and re.compile(r"[ \t]*;").match(quiet, end):
-                end = re.compile(r"[ \t]*;").match(quiet, end).end()
-        busy = end
-        out.append(Piece(kind, f"{kind}::{name}", start, end))
-        if kind == "class":
-            out += _methods(text, quiet, "class", name, start, end)
-    return out
-
-
 _PHP = re.compile(r"(?:^|(?<=[;{}\s]))(?:(?:abstract|final|readonly)\s+)*(?P<kind>class|trait|interface|enum|function|namespace)\s+&?\s*(?P<name>[A-Za-z_\\][\w\\]*)", re.M)
 _PHP_METHOD = re.compile(r"(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?\s*(?P<name>\w+)\s*\(")
 
@@ -283,6 +94,90 @@ def php(text: str) -> list[Piece]:
     return out
 
 
+_JAVA_BODY = re.compile(r"(?P<at>@\s*)?\b(?P<kind>class|interface|enum|record)\s+(?P<name>[A-Za-z_$][\w$]*)|\bnew\s+[A-Za-z_$][\w$.]*\s*(?:<[^;(){}]*>)?\s*(?=\()")
+_JAVA_METHOD = re.compile(r"(?:^|[\s>\]])(?P<name>[A-Za-z_$][\w$]*)\s*\Z")
+_ANNOTATION = re.compile(r"@\s*(?!interface\b)[A-Za-z_$][\w$.]*\s*")
+
+
+def _members(quiet: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """(start, end of the head, end) of what stands between two places of Java, up to its semicolon or
+    its own braces; a head ends before either."""
+    out, at, begin = [], lo, None
+    while at < hi:
+        c = quiet[at]
+        if begin is None and not c.isspace() and c not in ";}":
+            begin = at
+        if c == "(":
+            shut = closing(quiet, at, "()")
+            at = hi if shut < 0 else shut + 1
+            continue
+        if c in "{;":
+            shut = closing(quiet, at) if c == "{" else at
+            shut = hi - 1 if shut < 0 else shut
+            # an array or a lambda goes on to its semicolon
+            if c == "{" and begin is not None and "=" in re.sub(r"\([^()]*\)", "", quiet[begin:at]):
+                at = shut + 1
+                continue
+            if begin is not None:
+                out.append((begin, at, shut + 1))
+            begin, at = None, shut
+        at += 1
+    return out
+
+
+def _plain_head(head: str) -> str:
+    """A head without its annotations and their arguments; places do not matter any more."""
+    while m := _ANNOTATION.search(head):
+        end = m.end()
+        if head.startswith("(", end):
+            shut = closing(head, end, "()")
+            end = len(head) if shut < 0 else shut + 1
+        head = head[: m.start()] + " " + head[end:]
+    return head
+
+
+def java(text: str) -> list[Piece]:
+    """Java: top-level classes, interfaces and enums with their annotations, and methods whose nearest
+    class is the container, those of its interfaces, enums and nameless classes included. Constructors,
+    records and annotation types are none."""
+    quiet, out = silent(text, "java"), []
+    for start, head, end in _members(quiet, 0, len(quiet)):
+        m = re.search(r"(?<![\w$@.])(class|interface|enum)\s+([A-Za-z_$][\w$]*)", _plain_head(quiet[start:head]))
+        if m and quiet[head : head + 1] == "{" and not re.search(r"@\s*interface\b|\brecord\s+\w+\s*[(<]", quiet[start:head]):
+            out.append(Piece(m[1], f"{m[1]}::{m[2]}", start, end))
+    bodies = []
+    for m in _JAVA_BODY.finditer(quiet):
+        at = m.end()
+        if m["kind"] is None:
+            shut = closing(quiet, at, "()")
+            found = re.compile(r"\s*\{").match(quiet, shut + 1) if shut >= 0 else None
+            opened = found.end() - 1 if found else -1
+        else:
+            found = re.compile(r"[{;=]").search(quiet, at)
+            opened = found.start() if found and found[0] == "{" and not m["at"] else -1
+        if opened >= 0:
+            shut = closing(quiet, opened)
+            bodies.append((opened, len(quiet) if shut < 0 else shut, m["kind"], m["name"]))
+    classes = [b for b in bodies if b[2] == "class"]
+    for opened, shut, kind, _ in bodies:
+        held = [c for c in classes if c[0] <= opened and shut <= c[1]]
+        if not held:
+            continue
+        container = max(held)[3]
+        first = opened + 1
+        if kind == "enum":  # its constants come first; bodies of theirs are not looked into
+            at = next((h for s, h, e in _members(quiet, first, shut) if quiet[h] == ";"), shut)
+            first = at + 1
+        for start, head, end in _members(quiet, first, shut):
+            plain = _plain_head(quiet[start:head])
+            paren = plain.find("(")
+            m = _JAVA_METHOD.search(plain[: max(paren, 0)])
+            if m is None or "=" in plain[:paren] or not re.search(r"[\w>\]]\s+\Z", plain[: m.start("name")]) or plain[: m.start("name")].split()[-1] in ("public", "private", "protected", "new", "return", "throw", "else"):
+                continue
+            out.append(Piece("method", f"class::{container}::method::{m['name']}", start, end))
+    return out
+
+
 _SQL = re.compile(r"\bcreate\s+(?:or\s+replace\s+)?(?:definer\s*=\s*\S+\s+)?(?P<kind>function|procedure|trigger)\s+(?:if\s+not\s+exists\s+)?(?P<name>[\w\"`\[\]]+(?:\s*\.\s*[\w\"`\[\]]+)*)", re.I)
 
 

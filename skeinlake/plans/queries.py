@@ -7,6 +7,7 @@ customer is the graph, `orders` the decision ledger, `events` the activity log.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 from functools import reduce
 
@@ -26,6 +27,7 @@ from ..operators import sessions as D
 from ..schema import EDGES, LEDGER
 from ..sources import tree as T
 from ..streaming.incremental import crash_allowed, session_windows
+from .script_cases import CASES
 
 #: A text query of two frequent words; a phrase; the fixed time of the activity log's reader.
 WORDS, PHRASE, NOW = "the of", "tion", "2024-02-01 00:00:00"
@@ -495,6 +497,31 @@ def q_chunk_languages(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunk_files(reduce(DataFrame.unionByName, made)).select("id", "chunk_type", *_long("start_line", "end_line"))
 
 
+def _case_rows() -> str:
+    """The chunks of the cases as SQL rows: case, path, name, whether `#L<line>` follows, kind, lines."""
+    rows = []
+    for i, (path, text, found) in enumerate(CASES):
+        rows.append(f"({i}, '{path}', 'module::default', false, 'module', NULL, {text.count(chr(10))})")
+        for c in found:
+            name, kind, a, b = c.rsplit(" ", 3)
+            again = re.search(r"#L\d+$", name)
+            rows.append(f"({i}, '{path}', '{name[: again.start()] if again else name}', {bool(again)}, '{kind}', {a}, {b})")
+    return ", ".join(rows)
+
+
+@query(f"""WITH x(i, path, name, again, kind, a, b) AS (VALUES {_case_rows()}),
+d AS (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS off FROM documents)
+SELECT 'd' || doc_id || '/' || path || '::' || name || CASE WHEN again THEN '#L' || (off + a) ELSE '' END AS id, kind AS chunk_type, CAST(coalesce(off + a, 0) AS BIGINT) AS start_line, CAST(off + b AS BIGINT) AS end_line
+ FROM d JOIN x ON i = doc_id % {len(CASES)}""")
+def q_chunk_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as the leading comment of one of the cases."""
+    cases = spark.createDataFrame([(i, path, text) for i, (path, text, _) in enumerate(CASES)], "i int, path string, script string")
+    docs = table(spark, sf, "documents").withColumn("i", (F.col("doc_id") % len(CASES)).cast("int")).join(F.broadcast(cases), "i")
+    text = F.concat(F.lit("/*"), F.replace("text", F.lit("*/"), F.lit("* /")), F.lit("*/\n"), "script")
+    made = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), "path").alias("file_path"), text.alias("content"))
+    return C.chunk_files(made, {}).select("id", "chunk_type", *_long("start_line", "end_line"))
+
+
 @query("""WITH d AS (SELECT doc_id, 's' || doc_id || '/a.ts' AS a, 's' || doc_id || '/b.ts' AS b FROM documents)
 SELECT a || '::module::default' AS source_id, b || '::module::default' AS target_id, 'IMPORTS' AS edge_type FROM d
 UNION ALL SELECT a || '::function::run', b || '::function::f', 'CALLS' FROM d
