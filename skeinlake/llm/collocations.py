@@ -1,13 +1,14 @@
 """Phrase collocations: sketches bound the counts from above, automata count what may be frequent.
 
 1. Count-min sketches, first of words, then of pairs of words that pass, then of the phrases of three
-   to five words whose pairs all pass. A task adds up its texts in numpy; the sketches are cut into
-   blocks of cells, the blocks of all tasks are summed where Spark deals them, and only one bit a
-   cell comes back: whether the sum reaches the threshold.
+   to five words whose pairs all pass. A task sends the cells that its texts hit, packed by ranges of
+   cells; Spark deals the ranges, where the counts of all tasks are summed, and only one bit a cell
+   comes back: whether the sum reaches the threshold.
 2. Phrases all of whose cells pass are candidates. They and their words are dealt into parts of a
    bounded size, and each part becomes pyahocorasick automata, one a language, whose keys carry a
    blank on either side, as do all words of a text: matches of whole words only, overlaps included.
-3. Every part scans all texts; the counts of the tasks are summed, and thresholds go by these.
+3. Every part scans all texts; the counts of the tasks are summed by ranges of keys, and thresholds
+   go by these.
 
 A sketch never counts too little, so that the counts are exact however narrow it is: a narrower one
 only sends more candidates to the automata.
@@ -34,9 +35,10 @@ from .common import hash_words, mix, store, text_buffers
 #: Least count of a phrase, longest phrase in words, rows of a language's list.
 LEAST, WORDS, TOP = 100, 5, 2000
 #: Bytes of text a cell of a row of the sketch stands for, and the least and most cells as powers of two.
-BYTES_A_CELL, CELLS = 128, (16, 25)
-#: Cells of a block, bytes of text hashed at once, bytes of the keys of a part.
-BLOCK, CHUNK, PART = 1 << 16, 4 << 20, 6 << 20
+BYTES_A_CELL, CELLS = 32, (16, 27)
+#: Ranges of cells and of candidates, keys of a range of counts, bytes of text hashed at once, bytes of
+#: the keys of a part, candidates and hashes that a task holds before it sends or sums them.
+RANGES, KEYS, CHUNK, PART, HELD = 64, 16_384, 4 << 20, 6 << 20, 1 << 22
 
 #: Piece breaks besides line breaks, which all become the same line break; then blanks.
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -44,8 +46,8 @@ _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _TO = bytes.maketrans(_BREAKS + _BLANKS + _UPPER, b"\n" * len(_BREAKS) + b" " * len(_BLANKS) + _LOWER)
 _MAP = np.frombuffer(_TO, np.uint8)
 _U = np.uint64
-_SKETCH_SQL = "lang string, n long, row int, block int, cells binary"
-_SKETCH = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("row", pa.int32()), ("block", pa.int32()), ("cells", pa.binary())])
+_SKETCH_SQL = "lang string, n long, row int, range int, cells binary"
+_SKETCH = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("row", pa.int32()), ("range", pa.int32()), ("cells", pa.binary())])
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -141,13 +143,58 @@ def _languages(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
     return names, np.array([seeds[x] for x in names], _U)
 
 
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of what they count."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+class _Tally:
+    """Hashes and how often they were added, in memory that goes with the distinct ones."""
+
+    def __init__(self) -> None:
+        self.keys, self.n, self.fresh, self.held = np.zeros(0, _U), np.zeros(0, np.int64), [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.fresh.append(hashes)
+        self.held += len(hashes)
+        if self.held > max(HELD, len(self.keys)):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        self.keys, self.n = _sums(np.concatenate([self.keys, *self.fresh]), np.concatenate([self.n, np.ones(self.held, np.int64)]))
+        self.fresh, self.held = [], 0
+        return self.keys, self.n
+
+
+def _packed(cells: np.ndarray, n: np.ndarray, size: int) -> bytes:
+    """Sorted cells of a range of `size` and their counts: how many lie in each 65,536 cells, the low
+    16 bits of each, a byte for each count, and those of 255 and more in full."""
+    held = np.bincount(cells >> 16, minlength=-(-size >> 16)).astype("<u4")
+    return b"".join(x.tobytes() for x in (held, (cells & 0xFFFF).astype("<u2"), np.minimum(n, 255).astype(np.uint8), n[n >= 255].astype("<i8")))
+
+
+def _unpacked(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = -(-size >> 16)
+    held = np.frombuffer(data, "<u4", parts).astype(np.int64)
+    total, at = int(held.sum()), 4 * parts
+    cells = np.repeat(np.arange(parts) << 16, held) + np.frombuffer(data, "<u2", total, at)
+    n = np.frombuffer(data, np.uint8, total, at + 2 * total).astype(np.int64)
+    n[n == 255] = np.frombuffer(data, "<i8", -1, at + 3 * total) if (n == 255).any() else 0
+    return cells, n
+
+
 def _counted(lengths: tuple[int, ...], sent: Broadcast | None, bits: int):
-    """Texts -> the blocks of this task's sketch of the phrases of these lengths and, with the words,
+    """Texts -> the ranges of this task's sketch of the phrases of these lengths and, with the words,
     how many words each language has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = sent.value if sent is not None else []
-        sums, total = [np.zeros(1 << bits, np.int32) for _ in range(2)], {}
+        tally, total = _Tally(), {}
         for batch in batches:
             names, seeds = _languages(batch)
             for data, offsets, rows in _chunks(batch):
@@ -156,58 +203,74 @@ def _counted(lengths: tuple[int, ...], sent: Broadcast | None, bits: int):
                     for row, n in zip(rows, np.bincount(words.text, minlength=len(rows))):
                         total[names[row]] = total.get(names[row], 0) + int(n)
                 for _, _, hashes in _places(words, lengths, sketches, bits):
-                    for cells, each in zip(_cells(hashes, bits), sums):
-                        np.add.at(each, cells, 1)
+                    tally.add(hashes)
         out = [(x, n, None, None, None) for x, n in total.items()]
-        for row, each in enumerate(sums):
-            for block, held in enumerate(each.reshape(-1, min(BLOCK, len(each)))):
-                most = int(held.max())
-                if most:
-                    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int32
-                    out.append((None, None, row, block, held.astype(kind).tobytes()))
-        for at in range(0, len(out), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 64]), _SKETCH)], schema=_SKETCH)
+        hashes, n = tally.settle()
+        size = (1 << bits) // RANGES
+        for row, cells in enumerate(_cells(hashes, bits)):
+            cells, sums = _sums(cells, n)
+            edges = np.searchsorted(cells, np.arange(RANGES + 1) * size)
+            for r, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+                if lo < hi:
+                    out.append((None, None, row, r, _packed(cells[lo:hi] - r * size, sums[lo:hi], size)))
+        for at in range(0, len(out), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 16]), _SKETCH)], schema=_SKETCH)
 
     return run
 
 
-def _summed(least: int, cells: int):
-    """Blocks of all tasks, dealt by row and block -> one bit a cell: whether its sum reaches least."""
+def _summed(least: int, size: int):
+    """Ranges of all tasks, dealt by row and range -> one bit a cell: whether its sum reaches least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for row, block, held in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                kind = {cells: np.uint8, 2 * cells: np.uint16, 4 * cells: np.int32}[len(held)]
-                into = sums.setdefault((row, block), np.zeros(cells, np.int64))
-                into += np.frombuffer(held, kind)
-        for (row, block), held in sums.items():
+            for row, r, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                into = sums.setdefault((row, r), np.zeros(size, np.int32))
+                cells, n = _unpacked(data, size)
+                into[cells] = np.minimum(into[cells] + n, least)
+        for (row, r), held in sums.items():
             bits = np.packbits(held >= least, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "block": pa.array([block], pa.int32()), "bits": [bits]})
+            yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "range": pa.array([r], pa.int32()), "bits": [bits]})
 
     return run
 
 
 def _sketch(texts: DataFrame, lengths: tuple[int, ...], sent: Broadcast | None, bits: int, least: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
     """The passing cells of both rows, at most 2 ** CELLS[1] bits each, and the words of languages."""
-    block = min(BLOCK, 1 << bits)
-    made = store(texts.mapInArrow(_counted(lengths, sent, bits), _SKETCH_SQL))
-    dealt = made.where("block is not null").select("row", "block", "cells").repartition("row", "block")
+    size = (1 << bits) // RANGES
+    made = texts.mapInArrow(_counted(lengths, sent, bits), _SKETCH_SQL)
+    made = store(made) if 1 in lengths else made
+    dealt = made.where("range is not null").select("row", "range", "cells").repartition("row", "range")
     packed = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
-    for r in store(dealt.mapInArrow(_summed(least, block), "row int, block int, bits binary")).toLocalIterator():
-        packed[r.row][r.block * block // 8 : (r.block + 1) * block // 8] = np.frombuffer(r.bits, np.uint8)
+    for r in store(dealt.mapInArrow(_summed(least, size), "row int, range int, bits binary")).toLocalIterator():
+        packed[r.row][r.range * size // 8 : (r.range + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
     return tuple(packed), made.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _named(sent: Broadcast, bits: int, longest: int):
-    """Texts -> lang, phrase: the phrases of two words on that pass all sketches, most of them once."""
+    """Texts -> range, langs, phrases: the phrases of two words on that pass all sketches, most of them
+    once a task, gathered by ranges of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches, seen = sent.value, set()
+        sketches, seen, out = sent.value, set(), [([], []) for _ in range(RANGES)]
+
+        def flush() -> pa.RecordBatch:
+            some = [r for r in range(RANGES) if out[r][0]]
+            made = pa.RecordBatch.from_pydict({
+                "range": pa.array(some, pa.int32()), "langs": pa.array([out[r][0] for r in some], pa.list_(pa.string())),
+                "phrases": pa.array([out[r][1] for r in some], pa.list_(pa.string())),
+            })
+            seen.clear()
+            for langs, phrases in out:
+                langs.clear()
+                phrases.clear()
+            return made
+
         for batch in batches:
             names, seeds = _languages(batch)
             for data, offsets, rows in _chunks(batch):
-                words, out = _Words(data, offsets, seeds[rows]), []
+                words = _Words(data, offsets, seeds[rows])
                 for k, places, hashes in _places(words, tuple(range(2, longest + 1)), sketches, bits):
                     if k > 2:
                         ok = _passes(hashes, sketches[2], bits)
@@ -216,15 +279,35 @@ def _named(sent: Broadcast, bits: int, longest: int):
                     for h, i in zip(hashes.tolist(), places[first].tolist()):
                         if h not in seen:
                             seen.add(h)
-                            out.append((names[rows[words.text[i]]], words.phrase(i, k)))
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                if out:
-                    yield pa.RecordBatch.from_pydict({"lang": [x for x, _ in out], "phrase": [p for _, p in out]})
+                            langs, phrases = out[h % RANGES]
+                            langs.append(names[rows[words.text[i]]])
+                            phrases.append(words.phrase(i, k))
+                if len(seen) > HELD // 8:
+                    yield flush()
+        if seen:
+            yield flush()
 
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """range, langs, phrases, dealt by range -> lang, phrase, most of them once."""
+    seen: set[tuple[str, str]] = set()
+
+    def flush() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in seen], pa.string()), "phrase": pa.array([p for _, p in seen], pa.string())})
+        seen.clear()
+        return made
+
+    for batch in batches:
+        for langs, phrases in zip(batch.column(1), batch.column(2)):
+            seen.update(zip(langs.as_py(), phrases.as_py()))
+            if len(seen) > HELD // 8:
+                yield flush()
+    if seen:
+        yield flush()
+
+
 def guarded(text: str) -> str:
     """The text in lower case with one blank on each side of every word and line breaks between pieces."""
     text = text.encode().translate(_TO).decode()
@@ -235,7 +318,7 @@ def guarded(text: str) -> str:
 
 
 def _matched(sent: Broadcast):
-    """Texts -> lang, phrase, f: matches of the keys (lang, phrase) that were sent."""
+    """Texts -> range, counts: matches of the keys (lang, phrase) that were sent, by ranges of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = sent.value
@@ -250,12 +333,25 @@ def _matched(sent: Broadcast):
             ids = map(itemgetter(1), chain.from_iterable(found))
             while len(some := np.fromiter(islice(ids, 1 << 20), np.int64)):
                 counts += np.bincount(some, minlength=len(keys))
-        hit = np.flatnonzero(counts)
-        for at in range(0, len(hit), 10_000):
-            part = hit[at : at + 10_000].tolist()
-            yield pa.RecordBatch.from_pydict(
-                {"lang": pa.array([keys[i][0] for i in part], pa.string()), "phrase": pa.array([keys[i][1] for i in part], pa.string()), "f": counts[part]}
-            )
+        for r, at in enumerate(range(0, len(keys), KEYS)):
+            held = counts[at : at + KEYS]
+            if held.any():
+                yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "counts": [held.tobytes()]})
+
+    return run
+
+
+def _totals(sent: Broadcast):
+    """range, counts of all tasks, dealt by range -> lang, phrase, f."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = sent.value, {}
+        for batch in batches:
+            for r, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[r] = sums.get(r, 0) + np.frombuffer(held, np.int64)
+        for r, f in sums.items():
+            mine = keys[r * KEYS : (r + 1) * KEYS]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in mine], pa.string()), "phrase": pa.array([p for _, p in mine], pa.string()), "f": f})
 
     return run
 
@@ -275,7 +371,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = WORDS, par
         if sent is not None:
             sent.unpersist()
         sent = spark.sparkContext.broadcast(sketches)
-    named = store(texts.mapInArrow(_named(sent, bits, longest), "lang string, phrase string").distinct())
+    gathered = texts.mapInArrow(_named(sent, bits, longest), "range int, langs array<string>, phrases array<string>")
+    named = store(gathered.repartition("range").mapInArrow(_once, "lang string, phrase string").distinct())
     sent.unpersist()
     single = named.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     keys = store(named.unionByName(single))
@@ -285,8 +382,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = WORDS, par
     for i in range(parts):
         mine = keys.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)) == i)
         sent = spark.sparkContext.broadcast([tuple(r) for r in mine.toLocalIterator()])
-        matched = texts.mapInArrow(_matched(sent), "lang string, phrase string, f long")
-        counts.append(store(matched.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))))
+        matched = texts.mapInArrow(_matched(sent), "range int, counts binary").repartition("range")
+        counts.append(store(matched.mapInArrow(_totals(sent), "lang string, phrase string, f long")))
         sent.unpersist()
     none = keys.select("lang", "phrase", F.lit(0).cast("long").alias("f")).where("false")
     return reduce(DataFrame.unionByName, counts, none), words
