@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import TYPE_CHECKING
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.tables import settled
 
+if TYPE_CHECKING:
+    from ..sources.snapshots import SnapshotStore
+
 MAX_DEPTH, MAX_NODES = 6, 50
 
 
@@ -47,28 +52,38 @@ def implements_edges(decisions: DataFrame) -> DataFrame:
     return paths.select("source_id", F.concat("path", F.lit("::module::default")).alias("target_id"), F.lit("IMPLEMENTS").alias("edge_type")).distinct()
 
 
-def neighbourhood(edges: DataFrame, start: str, max_depth: int = MAX_DEPTH, max_nodes: int | None = MAX_NODES) -> DataFrame:
+def _steps(edges: DataFrame | SnapshotStore, frontier: DataFrame) -> DataFrame:
+    """node_id, edge_type: the other ends of edges at the frontier (id), edges taken both ways. Of a
+    store only the buckets of the frontier are read, of either direction."""
+    sides = []
+    for table, here, there in (("edges", "source_id", "target_id"), ("edges_in", "target_id", "source_id")):
+        at = frontier.select(F.col("id").alias(here))
+        held = edges if isinstance(edges, DataFrame) else edges.read(table, edges.buckets_of(at, table))
+        sides.append(held.join(at, here, "left_semi").select(F.col(there).alias("node_id"), "edge_type"))
+    return sides[0].union(sides[1])
+
+
+def neighbourhood(edges: DataFrame | SnapshotStore, start: str, max_depth: int = MAX_DEPTH, max_nodes: int | None = MAX_NODES) -> DataFrame:
     """node_id, depth, edge_type: the nodes within max_depth steps of start, edges taken both ways,
     the nearest max_nodes (ties by id; None: all). edge_type: the smallest type by which the depth is reached.
 
     One join a step between the frontier and the edges, visited nodes taken out: every node is
-    reached once, where a walk of simple paths would meet it along each of them.
+    reached once, where a walk of simple paths would meet it along each of them. edges: a table, or a
+    store, which keeps its edges by either end and of which a step reads the frontier's buckets alone.
+    A step that has max_nodes in all is the last: those beyond would not be among the nearest.
     """
-    both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "edge_type")
-    both = settled(both.union(edges.select("target_id", "source_id", "edge_type")))
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(start,)], "a string")
-    seen = None
+    spark = edges.sparkSession if isinstance(edges, DataFrame) else edges.spark
+    frontier = seen = spark.createDataFrame([(start, 0, None)], "node_id string, depth int, edge_type string")
+    found = 0
     for depth in range(1, max_depth + 1):
-        step = both.join(frontier, "a", "left_semi" if depth > 1 else "inner").where(F.col("b") != start)
-        step = step.groupBy(F.col("b").alias("node_id")).agg(F.min("edge_type").alias("edge_type"))
-        if seen is not None:
-            step = step.join(seen.select("node_id"), "node_id", "left_anti")
-        step = settled(step.select("node_id", F.lit(depth).alias("depth"), "edge_type"))
-        seen = step if seen is None else seen.union(step)
-        if step.isEmpty():
+        step = _steps(edges, frontier.select(F.col("node_id").alias("id"))).groupBy("node_id").agg(F.min("edge_type").alias("edge_type"))
+        step = step.join(seen.select("node_id"), "node_id", "left_anti")
+        n = Observation()
+        step = settled(step.select("node_id", F.lit(depth).alias("depth"), "edge_type").observe(n, F.count("*").alias("n")))
+        seen, frontier, found = seen.union(step), step, found + n.get["n"]
+        if not n.get["n"] or max_nodes is not None and found >= max_nodes:
             break
-        frontier = step.select(F.col("node_id").alias("a"))
+    seen = seen.where("depth > 0")
     return seen if max_nodes is None else seen.orderBy("depth", "node_id").limit(max_nodes)
 
 

@@ -11,16 +11,20 @@ import posixpath
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..plans.tables import settled
 from . import scanners as S
 
 _NAMES = r"(?P<names>[^;'\"]*?)"
 _IMPORT = re.compile(rf"^[ \t]*import\b\s*(?:type\s+)?(?:{_NAMES}\s*\bfrom\s*)?(?P<q>['\"])(?P<spec>[^'\"\n]+)(?P=q)", re.M)
-_EXPORT = re.compile(r"^[ \t]*export\s+(?:type\s+)?(?:\*(?:\s+as\s+\w+)?|\{(?P<names>[^}]*)\})\s*from\s*(?P<q>['\"])(?P<spec>[^'\"\n]+)(?P=q)", re.M)
+_EXPORT = re.compile(r"^[ \t]*export\s+(?:type\s+)?(?:(?P<all>\*)(?:\s*as\s+(?P<space>[\w$]+))?|\{(?P<names>[^}]*)\})\s*(?:from\s*(?P<q>['\"])(?P<spec>[^'\"\n]+)(?P=q))?", re.M)
+_DEFAULT = re.compile(r"^[ \t]*export\s+default\s+(?:(?:abstract\s+)?class\s+|(?:async\s+)?function\s*\*?\s*)?(?P<name>[A-Za-z_$][\w$]*)", re.M)
 _SCRIPT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-_ROWS = "source_id string, targets array<string>, name string, edge_type string"
+_ROWS = "source_id string, targets array<string>, name string, edge_type string, passed_on string"
+#: What a name may stand for.
+_NAMED = ("function", "class", "interface", "type", "enum", "namespace")
 
 
 def _candidates(path: str, spec: str) -> list[str]:
@@ -45,14 +49,16 @@ def _bindings(names: str) -> dict[str, str]:
     head = re.sub(r"\{[^}]*\}", "", names)
     if m := re.search(r"\*\s*as\s+([\w$]+)", head):
         out[m[1]] = "*"
-    elif m := re.match(r"\s*([\w$]+)", head):
+    if m := re.match(r"\s*([\w$]+)", head):
         out[m[1]] = "default"
     return out
 
 
-def file_references(path: str, text: str) -> list[tuple[str, tuple[str, ...], str, str]]:
-    """(source id, possible target paths, the first that exists is meant; name, edge type) of a script;
-    name empty: the module itself."""
+def file_references(path: str, text: str) -> list[tuple[str, tuple[str, ...], str, str, str | None]]:
+    """(source id, possible target paths, the first that exists is meant; name, edge type, the name under
+    which others get it here) of a script. name empty: the module itself; `*`: whatever it exports. The
+    edge type ALIAS makes no edge but passes a name on: `export { a as b }` of what was imported or
+    stands here, and the default export."""
     if not path.lower().endswith(_SCRIPT):
         return []
     module, out, known = f"{path}::module::default", [], {}
@@ -60,13 +66,25 @@ def file_references(path: str, text: str) -> list[tuple[str, tuple[str, ...], st
     clean = S.silent_script(text, strings=True)
     for m in _IMPORT.finditer(clean):
         targets = _candidates(path, m["spec"])
-        out.append((module, targets, "", "IMPORTS"))
+        out.append((module, targets, "", "IMPORTS", None))
         for local, name in _bindings(m["names"] or "").items():
             known[local] = (targets, name)
     for m in _EXPORT.finditer(clean):
+        if m["spec"] is None:
+            for shown, local in _bindings("{" + (m["names"] or "") + "}").items():
+                targets, name = known.get(local, ([path], local))
+                if name != "*" and (targets != [path] or shown != name):
+                    out.append((module, targets, name, "ALIAS", shown))
+            continue
         targets = _candidates(path, m["spec"])
-        names = [*_bindings("{" + m["names"] + "}").values()] if m["names"] is not None else [""]
-        out += [(module, targets, n, "RE_EXPORTS") for n in names]
+        if m["all"]:
+            out.append((module, targets, "", "RE_EXPORTS", None if m["space"] else "*"))
+        else:
+            out += [(module, targets, name, "RE_EXPORTS", shown) for shown, name in _bindings("{" + m["names"] + "}").items()]
+    if m := _DEFAULT.search(clean):
+        targets, name = known.get(m["name"], ([path], m["name"]))
+        if name != "*":
+            out.append((module, targets, name, "ALIAS", "default"))
     pieces = [p for p in S.script(text) if p.kind in ("function", "method")]
     quiet = S.silent(text, "script")
     for m in re.finditer(r"(?<![\w$.])(new\s+)?([A-Za-z_$][\w$]*)(?:\s*\.\s*([A-Za-z_$][\w$]*))?\s*(?:<[^<>()]*>)?\(", quiet):
@@ -78,34 +96,63 @@ def file_references(path: str, text: str) -> list[tuple[str, tuple[str, ...], st
             continue
         inner = [p for p in pieces if p.start <= m.start() < p.end]
         source = f"{path}::{max(inner, key=lambda p: p.start).name}" if inner else module
-        out.append((source, targets, called, "CALLS"))
-    return list(dict.fromkeys((a, tuple(t), n, e) for a, t, n, e in out if t))
-
+        out.append((source, targets, called, "CALLS", None))
+    return list(dict.fromkeys((a, tuple(t), n, e, x) for a, t, n, e, x in out if t))
 
-def extract_edges(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """source_id, target_id, edge_type of the scripts in files (file_path, content) to chunks that exist.
 
-    A narrow pass over the files, then joins: the possible paths of a specifier with the modules there
-    are, of which the first is its target, and the name with the chunks of that file. Imports and
-    whole re-exports go to the module; calls and re-exports of a name without a chunk of its own
-    (`default` of an unnamed value, a constant) give none. Files without text, of other languages or
-    repeated give none or the same edges once."""
+def references(files: DataFrame) -> DataFrame:
+    """file_path, source_id, targets, name, edge_type, passed_on: what the scripts in files (file_path,
+    content) refer to, resolved or not. Narrow. Files without text or of other languages give none."""
 
     def rows(batches):
         for pdf in batches:
-            found = [r for p, t in zip(pdf["file_path"], pdf["content"]) for r in file_references(p, t or "")]
-            yield pd.DataFrame([(a, list(t), n, e) for a, t, n, e in found], columns=["source_id", "targets", "name", "edge_type"])
-
-    found = files.select("file_path", "content").mapInPandas(rows, _ROWS)
-    kinds = ("function", "class", "interface", "type", "enum", "namespace")
-    exists = chunks.where("chunk_type = 'module'").select(F.col("file_path").alias("target_path")).distinct()
-    tries = found.select("targets").distinct().select("targets", F.posexplode("targets").alias("place", "target_path"))
-    meant = tries.join(exists, "target_path").groupBy("targets").agg(F.min_by("target_path", "place").alias("target_path"))
-    found = found.join(meant, "targets")
-    named = chunks.where(F.col("chunk_type").isin(*kinds)).select(F.col("file_path").alias("target_path"), F.regexp_extract("id", r"::([^:]+)$", 1).alias("name"), F.col("id").alias("target_id"))
-    to_names = found.where("name <> ''").join(named, ["target_path", "name"]).select("source_id", "target_id", "edge_type")
-    to_modules = found.where("name = ''").select("source_id", F.concat("target_path", F.lit("::module::default")).alias("target_id"), "edge_type")
-    return to_names.union(to_modules).where("source_id <> target_id").distinct()
+            found = [(p, a, list(t), n, e, x) for p, text in zip(pdf["file_path"], pdf["content"]) for a, t, n, e, x in file_references(p, text or "")]
+            yield pd.DataFrame(found, columns=["file_path", "source_id", "targets", "name", "edge_type", "passed_on"])
+
+    return files.select("file_path", "content").mapInPandas(rows, "file_path string, " + _ROWS)
+
+
+def resolve(found: DataFrame, passing: DataFrame, chunks: DataFrame) -> DataFrame:
+    """source_id, target_id, edge_type of references to chunks (id, file_path, chunk_type) that exist.
+
+    The first possible path that is a module is meant. Imports and whole re-exports go to the module.
+    A name goes to the chunk of that name in its file, or else to what the file passes on under that
+    name (passing: references with passed_on), and so on, step by step, to its definition; no place
+    is looked at twice, so circles end. A name that is nowhere gives no edge."""
+    modules = chunks.where("chunk_type = 'module'").select(F.col("file_path").alias("target_path")).distinct()
+
+    def meant(rows: DataFrame) -> DataFrame:
+        tries = rows.select("targets").distinct().select("targets", F.posexplode("targets").alias("place", "target_path"))
+        first = tries.join(modules, "target_path").groupBy("targets").agg(F.min_by("target_path", "place").alias("target_path"))
+        return rows.join(first, "targets").drop("targets")
+
+    key = ["source_id", "edge_type", "target_path", "name"]
+    rows = settled(meant(found.where("edge_type <> 'ALIAS'").select("source_id", "targets", "name", "edge_type").distinct()))
+    out = rows.where("name = ''").select("source_id", F.concat("target_path", F.lit("::module::default")).alias("target_id"), "edge_type")
+    named = chunks.where(F.col("chunk_type").isin(*_NAMED)).select(F.col("file_path").alias("target_path"), F.regexp_extract("id", r"::([^:]+)$", 1).alias("name"), F.col("id").alias("target_id"))
+    on = passing.where("passed_on is not null").select(F.col("file_path").alias("at"), "passed_on", "targets", F.col("name").alias("next")).distinct()
+    on = settled(meant(on).withColumnRenamed("target_path", "to"))
+    waiting = seen = rows.where("name <> ''").select(*key)
+    while True:
+        hits = settled(waiting.join(named, ["target_path", "name"]).select(*key, "target_id"))
+        out = out.union(hits.select("source_id", "target_id", "edge_type"))
+        left = waiting.join(hits.select(*key).distinct(), key, "left_anti")
+        fits = (F.col("target_path") == F.col("at")) & ((F.col("passed_on") == F.col("name")) | ((F.col("passed_on") == "*") & (F.col("name") != "default")))
+        step = left.join(on, fits).select("source_id", "edge_type", F.col("to").alias("target_path"), F.when(F.col("passed_on") == "*", F.col("name")).otherwise(F.col("next")).alias("name"))
+        n = Observation()
+        waiting = settled(step.distinct().join(seen, key, "left_anti").observe(n, F.count("*").alias("n")))
+        if not n.get["n"]:
+            break
+        seen = seen.union(waiting)
+    return out.where("source_id <> target_id").distinct()
+
+
+def extract_edges(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """source_id, target_id, edge_type of the scripts in files (file_path, content) to chunks that exist,
+    the files taken for all there are: a narrow pass over them, then joins (see resolve). Repeated files
+    give the same edges once."""
+    found = settled(references(files))
+    return resolve(found, found, chunks)
 
 
 _SURFACE = {

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from contextlib import suppress
 from functools import reduce
-from typing import NamedTuple
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +47,17 @@ def nearest(vectors: DataFrame, query: Sequence[float], limit: int = CANDIDATES)
 def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATES, rows: int = 4096, asked: int = 512) -> DataFrame:
     """query_id, id, distance, rank for every row of queries (query_id, query): a stated query set
     against all rows. Blocks of both meet, one row each, and each pair of blocks gives its best `limit`
-    a query; so neither side need fit in a worker. Vectors of different lengths have no distance."""
+    a query; so neither side need fit in a worker, and no key gathers them. Vectors of different lengths
+    have no distance, nor have null or empty ones or those with a component that is no finite number."""
     kind = queries.schema["query_id"].dataType.simpleString()
     a, b = _blocks(vectors, "id", "embedding", rows, "string"), _blocks(queries, "query_id", "query", asked, kind)
-    pairs = a.crossJoin(b.select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))).where("dim = q_dim")
+    pairs = a.crossJoin(b.select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data")))
 
     def best(batches):
         for batch in batches:
-            for ids, dim, data, q_ids, _, q_data in zip(*(c.to_pylist() for c in batch.columns)):
+            for ids, dim, data, q_ids, q_dim, q_data in zip(*(c.to_pylist() for c in batch.columns)):
+                if dim != q_dim:
+                    continue
                 x, y = (np.frombuffer(d, np.float64).reshape(-1, dim) for d in (data, q_data))
                 ids, out = np.array(ids, object), [[], [], []]
                 for q, v in zip(q_ids, y):
@@ -72,7 +75,7 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATE
 
 def _blocks(vectors: DataFrame, id_: str, vector: str, most: int, kind: str) -> DataFrame:
     """ids, dim, data: the vectors of one length in blocks of at most `most`, as doubles in bytes; a
-    vector that is null, empty or has a null component is left out."""
+    vector that is null, empty or has a component that is null or not finite is left out."""
 
     def pack(batches):
         for batch in batches:
@@ -86,7 +89,8 @@ def _blocks(vectors: DataFrame, id_: str, vector: str, most: int, kind: str) ->
                     yield pa.RecordBatch.from_arrays([ids, pa.array([d], pa.int32()), pa.array([flat.tobytes()], pa.binary())], ["ids", "dim", "data"])
 
     good = vectors.select(F.col(id_).cast(kind).alias("id"), V.doubles(F.col(vector)).alias("v"), F.size(vector).alias("dim"))
-    return good.where((F.col("dim") > 0) & ~F.exists("v", F.isnull)).mapInArrow(pack, f"ids array<{kind}>, dim int, data binary")
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return good.where((F.col("dim") > 0) & ~F.exists("v", odd)).mapInArrow(pack, f"ids array<{kind}>, dim int, data binary")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -124,12 +128,20 @@ def keyword_index(chunks: DataFrame, buckets: int = 32) -> KeywordIndex:
     return KeywordIndex(held, settled(n.crossJoin(words).select("n", F.try_divide("words", "n").alias("avg_len"))), buckets)
 
 
-def keyword_search(chunks: DataFrame | KeywordIndex, query: str, limit: int = CANDIDATES) -> DataFrame:
-    """id, score, rank: BM25 (k1 1.2, b 0.75, inverse frequency at least 1e-6) of the live chunks
-    that hold all terms of the query; a null content is an empty one. chunks: an index over them, or the chunks themselves, which are
-    then tokenised for this query."""
+class Keywords(Protocol):
+    """An index over chunks: the postings of some terms, and n, avg_len of the live chunks."""
+
+    totals: DataFrame
+
+    def of(self, terms: Sequence[str]) -> DataFrame: ...
+
+
+def keyword_search(chunks: DataFrame | Keywords, query: str, limit: int = CANDIDATES) -> DataFrame:
+    """id, score, rank: BM25 (k1 1.2, b 0.75, inverse frequency at least 1e-6) of the live chunks that
+    hold all terms of the query; a null content is an empty one. chunks: an index over them (one of a
+    session or of a store), or the chunks themselves, which are then tokenised for this query."""
     terms = X.query_terms(query)
-    if isinstance(chunks, KeywordIndex):
+    if not isinstance(chunks, DataFrame):
         hits, totals = chunks.of(terms), chunks.totals
     else:
         words = live(chunks).select("id", X.tokens(F.coalesce("content", F.lit(""))).alias("toks"))
@@ -166,7 +178,7 @@ def substring_search(chunks: DataFrame, query: str, limit: int = CANDIDATES) ->
     return _top(live(chunks).where(low.contains(phrase.lower())).select("id", (1.0 / (1.0 + hit)).alias("score")), limit)
 
 
-def routed_search(chunks: DataFrame, query: str, limit: int = CANDIDATES, index: KeywordIndex | None = None) -> tuple[DataFrame, str]:
+def routed_search(chunks: DataFrame, query: str, limit: int = CANDIDATES, index: Keywords | None = None) -> tuple[DataFrame, str]:
     """(hits, route): keyword hits if there are any; else the substring's where the query looks like
     a name or path; else nothing. The hits, at most `limit`, are settled to decide."""
     hits = settled(keyword_search(index or chunks, query, limit))
@@ -222,7 +234,7 @@ def rerank(candidates: DataFrame, logit: Callable | None, most_ms: int | None =
 
 def hybrid_search(
     chunks: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], intent: str = "semantic",
-    limit: int = DEFAULT_LIMIT, logit: Callable | None = None, index: KeywordIndex | None = None, most_ms: int | None = None,
+    limit: int = DEFAULT_LIMIT, logit: Callable | None = None, index: Keywords | None = None, most_ms: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """(results, reranker used): both retrievers' best 30, of which live chunks keep their order, are
     fused to 12, reranked, and cut to `limit` (1 to 20). Results keep the ranks by which they were
@@ -247,7 +259,7 @@ def render(results: DataFrame, score: str | None = "score") -> DataFrame:
 
 def investigate(
     chunks: DataFrame, vectors: DataFrame, edges: DataFrame, query: str, intent: str = "semantic", limit: int = DEFAULT_LIMIT,
-    embed: Callable[[str], Sequence[float]] | None = None, logit: Callable | None = None, index: KeywordIndex | None = None,
+    embed: Callable[[str], Sequence[float]] | None = None, logit: Callable | None = None, index: Keywords | None = None,
 ) -> tuple[DataFrame | None, list[str]]:
     """(results, notes). structural: the graph around the id `query`; semantic: hybrid search."""
     from .graph import neighbourhood

@@ -8,6 +8,7 @@ customer is the graph, `orders` the decision ledger, `events` the activity log.
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import datetime
 from functools import reduce
 
@@ -26,8 +27,10 @@ from ..operators import search as S
 from ..operators import sessions as D
 from ..schema import EDGES, LEDGER
 from ..sources import tree as T
-from ..streaming.incremental import crash_allowed, session_windows
+from ..sources.snapshots import SnapshotStore
+from ..streaming.incremental import crash_allowed, index_batch, session_windows
 from .script_cases import CASES
+from .tables import shared_dir
 
 #: A text query of two frequent words; a phrase; the fixed time of the activity log's reader.
 WORDS, PHRASE, NOW = "the of", "tion", "2024-02-01 00:00:00"
@@ -165,17 +168,27 @@ def q_knn_truncate_renorm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TOK = r"regexp_extract_all(lower(strip_accents(content)), '[\p{L}\p{N}._:/#<>?!-]+')"
-_INDEX: dict[tuple[str, str], S.KeywordIndex] = {}
+_INDEX: dict[tuple, S.KeywordIndex] = {}
 
 
 def keyword_index(spark: SparkSession, sf: str) -> S.KeywordIndex:
-    """The keyword index over the chunks, built by the first query of a session that needs it."""
-    key = spark.sparkContext.applicationId, sf
+    """The keyword index over the chunks, built by the first query of a session that needs it, and anew
+    once a file of its tables is another one."""
+    key = spark.sparkContext.applicationId, sf, *table_files(spark, sf, "documents"), *table_files(spark, sf, "labels")
     if key not in _INDEX:
+        for old in [k for k in _INDEX if k[:2] == key[:2]]:
+            del _INDEX[old]
         _INDEX[key] = S.keyword_index(chunks(spark, sf))
     return _INDEX[key]
 
 
+def table_files(spark: SparkSession, sf: str, name: str) -> tuple[tuple[str, int, int], ...]:
+    """Path, time and bytes of each file of a table."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().toString(), s.getModificationTime(), s.getLen()) for s in fs.listStatus(where)))
+
+
 _BM25 = f"""{CH}, t AS (SELECT id, {_TOK} AS toks FROM chunks WHERE NOT is_deleted),
 c AS (SELECT id, len(toks) AS l, len(list_filter(toks, lambda x: x = 'the')) AS a, len(list_filter(toks, lambda x: x = 'of')) AS b FROM t),
 s AS (SELECT count(*) AS n, avg(l) AS al, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c),
@@ -537,6 +550,25 @@ def q_source_edges(spark: SparkSession, sf: str) -> DataFrame:
     return R.extract_edges(both, C.chunk_files(both))
 
 
+@query("""WITH d AS (SELECT 'm' || doc_id || '/' AS p, doc_id % 3 AS k FROM documents)
+SELECT p || 'a.ts::module::default' AS source_id, p || 'b.ts::module::default' AS target_id, 'IMPORTS' AS edge_type FROM d
+UNION ALL SELECT p || 'a.ts::function::run', p || 'c.ts::function::f', 'CALLS' FROM d WHERE k <> 2
+UNION ALL SELECT p || 'a.ts::function::run', p || 'b.ts::function::f', 'CALLS' FROM d WHERE k = 2
+UNION ALL SELECT p || 'b.ts::module::default', p || 'c.ts::function::f', 'RE_EXPORTS' FROM d WHERE k = 0
+UNION ALL SELECT p || 'b.ts::module::default', p || 'c.ts::module::default', 'RE_EXPORTS' FROM d WHERE k = 1""")
+def q_source_edges_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Three scripts a document, those that import before those that are imported: an index of two
+    batches, whose calls go through what the second script passes on to the definition in the third."""
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("k"), F.concat(F.lit("// "), F.sha2("text", 256), F.lit("\n")).alias("note"))
+    passes = F.when(F.col("k") == 0, 'export { f } from "./c";\n').when(F.col("k") == 1, 'export * from "./c";\n').otherwise("export function f() {}\n")
+    texts = {"a.ts": F.lit('import { f as h } from "./b";\nexport function run() { return h(1); }\n'), "b.ts": passes, "c.ts": F.lit("export function f(x) { return x; }\n")}
+    files = {n: docs.select(F.format_string(f"m%d/{n}", "doc_id").alias("file_path"), F.concat("note", text).alias("content"), F.lit("1").alias("content_hash")) for n, text in texts.items()}
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/skeinlake/{uuid.uuid4().hex}", buckets=8)
+    index_batch(store, files["a.ts"], now=F.lit(NOW).cast("timestamp"))
+    index_batch(store, files["b.ts"].unionByName(files["c.ts"]), now=F.lit(NOW).cast("timestamp"))
+    return store.read("edges").where("edge_type <> 'CONTAINS'")
+
+
 @query("""SELECT CASE WHEN row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) > 1 THEN source || '::' || lang || '#L' || doc_id ELSE source || '::' || lang END AS id, doc_id AS start_line FROM documents""")
 def q_disambiguate_ids(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select(F.concat("source", F.lit("::"), "lang").alias("id"), F.col("doc_id").alias("start_line"), F.lit("doc").alias("chunk_type"), F.lit(0).alias("end_line"), F.lit("").alias("content"))

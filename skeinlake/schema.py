@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-VERSION = 4
+VERSION = 5
 # The kinds of chunk, in alphabetical order.
 CHUNK_TYPES = ("at_rule", "block", "class", "doc", "element", "enum", "function", "interface", "method", "mixin", "module", "namespace", "rule", "trait", "type")
 EDGE_TYPES = ("CALLS", "CONTAINS", "IMPLEMENTS", "IMPORTS", "RE_EXPORTS")
@@ -27,6 +27,10 @@ NOTES = {
 }
 
 
+class ConflictError(Exception):
+    """Another writer has changed what a commit read or replaces."""
+
+
 class EngineError(Exception):
     """An error with one of the codes of ERRORS."""
 
@@ -48,7 +52,15 @@ LEDGER = (
     "decision_drivers array<string>, considered_options array<string>, decision_outcome string, supersedes string"
 )
 FINGERPRINT = "provider string, model_name string, model_revision string, dimensions int, normalization string, indexed_at timestamp"
+#: What a source refers to: the places that its specifier may mean, the name there (empty: the module
+#: itself, `*`: all names) and the name under which a re-export passes it on.
+REFERENCES = "file_path string, source_id string, targets array<string>, name string, edge_type string, passed_on string"
+WANTED = "target_path string, file_path string, passes_on boolean"
+#: A term of a chunk, and a chunk whose terms of segments before this one are dead.
+POSTINGS = "tok string, id string, tf bigint, doc_len int, segment bigint"
+DEAD_TERMS = "id string, segment bigint"
 TABLES = {
     "chunks": CHUNKS, "vectors": VECTORS, "edges": EDGES, "scan_cache": SCAN_CACHE, "sessions": SESSIONS, "turns": TURNS,
-    "ledger": LEDGER, "fingerprint": FINGERPRINT,
+    "ledger": LEDGER, "fingerprint": FINGERPRINT, "edges_in": EDGES, "references": REFERENCES, "wanted": WANTED,
+    "postings": POSTINGS, "dead_terms": DEAD_TERMS,
 }

@@ -165,4 +165,4 @@ def completed_rules(lines: list[str], wanted: tuple[str, ...] = DEFAULT_IGNORES)
 def glob_files(spark: SparkSession, pattern: str) -> DataFrame:
     """file_path, content of the files that a glob matches."""
     files = spark.read.format("binaryFile").load(pattern)
-    return files.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(F.col("path").alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))

@@ -6,21 +6,27 @@ import time
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import text as X
 from ..operators.chunks import chunk_files
-from ..operators.graph import valid_edges
-from ..operators.merge import merge_chunks, merge_edges, merge_vectors
-from ..operators.references import extract_edges
+from ..operators.graph import add_edges, contains_edges, valid_edges
+from ..operators.merge import check_fingerprint, merge_chunks, merge_vectors, stamp_fingerprint
+from ..operators.references import references, resolve
+from ..operators.search import postings
 from ..plans.tables import scratch, settled
-from ..schema import EngineError
+from ..schema import VERSION, ConflictError, EngineError
+from ..sources.keywords import merge_segments, segments
 from ..sources.snapshots import SnapshotStore
 from ..sources.tree import changed_candidates, confirmed_changes, read_contents, refreshed_cache, scan_tree, under, vanished_files
 
 TTL = "30 minutes"
 CHANGED = "file_path string, content string, content_hash string, mtime_ns bigint, size_bytes bigint"
+#: Times that a batch is made anew because another writer was first; segments of a bucket before they are merged.
+TRIES, SEGMENTS = 8, 16
+_EXTRACTED = ("CALLS", "IMPORTS", "RE_EXPORTS")
 
 
 class Batch(NamedTuple):
@@ -34,66 +40,189 @@ class Batch(NamedTuple):
     errors: list[tuple[str, str]]
 
 
+class _Reads:
+    """Reads of one state, which remember the buckets that went into a batch."""
+
+    def __init__(self, store: SnapshotStore, state: dict | None) -> None:
+        self.store, self.state, self.seen = store, state, {}
+
+    def __call__(self, table: str, buckets: list[int]) -> DataFrame:
+        self.seen.setdefault(table, set()).update(buckets)
+        return self.store.read(table, buckets, self.state)
+
+    def at(self, table: str, paths: DataFrame, column: str) -> tuple[DataFrame, list[int]]:
+        """The rows of a table by the paths (path) that `column` names: their buckets alone are read."""
+        buckets = self.store.buckets_of(paths.select(F.col("path").alias(column)), table)
+        return self(table, buckets).join(paths.select(F.col("path").alias(column)), column, "left_semi"), buckets
+
+
+def _affected(reads: _Reads, touched: DataFrame) -> DataFrame:
+    """path: the touched files, and all whose names may mean others now: those that refer to a touched
+    file, or to one that passes names of such a file on, and so on."""
+    paths = frontier = expanded = touched.select(F.col("file_path").alias("path"))
+    if not reads.state or not reads.state["tables"].get("wanted"):
+        reads.seen["wanted"] = set(range(reads.store.buckets))
+        return paths
+    while True:
+        found, _ = reads.at("wanted", frontier, "target_path")
+        found = found.groupBy(F.col("file_path").alias("path")).agg(F.max("passes_on").alias("passes_on"))
+        next_ = Observation()
+        known = expanded.withColumn("known", F.lit(True))
+        found = found.join(known, "path", "left").withColumn("goes_on", F.col("passes_on") & F.col("known").isNull())
+        found = settled(found.observe(next_, F.count_if("goes_on").alias("n")))
+        paths = paths.union(found.select("path"))
+        if not next_.get["n"]:
+            return settled(paths.distinct())
+        frontier = found.where("goes_on").select("path")
+        expanded = expanded.union(frontier)
+
+
+def _passing(reads: _Reads, asked: DataFrame, touched: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The references that pass on what may be asked for, step by step, and the paths (path) looked at."""
+    on = found.where("passed_on is not null")
+    passing, frontier = on, settled(asked.union(on).select(F.explode("targets").alias("path")).distinct())
+    paths = frontier
+    while True:
+        n = Observation()
+        more, _ = reads.at("references", frontier, "file_path")
+        more = more.where("passed_on is not null").join(touched, "file_path", "left_anti").select(*found.columns)
+        more = settled(more.observe(n, F.count("*").alias("n")))
+        if not n.get["n"]:
+            return passing, paths
+        passing, n = passing.union(more), Observation()
+        frontier = more.select(F.explode("targets").alias("path")).distinct().join(paths, "path", "left_anti")
+        frontier = settled(frontier.observe(n, F.count("*").alias("n")))
+        if not n.get["n"]:
+            return passing, paths
+        paths = paths.union(frontier)
+
+
 def index_batch(
     store: SnapshotStore, files: DataFrame, now: Column | None = None, embed: Callable[[DataFrame], DataFrame] | None = None,
-    removed: DataFrame | None = None, number: int | None = None, shown: int = 100,
+    removed: DataFrame | None = None, number: int | None = None, shown: int = 100, model: tuple[str, str, str, int] | None = None,
 ) -> Batch:
     """Chunk, embed and link the files (file_path, content, content_hash; mtime_ns and size_bytes if
-    there) and merge chunks, vectors, edges and scan cache into the store: one commit.
+    there) and merge chunks, vectors, references, edges, keywords and scan cache into the store: one commit.
 
     Of several versions of a file the newest counts (largest mtime_ns, of equal ones the larger
     content_hash). A file that cannot be cut is counted, its first `shown` errors are returned, and
     its old chunks stay; if all files fail, that is an error. removed (file_path): files that are no
     more lose their chunks. embed: chunks (id, content) to id, embedding; without it vectors only
-    lose those of dead chunks. number: of a stream's batch; one that is in the store already is not
-    merged again. Only the buckets of the files are rewritten, and those of edges that lose an end.
+    lose those of dead chunks. model (provider, name, revision, dimensions): kept by the first batch,
+    and an error where a later one differs. number: of a stream's batch; one that is in the store
+    already is not merged again.
+
+    What a file refers to is kept, whether its target is there yet or not, so that the edges of files
+    indexed earlier come, move and go with the files of a later batch: the edges are the same however
+    files are dealt into batches. Only buckets of the files, and of those that refer to them, are read
+    or rewritten. If another writer was first there, the batch is made anew from the new state.
     """
+    for left in range(TRIES - 1, -1, -1):
+        try:
+            done = _index_batch(store, files, now, embed, removed, number, shown, model)
+            break
+        except ConflictError:
+            if not left:
+                raise
+    if any(len(segments(store, t)) >= SEGMENTS for t in ("postings", "wanted")):
+        try:
+            merge_segments(store)
+        except ConflictError:
+            pass  # the other writer's next batch will
+    return done
+
+
+def _index_batch(store, files, now, embed, removed, number, shown, model) -> Batch:
     began = time.monotonic()
     state = store.current()
     if number is not None and state and state["batch"] is not None and number <= state["batch"]:
         return Batch(0, 0, 0, 0.0, [])
+    if state and state["version"] != VERSION:
+        raise EngineError("FULL_REINDEX_REQUIRED", f"state of version {state['version']}")
     now = F.current_timestamp() if now is None else now
     for c, kind in (("mtime_ns", "bigint"), ("size_bytes", "bigint")):
         if c not in files.columns:
             files = files.withColumn(c, F.lit(None).cast(kind))
+    reads = _Reads(store, state)
     with scratch(store.spark):
         row = F.struct("content", "content_hash", "mtime_ns", "size_bytes")
         latest = files.groupBy("file_path").agg(F.max_by(row, F.struct("mtime_ns", "content_hash")).alias("r")).select("file_path", "r.*")
-        latest = settled(latest)
-        cut = settled(chunk_files(latest, errors=True))
+        # counted in the passes that write
+        all_files, pieces = Observation(), Observation()
+        latest = settled(latest.observe(all_files, F.count("*").alias("n")))
+        cut = settled(chunk_files(latest, errors=True).observe(pieces, F.count("id").alias("chunks"), F.count_if(F.col("id").isNull()).alias("failed")))
+        failed, n_chunks = pieces.get["failed"], pieces.get["chunks"]
+        succeeded = all_files.get["n"] - failed
         bad = cut.where("id is null").select("file_path", "error")
-        good = latest.join(bad.select("file_path"), "file_path", "left_anti")
-        new = cut.where("id is not null").drop("error").join(good.select("file_path", "content_hash"), "file_path")
-        succeeded, failed = good.count(), bad.count()
-        errors = [tuple(r) for r in bad.orderBy("file_path").limit(shown).collect()]
+        errors = [tuple(r) for r in bad.orderBy("file_path").limit(shown).collect()] if failed else []
         if failed and not succeeded:
             raise EngineError("INDEX_BATCH_FAILED", "; ".join(f"{p}: {e}" for p, e in errors[:3]))
+        good = latest.join(bad.select("file_path"), "file_path", "left_anti") if failed else latest
+        new = cut.where("id is not null").drop("error").join(good.select("file_path", "content_hash"), "file_path")
         touched = good.select("file_path")
         if removed is not None:
             touched = touched.union(removed.select("file_path"))
+        touched = settled(touched.distinct())
         buckets = store.buckets_of(touched)
 
-        merged = settled(merge_chunks(store.read("chunks", buckets), new, touched, now))
+        before = reads("chunks", buckets)
+        merged = settled(merge_chunks(before, new, touched, now))
         dead = merged.where("is_deleted").select("id")
-        vectors = store.read("vectors", buckets)
+        vectors = reads("vectors", buckets)
         made = embed(new.select("id", "content")) if embed is not None else vectors.where("false")
-        # edges of other files that end at a chunk which is no more
-        elsewhere = store.read("edges", [b for b in range(store.buckets) if b not in set(buckets)])
-        broken = elsewhere.join(dead.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-        hit = sorted(r[0] for r in broken.select(store.bucket("edges")).distinct().collect())
-        rest = store.read("chunks", [b for b in range(store.buckets) if b not in set(buckets)]).select("id", "file_path", "chunk_type", "is_deleted")
-        nodes = rest.union(merged.select(*rest.columns)).where("not is_deleted")
-        ledger = store.read("ledger").select("id")
-        edges = merge_edges(store.read("edges", buckets), nodes.withColumn("is_deleted", F.lit(False)), new, extract_edges(good, nodes), ledger)
-        edges = edges.unionByName(valid_edges(store.read("edges", hit), nodes, ledger)) if hit else edges
-        cache = refreshed_cache(store.read("scan_cache", buckets), good, now)
+
+        found = settled(references(good))
+        affected = _affected(reads, touched)
+        others = affected.join(touched.withColumnRenamed("file_path", "path"), "path", "left_anti")
+        asked = reads.at("references", others, "file_path")[0].select(*found.columns).unionByName(found)
+        passing, paths = _passing(reads, asked, touched, found)
+        around = store.buckets_of(affected.union(paths).withColumnRenamed("path", "file_path"))
+        nodes = reads("chunks", around).where("not is_deleted").join(touched, "file_path", "left_anti").select("id", "file_path", "chunk_type")
+        nodes = settled(nodes.union(merged.where("not is_deleted").select(*nodes.columns)))
+        made_edges = valid_edges(add_edges(contains_edges(new), resolve(asked, passing, nodes)), nodes, store.read("ledger", state=state).select("id"))
+
+        # edges to rewrite: of the affected files, and of any that end at a chunk which is no more
+        ends = reads("edges_in", buckets).join(dead.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+        moved = sorted({*store.buckets_of(affected.withColumnRenamed("path", "file_path")), *store.buckets_of(ends, "edges")})
+        of = F.substring_index("source_id", "::", 1)
+        kept = reads("edges", moved).withColumn("path", of).join(affected.withColumn("hit", F.lit(True)), "path", "left")
+        kept = kept.where(F.col("hit").isNull() | ~F.col("edge_type").isin(*_EXTRACTED)).select("source_id", "target_id", "edge_type")
+        kept = kept.join(new.select(F.col("id").alias("source_id")), "source_id", "left_anti")
+        for end in ("source_id", "target_id"):
+            kept = kept.join(dead.select(F.col("id").alias(end)), end, "left_anti")
+        edges = settled(add_edges(kept.select("source_id", "target_id", "edge_type"), made_edges))
+
+        cache = refreshed_cache(reads("scan_cache", buckets), good, now)
         if removed is not None:
             cache = cache.join(removed.select("file_path"), "file_path", "left_anti")
+        kept_references = reads("references", buckets).join(touched, "file_path", "left_anti").select(*found.columns)
+        wanted = found.select(F.explode("targets").alias("target_path"), "file_path", F.col("passed_on").isNotNull().alias("passes_on")).distinct()
+        terms, dead_terms, totals = _keywords(before, merged, touched, state["number"] + 1 if state else 0)
+        tables = {"chunks": merged, "vectors": merge_vectors(vectors, made, merged), "edges": edges, "scan_cache": cache, "references": kept_references.unionByName(found)}
+        if model is not None:
+            stored = store.read("fingerprint", state=state)
+            check_fingerprint(stored, *model)
+            if stored.isEmpty():
+                tables["fingerprint"] = stamp_fingerprint(stored, *model, now)
         store.commit(
-            {"chunks": merged, "vectors": merge_vectors(vectors, made, merged), "edges": edges, "scan_cache": cache},
-            {"chunks": buckets, "vectors": buckets, "edges": [*buckets, *hit], "scan_cache": buckets}, number,
+            tables, {"edges": moved} | {t: buckets for t in ("chunks", "vectors", "scan_cache", "references")}, number, state,
+            {"wanted": wanted, "postings": terms, "dead_terms": dead_terms}, {t: sorted(b) for t, b in reads.seen.items()}, totals,
         )
-        return Batch(succeeded, failed, new.count(), time.monotonic() - began, errors)
+        return Batch(succeeded, failed, n_chunks, time.monotonic() - began, errors)
+
+
+def _keywords(before: DataFrame, merged: DataFrame, touched: DataFrame, segment: int) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(postings, dead terms, changes of the sums) of a batch: only chunks whose content changed count."""
+    live = lambda chunks, name: chunks.where("not is_deleted").join(touched, "file_path", "left_semi").select("id", F.coalesce("content", F.lit("")).alias(name))
+    both = live(before, "old").join(live(merged, "new"), "id", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    size = lambda c: F.coalesce(F.sum(F.size(X.tokens(F.col(c)))), F.lit(0))
+    sums = Observation()
+    counted = [F.count("new").alias("fresh"), F.count("old").alias("gone"), size("new").alias("words"), size("old").alias("lost")]
+    both = settled(both.where("old is not null or new is not null").observe(sums, *counted))
+    got = sums.get
+    fresh = both.where("new is not null").select("id", F.col("new").alias("content"), F.lit(False).alias("is_deleted"))
+    at = F.lit(segment).cast("long").alias("segment")
+    return postings(fresh).select("*", at), both.where("old is not null").select("id", at), {"n": got["fresh"] - got["gone"], "words": got["words"] - got["lost"]}
 
 
 def force_index(store: SnapshotStore, files: DataFrame, path: str = ".", **how) -> Batch:
@@ -111,7 +240,8 @@ def sync_tree(store: SnapshotStore, root: str, path: str = ".", force: bool = Fa
     listing = under(scan_tree(store.spark, root), path)
     known = under(store.read("scan_cache"), path)
     changed = confirmed_changes(read_contents(changed_candidates(listing, known, force)), force=force)
-    files = changed.withColumn("content", F.decode("content", "UTF-8")).select("file_path", "content", "content_hash", "mtime_ns", "size_bytes")
+    # what is not UTF-8 in a file is replaced in its text alone
+    files = changed.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))).select("file_path", "content", "content_hash", "mtime_ns", "size_bytes")
     gone = vanished_files(listing, known)
     with scratch(store.spark):
         files, gone = settled(files), settled(gone)
