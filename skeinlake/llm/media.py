@@ -48,13 +48,18 @@ def alaw(codes: np.ndarray) -> np.ndarray:
     return ALAW_TABLE[codes]
 
 
+#: By index << 4 | code: what a code adds to the sample, and the index after it.
+_AT, _CODE = np.arange(89 * 16) >> 4, np.arange(89 * 16) & 15
+_STEP = IMA_STEPS[_AT]
+_SIZE = (_STEP >> 3) + np.where(_CODE & 4, _STEP, 0) + np.where(_CODE & 2, _STEP >> 1, 0) + np.where(_CODE & 1, _STEP >> 2, 0)
+IMA_ADDS, IMA_AFTER = np.where(_CODE & 8, -_SIZE, _SIZE).astype(np.int32), np.clip(_AT + IMA_MOVES[_CODE & 7], 0, 88).astype(np.int32)
+
+
 def _ima_step(code: np.ndarray, value: np.ndarray, index: np.ndarray) -> None:
-    step = IMA_STEPS[index]
-    size = (step >> 3) + np.where(code & 4, step, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 1, step >> 2, 0)
-    value += np.where(code & 8, -size, size)
+    at = (index << 4) | code
+    value += IMA_ADDS[at]
     np.clip(value, -32768, 32767, out=value)
-    index += IMA_MOVES[code & 7]
-    np.clip(index, 0, 88, out=index)
+    index[...] = IMA_AFTER[at]
 
 
 def ima_decode(data: np.ndarray, block: int = 256, channels: int = 1) -> np.ndarray:
@@ -261,6 +266,8 @@ def media_columns(
 
 def media_features(rows: DataFrame, doc_id: str = "doc_id", media: str = "media", up: int = 2, down: int = 1) -> DataFrame:
     """doc_id, rate, channels, feature, pcm of every row's WAV file of PCM, mu-law, A-law or IMA ADPCM.
+    Repeated rows and those without an id are rows of their own, equal files give equal values; extra
+    columns are ignored; an empty table gives an empty one.
 
     Expanded and resampled by up / down with all its channels: rate and channels of that, its
     features and a WAV file of 16-bit PCM. All four are null where media is null or no such file."""

@@ -80,7 +80,8 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(_table(spark, sf_dir, "documents"), keep=False)
+    """The digests beside what is stored: the telephony file and its resampled PCM."""
+    return media_columns(_table(spark, sf_dir, "documents"))
 
 
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
