@@ -4,10 +4,10 @@ Every document draws the exponential key -ln(u) / quality, u from a seeded hash
 a source the documents stand in the order of their keys; complete epochs take every document, and
 what is left of the target goes to a prefix of that order.
 
-No source meets in one task: the keys are cut into buckets whose number grows with the square root
-of the source's rows, the buckets' sizes are summed first, and the prefix sums run within a bucket
-on top of what the buckets before it hold. Nor do all sources, which may be hosts: they are sorted
-by range, and each range starts from the sums of those before it.
+No source meets in one task, nor do all sources, which may be hosts: the documents are sorted by
+source and key in ranges, whose bounds Spark samples, so that a large source is many ranges whatever
+its keys are like. The ranges are summed first, and the prefix sums run within a range on top of what
+the ranges before it hold; what the sources before hold is taken off.
 """
 
 from __future__ import annotations
@@ -95,18 +95,13 @@ def mix_sources(
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = plan.withColumn("buckets", F.greatest(F.lit(1), F.least(F.col("n") / 128, F.sqrt(F.col("n")) * 4)).cast("long"))
-    plan = store(plan)
-
-    # 1 - exp(-key) is even on (0, 1) for documents of quality 1 and monotone for all
-    bucket = F.least(F.col("buckets") - 1, F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets"))).cast("long")
-    dealt = rows.join(plan.withColumnRenamed("source", "s"), rows["source"].eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", bucket)
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    before = F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("before"))
-    dealt = dealt.join(sums, dealt["source"].eqNullSafe(F.col("s")) & (dealt["bucket"] == F.col("b"))).drop("s", "b")
-    run = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("rest")).cast("long") - F.col("before") - (run - F.col("size"))))
+    by_name = [F.col("source").isNull(), F.col("source")]
+    plan = store(_in_order(plan, by_name, upto="source_size"))
+
+    dealt = rows.join(plan.withColumnRenamed("source", "s"), rows["source"].eqNullSafe(F.col("s"))).drop("s")
+    dealt = _in_order(dealt, [*by_name, "key", "doc_id", "size"], run="size")
+    before = F.col("run") - F.col("size") - (F.col("upto") - F.col("source_size"))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("rest")).cast("long") - before))
     full = F.col("part") >= F.col("size")
     out = dealt.withColumn("part", F.when(F.col("rest") > 0, part).otherwise(0).cast("long"))
     out = out.withColumn("copies", (F.col("whole") + F.when(full & (F.col("size") > 0), 1).otherwise(0)).cast("long")).withColumn("part", F.when(full, 0).otherwise(F.col("part")).cast("long"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skeinlake.llm import html_blocks, html_extract, media, mtree
+from skeinlake.llm import html_blocks, html_extract, media, mixing, mtree
 from skeinlake.llm.graph import connected_components
 from skeinlake.llm.language_id import identify_language, page_evidence, page_rows
 from skeinlake.llm.media import media_columns, media_features
@@ -110,6 +110,20 @@ def test_components_of_a_chain(spark):
     assert got == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
 
 
+def test_mix_does_not_depend_on_the_size_of_the_weights(spark):
+    """Weights far below 1 draw the same order; the ranges that the source is cut into stay even."""
+    rows = [(i, f"w{i % 7} " * (i % 5 + 1)) for i in range(900)]
+    taken = []
+    for w in (1.0, 0.001, 1e-9):
+        quality = spark.createDataFrame([(i, w) for i, _ in rows], "doc_id bigint, quality double")
+        mixed = mix_sources(docs(spark, rows, source=lambda d: "hot" if d % 3 else "b"), quality)
+        taken.append(sorted((r.doc_id, r.taken) for r in mixed.collect()))
+    assert taken[0] == taken[1] == taken[2]
+    held = spark.range(20_000).select("id", (-F.ln(F.rand(3)) / 0.001).alias("key"), F.lit(1).alias("size"))
+    ranges = mixing._in_order(held, ["key"], run="size").groupBy(F.floor(F.col("run") / 5000)).count().collect()
+    assert sorted(r["count"] for r in ranges) == [1, 4999, 5000, 5000, 5000]
+
+
 @pytest.mark.parametrize("seed", [1, 3])
 def test_substring_dedup_matches_every_window(spark, seed):
     rows = corpus(seed)
