@@ -111,3 +111,10 @@ def content_hash(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content, 256))
 
 
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters of a text in lower case; none under three characters."""
+    chars = F.split(F.lower(text), "")
+    places = F.when(F.size(chars) > 2, F.sequence(F.lit(0), F.size(chars) - 3)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2))))

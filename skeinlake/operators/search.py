@@ -167,25 +167,69 @@ def _top(scored: DataFrame, limit: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def substring_search(chunks: DataFrame, query: str, limit: int = CANDIDATES) -> DataFrame:
+def trigram_postings(chunks: DataFrame) -> DataFrame:
+    """tri, id: a row for each run of three characters of each live chunk, in lower case."""
+    return live(chunks).select("id", F.explode(X.trigrams(F.coalesce("content", F.lit("")))).alias("tri"))
+
+
+class Candidates(Protocol):
+    """An index over chunks: the ids of those that hold all trigrams, and these chunks themselves."""
+
+    def holding(self, tris: Sequence[str]) -> DataFrame: ...
+
+    def chunks_of(self, ids: DataFrame, chunks: DataFrame) -> DataFrame: ...
+
+
+def all_of(hits: DataFrame, tris: Sequence[str]) -> DataFrame:
+    """id of the chunks that each of the trigrams stands in, from tri, id: lists are intersected by a count."""
+    return hits.groupBy("id").agg(F.count_distinct("tri").alias("n")).where(F.col("n") == len(tris)).select("id")
+
+
+class TrigramIndex(NamedTuple):
+    """Trigram postings settled in folders by a hash of the trigram, sorted by trigram within."""
+
+    postings: DataFrame
+    buckets: int
+
+    def holding(self, tris: Sequence[str]) -> DataFrame:
+        one = lambda t: (F.col("bucket") == _bucket(F.lit(t), self.buckets)) & (F.col("tri") == t)
+        return all_of(self.postings.where(reduce(lambda a, b: a | b, map(one, tris))), tris)
+
+    def chunks_of(self, ids: DataFrame, chunks: DataFrame) -> DataFrame:
+        return live(chunks).join(ids, "id", "left_semi")
+
+
+def trigram_index(chunks: DataFrame, buckets: int = 32) -> TrigramIndex:
+    """The trigrams of the chunks, for any number of substring queries."""
+    dealt = trigram_postings(chunks).withColumn("bucket", _bucket(F.col("tri"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "tri")
+    return TrigramIndex(settled(dealt, by="bucket"), buckets)
+
+
+def substring_search(chunks: DataFrame, query: str, limit: int = CANDIDATES, index: Candidates | None = None) -> DataFrame:
     """id, score, rank: live chunks that contain the phrase whatever its case; phrases under three
-    characters find nothing. Score: 1 / (1 + place of the first hit), so early hits come first."""
+    characters find nothing. Score: 1 / (1 + place of the first hit), so early hits come first.
+    index: over the trigrams of these chunks; only chunks that hold all of the phrase's are then looked at."""
     phrase = X.query_phrase(query)
     low = F.lower("content")
     if phrase is None or len(phrase) < 3:
         return live(chunks).where("false").select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    rows = live(chunks)
+    if index is not None:
+        tris = chunks.sparkSession.range(1).select(X.trigrams(F.lit(phrase))).first()[0]
+        rows = index.chunks_of(index.holding(tris), chunks)
     hit = F.instr(low, phrase.lower())
-    return _top(live(chunks).where(low.contains(phrase.lower())).select("id", (1.0 / (1.0 + hit)).alias("score")), limit)
+    return _top(rows.where(low.contains(phrase.lower())).select("id", (1.0 / (1.0 + hit)).alias("score")), limit)
 
 
 def routed_search(chunks: DataFrame, query: str, limit: int = CANDIDATES, index: Keywords | None = None) -> tuple[DataFrame, str]:
     """(hits, route): keyword hits if there are any; else the substring's where the query looks like
-    a name or path; else nothing. The hits, at most `limit`, are settled to decide."""
+    a name or path; else nothing. The hits, at most `limit`, are settled to decide. An index that has
+    trigrams too (of a store) serves both."""
     hits = settled(keyword_search(index or chunks, query, limit))
     if not hits.isEmpty():
         return hits, "kw"
     if _looks_like_name(query):
-        return substring_search(chunks, query, limit), "sub"
+        return substring_search(chunks, query, limit, index if hasattr(index, "holding") else None), "sub"
     return hits, "none"
 
 

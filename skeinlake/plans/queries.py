@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..functions.blake3 import blake3_hash
 from ..operators import chunks as C
 from ..operators import evaluate as E
 from ..operators import graph as G
@@ -215,6 +216,19 @@ def q_fts_substring(spark: SparkSession, sf: str) -> DataFrame:
     return S.substring_search(chunks(spark, sf), PHRASE).select("id", F.round("score", 9).alias("score"), *_long("rank"))
 
 
+@query(f"""WITH {CH}, h AS (SELECT id, 1.0::DOUBLE / (1 + instr(lower(content), '{PHRASE}')) AS score FROM chunks WHERE NOT is_deleted AND contains(lower(content), '{PHRASE}'))
+SELECT id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM h ORDER BY score DESC, id LIMIT 30""")
+def q_fts_trigram(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through an index of trigrams, built by the query."""
+    held = chunks(spark, sf)
+    return S.substring_search(held, PHRASE, index=S.trigram_index(held)).select("id", F.round("score", 9).alias("score"), *_long("rank"))
+
+
+@query()
+def q_content_blake3(spark: SparkSession, sf: str) -> DataFrame:
+    return files(spark, sf).select("file_path", blake3_hash(F.col("content")).alias("content_hash"))
+
+
 _ASK = "CASE doc_id % 6 WHEN 0 THEN source || '::' || lang WHEN 1 THEN source || '/x' WHEN 2 THEN '\"' || lang || ' words\"' WHEN 3 THEN lang || ' words' WHEN 4 THEN '\"' || lang ELSE lang || '.x' END"
 
 

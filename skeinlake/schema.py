@@ -59,8 +59,9 @@ WANTED = "target_path string, file_path string, passes_on boolean"
 #: A term of a chunk, and a chunk whose terms of segments before this one are dead.
 POSTINGS = "tok string, id string, tf bigint, doc_len int, segment bigint"
 DEAD_TERMS = "id string, segment bigint"
+TRIGRAMS = "tri string, id string, segment bigint"
 TABLES = {
     "chunks": CHUNKS, "vectors": VECTORS, "edges": EDGES, "scan_cache": SCAN_CACHE, "sessions": SESSIONS, "turns": TURNS,
     "ledger": LEDGER, "fingerprint": FINGERPRINT, "edges_in": EDGES, "references": REFERENCES, "wanted": WANTED,
-    "postings": POSTINGS, "dead_terms": DEAD_TERMS,
+    "postings": POSTINGS, "trigrams": TRIGRAMS, "dead_terms": DEAD_TERMS,
 }

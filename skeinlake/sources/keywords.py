@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.search import all_of
+from ..plans.tables import settled
 from .snapshots import SnapshotStore
 
 
@@ -24,8 +26,9 @@ def _without_dead(postings: DataFrame, dead: DataFrame) -> DataFrame:
 
 
 class StoredKeywords:
-    """What keyword_search needs of a store: the postings of some terms, of which only the buckets are
-    read, and the sums over all live chunks, which the state keeps."""
+    """What keyword_search and substring_search need of a store: the postings of some terms or trigrams,
+    of which only the buckets are read, the chunks that hold them, and the sums over all live chunks,
+    which the state keeps."""
 
     def __init__(self, store: SnapshotStore) -> None:
         self.store, self.state = store, store.current()
@@ -42,11 +45,21 @@ class StoredKeywords:
         return _without_dead(found.where(F.col("tok").isin(*terms)), self.store.read("dead_terms", state=self.state))
 
 
+    def holding(self, tris: Sequence[str]) -> DataFrame:
+        found = self.store.read("trigrams", sorted({self.store.bucket_of(t) for t in tris}), self.state)
+        return all_of(_without_dead(found.where(F.col("tri").isin(*tris)), self.store.read("dead_terms", state=self.state)), tris)
+
+    def chunks_of(self, ids: DataFrame, chunks: DataFrame) -> DataFrame:
+        ids = settled(ids)
+        found = self.store.read("chunks", self.store.buckets_of(ids.withColumnRenamed("id", "file_path")), self.state)
+        return found.where("not is_deleted").join(ids, "id", "left_semi")
+
+
 def merge_segments(store: SnapshotStore) -> None:
     """One segment a bucket: postings without the dead, and who refers to what as it stands now."""
     state = store.current()
-    live = _without_dead(store.read("postings", state=state), store.read("dead_terms", state=state))
+    live = {t: _without_dead(store.read(t, state=state), store.read("dead_terms", state=state)) for t in ("postings", "trigrams")}
     refers = store.read("references", state=state)
     wanted = refers.select(F.explode("targets").alias("target_path"), "file_path", F.col("passed_on").isNotNull().alias("passes_on")).distinct()
     every = list(range(store.buckets))
-    store.commit({"postings": live, "dead_terms": store.read("dead_terms").where("false"), "wanted": wanted}, base=state, read={"references": every})
+    store.commit(live | {"dead_terms": store.read("dead_terms").where("false"), "wanted": wanted}, base=state, read={"references": every})

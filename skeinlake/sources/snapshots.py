@@ -17,9 +17,9 @@ from ..schema import TABLES, VERSION, ConflictError, EngineError
 #: What each keyed table is dealt by: the file that its rows belong to, or a term.
 KEYS = {
     "chunks": "file_path", "scan_cache": "file_path", "vectors": "id", "edges": "source_id", "edges_in": "target_id",
-    "references": "file_path", "wanted": "target_path", "postings": "tok", "dead_terms": "id",
+    "references": "file_path", "wanted": "target_path", "postings": "tok", "trigrams": "tri", "dead_terms": "id",
 }
-_BY_TERM = frozenset(["postings"])
+_BY_TERM = frozenset(["postings", "trigrams"])
 
 
 def file_of(column: str) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.tables import settled
 from ..schema import EngineError
 
 # Extensions that a scan takes, in the order of the languages.
@@ -63,45 +67,97 @@ class Ignore:
         return False
 
 
-def list_tree(root: str, ignore_files: tuple[str, ...] = IGNORE_FILES) -> list[tuple[str, str, int, int]]:
-    """(relative path, full path, mtime in ns, bytes) of the files to scan. Rules of a folder hold for
-    all below it and a folder below cannot undo them. The listing is metadata, on the driver."""
-    out = []
-
-    def walk(folder: str, matchers: list[tuple[str, Ignore]]) -> None:
-        here = list(matchers)
-        for name in ignore_files:
-            path = os.path.join(folder, name)
-            if os.path.isfile(path):
-                with open(path, encoding="utf-8", errors="replace") as f:
-                    here.append((folder, Ignore(f.read().splitlines())))
-        with os.scandir(folder) as entries:
-            for e in sorted(entries, key=lambda e: e.name):
-                is_folder = e.is_dir(follow_symlinks=False)
-                if any(m.ignores(os.path.relpath(e.path, base).replace(os.sep, "/"), is_folder) for base, m in here):
-                    continue
-                if is_folder:
-                    walk(e.path, here)
-                elif e.is_file(follow_symlinks=False) and os.path.splitext(e.name)[1].lower() in EXTENSIONS:
-                    stat = e.stat()
-                    out.append((os.path.relpath(e.path, root).replace(os.sep, "/"), e.path, stat.st_mtime_ns, stat.st_size))
+Rules = list[tuple[str, list[str]]]
+_FOUND = LISTING + ", rules string"
+
+
+def _entries(root: str, folder: str, above: Rules, ignore_files: tuple[str, ...]) -> tuple[list[tuple[str, str, int, int]], list[str], Rules]:
+    """(files to scan as in LISTING, folders to go on with, rules that hold below) of one folder of a
+    tree: paths from the root, and the rules with the folder that they stand in."""
+    here = os.path.join(root, folder)
+    rules = list(above)
+    for name in ignore_files:
+        path = os.path.join(here, name)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                rules.append((folder, f.read().splitlines()))
+    matchers = [(base, Ignore(lines)) for base, lines in rules]
+    files, folders = [], []
+    with os.scandir(here) as entries:
+        for e in sorted(entries, key=lambda e: e.name):
+            path, is_folder = f"{folder}/{e.name}" if folder else e.name, e.is_dir(follow_symlinks=False)
+            if any(m.ignores(path[len(base) + 1 :] if base else path, is_folder) for base, m in matchers):
+                continue
+            if is_folder:
+                folders.append(path)
+            elif e.is_file(follow_symlinks=False) and os.path.splitext(e.name)[1].lower() in EXTENSIONS:
+                stat = e.stat()
+                files.append((path, e.path, stat.st_mtime_ns, stat.st_size))
+    return files, folders, rules
 
-    walk(root, [])
-    return out
 
-
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    return spark.createDataFrame(list_tree(root), LISTING)
+def list_tree(root: str, ignore_files: tuple[str, ...] = IGNORE_FILES) -> list[tuple[str, str, int, int]]:
+    """(relative path, full path, mtime in ns, bytes) of the files to scan, listed on the driver. Rules
+    of a folder hold for all below it and a folder below cannot undo them."""
+    out, waiting = [], [("", [])]
+    while waiting:
+        files, folders, rules = _entries(root, *waiting.pop(), ignore_files)
+        out += files
+        waiting += [(f, rules) for f in folders]
+    return sorted(out)
+
+
+def scan_tree(spark: SparkSession, root: str, ignore_files: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
+    """LISTING of the files to scan, as list_tree gives them, walked by the executors, which see the tree
+    as the driver does: the folders of a level are dealt out and listed together, each with the rules
+    that it inherits. A folder that is gone when its turn comes is empty."""
+
+    def level(batches):
+        for pdf in batches:
+            out = []
+            for folder, above in zip(pdf["file_path"], pdf["rules"]):
+                try:
+                    files, folders, rules = _entries(root, folder, json.loads(above), ignore_files)
+                except FileNotFoundError:
+                    continue
+                out += [(*f, None) for f in files]
+                out += [(f, None, None, None, json.dumps(rules)) for f in folders]
+            # whole numbers of 64 bits beside nulls
+            columns = zip(("file_path", "full_path", "mtime_ns", "size_bytes", "rules"), zip(*out) if out else [()] * 5)
+            yield pd.DataFrame({c: pd.array(v, "Int64") if c.endswith(("_ns", "_bytes")) else pd.Series(v, dtype=object) for c, v in columns})
+
+    found, folders = None, spark.createDataFrame([("", "[]")], "file_path string, rules string")
+    while True:
+        n = Observation()
+        # folders of a level may be few rows of one task: they are dealt out anew
+        listed = folders.repartition(spark.sparkContext.defaultParallelism).mapInPandas(level, _FOUND)
+        listed = settled(listed.observe(n, F.count("rules").alias("folders")))
+        files = listed.where("rules is null").drop("rules")
+        found = files if found is None else found.union(files)
+        if not n.get["folders"]:
+            return found
+        folders = listed.where("rules is not null").select("file_path", "rules")
 
 
 def read_contents(listing: DataFrame) -> DataFrame:
-    """The listing with content (binary) read through Spark's own file source, file by file."""
-    paths = [r.full_path for r in listing.select("full_path").collect()]  # a listing, bounded by what a driver walked
-    spark = listing.sparkSession
-    if not paths:
-        return listing.withColumn("content", F.lit(None).cast("binary"))
-    files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("full_path"), "content")
-    return listing.join(files, "full_path")
+    """The listing with content (binary), read where the rows are, file by file; a file that is gone by
+    then is left out."""
+    columns = listing.columns
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema) + ", content binary"
+
+    def read(batches):
+        for batch in batches:
+            place = columns.index("full_path")
+            for i in range(batch.num_rows):
+                try:
+                    with open(batch.column(place)[i].as_py(), "rb") as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    continue
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], [*columns, "content"])
+
+    return listing.mapInArrow(read, out)
 
 
 def scan_store(spark: SparkSession, path: str) -> DataFrame:

@@ -6,16 +6,20 @@ import time
 from collections.abc import Callable
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
+from ..functions.blake3 import blake3_hash
 from ..operators.chunks import chunk_files
 from ..operators.graph import add_edges, contains_edges, valid_edges
-from ..operators.merge import check_fingerprint, merge_chunks, merge_vectors, stamp_fingerprint
+from ..operators.health import collect_garbage
+from ..operators.merge import check_fingerprint, forget_chunks, merge_chunks, merge_vectors, stamp_fingerprint
 from ..operators.references import references, resolve
-from ..operators.search import postings
+from ..operators.search import postings, trigram_postings
 from ..plans.tables import scratch, settled
 from ..schema import VERSION, ConflictError, EngineError
 from ..sources.keywords import merge_segments, segments
@@ -197,7 +201,7 @@ def _index_batch(store, files, now, embed, removed, number, shown, model) -> Bat
             cache = cache.join(removed.select("file_path"), "file_path", "left_anti")
         kept_references = reads("references", buckets).join(touched, "file_path", "left_anti").select(*found.columns)
         wanted = found.select(F.explode("targets").alias("target_path"), "file_path", F.col("passed_on").isNotNull().alias("passes_on")).distinct()
-        terms, dead_terms, totals = _keywords(before, merged, touched, state["number"] + 1 if state else 0)
+        terms, tris, dead_terms, totals = _keywords(before, merged, touched, state["number"] + 1 if state else 0)
         tables = {"chunks": merged, "vectors": merge_vectors(vectors, made, merged), "edges": edges, "scan_cache": cache, "references": kept_references.unionByName(found)}
         if model is not None:
             stored = store.read("fingerprint", state=state)
@@ -206,13 +210,13 @@ def _index_batch(store, files, now, embed, removed, number, shown, model) -> Bat
                 tables["fingerprint"] = stamp_fingerprint(stored, *model, now)
         store.commit(
             tables, {"edges": moved} | {t: buckets for t in ("chunks", "vectors", "scan_cache", "references")}, number, state,
-            {"wanted": wanted, "postings": terms, "dead_terms": dead_terms}, {t: sorted(b) for t, b in reads.seen.items()}, totals,
+            {"wanted": wanted, "postings": terms, "trigrams": tris, "dead_terms": dead_terms}, {t: sorted(b) for t, b in reads.seen.items()}, totals,
         )
         return Batch(succeeded, failed, n_chunks, time.monotonic() - began, errors)
 
 
-def _keywords(before: DataFrame, merged: DataFrame, touched: DataFrame, segment: int) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """(postings, dead terms, changes of the sums) of a batch: only chunks whose content changed count."""
+def _keywords(before: DataFrame, merged: DataFrame, touched: DataFrame, segment: int) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
+    """(postings, trigrams, dead terms, changes of the sums) of a batch: only chunks whose content changed count."""
     live = lambda chunks, name: chunks.where("not is_deleted").join(touched, "file_path", "left_semi").select("id", F.coalesce("content", F.lit("")).alias(name))
     both = live(before, "old").join(live(merged, "new"), "id", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
     size = lambda c: F.coalesce(F.sum(F.size(X.tokens(F.col(c)))), F.lit(0))
@@ -222,7 +226,7 @@ def _keywords(before: DataFrame, merged: DataFrame, touched: DataFrame, segment:
     got = sums.get
     fresh = both.where("new is not null").select("id", F.col("new").alias("content"), F.lit(False).alias("is_deleted"))
     at = F.lit(segment).cast("long").alias("segment")
-    return postings(fresh).select("*", at), both.where("old is not null").select("id", at), {"n": got["fresh"] - got["gone"], "words": got["words"] - got["lost"]}
+    return postings(fresh).select("*", at), trigram_postings(fresh).select("tri", "id", at), both.where("old is not null").select("id", at), {"n": got["fresh"] - got["gone"], "words": got["words"] - got["lost"]}
 
 
 def force_index(store: SnapshotStore, files: DataFrame, path: str = ".", **how) -> Batch:
@@ -233,13 +237,14 @@ def force_index(store: SnapshotStore, files: DataFrame, path: str = ".", **how)
     return index_batch(store, mine, removed=known.join(mine.select("file_path"), "file_path", "left_anti"), **how)
 
 
-def sync_tree(store: SnapshotStore, root: str, path: str = ".", force: bool = False, **how) -> Batch:
+def sync_tree(store: SnapshotStore, root: str, path: str = ".", force: bool = False, hash_: Callable[[Column], Column] = blake3_hash, **how) -> Batch:
     """Bring the store up to date with a file tree, or with the part of it at or below a path: scan,
     read what may have changed, and index what did; files that are no more lose their chunks. force:
-    index all files again."""
+    index all files again. hash_: of the contents; another one than last time takes all files for changed."""
     listing = under(scan_tree(store.spark, root), path)
     known = under(store.read("scan_cache"), path)
-    changed = confirmed_changes(read_contents(changed_candidates(listing, known, force)), force=force)
+    content = F.col("content")
+    changed = confirmed_changes(read_contents(changed_candidates(listing, known, force)), hash_(content), force)
     # what is not UTF-8 in a file is replaced in its text alone
     files = changed.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))).select("file_path", "content", "content_hash", "mtime_ns", "size_bytes")
     gone = vanished_files(listing, known)
@@ -250,6 +255,22 @@ def sync_tree(store: SnapshotStore, root: str, path: str = ".", force: bool = Fa
         return index_batch(store, files, removed=gone, **how)
 
 
+def collect(store: SnapshotStore, days: int, now: Column, keep: int = 1) -> tuple[int, int]:
+    """(chunks forgotten, bytes freed): tombstones deleted more than `days` before now go, with their
+    edges and vectors, and then all states but the newest and what these alone held."""
+    state = store.current()
+    if state is None:
+        return 0, 0
+    with scratch(store.spark):
+        kept, gone = collect_garbage(store.read("chunks", state=state), days, now)
+        n = Observation()
+        gone = settled(gone.observe(n, F.count("*").alias("n")))
+        if n.get["n"]:
+            edges, vectors = forget_chunks(store.read("edges", state=state), store.read("vectors", state=state), gone)
+            store.commit({"chunks": kept, "edges": edges, "vectors": vectors}, base=state)
+    return n.get["n"], store.drop(keep)[1]
+
+
 def index_stream(spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, schema: str = CHANGED, done: Callable[[Batch], None] | None = None, **how) -> StreamingQuery:
     """Index JSON rows of changed files as they arrive under source. The checkpoint numbers the
     batches and the store knows the last one merged, so each is merged once. done: gets each batch's
@@ -301,6 +322,34 @@ def stream_sessions(events: DataFrame, sink: Callable[[DataFrame, int], None], c
     return session_windows(events, ttl, late).writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: What a session is told when it is put to rest.
+IDLE_NOTICE = '{"kind":"reaper_notice","text":"Session moved to idle after inactivity."}'
+
+
+def reap_stream(turns: DataFrame, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
+    """session_id, status, role, content, ts: each session of a stream of turns (session_id, ts) once, when
+    the watermark has passed its newest turn by `minutes`: its new status and the turn that says so. A
+    turn after that opens it again; turns behind the watermark are too late to count. A session keeps
+    one timestamp as state, and a timer."""
+    ttl = minutes * 60_000
+
+    def rest(key, batches, state: GroupState):
+        columns = ["session_id", "status", "role", "content", "ts"]
+        if state.hasTimedOut:
+            (newest,) = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], "idle", "system", IDLE_NOTICE, pd.Timestamp(newest + ttl, unit="ms"))], columns=columns)
+            return
+        newest = max([*(int(b["at"].max()) for b in batches), *(state.get if state.exists else ())])
+        state.update((newest,))
+        state.setTimeoutTimestamp(newest + ttl)
+
+    # the newest turn in whole milliseconds
+    dealt = turns.withWatermark("ts", late).select("session_id", "ts", F.unix_millis("ts").alias("at")).groupBy("session_id")
+    out = f"session_id {turns.schema['session_id'].dataType.simpleString()}, status string, role string, content string, ts timestamp"
+    return dealt.applyInPandasWithState(rest, out, "newest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def crash_allowed(times: DataFrame, window_s: int = 600, most: int = 3) -> DataFrame:
     """ts, crashes, restart: whether fewer than `most` crashes lie in the window up to each."""
     recent = Window.partitionBy("worker").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-window_s, 0)
