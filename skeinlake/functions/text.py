@@ -116,5 +116,7 @@ def content_hash(content: Column) -> Column:
 def trigrams(text: Column) -> Column:
     """The distinct runs of three characters of a text in lower case; none under three characters."""
     chars = F.split(F.lower(text), "")
-    places = F.when(F.size(chars) > 2, F.sequence(F.lit(0), F.size(chars) - 3)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2))))
+    n = F.greatest(F.size(chars) - 2, F.lit(0))
+    # zipped and not looked up by place: within a lambda the split would be made anew for each
+    runs = F.arrays_zip(*[F.slice(chars, i, n).alias(f"c{i}") for i in (1, 2, 3)])
+    return F.array_distinct(F.transform(runs, lambda r: F.concat(*[r.getField(f"c{i}") for i in (1, 2, 3)])))
