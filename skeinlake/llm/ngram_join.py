@@ -243,6 +243,12 @@ def _shared_cells(packed: DataFrame) -> DataFrame:
     return packed.groupBy("slice").applyInArrow(matched, "key long, cls long")
 
 
+def sent_if_few(ids: DataFrame) -> DataFrame:
+    """ids, to be sent to the workers if there are at most BROADCAST rows: texts that they pick then need no
+    shuffle. More are joined by one, with equal rows. They are counted here, so they should be settled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
+
+
 def _whole_sets(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
     """cls, grams: the whole sets of the documents in ids."""
 
@@ -252,9 +258,7 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str)
                 flat, first, _ = _sets(data, offsets, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.view(np.int64)))], ["cls", "grams"])
 
-    if ids.count() <= BROADCAST:
-        ids = F.broadcast(ids)
-    picked = docs.select(F.col(doc_id).cast("long").alias("cls"), F.col(text).alias("t")).join(ids, "cls", "left_semi")
+    picked = docs.select(F.col(doc_id).cast("long").alias("cls"), F.col(text).alias("t")).join(sent_if_few(ids), "cls", "left_semi")
     return picked.mapInArrow(rows, "cls long, grams array<long>")
 
 

@@ -162,7 +162,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 6) -> DataFrame:
     ranked = store(ranked.select("doc_id", "lo", "hi", off.cast("int").alias("off"), repeated.alias("repeated")))
 
     unclear = ranked.where("not repeated").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "off")).alias("at"))
-    marked = docs.join(unclear, "doc_id").select("doc_id", "text", "at")
+    marked = docs.select("doc_id", "text").join(unclear, "doc_id")
     number = F.row_number().over(Window.partitionBy("anchor", "hash", "off").orderBy("doc_id", "start"))
     single = _windows(marked, window, k).withColumn("at", number).where("again or at > 1").select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
     return ranked.where("repeated").select("doc_id", "lo", "hi").union(single)
@@ -225,9 +225,15 @@ def substring_dedup(docs: DataFrame, window: int = 20, k: int = 6, doc_id: str =
         # new ids in the order of the rows: the sort deals ranges, so partitions follow each other
         docs = store(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").select(F.col("doc_id").alias("was"), F.monotonically_increasing_id().alias("doc_id"), "text", *names))
         back, docs = docs.select("doc_id", "was"), docs.select("doc_id", "text", *names)
-    ranges = repeated_spans(docs.select("doc_id", "text"), window, k)
+    # the texts meet the spans and then the ranges in the same columns and rows, so that one shuffle of
+    # them serves both joins; what is carried follows by itself
+    texts_of = docs.select("doc_id", "text").where("doc_id is not null")
+    ranges = repeated_spans(texts_of, window, k)
     per = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    joined = docs.join(per, "doc_id", "left").select("doc_id", "text", "ranges", *names)
+    joined = texts_of.join(per, "doc_id", "left")
+    if names:
+        joined = joined.join(docs.select("doc_id", *names), "doc_id")
+    joined = joined.select("doc_id", "text", "ranges", *names)
     out = _cut(joined, window, texts, tuple(names))
     for i, c in enumerate(carry):
         out = out.withColumnRenamed(f"c{i}", c)
