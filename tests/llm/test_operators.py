@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skeinlake.llm import html_blocks, html_extract, media, mixing, mtree
+from skeinlake.llm import html_blocks, html_extract, media, mixing, mtree, ngram_join
 from skeinlake.llm.graph import connected_components
 from skeinlake.llm.language_id import identify_language, page_evidence, page_rows
 from skeinlake.llm.media import media_columns, media_features
@@ -59,6 +59,13 @@ def test_ngram_join_matches_all_pairs(spark, seed):
     assert got[900] == (0, 900) and got[903][1] == got[904][1] and got[905][1] == got[906][1]
 
 
+def test_ngram_join_beyond_the_bound_of_what_is_sent(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST", 0)
+    rows = corpus(3, n=30, copies=12)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs(spark, rows)).collect()}
+    assert got == brute.jaccard_components(rows)
+
+
 def test_ngram_join_dense_group_and_odd_rows(spark):
     r = random.Random(5)
     base = [f"w{i}" for i in range(90)]
@@ -152,6 +159,19 @@ def test_substring_dedup_of_a_crowded_anchor(spark, batch):
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in got} == brute.without_repeats(rows)
 
 
+def test_substring_dedup_shuffles_the_texts_once(spark):
+    # only without broadcasts do both joins shuffle the texts at all
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = substring_dedup(docs(spark, corpus(2)), carry=("lang",))
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "ReusedExchange" in plan
+
+
 def test_substring_dedup_of_repeated_ids(spark):
     t = " ".join(f"w{i}" for i in range(30))
     got = substring_dedup(docs(spark, [(5, t), (5, t), (None, t), (2, "x " + t)])).collect()
