@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 _TOKEN = re.compile(
@@ -22,6 +23,9 @@ INLINE = frozenset(
     "math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mfenced mover munder semantics a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr link meta base embed param area col".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that hold parts of a page, and what share of its text a part counts for in what holds it.
+PARTS = frozenset("article aside center details div fieldset footer form header main nav section td th".split())
+_PASSED_UP = 0.6
 #: An opening tag that closes an open element of these, up to the barrier.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 ANCESTORS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "ul", "ol", "table", "dialog", "button", "fieldset", "figure", "blockquote", "menu", "address", "details")
@@ -56,6 +60,7 @@ FEATURES = (
     [f"in_{x}" for x in ANCESTORS] + [f"named_{x}" for x in FAMILIES] + ["hidden"] + [f"place_{x}" for x in PLACES] + [f"tag_{x}" for x in TAGS] + ["tag_other"]
     + ["length_1", "length_2", "length_3", "length_4", "links_none", "links_some", "links_most", "ends_sentence", "sentences", "sign_copyright", "first", "last", "same_parent", "always"]
     + ["outside_landmark", "outside_content", "no_content", "head_of_landmark", "link_alone"]
+    + ["outside_bulk", "tail_links", "line_between"]
 )
 AT = {f: i for i, f in enumerate(FEATURES)}
 _ANCESTOR_BIT = {x: 1 << AT[f"in_{x}"] for x in ANCESTORS}
@@ -63,6 +68,12 @@ _TAG = {x: AT[f"tag_{x}"] for x in TAGS}
 _LANDMARK = _ANCESTOR_BIT["article"] | _ANCESTOR_BIT["main"]
 
 
+#: Elements of text: a name that speaks of content says nothing of the rest of the page.
+_TEXT = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "figcaption"))
+_SENTENCE = frozenset(".!?:;\"'»”…)")
+_HEADS = frozenset(("p", "div", "h1", "h2", "h3", "h4", "h5", "h6"))
+
+
 class Block(NamedTuple):
     text: str
     features: list[int]
@@ -94,7 +105,7 @@ def _own(tag: str, attrs: str, seen: dict) -> tuple[int, int]:
         beside = families - {"content", "head"}
         if beside:
             kind = _BESIDE
-        elif not kind and families:
+        elif not kind and families and tag not in _TEXT:
             kind = _HEAD if "head" in families else _CONTENT
         if _HIDDEN.search(_VALUES.sub("", attrs)) or _UNSEEN.search(attrs):
             bits |= 1 << AT["hidden"]
@@ -103,28 +114,71 @@ def _own(tag: str, attrs: str, seen: dict) -> tuple[int, int]:
     return bits, kind
 
 
-def _below(parent: tuple, tag: str, number: int, bits: int, kind: int) -> tuple:
-    """An element on the stack: tag, features of it and its ancestors, number, place, and its own
-    features and kind."""
-    return tag, parent[1] | bits, number, _ENTER[kind][parent[3]] if kind else parent[3], bits, kind
+def _below(parent: tuple, tag: str, part: int, bits: int, kind: int) -> tuple:
+    """An element on the stack: tag, features of it and its ancestors, the part of the page that it is
+    in or is, place, and its own features and kind."""
+    return tag, parent[1] | bits, part, _ENTER[kind][parent[3]] if kind else parent[3], bits, kind
 
 
 def _without_form(stack: list[tuple]) -> list[tuple]:
     """The stack as if its forms were plain: one that holds the article is the page's own."""
     out = [stack[0]]
-    for tag, _, number, _, bits, kind in stack[1:]:
-        out.append(_below(out[-1], tag, number, *((0, 0) if tag == "form" else (bits, kind))))
+    for tag, _, part, _, bits, kind in stack[1:]:
+        out.append(_below(out[-1], tag, part, *((0, 0) if tag == "form" else (bits, kind))))
     return out
 
 
+def _bulk(up: list[int], found: list[tuple]) -> list[bool]:
+    """For each part of a page (up: the part around it) whether it is in the bulk: the part with the
+    most text that is no link and in nothing beside the content. Of what a part has, the part around
+    it counts a share, so that a few parts of like size count as one."""
+    mass = [0.0] * len(up)
+    for text, bits, _, links, place, part in found:
+        if place in (0, 1, 5) and not bits >> AT["hidden"] & 1:
+            mass[part] += max(0, len(text) - links)
+    for part in range(len(up) - 1, 0, -1):
+        mass[up[part]] += _PASSED_UP * mass[part]
+    most = mass.index(max(mass))
+    inside = [False] * len(up)
+    for part in range(len(up)):
+        inside[part] = part == most or part > 0 and inside[up[part]]
+    return inside
+
+
+def _lines(up: list[int], found: list[tuple]) -> set[int]:
+    """The places of short lines, each alone in its div, that stand beside paragraphs and are not the
+    first there."""
+    blocks_of, paragraphs, begun, out = Counter(f[5] for f in found), {f[5] for f in found if f[2] == "p"}, set(), set()
+    for i, (text, _, tag, _, _, part) in enumerate(found):
+        if tag == "div" and len(text) < 80 and text[-1] not in _SENTENCE and blocks_of[part] == 1 and up[part] in paragraphs and up[part] in begun:
+            out.add(i)
+        begun.add(part)
+    return out
+
+
+def _tail(kept: list[int], found: list[tuple]) -> range:
+    """The places in `kept` (the blocks of the content) of a list of links that ends it and of the short
+    line above that: an article comes before, so it leads on to others."""
+    first = len(kept)
+    while first and found[kept[first - 1]][3] > 0.9 * len(found[kept[first - 1]][0]):
+        first -= 1
+    if len(kept) - first < 2 or first < 2:
+        return range(0)
+    head = found[kept[first - 1]]
+    if len(head[0]) >= 80 or head[0][-1] in _SENTENCE or head[2] not in _HEADS or not any(found[i][0][-1] in _SENTENCE for i in kept[: first - 1]):
+        return range(0)
+    return range(first - 1, len(kept))
+
+
 def blocks(page: str, seen: dict | None = None) -> list[Block]:
     """The leaf blocks in page order: runs of text that no block-level tag breaks, character
     references decoded, white space turned into one space, trimmed; empty ones left out."""
     seen = {} if seen is None else seen
     stack: list[tuple] = [("body", 0, 0, 0, 0, 0)]
-    found: list[tuple[str, int, str, int, int]] = []
+    found: list[tuple[str, int, str, int, int, int]] = []
+    up = [0]  # of each part of the page the part around it
     parts: list[str] = []
-    linked = link_chars = number = 0
+    linked = link_chars = 0
     # the open elements of HIDING: tag, and what was read before each
     hiding: list[tuple[str, int, list, list, int, int]] = []
 
@@ -134,8 +188,8 @@ def blocks(page: str, seen: dict | None = None) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                tag, bits, _, place = stack[-1][:4]
-                found.append((text, bits, tag, link_chars, place))
+                tag, bits, part, place = stack[-1][:4]
+                found.append((text, bits, tag, link_chars, place, part))
         link_chars = 0
 
     at, n = 0, len(page)
@@ -215,19 +269,28 @@ def blocks(page: str, seen: dict | None = None) -> list[Block]:
         if tag not in VOID:
             if tag in ("article", "main", "h1") and stack[-1][1] & _ANCESTOR_BIT["form"]:
                 stack[:] = _without_form(stack)
-            number += 1
-            stack.append(_below(stack[-1], tag, number, *_own(tag, attrs, seen)))
+            part = stack[-1][2]
+            if tag in PARTS:
+                up.append(part)
+                part = len(up) - 1
+            stack.append(_below(stack[-1], tag, part, *_own(tag, attrs, seen)))
     flush()
 
-    # a page that marks its article says of the rest that it is none
-    inside = [place in (1, 4, 5) and (2 if bits & _LANDMARK else 1) for _, bits, _, _, place in found]
+    lines = _lines(up, found)
+    # a page that marks its article says of the rest that it is none; a line is no article
+    inside = [i not in lines and place in (1, 4, 5) and (2 if bits & _LANDMARK else 1) for i, (_, bits, _, _, place, _) in enumerate(found)]
     marked = max(inside, default=0)
+    bulk = _bulk(up, found)
+    kept = [i for i, f in enumerate(found) if (f[4] in (1, 5) and inside[i] == marked if marked else not f[4] and bulk[f[5]])]
+    tail = {kept[at] for at in _tail(kept, found)}
     out = []
     parents: list[int] = []
-    for i, (text, bits, tag, links, place) in enumerate(found):
+    for i, (text, bits, tag, links, place, part) in enumerate(found):
         f = [AT["always"], _TAG.get(tag, AT["tag_other"]), AT["place_nowhere"] + place]
         if not marked:
             f.append(AT["no_content"])
+            if not bulk[part]:
+                f.append(AT["outside_bulk"])
         elif inside[i] < marked:
             f.append(AT["outside_landmark"] if marked == 2 else AT["outside_content"])
         if place == 5 and bits & _LANDMARK:
@@ -242,12 +305,16 @@ def blocks(page: str, seen: dict | None = None) -> list[Block]:
         f.append(AT["links_none"] if not links else AT["links_most"] if links > 0.5 * size else AT["links_some"])
         if links > 0.9 * size:
             f.append(AT["link_alone"])
-        if text[-1] in ".!?:;\"'»”…)":
+        if text[-1] in _SENTENCE:
             f.append(AT["ends_sentence"])
         if ". " in text:
             f.append(AT["sentences"])
         if "©" in text or "all rights reserved" in text.lower():
             f.append(AT["sign_copyright"])
+        if i in tail:
+            f.append(AT["tail_links"])
+        if i in lines:
+            f.append(AT["line_between"])
         if i == 0:
             f.append(AT["first"])
         if i == len(found) - 1:

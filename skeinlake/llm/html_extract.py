@@ -47,6 +47,11 @@ class _Writer:
     def named(self, *names: str) -> str:
         return f'{self.pick(("class", "class", "id"))}="{self.pick(names)}"'
 
+    def neutral(self) -> str:
+        """A name that says nothing, or none."""
+        said = self.pick(("top", "col1", "col2", "left", "right", "bot", "c1", "box", "wrap", "row", "panel", "inner", "upper", "lower", self.word(), self.word()))
+        return self.pick(("", f' class="{said}"', f' id="{said}"', f' id="{said}"'))
+
     # ---- what is not the article
     def nav(self) -> str:
         return self.pick([
@@ -129,6 +134,41 @@ class _Writer:
             lambda: f'<div class="author-bio"><h4>{self.words(2, 3)}</h4><p>{self.para(3)}</p></div>', self.byline, lambda: f'<p class="tags">{self.link()}, {self.link()}</p>',
         ])()
 
+    def line(self) -> str:
+        """A line between the paragraphs that is none of them."""
+        name = self.pick((self.neutral(), ' class="entry-utility"', ' class="post-info"'))
+        return f"<div{name}>{self.words(1, 4).capitalize()}{self.pick(('', '', ' ' + self.link(1, 1)))}</div>"
+
+    def leading_on(self) -> str:
+        """The end of an article: links to others under a short line."""
+        head = self.pick(("<h2>{}</h2>", "<h3>{}</h3>", "<h4>{}</h4>", "<p><b>{}</b></p>", "<p>{}</p>", "<div>{}</div>")).format(self.words(1, 3).capitalize())
+        return head + self.links()
+
+    def unnamed_page(self) -> str:
+        """The body of a page whose names say nothing: place, size and links tell the article."""
+        site, cell = self.words(1, 3).title(), self.chance(0.25)
+        top = self.pick((site, f'<a href="/">{site}</a>', f"<h1>{site}</h1><p>{self.words(3, 8)}</p>", f"<h1>{site}</h1>", f"<p>{site}</p>"))
+        menu = self.pick((self.links(), self.pick((" ", " | ", "<br>")).join(self.link(1, 2) for _ in range(self.r.randint(2, 7)))))
+        side = self.pick((f"<h3>{self.words(1, 3)}</h3>{self.links()}", f"<h3>{self.words(1, 3)}</h3><p>{self.sentence()}</p>", f"<h2>{self.words(1, 2)}</h2>{self.link()} {self.link()}"))
+        foot = self.pick((f"{site}, {self.words(2, 7)}", f"<p>{self.words(2, 9)}</p>", f"&copy; {site}", f"<p>{self.sentence()}</p>{self.link()} {self.link()}", f"{site} {self.words(1, 3)} {self.r.randint(1950, 2024)}"))
+        text = "".join(f"<p>{_MARK}{self.para(6)} {self.sentence()}</p>" + (self.block() if self.chance(0.5) else "") for _ in range(self.r.randint(2, 5)))
+        head = f"<h{(k := self.pick('112'))}>{_MARK}{self.words(1, 7).capitalize()}</h{k}>" if self.chance(0.8) else ""
+        main = head + (self.line() if head and self.chance(0.2) else "") + text + (self.leading_on() if self.chance(0.15) else "")
+        if cell:
+            row = f"<td>{menu}</td><td>{main}</td>" + (f"<td>{side}</td>" if self.chance(0.3) else "")
+            return f"<table><tr><td colspan=2>{top}</td></tr><tr>{row}</tr><tr><td colspan=2>{foot}</td></tr></table>"
+        held = [f"<div{self.neutral()}>{x}</div>" for x in (top, menu, main, side, foot)]
+        if self.chance(0.2):
+            held[2] = f"<div{self.neutral()}>{held[2]}</div>"
+        if self.chance(0.5):
+            del held[3]
+        elif self.chance(0.5):
+            held[2], held[3] = held[3], held[2]
+        if self.chance(0.3):
+            del held[self.pick((0, 1))]
+        inner = "".join(held)
+        return f"<div{self.neutral()}>{inner}</div>" if self.chance(0.4) else inner
+
     # ---- the article
     def block(self) -> str:
         x = self.r.random()
@@ -139,7 +179,7 @@ class _Writer:
             lambda: f"<p>{_MARK}{self.sentence()} {self.link()} {self.para(3)}</p>", lambda: f"<p><b>{_MARK}{self.words(1, 9)}<br>", lambda: f"<div>{_MARK}{self.para(5)}</div>",
             lambda: (lambda k: f"<h{k}>{_MARK}{self.words(1, 7)}</h{k}>")(self.pick("234")), lambda: f"<h{self.pick('2234')}>{_MARK}{self.words(1, 7)}</h2>",
             lambda: self.pick(("<ul>", "<ol>")) + self.some(lambda: f"<li>{_MARK}{self.words(2, 14)}</li>", least=2, most=6) + "</ul></ol>",
-            lambda: "<ul>" + self.some(lambda: f"<li>{_MARK}{self.link(1, 6)}{self.pick(('', ' ' + self.words(2, 9)))}</li>", most=5) + "</ul>",
+            lambda: f"<p>{_MARK}{self.words(3, 14).capitalize()}:</p><ul>" + self.some(lambda: f"<li>{_MARK}{self.link(1, 6)}{self.pick(('', ' ' + self.words(2, 9)))}</li>", most=5) + "</ul>",
             lambda: f"<blockquote><p>{_MARK}{self.para(3)}</p></blockquote>", lambda: f"<pre>{_MARK}{self.words(3, 20)}</pre>", lambda: f"<dl><dt>{_MARK}{self.word()}<dd>{_MARK}{self.sentence()}</dl>",
             lambda: "<table>" + self.some(lambda: f"<tr><td>{_MARK}{self.words(1, 4)}</td><td>{_MARK}{self.words(1, 4)}</td></tr>") + "</table>",
             lambda: f"<figure><img src=x><figcaption>{_MARK}{self.words(2, 9)}{self.pick('. ')}</figcaption></figure>",
@@ -147,7 +187,7 @@ class _Writer:
         ])()
 
     def interruption(self) -> str:
-        return self.pick((self.advert, self.aside, self.aside, self.share, self.notice, self.form, self.nav, self.unseen))()
+        return self.pick((self.advert, self.aside, self.aside, self.share, self.notice, self.form, self.nav, self.unseen, self.line))()
 
     def title(self) -> str:
         h1 = f"<h1{self.pick(('', '', ' class=entry-title', ' class=page-title'))}>{_MARK}{self.words(1, 9).capitalize()}{self.pick(('', '', '.', '?'))}</h1>"
@@ -166,6 +206,8 @@ class _Writer:
         if self.chance(0.3):
             # something beside the article, then its last paragraph
             out += [self.interruption(), f"<p>{_MARK}{self.para(4)}</p>"]
+        if self.chance(0.12):
+            out += [f"<p>{_MARK}{self.para(4)}</p>", self.leading_on()]
         return "".join(out)
 
     def container(self, inner: str) -> str:
@@ -197,11 +239,13 @@ class _Writer:
         if self.chance(0.3):
             open_ = self.pick((f'<div id="{self.pick(("page", "wrapper", "container", "main-wrapper"))}">', '<div class="layout has-sidebar">', "<form id=aspnetForm method=post>", '<div class="row">'))
             inner = f"{open_}{inner}</{open_[1:].split()[0]}>"
+        if i % 6 == 2:
+            inner = self.unnamed_page()
         body = self.pick(("<body>", "<body>", "<body class='page with-sidebar no-comments'>"))
         return f"<!DOCTYPE html><html><head><title>{self.words(1, 5)}</title><script>var a='<p>';</script></head>{body}{inner}" + self.pick(("</body></html>", ""))
 
 
-def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 900, seed: int = 5) -> list[str]:
     """Training pages, made here: layouts of many kinds, the text of the article marked by a
     private character at the front of each of its blocks."""
     w = _Writer(seed)
@@ -310,7 +354,9 @@ def extract_main_text(pages: DataFrame, chain: Chain | None = None, page_id: str
     character references decoded, white space inside a block one space. Null, empty or blank html
     and pages without an article: the empty text. Nothing is cut however long the page. Formulas
     (math) are text of their sentence; drawings (svg), players, templates, choice lists, scripts and
-    styles are no text of the page. A byline is not article, a heading in the article's header is. Repeated
+    styles are no text of the page. Where no name and no element tells the article, the part with the
+    bulk of the text that is no link does; links that end an article under a short line, and short
+    lines that stand in a div of their own after others, are not article. A byline is not article, a heading in the article's header is. Repeated
     rows are all kept, null ids and addresses pass through, extra columns are ignored; an empty
     table gives an empty one. The chain (by default trained on labelled_pages()) goes to the
     workers: about a hundred numbers.

@@ -106,6 +106,54 @@ LAYOUTS = {
         "<nav>x</nav><article><h1>A &amp; B<p>One &lt;tag&gt; here, caf&eacute; &#8212; fine.<p>Two\n\n  <b>bold<br>words.<script>no()</script></article>",
         ["A & B", "One <tag> here, café — fine.", "Two bold words."],
     ),
+    "names that say nothing": (
+        '<body><div id="top">Harbour Weekly</div><div id="col1"><a href=1>One</a> <a href=2>Two</a></div><div id="col2"><h1>The old crane</h1><p>The crane at the harbour is to be taken down this summer.</p><p>It was built in 1911 and has not moved since the war.</p></div><div id="bot">Harbour Weekly, Pier 3, all enquiries by post</div></body>',
+        ["The old crane", "The crane at the harbour is to be taken down this summer.", "It was built in 1911 and has not moved since the war."],
+    ),
+    "numbered parts": (
+        '<body><div class="x1"><a href="/">Kite club</a></div><div class="x2"><ul><li><a href=1>Events</a></li><li><a href=2>Members</a></li><li><a href=3>Shop</a></li></ul></div><div class="x3"><h2>How to fly in light wind</h2><p>Choose a large kite with a short tail. Walk backwards slowly and let out line.</p><p>When the wind picks up, stop walking.</p><ul><li>Never fly near power lines</li><li>Wear gloves</li></ul></div><div class="x4">Kite club since 1987</div></body>',
+        ["How to fly in light wind", "Choose a large kite with a short tail. Walk backwards slowly and let out line.", "When the wind picks up, stop walking.", "Never fly near power lines", "Wear gloves"],
+    ),
+    "a table whose cells have no names": (
+        '<table><tr><td width=120><a href=1>Home</a><br><a href=2>Maps</a><br><a href=3>Guest rooms</a></td><td><h1>Walking to the lake</h1><p>The path begins behind the church and climbs through the wood for an hour.</p><p>Take water with you, as there is none on the way.</p></td></tr><tr><td colspan=2>Tourist office, Main street 4</td></tr></table>',
+        ["Walking to the lake", "The path begins behind the church and climbs through the wood for an hour.", "Take water with you, as there is none on the way."],
+    ),
+    "a line under the text": (
+        '<div class="article"><h1>Ferry delayed</h1><p>The evening ferry was two hours late on Friday because of fog.</p><div class="entry-utility">Filed under News</div></div>',
+        ["Ferry delayed", "The evening ferry was two hours late on Friday because of fog."],
+    ),
+    "lines under the title and the text": (
+        '<article><h1>Ferry delayed</h1><div class="k9">News desk, 4 May</div><p>The evening ferry was two hours late on Friday because of fog.</p><p>Nobody was hurt.</p><div class="k7">Filed under News</div></article>',
+        ["Ferry delayed", "The evening ferry was two hours late on Friday because of fog.", "Nobody was hurt."],
+    ),
+    "links to other articles at the end": (
+        '<div class="article"><h1>Bees return</h1><p>The hives on the roof of the town hall are full again after the winter.</p><p>The keeper expects ten jars of honey.</p><h3>Related stories</h3><ul><li><a href=1>Wasps in the attic</a></li><li><a href=2>Ants on the march</a></li></ul></div>',
+        ["Bees return", "The hives on the roof of the town hall are full again after the winter.", "The keeper expects ten jars of honey."],
+    ),
+    "links under a bold line at the end": (
+        '<nav><a href=/>Home</a></nav><article><h1>Bees return</h1><p>The hives are full again.</p><h2>What they eat</h2><p>Clover, lime and sycamore.</p><p><b>Read next</b></p><ul><li><a href=1>Wasps in the attic</a></li><li><a href=2>Ants on the march</a></li><li><a href=3>Flies</a></li></ul></article><footer>Town news</footer>',
+        ["Bees return", "The hives are full again.", "What they eat", "Clover, lime and sycamore."],
+    ),
+    "a list of links that is the article": (
+        '<div class="q"><h1>Sources</h1><p>This list names the books that were used for the course, by year:</p><ul><li><a href=1>Maps of 1820</a></li><li><a href=2>Letters of 1830</a></li></ul></div>',
+        ["Sources", "This list names the books that were used for the course, by year:", "Maps of 1820", "Letters of 1830"],
+    ),
+    "two columns, text on the left": (
+        '<div id="p"><div id="p1"><a href="/">Garden notes</a></div><div id="p2"><h2>Pruning roses</h2><p>Cut above a bud that points outwards, with a slope away from it.</p><p>Old wood goes first. Burn what is diseased.</p></div><div id="p3"><h3>Older notes</h3><ul><li><a href=1>Mulch</a></li><li><a href=2>Slugs</a></li></ul></div><div id="p4">Garden notes 2011</div></div>',
+        ["Pruning roses", "Cut above a bud that points outwards, with a slope away from it.", "Old wood goes first. Burn what is diseased."],
+    ),
+    "a title in a div of its own": (
+        '<div class="r1"><a href=1>Start</a> | <a href=2>Archive</a></div><div class="r2"><div class="r3">The night train</div><p>It leaves at ten and arrives before breakfast, if all goes well.</p><p>The beds are short. Bring earplugs, or a good book.</p></div>',
+        ["The night train", "It leaves at ten and arrives before breakfast, if all goes well.", "The beds are short. Bring earplugs, or a good book."],
+    ),
+    "two sections without names": (
+        '<div><a href=/>Chess club</a></div><div><section><h2>Openings</h2><p>The first moves decide who holds the middle of the board.</p></section><section><h2>Endings</h2><p>With few pieces left the king comes out and fights.</p></section></div><div>Chess club, room 12</div>',
+        ["Openings", "The first moves decide who holds the middle of the board.", "Endings", "With few pieces left the king comes out and fights."],
+    ),
+    "a link list in the middle": (
+        '<article><h1>Tools</h1><p>You need three of them, all of which are sold online:</p><ul><li><a href=1>A saw</a></li><li><a href=2>A plane</a></li></ul><p>Sharpen both before use.</p></article>',
+        ["Tools", "You need three of them, all of which are sold online:", "A saw", "A plane", "Sharpen both before use."],
+    ),
     "nothing but a menu": ("<nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav><footer>&copy; us</footer>", []),
 }
 
@@ -116,6 +164,12 @@ def test_text_of_hand_written_pages(name):
     assert main_text(page, default_chain()) == "\n\n".join(want)
 
 
+def test_deep_nesting_takes_time_in_proportion():
+    deep = "<div>a b c. " * 20_000
+    assert len(html_blocks.blocks(deep)) == 20_000
+    assert "The end." in main_text(f"<article><p>First words here.</p>{'<div>' * 20_000}<p>The end.</p></article>", default_chain())
+
+
 def test_chain_on_other_pages_of_the_generator():
     wrong = total = 0
     for p in html_extract.labelled_pages(200, seed=77):
