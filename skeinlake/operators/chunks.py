@@ -113,6 +113,12 @@ def disambiguate(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_again", again).withColumn("id", F.when(F.col("_again"), F.concat("id", F.lit("#L"), F.col("start_line").cast("string"))).otherwise(F.col("id"))).drop("_again")
 
 
+def in_order(chunks: DataFrame) -> DataFrame:
+    """chunks with `place`: of each file by first line, its module before others, then by id; from 0."""
+    order = [F.col("start_line"), F.col("chunk_type") != "module", F.col("id")]
+    return chunks.withColumn("place", F.row_number().over(Window.partitionBy("file_path").orderBy(*order)) - 1)
+
+
 def line_chunk_ids(windows: DataFrame, raw_hash: Column) -> DataFrame:
     """Ids of window chunks: path, lines and twelve digits of the file's hash."""
     digits = F.substring(F.substring_index(raw_hash, ":", -1), 1, 12)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..schema import LEDGER, SESSIONS, EngineError
+from ..schema import IDLE_NOTICE, LEDGER, SESSIONS, EngineError
 from .graph import implements_edges, valid_edges
 
 
@@ -140,6 +140,14 @@ def reap_idle(sessions: DataFrame, turns: DataFrame, now: Column, minutes: int =
     return both.withColumn("status", F.when((F.col("status") == "active") & stale, "idle").otherwise(F.col("status"))).select(*sessions.columns)
 
 
+def idle_notices(sessions: DataFrame, turns: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """The turns (as TURNS) that say of each session that reap_idle puts to rest that it is idle now: after
+    its last turn, or its first where it has none."""
+    rested = reap_idle(sessions, turns, now, minutes).where("status = 'idle'").join(sessions.where("status = 'active'").select("id"), "id", "left_semi")
+    at = rested.select(F.col("id").alias("session_id")).join(next_turn(turns), "session_id", "left")
+    return at.select("session_id", F.coalesce("turn_index", F.lit(0)).cast("int").alias("turn_index"), F.lit("system").alias("role"), F.lit(IDLE_NOTICE).alias("content"), now.alias("ts"))
+
+
 def madr_id(seq: Column) -> Column:
     return F.format_string("MADR-%03d", seq)
 

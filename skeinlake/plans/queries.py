@@ -366,6 +366,20 @@ def q_graph_insert_delete(spark: SparkSession, sf: str) -> DataFrame:
     return G.GraphStore(edges).insert(edges).delete(gone).edges
 
 
+@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges),
+w(n, d) AS (SELECT 'nation3', 0 UNION SELECT b.b, w.d + 1 FROM w JOIN b ON b.a = w.n WHERE w.d < 6),
+m AS (SELECT n, min(d) AS d FROM w WHERE n <> 'nation3' GROUP BY n), t AS (SELECT n, d FROM m ORDER BY d, n LIMIT 50)
+SELECT n AS id, CAST(d AS BIGINT) AS depth, row_number() OVER (ORDER BY d, n) AS rank FROM t JOIN customer ON n = 'customer' || c_custkey WHERE c_acctbal >= 0""")
+def q_graph_investigate(spark: SparkSession, sf: str) -> DataFrame:
+    """Only customers are chunks, and those in debt are deleted: others drop out after the cut and the ranks close up."""
+    held = table(spark, sf, "customer").select(
+        F.concat(F.lit("customer"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("file_path"), F.lit("module").alias("chunk_type"), F.col("c_name").alias("content"),
+        F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), (F.col("c_acctbal") < 0).alias("is_deleted"),
+    )
+    found, _ = S.investigate(held, chunk_vectors(spark, sf), hierarchy(spark, sf), "nation3", "structural")
+    return found.select("id", *_long("depth", "rank"))
+
+
 # ---- health and clean-up ------------------------------------------------------------------------
 @query(f"""WITH {CH} SELECT count(*) AS total_chunks, count(DISTINCT file_path) AS total_files, count(*) FILTER (WHERE length(content) < 100) AS short_chunks,
 count(*) FILTER (WHERE chunk_type = 'module') AS module_chunks, CAST(trunc(avg(length(content))) AS BIGINT) AS avg_chars FROM chunks WHERE NOT is_deleted""")
@@ -401,6 +415,16 @@ def q_gc_expired(spark: SparkSession, sf: str) -> DataFrame:
     return H.collect_garbage(log, 15, F.lit(NOW).cast("timestamp"))[1]
 
 
+@query(f"""WITH {CH}, p AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'node_modules' ELSE split_part(file_path, '/', 1) END AS prefix FROM chunks WHERE NOT is_deleted),
+t AS (SELECT prefix, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, prefix LIMIT 5), o AS (SELECT count(*) AS t, 100.0 * count(*) FILTER (WHERE length(content) < 100) / count(*) AS s FROM p)
+SELECT prefix, n, prefix = 'node_modules' AS suspicious, CASE WHEN s > 30 OR (SELECT bool_or(prefix = 'node_modules') FROM t) THEN 'DEGRADED' WHEN s >= 15 THEN 'WARN' ELSE 'HEALTHY' END AS verdict FROM t, o""")
+def q_health_suspicious(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the chunks lies in a folder that should not be indexed."""
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("node_modules/"), "file_path")).otherwise(F.col("file_path"))
+    found = H.report(chunks(spark, sf).withColumn("file_path", path)).select("verdict", F.explode("prefixes").alias("p"))
+    return found.select("p.prefix", "p.n", X.is_suspicious(F.col("p.prefix")).alias("suspicious"), "verdict")
+
+
 # ---- merge --------------------------------------------------------------------------------------
 def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     old = chunks(spark, sf).withColumns({"deleted_at": F.lit(None).cast("timestamp"), "content_hash": F.sha2("content", 256)})
@@ -435,6 +459,33 @@ def q_merge_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("id", "file_path", "content_hash", "is_deleted", "deleted_at")
 
 
+@query(f"""WITH {_VERSIONS}, v AS (SELECT coalesce(c.id, 'none/' || e.vec_id) AS id, e.embedding FROM embeddings e LEFT JOIN chunks c ON c.doc_id = e.vec_id),
+kept AS (SELECT id FROM next), made AS (SELECT n.id, e.embedding FROM next n JOIN embeddings e ON e.vec_id = (n.doc_id + 1))
+SELECT id, embedding[1] AS first, true AS has_vector FROM made UNION ALL
+SELECT v.id, v.embedding[1], true FROM v JOIN kept USING (id) WHERE v.id NOT IN (SELECT id FROM made) UNION ALL
+SELECT id, NULL, false FROM kept WHERE id NOT IN (SELECT id FROM made) AND id NOT IN (SELECT id FROM v)""")
+def q_merge_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors after a merge: those of the next vector's document in place of the old, none of dead
+    chunks, and the live chunks that have none."""
+    old, new = _versions(spark, sf)
+    merged = M.merge_chunks(old, new, old.select("file_path"), F.lit(NOW).cast("timestamp"))
+    vectors = table(spark, sf, "embeddings")
+    made = new.select("id", (F.col("doc_id") + 1).alias("vec_id")).join(vectors, "vec_id").select("id", "embedding")
+    width = vectors.select(F.size("embedding")).first()[0]
+    after = M.checked_vectors(merged, M.merge_vectors(chunk_vectors(spark, sf), made, merged), width)
+    lacking = M.missing_vectors(merged, after)
+    return after.select("id", F.element_at("embedding", 1).alias("first"), F.lit(True).alias("has_vector")).unionByName(lacking.select("id", F.lit(None).cast(after.schema["embedding"].dataType.elementType).alias("first"), F.lit(False).alias("has_vector")))
+
+
+@query("""SELECT 'order' || o_orderkey AS source_id, 'customer' || o_custkey || '::module::default' AS target_id, 'IMPLEMENTS' AS edge_type FROM orders""")
+def q_reset_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """After a reset only the edges of decisions are left; the other tables are empty and keep their columns."""
+    decided = table(spark, sf, "orders").select(F.concat(F.lit("order"), F.col("o_orderkey").cast("string")).alias("id"), F.array(F.concat(F.lit("customer"), F.col("o_custkey").cast("string"))).alias("impacts_files"))
+    after = M.reset({"chunks": chunks(spark, sf), "vectors": chunk_vectors(spark, sf), "edges": hierarchy(spark, sf).unionByName(G.implements_edges(decided))})
+    left = after["chunks"].select("id").union(after["vectors"].select("id")).select(F.col("id").alias("source_id"), F.lit("").alias("target_id"), F.lit("LEFT").alias("edge_type"))
+    return after["edges"].unionByName(left)
+
+
 # ---- chunking -----------------------------------------------------------------------------------
 _LINES = "SELECT source || '/' || doc_id AS file_path, string_split(text, chr(10)) AS l FROM documents"
 
@@ -599,6 +650,17 @@ def q_best_chunk_per_file(spark: SparkSession, sf: str) -> DataFrame:
     return E.best_per_file(rows).select("file_path", "chunk_type", "start_line")
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+c AS (SELECT 'order' || l_orderkey AS file_path, 'order' || l_orderkey || '::' || CASE WHEN p % 2 = 0 THEN 'module' ELSE 'function' END || '::f' || p AS id, p % 2 <> 0 AS later, l_linenumber // 3 AS s FROM l)
+SELECT file_path, id, row_number() OVER (PARTITION BY file_path ORDER BY s, later, id) - 1 AS place FROM (SELECT DISTINCT * FROM c)""")
+def q_chunk_order(spark: SparkSession, sf: str) -> DataFrame:
+    """An order's lines as chunks of a file, three of which start in one line."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    path, kind = F.concat(F.lit("order"), F.col("l_orderkey").cast("string")), F.when(F.col("p") % 2 == 0, "module").otherwise("function")
+    rows = lines.select(path.alias("file_path"), F.concat(path, F.lit("::"), kind, F.lit("::f"), F.col("p").cast("string")).alias("id"), kind.alias("chunk_type"), F.floor(F.col("l_linenumber") / 3).alias("start_line")).distinct()
+    return C.in_order(rows).select("file_path", "id", *_long("place"))
+
+
 # ---- sessions and ledger ------------------------------------------------------------------------
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_index"), "role", F.col("text").alias("content"))
@@ -633,6 +695,54 @@ def q_session_generation(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.select("id", "name", "status", *_long("generation_id"))
 
 
+def user_sessions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every user's session (of three one is closed) and its turns, an event each."""
+    log = table(spark, sf, "events").withColumn("session_id", F.col("user_id").cast("string"))
+    of = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    said = log.select("session_id", (F.row_number().over(of) - 1).cast("int").alias("turn_index"), F.lit("user").alias("role"), F.col("event_type").alias("content"), "ts", "user_id")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    held = said.groupBy(F.col("session_id").alias("id")).agg(F.min("user_id").alias("u")).select(
+        "id", F.concat(F.lit("user"), "id").alias("name"), F.when(F.col("u") % 3 == 0, "decommissioned").otherwise("active").alias("status"), F.lit(1).alias("generation_id"),
+        F.concat(F.lit("secret of "), "id").alias("secret_hash"), start.alias("created_at"), start.alias("updated_at"),
+    )
+    return held, said.drop("user_id")
+
+
+_REAPED = "s AS (SELECT user_id, max(ts) AS newest, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, user_id % 3 <> 0 AND newest < TIMESTAMP '2024-01-30 12:00:00' AS idle FROM s)"
+
+
+@query(f"""WITH {_REAPED} SELECT CAST(user_id AS VARCHAR) AS id, CASE WHEN user_id % 3 = 0 THEN 'decommissioned' WHEN idle THEN 'idle' ELSE 'active' END AS status,
+CASE WHEN idle THEN n END AS notice_turn FROM r""")
+def q_session_reap(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve hours without a turn put a session to rest, and its transcript says so."""
+    held, said = user_sessions(spark, sf)
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    notices = D.idle_notices(held, said, now, 720).select(F.col("session_id").alias("id"), F.col("turn_index").cast("long").alias("notice_turn"))
+    return D.reap_idle(held, said, now, 720).select("id", "status").join(notices, "id", "left")
+
+
+@query("""WITH o AS (SELECT min(user_id) AS first FROM events WHERE user_id % 3 <> 0), s AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS id, CASE WHEN user_id % 3 = 0 OR user_id = first THEN 'decommissioned' ELSE 'active' END AS status,
+user_id <> first AS has_secret, CASE WHEN user_id <> first THEN n END AS turns FROM s, o""")
+def q_session_decommission(spark: SparkSession, sf: str) -> DataFrame:
+    """The first open session is closed: its turns and its secret go, the others keep theirs."""
+    held, said = user_sessions(spark, sf)
+    first = str(held.where("status = 'active'").agg(F.min(F.col("id").cast("long"))).first()[0])
+    held, said = D.decommission(held, said, first, f"secret of {first}", datetime.fromisoformat(NOW), lambda secret, kept: secret == kept)
+    return held.select("id", "status", F.col("secret_hash").isNotNull().alias("has_secret")).join(said.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("turns")), "id", "left")
+
+
+@query("""WITH o AS (SELECT max(conv_id) AS id FROM conversations), a AS (SELECT conv_id, turn, role, text FROM conversations
+UNION ALL SELECT conv_id, max(turn) + 1, 'user', 'and then?' FROM conversations WHERE conv_id = (SELECT id FROM o) GROUP BY 1)
+SELECT conv_id AS session_id, count(*) AS turns, CAST(max(turn) AS BIGINT) AS newest, arg_max(text, turn) AS said FROM a, o WHERE conv_id = o.id GROUP BY 1""")
+def q_transcript_append(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest conversation with one more turn."""
+    said = turns(spark, sf).withColumn("ts", F.lit(NOW).cast("timestamp"))
+    last = said.agg(F.max("session_id")).first()[0]
+    after = D.append_turn(said, last, "user", "and then?", datetime.fromisoformat(NOW))
+    return D.transcript(after, last).groupBy("session_id").agg(F.count("*").alias("turns"), F.max("turn_index").cast("long").alias("newest"), F.max_by("content", "turn_index").alias("said"))
+
+
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
     before = F.lag("id").over(Window.partitionBy("o_custkey").orderBy("seq"))
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), D.madr_id(F.col("o_orderkey")).alias("id"), "o_custkey", F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("title"))

@@ -65,3 +65,6 @@ TABLES = {
     "ledger": LEDGER, "fingerprint": FINGERPRINT, "edges_in": EDGES, "references": REFERENCES, "wanted": WANTED,
     "postings": POSTINGS, "trigrams": TRIGRAMS, "dead_terms": DEAD_TERMS,
 }
+
+#: Fixed value: the content of the turn that tells a session that it is put to rest.
+IDLE_NOTICE = '{"kind":"reaper_notice","text":"Session moved to idle after inactivity."}'

@@ -21,7 +21,7 @@ from ..operators.merge import check_fingerprint, forget_chunks, merge_chunks, me
 from ..operators.references import references, resolve
 from ..operators.search import postings, trigram_postings
 from ..plans.tables import scratch, settled
-from ..schema import VERSION, ConflictError, EngineError
+from ..schema import VERSION, ConflictError, EngineError, IDLE_NOTICE
 from ..sources.keywords import merge_segments, segments
 from ..sources.snapshots import SnapshotStore
 from ..sources.tree import changed_candidates, confirmed_changes, read_contents, refreshed_cache, scan_tree, under, vanished_files
@@ -322,10 +322,6 @@ def stream_sessions(events: DataFrame, sink: Callable[[DataFrame, int], None], c
     return session_windows(events, ttl, late).writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: What a session is told when it is put to rest.
-IDLE_NOTICE = '{"kind":"reaper_notice","text":"Session moved to idle after inactivity."}'
-
-
 def reap_stream(turns: DataFrame, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
     """session_id, status, role, content, ts: each session of a stream of turns (session_id, ts) once, when
     the watermark has passed its newest turn by `minutes`: its new status and the turn that says so. A

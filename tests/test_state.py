@@ -94,6 +94,9 @@ def test_sessions(spark):
     assert [r.turn_index for r in D.transcript(t, "s1").collect()] == [0, 1]
     assert [r[0] for r in D.transcript(t, "s1").select(D.turn_text(F.col("content"))).collect()] == ["hi", "yo"]
     idle = D.reap_idle(s, t, F.lit(NOW + timedelta(minutes=31)))
+    told = D.idle_notices(s, t, F.lit(NOW + timedelta(minutes=31))).collect()
+    assert [(x.session_id, x.turn_index, x.role, x.content) for x in told] == [("s1", 2, "system", schema.IDLE_NOTICE)]
+    assert D.idle_notices(s, t, F.lit(NOW + timedelta(minutes=29))).isEmpty() and D.idle_notices(idle, t, F.lit(NOW + timedelta(minutes=31))).isEmpty()
     assert idle.first().status == "idle" and D.spawn(idle, "n", "s9", NOW)[1:] == ("s1", "reactivated")
     with pytest.raises(schema.EngineError, match="DECOMMISSION_DENIED"):
         D.decommission(s, t, "s1", "wrong", NOW)
