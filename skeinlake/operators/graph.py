@@ -7,7 +7,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..plans.tables import settled
+from ..plans.tables import apart, settled
 
 if TYPE_CHECKING:
     from ..sources.snapshots import SnapshotStore
@@ -30,6 +30,7 @@ def valid_edges(edges: DataFrame, *nodes: DataFrame) -> DataFrame:
     ids = nodes[0].select("id")
     for n in nodes[1:]:
         ids = ids.union(n.select("id"))
+    ids = apart(ids)
     ends = edges.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi")
     return ends.join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(*edges.columns)
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..plans.tables import settled
+from ..plans.tables import apart, settled
 from . import scanners as S
 
 _NAMES = r"(?P<names>[^;'\"]*?)"
@@ -120,27 +120,29 @@ def resolve(found: DataFrame, passing: DataFrame, chunks: DataFrame) -> DataFram
     name (passing: references with passed_on), and so on, step by step, to its definition; no place
     is looked at twice, so circles end. A name that is nowhere gives no edge."""
     modules = chunks.where("chunk_type = 'module'").select(F.col("file_path").alias("target_path")).distinct()
+    modules = apart(modules)
 
     def meant(rows: DataFrame) -> DataFrame:
         tries = rows.select("targets").distinct().select("targets", F.posexplode("targets").alias("place", "target_path"))
         first = tries.join(modules, "target_path").groupBy("targets").agg(F.min_by("target_path", "place").alias("target_path"))
-        return rows.join(first, "targets").drop("targets")
+        return rows.join(apart(first), "targets").drop("targets")
 
     key = ["source_id", "edge_type", "target_path", "name"]
     rows = settled(meant(found.where("edge_type <> 'ALIAS'").select("source_id", "targets", "name", "edge_type").distinct()))
     out = rows.where("name = ''").select("source_id", F.concat("target_path", F.lit("::module::default")).alias("target_id"), "edge_type")
     named = chunks.where(F.col("chunk_type").isin(*_NAMED)).select(F.col("file_path").alias("target_path"), F.regexp_extract("id", r"::([^:]+)$", 1).alias("name"), F.col("id").alias("target_id"))
+    named = apart(named)
     on = passing.where("passed_on is not null").select(F.col("file_path").alias("at"), "passed_on", "targets", F.col("name").alias("next")).distinct()
-    on = settled(meant(on).withColumnRenamed("target_path", "to"))
+    on = apart(settled(meant(on).withColumnRenamed("target_path", "to")))
     waiting = seen = rows.where("name <> ''").select(*key)
     while True:
         hits = settled(waiting.join(named, ["target_path", "name"]).select(*key, "target_id"))
         out = out.union(hits.select("source_id", "target_id", "edge_type"))
-        left = waiting.join(hits.select(*key).distinct(), key, "left_anti")
+        left = waiting.join(apart(hits.select(*key).distinct()), key, "left_anti")
         fits = (F.col("target_path") == F.col("at")) & ((F.col("passed_on") == F.col("name")) | ((F.col("passed_on") == "*") & (F.col("name") != "default")))
         step = left.join(on, fits).select("source_id", "edge_type", F.col("to").alias("target_path"), F.when(F.col("passed_on") == "*", F.col("name")).otherwise(F.col("next")).alias("name"))
         n = Observation()
-        waiting = settled(step.distinct().join(seen, key, "left_anti").observe(n, F.count("*").alias("n")))
+        waiting = settled(step.distinct().join(apart(seen), key, "left_anti").observe(n, F.count("*").alias("n")))
         if not n.get["n"]:
             break
         seen = seen.union(waiting)
@@ -151,8 +153,8 @@ def extract_edges(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """source_id, target_id, edge_type of the scripts in files (file_path, content) to chunks that exist,
     the files taken for all there are: a narrow pass over them, then joins (see resolve). Repeated files
     give the same edges once."""
-    found = settled(references(files))
-    return resolve(found, found, chunks)
+    found, held = settled(references(files)), settled(chunks.select("id", "file_path", "chunk_type"))
+    return resolve(found, found, held)
 
 
 _SURFACE = {

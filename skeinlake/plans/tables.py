@@ -67,6 +67,12 @@ def settled(df: DataFrame, compression: str = "zstd", by: str | None = None) ->
     return out
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df as a side of joins that are never broadcast: paths and ids compress so well that the size of
+    their files says little of what they would take in the driver's memory."""
+    return df.hint("merge")
+
+
 def forget(df: DataFrame) -> None:
     """Delete what settled() wrote for df, which must not be read again; other tables are left alone."""
     path = getattr(df, "_settled_at", None)

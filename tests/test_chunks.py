@@ -3,6 +3,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from skeinlake.operators import chunks as C
+from skeinlake.operators import graph as G
 from skeinlake.operators import references as R
 from skeinlake.operators import scanners as S
 
@@ -134,3 +135,15 @@ def test_surfaces(spark):
     assert got["a.ts"] == ("export function f(a: string): void { ... }\n\nexport type T = number;", "declarations")
     assert got["b.py"] == ("class A { ... }\n\ndef m(self, x) { ... }", "signatures")
     assert got["c.txt"] == ("", "unsupported")
+
+
+def test_edges_send_no_table_to_the_driver(spark):
+    """Paths compress to nothing, so that sizes of files would have let Spark broadcast whole tables."""
+    files = [(f"s{i}/a.ts", 'import { f } from "./b";\nexport { f } from "./b";\nf();\n') for i in range(50)] + [(f"s{i}/b.ts", "export function f() {}\n") for i in range(50)]
+    df = spark.createDataFrame(files, "file_path string, content string")
+    found = R.extract_edges(df, C.chunk_files(df))
+    assert found.count() == 150
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    ids = df.select(df.file_path.alias("id"))
+    edges = df.select(df.file_path.alias("source_id"), df.file_path.alias("target_id"))
+    assert "BroadcastHashJoin" not in G.valid_edges(edges, ids)._jdf.queryExecution().executedPlan().toString()
