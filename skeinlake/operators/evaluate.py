@@ -20,12 +20,18 @@ def per_query(queries: DataFrame, results: DataFrame) -> DataFrame:
     Labels are joined to results by (query, chunk): a semi-join-like lookup, not a scan of arrays."""
     labels = queries.select("query_id", F.explode("relevant_chunks").alias("chunk_id")).distinct().withColumn("hit", F.lit(True))
     judged = results.join(labels, ["query_id", "chunk_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return judge(queries.select("query_id", "difficulty", F.size(F.array_distinct("relevant_chunks")).alias("n_relevant")), judged)
+
+
+def judge(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """The same from queries: query_id, difficulty, n_relevant; results: query_id, rank, hit. For labels
+    that follow from a rule and need not be listed."""
     hit = lambda k: F.sum(F.when((F.col("rank") <= k) & F.col("hit"), 1).otherwise(0)) / k
-    found = judged.groupBy("query_id").agg(
+    found = results.groupBy("query_id").agg(
         *[hit(k).alias(f"p{k}") for k in (1, 3, 5)], F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"),
         F.sum(F.when(F.col("hit") & (F.col("rank") <= 10), 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
     )
-    all_ = queries.withColumn("ideal", F.least(F.size(F.array_distinct("relevant_chunks")), F.lit(10))).join(found, "query_id", "left")
+    all_ = queries.withColumn("ideal", F.least(F.col("n_relevant").cast("int"), F.lit(10))).join(found, "query_id", "left")
     return all_.select(
         "query_id", "difficulty", *[F.coalesce(f"p{k}", F.lit(0.0)).alias(f"precision_at_{k}") for k in (1, 3, 5)],
         F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"),

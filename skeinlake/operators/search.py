@@ -48,9 +48,13 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATE
     """query_id, id, distance, rank for every row of queries (query_id, query): a stated query set
     against all rows. Blocks of both meet, one row each, and each pair of blocks gives its best `limit`
     a query; so neither side need fit in a worker, and no key gathers them. Vectors of different lengths
-    have no distance, nor have null or empty ones or those with a component that is no finite number."""
+    have no distance, nor have null or empty ones or those with a component that is no finite number.
+    Products of whole blocks bound the distances; those that may be among the best are computed exactly."""
     kind = queries.schema["query_id"].dataType.simpleString()
     a, b = _blocks(vectors, "id", "embedding", rows, "string"), _blocks(queries, "query_id", "query", asked, kind)
+    # blocks are few and large: each side is dealt out evenly, whatever the files that it came from
+    many = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+    a, b = a.repartition(many), b.repartition(8)
     pairs = a.crossJoin(b.select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data")))
 
     def best(batches):
@@ -59,13 +63,21 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATE
                 if dim != q_dim:
                     continue
                 x, y = (np.frombuffer(d, np.float64).reshape(-1, dim) for d in (data, q_data))
-                ids, out = np.array(ids, object), [[], [], []]
-                for q, v in zip(q_ids, y):
-                    distance = np.sqrt(((x - v) ** 2).sum(1))
-                    at = np.flatnonzero(distance <= np.partition(distance, min(limit, len(x)) - 1)[min(limit, len(x)) - 1])
-                    at = at[np.lexsort((ids[at].astype(str), distance[at]))][:limit]
-                    for held, new in zip(out, ([q] * len(at), ids[at].tolist(), distance[at].tolist())):
-                        held += new
+                ids, out, k = np.array(ids, object), [[], [], []], min(limit, len(x))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    xx, yy = (x * x).sum(1), (y * y).sum(1)
+                    rough = yy[:, None] + xx[None, :] - 2.0 * (y @ x.T)
+                    slack = 1e-9 * dim * (yy + xx.max())  # more than rounding takes
+                for q, v, near, more in zip(q_ids, y, rough, slack):
+                    at = np.arange(len(x))
+                    if np.isfinite(more) and np.isfinite(near).all():
+                        at = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1] + more)
+                    distance = np.sqrt(((x[at] - v) ** 2).sum(1))
+                    held = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+                    at, distance = at[held], distance[held]
+                    first = np.lexsort((ids[at].astype(str), distance))[:limit]
+                    for kept, new in zip(out, ([q] * len(first), ids[at[first]].tolist(), distance[first].tolist())):
+                        kept += new
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("q_ids").type.value_type), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["query_id", "id", "distance"])
 
     found = pairs.mapInArrow(best, f"query_id {kind}, id string, distance double")

@@ -1,3 +1,4 @@
+import math
 import time
 
 import numpy as np
@@ -121,3 +122,14 @@ def test_nearest_plan_is_a_top_k(spark):
     plan = S.nearest(v, [3.0], 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
     assert order(S.nearest(v, [3.0], 3)) == ["3", "2", "4"]
+
+
+def test_nearest_batch_far_from_the_origin(spark):
+    """Products of blocks only bound distances: what they cannot tell apart is computed, ties go by id."""
+    rows = [(str(i), [1e6 + i % 7 * 1e-3, 1e6, -1e6]) for i in range(60)] + [("huge", [1e200, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1e6 + 2.2e-3, 1e6, -1e6])], "query_id long, query array<double>")
+    want = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(v, [1e6 + 2.2e-3, 1e6, -1e6]))), i) for i, v in rows[:60])[:9]
+    got = [(r.distance, r.id) for r in S.nearest_batch(df, asked, 9, rows=16).orderBy("rank").collect()]
+    assert [i for _, i in got] == [i for _, i in want]
+    assert max(abs(a - b) for (a, _), (b, _) in zip(got, want)) < 1e-9

@@ -11,6 +11,7 @@ from skeinlake.operators import evaluate as E
 from skeinlake.operators import health as H
 from skeinlake.operators import merge as M
 from skeinlake.operators import sessions as D
+from skeinlake.plans import queries as Q
 from skeinlake.plans import tables
 from skeinlake.sources import connectors, reports, tree
 from skeinlake.sources.snapshots import SnapshotStore, VectorStore
@@ -348,3 +349,13 @@ def test_query_sets_and_reports(spark, tmp_path):
     os.utime(tmp_path / "run", (1, 1))
     assert reports.newest_run(spark, str(tmp_path)).rstrip("/").endswith(("bad", "q"))
     assert "- Precision@1: 0.5000" in [r.value for r in spark.read.text(str(tmp_path / "run/summary_md")).collect()]
+
+
+def test_judged_by_a_rule_lists_no_labels(spark):
+    queries = spark.createDataFrame([(1, "easy", ["a", "b", "a"]), (2, "hard", ["c"])], "query_id long, difficulty string, relevant_chunks array<string>")
+    results = spark.createDataFrame([(1, 1, "x"), (1, 2, "b")], "query_id long, rank int, chunk_id string")
+    counted = spark.createDataFrame([(1, "easy", 2), (2, "hard", 1)], "query_id long, difficulty string, n_relevant long")
+    hits = spark.createDataFrame([(1, 1, False), (1, 2, True)], "query_id long, rank int, hit boolean")
+    assert sorted(map(tuple, E.per_query(queries, results).collect())) == sorted(map(tuple, E.judge(counted, hits).collect()))
+    plan = Q.judged(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
