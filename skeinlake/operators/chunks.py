@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import os.path
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from . import scanners as S
 
 #: Lines of a window and lines that it shares with the next.
 WINDOW, OVERLAP = 50, 10
+#: Bytes of text that a Python worker has as objects at a time.
+PIECE = 1 << 22
 _SCRIPT = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript"}
 _OTHER = {"php": "php", "phtml": "php", "sql": "sql", "css": "css", "scss": "scss", "xml": "xml", "yaml": "yaml", "yml": "yaml", "rb": "ruby", "cs": "csharp", "go": "go", "py": "python", "rs": "rust", "java": "java"}
 
@@ -102,6 +108,11 @@ def split_oversize(chunks: DataFrame, limits: dict[str, int] | None = None, stra
     kinds = [k for k in limits]
     limit = F.element_at(F.create_map(*[F.lit(x) for k in kinds for x in (k, limits[k])]), F.when(F.col("chunk_type").isin(*kinds), F.col("chunk_type")).otherwise(kinds[0]))
     large = F.col("chunk_type").isin(*kinds) & (F.length("content") > limit)
+    if strategy == "truncate":
+        cut = F.concat(F.substring(F.col("content"), F.lit(1), limit), F.lit("\n...[TRUNCATED]"))
+        lines = F.col("start_line") + F.length(cut) - F.length(F.replace(cut, F.lit("\n")))
+        over = F.coalesce(large, F.lit(False))
+        return chunks.select(*columns).withColumns({"content": F.when(over, cut).otherwise(F.col("content")), "end_line": F.when(over, lines).otherwise(F.col("end_line"))})
     # only what is over a limit goes through Python
     return chunks.select(*columns).where(~large).unionByName(chunks.select(*columns).where(large).mapInPandas(rows, NEW_CHUNK))
 
@@ -146,6 +157,16 @@ def file_chunks(path: str, text: str, limits: dict[str, int] | None = None, stra
     return [y for c in named for y in _oversize(c, MAX_CHUNK_CHARS if limits is None else limits, strategy)]
 
 
+def _pieces(batch: pa.RecordBatch, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """A batch of file_path, content in slices of about `most` bytes of content, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def chunk_files(files: DataFrame, limits: dict[str, int] | None = None, strategy: str = "split", errors: bool = False) -> DataFrame:
     """Chunks of every row of files (file_path, content), by extension. Markdown is cut in the JVM;
     the rest file by file in Python, narrow and parallel over files. errors: a file that cannot be
@@ -161,14 +182,17 @@ def chunk_files(files: DataFrame, limits: dict[str, int] | None = None, strategy
         except Exception as e:  # noqa: BLE001  any error is the file's own
             return [(None, path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
 
+    names = [*columns, *(["error"] if errors else [])]
+    schema = pa.schema([(c, pa.int32() if c.endswith("_line") else pa.string()) for c in names])
+
     def rows(batches):
-        for pdf in batches:
-            found = [c for path, text in zip(pdf["file_path"], pdf["content"]) for c in cut(path, text)]
-            out = pd.DataFrame(found, columns=[*columns, *(["error"] if errors else [])])
-            yield out.astype({"start_line": "Int32", "end_line": "Int32"})
+        for batch in batches:
+            for piece in _pieces(batch):
+                found = [c for path, text in zip(*(x.to_pylist() for x in piece.columns)) for c in cut(path, text)]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, c)) for c in found], schema)
 
     files = files.select("file_path", F.coalesce("content", F.lit("")).alias("content"))
     docs = split_oversize(markdown_sections(files.where(markdown)), limits, strategy)
     if errors:
         docs = docs.withColumn("error", F.lit(None).cast("string"))
-    return files.where(~markdown).mapInPandas(rows, NEW_CHUNK + (", error string" if errors else "")).unionByName(docs)
+    return files.where(~markdown).mapInArrow(rows, NEW_CHUNK + (", error string" if errors else "")).unionByName(docs)

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -147,3 +148,18 @@ def test_edges_send_no_table_to_the_driver(spark):
     ids = df.select(df.file_path.alias("id"))
     edges = df.select(df.file_path.alias("source_id"), df.file_path.alias("target_id"))
     assert "BroadcastHashJoin" not in G.valid_edges(edges, ids)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_is_cut_into_small_pieces():
+    batch = pa.RecordBatch.from_pydict({"file_path": list("abcd"), "content": ["x" * 5, "y" * 30, "", "z" * 4]})
+    got = [p.column(0).to_pylist() for p in C._pieces(batch, 10)]
+    assert got == [["a"], ["b"], ["c", "d"]]
+    assert list(C._pieces(batch.slice(0, 0))) == []
+
+
+def test_truncation_needs_no_python(spark):
+    rows = [("a", "f", "module", "é\n" * 8 + "x", 3, 11, "text"), ("b", "f", "module", "short", 0, 0, "text"), ("c", "f", "doc", "y" * 20, 0, 0, "text"), ("d", "f", "module", None, 0, 0, "text")]
+    df = spark.createDataFrame(rows, "id string, file_path string, chunk_type string, content string, start_line int, end_line int, language string")
+    out = C.split_oversize(df, {"module": 5}, "truncate")
+    assert "MapIn" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: (r.content, r.end_line) for r in out.collect()} == {"a": ("é\né\né\n...[TRUNCATED]", 6), "b": ("short", 0), "c": ("y" * 20, 0), "d": (None, 0)}
