@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import apart
 from ..schema import EngineError
 from .graph import add_edges, contains_edges, drop_edges, valid_edges
 
@@ -19,7 +20,7 @@ def merge_chunks(existing: DataFrame, new: DataFrame, files: DataFrame, now: Col
     full outer join by id; a file in `files` without new chunks loses all of its chunks.
     """
     touched = files.select("file_path").distinct().withColumn("touched", F.lit(True))
-    old = existing.join(touched, "file_path", "left").select("id", *[F.col(c).alias(f"o_{c}") for c in (*_FIELDS, "is_deleted", "deleted_at")], F.col("touched").alias("o_touched"))
+    old = existing.join(apart(touched), "file_path", "left").select("id", *[F.col(c).alias(f"o_{c}") for c in (*_FIELDS, "is_deleted", "deleted_at")], F.col("touched").alias("o_touched"))
     fresh = new.select("id", *_FIELDS).withColumn("fresh", F.lit(True))
     both = old.join(fresh, "id", "full_outer")
     keep = F.col("fresh").isNotNull()
@@ -39,8 +40,8 @@ def changes(existing: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
 
 def merge_vectors(existing: DataFrame, new: DataFrame, chunks: DataFrame) -> DataFrame:
     """Vectors of live chunks, the new ones in place of the old."""
-    rest = existing.join(new.select("id"), "id", "left_anti").unionByName(new)
-    return rest.join(chunks.where("not is_deleted").select("id"), "id", "left_semi")
+    rest = existing.join(apart(new.select("id")), "id", "left_anti").unionByName(new)
+    return rest.join(apart(chunks.where("not is_deleted").select("id")), "id", "left_semi")
 
 
 def checked_vectors(chunks: DataFrame, vectors: DataFrame, dimensions: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import apart
 from ..schema import TABLES, VERSION, ConflictError, EngineError
 
 #: What each keyed table is dealt by: the file that its rows belong to, or a term.
@@ -102,9 +103,9 @@ class SnapshotStore:
             rest = [b for b in range(self.buckets) if buckets is not None and b not in set(buckets)]
             return (edges.unionByName(self.read("edges", rest, base)) if rest else edges), None
         old, key = self.read("edges", buckets, base), ["source_id", "target_id", "edge_type"]
-        gone, new = old.join(edges, key, "left_anti"), edges.join(old, key, "left_anti")
+        gone, new = old.join(apart(edges), key, "left_anti"), edges.join(apart(old), key, "left_anti")
         hit = self.buckets_of(gone.unionByName(new), "edges_in")
-        return self.read("edges_in", hit, base).join(gone, key, "left_anti").unionByName(new), hit
+        return self.read("edges_in", hit, base).join(apart(gone), key, "left_anti").unionByName(new), hit
 
     def commit(
         self, tables: dict[str, DataFrame], buckets: dict[str, list[int]] | None = None, batch: int | None = None, base: dict | None = None,

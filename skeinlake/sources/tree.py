@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.tables import settled
+from ..plans.tables import apart, settled
 from ..schema import EngineError
 
 # Extensions that a scan takes, in the order of the languages.
@@ -210,7 +210,7 @@ def under(files: DataFrame, prefix: str) -> DataFrame:
 
 def refreshed_cache(cache: DataFrame, changed: DataFrame, now: Column) -> DataFrame:
     new = changed.select("file_path", "mtime_ns", "size_bytes", "content_hash", now.alias("last_scanned_at"))
-    return cache.join(new.select("file_path"), "file_path", "left_anti").select(*new.columns).unionByName(new)
+    return cache.join(apart(new.select("file_path")), "file_path", "left_anti").select(*new.columns).unionByName(new)
 
 
 def completed_rules(lines: list[str], wanted: tuple[str, ...] = DEFAULT_IGNORES) -> list[str]:

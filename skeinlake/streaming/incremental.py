@@ -20,7 +20,7 @@ from ..operators.health import collect_garbage
 from ..operators.merge import check_fingerprint, forget_chunks, merge_chunks, merge_vectors, stamp_fingerprint
 from ..operators.references import references, resolve
 from ..operators.search import postings, trigram_postings
-from ..plans.tables import scratch, settled
+from ..plans.tables import apart, scratch, settled
 from ..schema import VERSION, ConflictError, EngineError, IDLE_NOTICE
 from ..sources.keywords import merge_segments, segments
 from ..sources.snapshots import SnapshotStore
@@ -57,7 +57,7 @@ class _Reads:
     def at(self, table: str, paths: DataFrame, column: str) -> tuple[DataFrame, list[int]]:
         """The rows of a table by the paths (path) that `column` names: their buckets alone are read."""
         buckets = self.store.buckets_of(paths.select(F.col("path").alias(column)), table)
-        return self(table, buckets).join(paths.select(F.col("path").alias(column)), column, "left_semi"), buckets
+        return self(table, buckets).join(apart(paths.select(F.col("path").alias(column))), column, "left_semi"), buckets
 
 
 def _affected(reads: _Reads, touched: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def _affected(reads: _Reads, touched: DataFrame) -> DataFrame:
         found = found.groupBy(F.col("file_path").alias("path")).agg(F.max("passes_on").alias("passes_on"))
         next_ = Observation()
         known = expanded.withColumn("known", F.lit(True))
-        found = found.join(known, "path", "left").withColumn("goes_on", F.col("passes_on") & F.col("known").isNull())
+        found = found.join(apart(known), "path", "left").withColumn("goes_on", F.col("passes_on") & F.col("known").isNull())
         found = settled(found.observe(next_, F.count_if("goes_on").alias("n")))
         paths = paths.union(found.select("path"))
         if not next_.get["n"]:
@@ -89,12 +89,12 @@ def _passing(reads: _Reads, asked: DataFrame, touched: DataFrame, found: DataFra
     while True:
         n = Observation()
         more, _ = reads.at("references", frontier, "file_path")
-        more = more.where("passed_on is not null").join(touched, "file_path", "left_anti").select(*found.columns)
+        more = more.where("passed_on is not null").join(apart(touched), "file_path", "left_anti").select(*found.columns)
         more = settled(more.observe(n, F.count("*").alias("n")))
         if not n.get["n"]:
             return passing, paths
         passing, n = passing.union(more), Observation()
-        frontier = more.select(F.explode("targets").alias("path")).distinct().join(paths, "path", "left_anti")
+        frontier = more.select(F.explode("targets").alias("path")).distinct().join(apart(paths), "path", "left_anti")
         frontier = settled(frontier.observe(n, F.count("*").alias("n")))
         if not n.get["n"]:
             return passing, paths
@@ -161,8 +161,8 @@ def _index_batch(store, files, now, embed, removed, number, shown, model) -> Bat
         errors = [tuple(r) for r in bad.orderBy("file_path").limit(shown).collect()] if failed else []
         if failed and not succeeded:
             raise EngineError("INDEX_BATCH_FAILED", "; ".join(f"{p}: {e}" for p, e in errors[:3]))
-        good = latest.join(bad.select("file_path"), "file_path", "left_anti") if failed else latest
-        new = cut.where("id is not null").drop("error").join(good.select("file_path", "content_hash"), "file_path")
+        good = latest.join(apart(bad.select("file_path")), "file_path", "left_anti") if failed else latest
+        new = cut.where("id is not null").drop("error").join(apart(good.select("file_path", "content_hash")), "file_path")
         touched = good.select("file_path")
         if removed is not None:
             touched = touched.union(removed.select("file_path"))
@@ -177,29 +177,29 @@ def _index_batch(store, files, now, embed, removed, number, shown, model) -> Bat
 
         found = settled(references(good))
         affected = _affected(reads, touched)
-        others = affected.join(touched.withColumnRenamed("file_path", "path"), "path", "left_anti")
+        others = affected.join(apart(touched.withColumnRenamed("file_path", "path")), "path", "left_anti")
         asked = reads.at("references", others, "file_path")[0].select(*found.columns).unionByName(found)
         passing, paths = _passing(reads, asked, touched, found)
         around = store.buckets_of(affected.union(paths).withColumnRenamed("path", "file_path"))
-        nodes = reads("chunks", around).where("not is_deleted").join(touched, "file_path", "left_anti").select("id", "file_path", "chunk_type")
+        nodes = reads("chunks", around).where("not is_deleted").join(apart(touched), "file_path", "left_anti").select("id", "file_path", "chunk_type")
         nodes = settled(nodes.union(merged.where("not is_deleted").select(*nodes.columns)))
         made_edges = valid_edges(add_edges(contains_edges(new), resolve(asked, passing, nodes)), nodes, store.read("ledger", state=state).select("id"))
 
         # edges to rewrite: of the affected files, and of any that end at a chunk which is no more
-        ends = reads("edges_in", buckets).join(dead.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+        ends = reads("edges_in", buckets).join(apart(dead.select(F.col("id").alias("target_id"))), "target_id", "left_semi")
         moved = sorted({*store.buckets_of(affected.withColumnRenamed("path", "file_path")), *store.buckets_of(ends, "edges")})
         of = F.substring_index("source_id", "::", 1)
-        kept = reads("edges", moved).withColumn("path", of).join(affected.withColumn("hit", F.lit(True)), "path", "left")
+        kept = reads("edges", moved).withColumn("path", of).join(apart(affected.withColumn("hit", F.lit(True))), "path", "left")
         kept = kept.where(F.col("hit").isNull() | ~F.col("edge_type").isin(*_EXTRACTED)).select("source_id", "target_id", "edge_type")
-        kept = kept.join(new.select(F.col("id").alias("source_id")), "source_id", "left_anti")
+        kept = kept.join(apart(new.select(F.col("id").alias("source_id"))), "source_id", "left_anti")
         for end in ("source_id", "target_id"):
-            kept = kept.join(dead.select(F.col("id").alias(end)), end, "left_anti")
+            kept = kept.join(apart(dead.select(F.col("id").alias(end))), end, "left_anti")
         edges = settled(add_edges(kept.select("source_id", "target_id", "edge_type"), made_edges))
 
         cache = refreshed_cache(reads("scan_cache", buckets), good, now)
         if removed is not None:
-            cache = cache.join(removed.select("file_path"), "file_path", "left_anti")
-        kept_references = reads("references", buckets).join(touched, "file_path", "left_anti").select(*found.columns)
+            cache = cache.join(apart(removed.select("file_path")), "file_path", "left_anti")
+        kept_references = reads("references", buckets).join(apart(touched), "file_path", "left_anti").select(*found.columns)
         wanted = found.select(F.explode("targets").alias("target_path"), "file_path", F.col("passed_on").isNotNull().alias("passes_on")).distinct()
         terms, tris, dead_terms, totals = _keywords(before, merged, touched, state["number"] + 1 if state else 0)
         tables = {"chunks": merged, "vectors": merge_vectors(vectors, made, merged), "edges": edges, "scan_cache": cache, "references": kept_references.unionByName(found)}
@@ -217,7 +217,7 @@ def _index_batch(store, files, now, embed, removed, number, shown, model) -> Bat
 
 def _keywords(before: DataFrame, merged: DataFrame, touched: DataFrame, segment: int) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
     """(postings, trigrams, dead terms, changes of the sums) of a batch: only chunks whose content changed count."""
-    live = lambda chunks, name: chunks.where("not is_deleted").join(touched, "file_path", "left_semi").select("id", F.coalesce("content", F.lit("")).alias(name))
+    live = lambda chunks, name: chunks.where("not is_deleted").join(apart(touched), "file_path", "left_semi").select("id", F.coalesce("content", F.lit("")).alias(name))
     both = live(before, "old").join(live(merged, "new"), "id", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
     size = lambda c: F.coalesce(F.sum(F.size(X.tokens(F.col(c)))), F.lit(0))
     sums = Observation()

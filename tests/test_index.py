@@ -191,3 +191,16 @@ def test_odd_vectors_are_left_out(spark):
     assert sorted((r.query_id, r.id, r.rank) for r in found.collect()) == [(1, "a", 2), (1, "c", 1), (3, "e", 1)]
     plan = S.nearest_batch(df, asked, 5)._jdf.queryExecution().toString()
     assert "hashpartitioning(dim" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_batch_sends_no_table_to_the_driver(spark, tmp_path, monkeypatch):
+    """Paths and ids compress to nothing, so that sizes of files would have let Spark broadcast whole tables."""
+    plans, settled, write = [], incremental.settled, SnapshotStore._write
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(incremental, "settled", lambda df, *a, **b: (seen(df), settled(df, *a, **b))[1])
+    monkeypatch.setattr(SnapshotStore, "_write", lambda self, name, table, df: (seen(df), write(self, name, table, df))[1])
+    store = SnapshotStore(spark, str(tmp_path), buckets=2)
+    incremental.index_batch(store, rows(spark, ["a.ts", "late.js"]))
+    incremental.index_batch(store, rows(spark, [n for n in FILES if n not in ("a.ts", "late.js")]))
+    assert extracted(store) == WANT
+    assert len(plans) > 20 and not [p for p in plans if "BroadcastHashJoin" in p]
