@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import suppress
 from functools import reduce
 from typing import NamedTuple, Protocol
@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..plans.tables import settled
+from ..plans.tables import apart, settled
 from ..schema import NOTES
 
 #: Candidates of each retriever; results of the fusion; constant of reciprocal ranks.
 CANDIDATES, FUSED, RRF_K, DEFAULT_LIMIT, LARGEST_LIMIT = 30, 12, 60, 8, 20
 #: (vector, keyword) weights by intent.
 WEIGHTS = {"semantic": (0.7, 0.3), "structural": (0.3, 0.7)}
+#: Tokens that are counted at a time; one row at least.
+PIECE = 1 << 20
 
 
 def live(chunks: DataFrame) -> DataFrame:
@@ -112,18 +114,66 @@ def postings(chunks: DataFrame) -> DataFrame:
     return words.groupBy("tok", "id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
+def _cut(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Places from, to of rows with about `most` in all, one row at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
+def posting_blocks(chunks: DataFrame) -> DataFrame:
+    """tok, ids, tf, doc_len: the postings of the live chunks, a row for each term of a piece of the
+    chunks, so that a term has few rows. Narrow, but for ids that several rows have: these are counted
+    together, as rows of one."""
+    rows = live(chunks)
+    repeated = settled(rows.groupBy("id").count().where("count > 1").select("id"))
+    schema = "tok string, ids array<string>, tf array<bigint>, doc_len array<int>"
+
+    def count(batches):
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy().astype(np.int64)
+            for at, end in _cut(sizes, PIECE):
+                ids, toks = batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at)
+                n, length = end - at, sizes[at:end]
+                coded = toks.flatten().dictionary_encode()
+                held = coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), length)
+                held, tf = np.unique(held, return_counts=True)
+                code, row = np.divmod(held, n)
+                starts = pa.array(np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code)), pa.int32())
+                lists = (ids.take(pa.array(row)), pa.array(tf, pa.int64()), pa.array(length[row], pa.int32()))
+                yield pa.RecordBatch.from_arrays([coded.dictionary, *(pa.ListArray.from_arrays(starts, x) for x in lists)], ["tok", "ids", "tf", "doc_len"])
+
+    once = rows if repeated.isEmpty() else rows.join(apart(repeated), "id", "left_anti")
+    blocks = once.select("id", X.tokens(F.col("content")).alias("toks")).where(F.size("toks") > 0).mapInArrow(count, schema)
+    if once is rows:
+        return blocks
+    rest = postings(rows.join(apart(repeated), "id", "left_semi"))
+    return blocks.unionByName(rest.select("tok", F.array("id").alias("ids"), F.array("tf").alias("tf"), F.array("doc_len").alias("doc_len")))
+
+
 class KeywordIndex(NamedTuple):
-    """Postings settled in folders by a hash of the term, sorted by term within; totals: n, avg_len of
-    the live chunks, those without a term too."""
+    """Postings settled in blocks (see posting_blocks), in folders by a hash of the term, sorted by term
+    within; totals: n, avg_len of the live chunks, those without a term too."""
 
-    postings: DataFrame
+    blocks: DataFrame
     totals: DataFrame
     buckets: int
 
+    @property
+    def postings(self) -> DataFrame:
+        """tok, id, tf, doc_len."""
+        return _apiece(self.blocks)
+
     def of(self, terms: Sequence[str]) -> DataFrame:
         """The postings of these terms: their folders alone are read."""
         one = lambda t: (F.col("bucket") == _bucket(F.lit(t), self.buckets)) & (F.col("tok") == t)
-        return self.postings.where(reduce(lambda a, b: a | b, map(one, terms), F.lit(False)))
+        return _apiece(self.blocks.where(reduce(lambda a, b: a | b, map(one, terms), F.lit(False))))
+
+
+def _apiece(blocks: DataFrame) -> DataFrame:
+    return blocks.select("tok", F.inline(F.arrays_zip("ids", "tf", "doc_len")).alias("id", "tf", "doc_len"))
 
 
 def _bucket(tok: Column, buckets: int) -> Column:
@@ -133,10 +183,10 @@ def _bucket(tok: Column, buckets: int) -> Column:
 def keyword_index(chunks: DataFrame, buckets: int = 32) -> KeywordIndex:
     """The chunks tokenised once, for any number of keyword queries. A frequent term is split over
     several files of its folder."""
-    dealt = postings(chunks).withColumn("bucket", _bucket(F.col("tok"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "tok")
+    dealt = posting_blocks(chunks).withColumn("bucket", _bucket(F.col("tok"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "tok")
     held = settled(dealt, by="bucket")
     n = live(chunks).agg(F.count("*").alias("n"))
-    words = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    words = held.agg(F.coalesce(F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0)).alias("words"))
     return KeywordIndex(held, settled(n.crossJoin(words).select("n", F.try_divide("words", "n").alias("avg_len"))), buckets)
 
 

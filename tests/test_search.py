@@ -133,3 +133,15 @@ def test_nearest_batch_far_from_the_origin(spark):
     got = [(r.distance, r.id) for r in S.nearest_batch(df, asked, 9, rows=16).orderBy("rank").collect()]
     assert [i for _, i in got] == [i for _, i in want]
     assert max(abs(a - b) for (a, _), (b, _) in zip(got, want)) < 1e-9
+
+
+def test_an_index_is_built_of_blocks_and_shuffles_no_single_posting(spark):
+    """A row for each term of a piece, not for each term of a chunk; chunks of one id are counted together."""
+    rows = [chunk(f"f{i}::x", "red " * (i % 3 + 1) + "blue x y z"[: i % 11], i % 9 == 4) for i in range(60)] + [chunk("none::x", None), chunk("e::x", "")]
+    for more in ([], [chunk("f1::x", "red Élan"), chunk("f1::x", "new"), chunk("f4::x", "red")]):
+        c = spark.createDataFrame(rows + more, CHUNKS).coalesce(1)
+        got, want = (sorted((x.tok, x.id, x.tf) for x in found.collect()) for found in (S.keyword_index(c, 4).postings, S.postings(c)))
+        assert got == want and len({(t, i) for t, i, _ in got}) == len(got)
+    blocks = S.posting_blocks(spark.createDataFrame(rows, CHUNKS).coalesce(1))
+    assert blocks.count() == len({t for t, _, _ in want} - {"new", "elan"}) < len(want) / 5
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
