@@ -10,6 +10,7 @@ from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -247,15 +248,57 @@ def all_of(hits: DataFrame, tris: Sequence[str]) -> DataFrame:
     return hits.groupBy("id").agg(F.count_distinct("tri").alias("n")).where(F.col("n") == len(tris)).select("id")
 
 
+def _runs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """points, run, row: the distinct runs of three code points in texts, by run and then by text. run:
+    the places in `points` of the three, a number to the base len(points); row: the place of the text."""
+    length = np.array([len(t) for t in texts], np.int64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    points = np.flatnonzero(np.bincount(flat, minlength=1))
+    n, d = len(texts), len(points)
+    if n > 1 and d**3 * n >= 1 << 63:
+        half = n // 2
+        for part, first in ((texts[:half], 0), (texts[half:], half)):
+            for points, run, row in _runs(part):
+                yield points, run, row + first
+        return
+    place = np.zeros(int(points[-1]) + 1 if d else 1, np.int64)
+    place[points] = np.arange(d)
+    c, row = place[flat], np.repeat(np.arange(n), length)
+    inside = row[2:] == row[:-2]
+    held = np.unique((((c[:-2] * d + c[1:-1]) * d + c[2:]) * n + row[2:])[inside]) if len(c) > 2 else np.zeros(0, np.int64)
+    run, row = np.divmod(held, n)
+    yield points, run, row
+
+
+def trigram_blocks(chunks: DataFrame) -> DataFrame:
+    """tri, ids: trigram_postings, a row for each trigram of a piece of the chunks. Narrow."""
+
+    def cut(batches):
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, end in _cut(sizes, 2 * PIECE):
+                ids = batch.column(0).slice(at, end - at)
+                for points, run, row in _runs(batch.column(1).slice(at, end - at).to_pylist()):
+                    first = np.flatnonzero(np.diff(run, prepend=-1))
+                    a, bc = np.divmod(run[first], len(points) ** 2)
+                    b, c = np.divmod(bc, len(points))
+                    tri = np.stack([points[x] for x in (a, b, c)], 1).astype("<u4").tobytes().decode("utf-32-le")
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(run)), pa.int32()), ids.take(pa.array(row)))
+                    yield pa.RecordBatch.from_arrays([pa.array([tri[i : i + 3] for i in range(0, len(tri), 3)], pa.string()), lists], ["tri", "ids"])
+
+    low = live(chunks).select("id", F.lower("content").alias("low"))
+    return low.where(F.length("low") > 2).mapInArrow(cut, "tri string, ids array<string>")
+
+
 class TrigramIndex(NamedTuple):
-    """Trigram postings settled in folders by a hash of the trigram, sorted by trigram within."""
+    """Trigram postings settled in blocks, in folders by a hash of the trigram, sorted by trigram within."""
 
-    postings: DataFrame
+    blocks: DataFrame
     buckets: int
 
     def holding(self, tris: Sequence[str]) -> DataFrame:
         one = lambda t: (F.col("bucket") == _bucket(F.lit(t), self.buckets)) & (F.col("tri") == t)
-        return all_of(self.postings.where(reduce(lambda a, b: a | b, map(one, tris))), tris)
+        return all_of(self.blocks.where(reduce(lambda a, b: a | b, map(one, tris))).select("tri", F.explode("ids").alias("id")), tris)
 
     def chunks_of(self, ids: DataFrame, chunks: DataFrame) -> DataFrame:
         return live(chunks).join(ids, "id", "left_semi")
@@ -263,7 +306,7 @@ class TrigramIndex(NamedTuple):
 
 def trigram_index(chunks: DataFrame, buckets: int = 32) -> TrigramIndex:
     """The trigrams of the chunks, for any number of substring queries."""
-    dealt = trigram_postings(chunks).withColumn("bucket", _bucket(F.col("tri"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "tri")
+    dealt = trigram_blocks(chunks).withColumn("bucket", _bucket(F.col("tri"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "tri")
     return TrigramIndex(settled(dealt, by="bucket"), buckets)
 
 

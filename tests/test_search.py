@@ -145,3 +145,15 @@ def test_an_index_is_built_of_blocks_and_shuffles_no_single_posting(spark):
     blocks = S.posting_blocks(spark.createDataFrame(rows, CHUNKS).coalesce(1))
     assert blocks.count() == len({t for t, _, _ in want} - {"new", "elan"}) < len(want) / 5
     assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trigrams_are_indexed_in_blocks(spark):
+    texts = ["aBcab", "ab", "", None, "ééé é", "İstanbul \U0001f600\U0001f601\U0001f600\x00b", "abcabc"]
+    c = spark.createDataFrame([chunk(f"f{i}::x", t, i == 6) for i, t in enumerate(texts)], CHUNKS).coalesce(1)
+    blocks = S.trigram_blocks(c)
+    got, want = (sorted(map(tuple, found.select("tri", "id").collect())) for found in (blocks.select("tri", F.explode("ids").alias("id")), S.trigram_postings(c)))
+    assert got == want and blocks.count() == len({t for t, _ in want})
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+    wide = "".join(map(chr, range(0x10000, 0x110000)))  # too many code points for ten texts at a time
+    found = [(points[run[row == r] // len(points) ** 2][0], r) for points, run, row in S._runs([wide, *["abc"] * 9]) for r in np.unique(row)]
+    assert found == [(0x10000, 0), *((ord("a"), i) for i in range(1, 10))]
