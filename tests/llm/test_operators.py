@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -22,6 +24,7 @@ from skeinlake.llm.quality import NAMES, Ranker, pair_loss, quality_scores
 from skeinlake.llm.queries import op7_best_fit_packing
 from skeinlake.llm.substring_dedup import substring_dedup
 from skeinlake.llm.token_count import Merges, token_counts
+from skeinlake.plans.tables import shared_dir
 
 from . import brute
 
@@ -66,6 +69,61 @@ def test_ngram_join_beyond_the_bound_of_what_is_sent(spark, monkeypatch):
     assert got == brute.jaccard_components(rows)
 
 
+def test_ngram_join_drops_its_columns_when_they_are_counted(spark, monkeypatch):
+    """The table of all prefix columns is gone when the whole sets are read."""
+    top = f"{shared_dir(spark)}/skeinlake".removeprefix("file://")
+    there, found, whole = set(os.listdir(top)) if os.path.exists(top) else set(), [], ngram_join._whole_sets
+
+    def looked(*args):
+        found.extend(spark.read.parquet(f"file://{top}/{x}").columns for x in set(os.listdir(top)) - there)
+        return whole(*args)
+
+    monkeypatch.setattr(ngram_join, "_whole_sets", looked)
+    rows = corpus(4, n=20, copies=8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs(spark, rows)).collect()}
+    assert got == brute.jaccard_components(rows)
+    assert found and not any("slice" in x for x in found)
+
+
+@pytest.mark.parametrize("ids", [lambda i: i, lambda i: i - (1 << 40), lambda i: (1, -1)[i % 2] * ((1 << 62) + i)], ids=["near", "negative", "far"])
+@pytest.mark.parametrize("slices", [1, 7])
+def test_packed_columns_come_back(ids, slices):
+    """Of the columns packed in several batches: those that several rows have, and all frequent ones."""
+
+    class Groups:
+        def groupBy(self, _):
+            return self
+
+        def applyInArrow(self, f, _):
+            return f
+
+    matched, r, flat = ngram_join._shared_cells(Groups()), np.random.default_rng(slices), []
+    pool = r.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    parts = []
+    for _ in range(3):
+        at = r.integers(0, len(pool), 1500)
+        cls = np.array([ids(int(i)) for i in r.integers(0, 500, len(at))], np.int64)
+        parts.append(pa.table(dict(zip(ngram_join._names(ngram_join._PACKED), ngram_join._packed(pool[at], cls, at >= 400, slices)))))
+        flat += zip(at.tolist(), cls.tolist())
+    table, got = pa.concat_tables(parts), []
+    for s in range(slices):
+        of = table.filter(pc.equal(table.column("slice"), s))
+        got += zip(*(matched(of).column(c).to_pylist() for c in ("key", "cls"))) if of.num_rows else ()
+    times = Counter(i for i, _ in flat)
+    key = lambda i: int(((int(pool[i]) >> 32) * slices >> 32 << 32) | (int(pool[i]) & 0xFFFFFFFF))
+    assert sorted(got) == sorted((key(i), c) for i, c in flat if i < 400 or times[i] > 1)
+
+
+@pytest.mark.parametrize("keys", [1, 1000])
+def test_ngram_join_when_ngrams_share_keys(spark, monkeypatch, keys):
+    """Keys only say what is compared: where differing n-grams share them the links are the same."""
+    cells = ngram_join._shared_cells
+    monkeypatch.setattr(ngram_join, "_shared_cells", lambda packed: cells(packed).withColumn("key", F.pmod("key", F.lit(keys))))
+    rows = corpus(5, n=20, copies=10)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs(spark, rows)).collect()}
+    assert got == brute.jaccard_components(rows)
+
+
 def test_ngram_join_dense_group_and_odd_rows(spark):
     r = random.Random(5)
     base = [f"w{i}" for i in range(90)]

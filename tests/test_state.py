@@ -1,5 +1,6 @@
 import os
 import threading
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -359,3 +360,31 @@ def test_judged_by_a_rule_lists_no_labels(spark):
     assert sorted(map(tuple, E.per_query(queries, results).collect())) == sorted(map(tuple, E.judge(counted, hits).collect()))
     plan = Q.judged(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_settled_leaves_no_shuffle_files(spark):
+    was = spark.conf.get(tables.RELEASE, None)
+    kept = lambda: sum(x.startswith("shuffle_") for d in dirs for _, _, names in os.walk(d) for x in names)
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    before = kept()
+    out = tables.settled(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count())
+    until = time.monotonic() + 10  # they go in the background
+    while kept() > before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert kept() <= before and out.count() == 7
+    assert spark.conf.get(tables.RELEASE, None) == was
+
+
+def test_released_gives_back_what_was_set(spark):
+    with tables.released(spark):
+        with tables.released(spark):
+            assert spark.conf.get(tables.RELEASE) == "true"
+        assert spark.conf.get(tables.RELEASE) == "true"
+    assert spark.conf.get(tables.RELEASE, None) is None
+    spark.conf.set(tables.RELEASE, "false")
+    try:
+        with pytest.raises(ValueError), tables.released(spark):
+            raise ValueError
+        assert spark.conf.get(tables.RELEASE) == "false"
+    finally:
+        spark.conf.unset(tables.RELEASE)
