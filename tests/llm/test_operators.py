@@ -69,6 +69,51 @@ def test_ngram_join_beyond_the_bound_of_what_is_sent(spark, monkeypatch):
     assert got == brute.jaccard_components(rows)
 
 
+def test_ngram_join_in_rounds_writes_no_whole_sets(spark, monkeypatch):
+    """Columns and whole sets are taken in rounds of few; no table holds whole sets, and the result is the same."""
+    written, store = [], ngram_join.store
+    monkeypatch.setattr(ngram_join, "store", lambda df, *a, **k: written.append(df.columns) or store(df, *a, **k))
+    for name, value in {"CELLS": 700, "SETS": 5000, "BROADCAST": 40, "_PARTNERS": 3}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = corpus(6, n=40, copies=30)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs(spark, rows)).collect()}
+    assert got == brute.jaccard_components(rows)
+    assert ["cls", "key", "code", "round"] in written and not any("grams" in x for x in written)
+
+
+def test_ngram_join_sends_no_documents_that_share_a_passage_alone(spark, monkeypatch):
+    """Much of each document is one of few passages, yet none links: none is left for the dense blocks."""
+    dense, blocks = [], ngram_join._block_links
+    monkeypatch.setattr(ngram_join, "_block_links", lambda found, *a: dense.append(found.count()) or blocks(found, *a))
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**9)}"
+    passages = [[word() for _ in range(30)] for _ in range(2)]
+    rows = [(i, " ".join([*passages[i % 2], *(word() for _ in range(40))])) for i in range(60)]
+    rows += [(100 + i, t.replace(" w", " v", 1)) for i, t in rows[:3]]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard_join(docs(spark, rows)).collect()}
+    assert got == brute.jaccard_components(rows) and got[100][1] == 0
+    assert not dense
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_picked_rows_are_those_of_a_join(spark, monkeypatch, bound):
+    monkeypatch.setattr(ngram_join, "BROADCAST", bound)
+    ids = [0, 63, 64, -1, -64, -65, 1 << 40, -(1 << 63), (1 << 63) - 1]
+    near = [x + d for x in ids for d in (-1, 0, 1) if -(1 << 63) <= x + d < 1 << 63]
+    table = spark.createDataFrame([(x,) for x in near] + [(None,)], "k bigint")
+    some = spark.createDataFrame([(x,) for x in ids], "k bigint")
+    for how, want in (("left_semi", [x for x in near if x in ids]), ("left_anti", [x for x in near if x not in ids] + [None])):
+        got = [r.k for r in ngram_join.picked(table, some, "k", how).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_picked_ids_that_lie_close_are_few_rows(spark, monkeypatch):
+    """They are sent as bits where their rows alone would be too many."""
+    monkeypatch.setattr(ngram_join, "BROADCAST", 10)
+    plan = ngram_join.picked(spark.range(1000).withColumnRenamed("id", "k"), spark.range(0, 600, 3).withColumnRenamed("id", "k"), "k", "left_semi")
+    assert plan.count() == 200 and "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ngram_join_drops_its_columns_when_they_are_counted(spark, monkeypatch):
     """The table of all prefix columns is gone when the whole sets are read."""
     top = f"{shared_dir(spark)}/skeinlake".removeprefix("file://")
