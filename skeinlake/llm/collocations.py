@@ -5,8 +5,9 @@
    cells; Spark deals the ranges, where the counts of all tasks are summed, and only one bit a cell
    comes back: whether the sum reaches the threshold.
 2. Phrases all of whose cells pass are candidates. They and their words are dealt into parts of a
-   bounded size, and each part becomes pyahocorasick automata, one a language, whose keys carry a
-   blank on either side, as do all words of a text: matches of whole words only, overlaps included.
+   bounded size, and each part becomes a pyahocorasick automaton over words: three symbols stand for
+   a word of a language that the part has, one for any other and for a break, so that a key has few
+   nodes. Matches are of whole words only, overlaps included; words are told apart by 64-bit hashes.
 3. Every part scans all texts; the counts of the tasks are summed by ranges of keys, and thresholds
    go by these.
 
@@ -19,8 +20,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import sha256
-from itertools import chain, islice
+from itertools import islice
 from operator import itemgetter
+from uuid import uuid4
 
 import ahocorasick
 import numpy as np
@@ -38,7 +40,7 @@ LEAST, WORDS, TOP = 100, 5, 2000
 BYTES_A_CELL, CELLS = 32, (16, 27)
 #: Ranges of cells and of candidates, keys of a range of counts, bytes of text hashed at once, bytes of
 #: the keys of a part, candidates and hashes that a task holds before it sends or sums them.
-RANGES, KEYS, CHUNK, PART, HELD = 64, 16_384, 4 << 20, 6 << 20, 1 << 22
+RANGES, KEYS, CHUNK, PART, HELD = 64, 16_384, 4 << 20, 12 << 20, 1 << 22
 
 #: Piece breaks besides line breaks, which all become the same line break; then blanks.
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -139,8 +141,12 @@ def _places(words: _Words, lengths: tuple[int, ...], sketches: list, bits: int)
 
 def _languages(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
     names = batch.column(0).to_pylist()
+    return names, _seeds(names)
+
+
+def _seeds(names: list[str]) -> np.ndarray:
     seeds = {x: int.from_bytes(sha256(x.encode()).digest()[:8], "little") for x in set(names)}
-    return names, np.array([seeds[x] for x in names], _U)
+    return np.array([seeds[x] for x in names], _U)
 
 
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,32 +314,68 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def guarded(text: str) -> str:
-    """The text in lower case with one blank on each side of every word and line breaks between pieces."""
-    text = text.encode().translate(_TO).decode()
-    text = f" {text} ".replace("\n", " \n ")
-    while "  " in text:
-        text = text.replace("  ", " ")
-    return text
-
-
-def _matched(sent: Broadcast):
+class _Phrases:
+    """The automaton of a part's keys (lang, phrase), whose values are their places."""
+
+    def __init__(self, keys: list[tuple[str, str]]) -> None:
+        seeds = _seeds([x for x, _ in keys])
+        texts = [p.encode() + b"\n" for _, p in keys]
+        words = _Words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), seeds)
+        self.vocabulary = np.unique(words.hashes)
+        self.base = 2
+        while self.base**3 < len(self.vocabulary):
+            self.base += 1
+        coded = self._symbols(words.hashes)[1].astype("<u4").tobytes().decode("utf-32-le")
+        ends = 3 * np.searchsorted(words.text, np.arange(len(keys) + 1))
+        self.automaton = ahocorasick.Automaton()
+        for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            self.automaton.add_word(coded[lo:hi], i)
+        self.automaton.make_automaton()
+
+    def _symbols(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is known, and its three symbols, each from a range of its own."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        b, three = self.base, np.empty((len(at), 3), np.uint32)
+        known = self.vocabulary[at] == hashes
+        for i in (2, 1, 0):
+            at, three[:, i] = np.divmod(at, b)
+        three += np.array([2, 2 + b, 2 + 2 * b], np.uint32)
+        return known, three
+
+    def matches(self, words: _Words) -> Iterator[int]:
+        known, three = self._symbols(words.hashes)
+        new = np.ones(len(known), bool)
+        new[1:] = words.piece[1:] != words.piece[:-1]
+        all_ = np.concatenate([np.ones((len(known), 1), np.uint32), three], 1)
+        held = np.stack([new | ~known, known, known, known], 1)
+        return map(itemgetter(1), self.automaton.iter(all_[held].astype("<u4").tobytes().decode("utf-32-le")))
+
+
+#: The last automaton that this worker built, by the name of its part: many tasks of one scan use it.
+_built: dict[str, tuple[_Phrases, int]] = {}
+
+
+def _matched(sent: Broadcast, name: str):
     """Texts -> range, counts: matches of the keys (lang, phrase) that were sent, by ranges of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = sent.value
-        automata: dict[str, ahocorasick.Automaton] = {}
-        for i, (lang, phrase) in enumerate(keys):
-            automata.setdefault(lang, ahocorasick.Automaton()).add_word(f" {phrase} ", i)
-        for automaton in automata.values():
-            automaton.make_automaton()
-        counts = np.zeros(len(keys), np.int64)
+        if name not in _built:
+            if not sent.value:  # by hash a small part may have no keys
+                return
+            _built.clear()
+            _built[name] = _Phrases(sent.value), len(sent.value)
+        phrases, n = _built[name]
+        counts = np.zeros(n, np.int64)
         for batch in batches:
-            found = ((automata[x].iter(guarded(t))) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and x in automata)
-            ids = map(itemgetter(1), chain.from_iterable(found))
-            while len(some := np.fromiter(islice(ids, 1 << 20), np.int64)):
-                counts += np.bincount(some, minlength=len(keys))
-        for r, at in enumerate(range(0, len(keys), KEYS)):
+            _, seeds = _languages(batch)
+            for data, offsets, rows in _chunks(batch):
+                words = _Words(data, offsets, seeds[rows])
+                if not len(words.hashes):
+                    continue
+                ids = phrases.matches(words)
+                while len(some := np.fromiter(islice(ids, 1 << 20), np.int64)):
+                    counts += np.bincount(some, minlength=n)
+        for r, at in enumerate(range(0, n, KEYS)):
             held = counts[at : at + KEYS]
             if held.any():
                 yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "counts": [held.tobytes()]})
@@ -382,7 +424,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = WORDS, par
     for i in range(parts):
         mine = keys.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)) == i)
         sent = spark.sparkContext.broadcast([tuple(r) for r in mine.toLocalIterator()])
-        matched = texts.mapInArrow(_matched(sent), "range int, counts binary").repartition("range")
+        matched = texts.mapInArrow(_matched(sent, uuid4().hex), "range int, counts binary").repartition("range")
         counts.append(store(matched.mapInArrow(_totals(sent), "lang string, phrase string, f long")))
         sent.unpersist()
     none = keys.select("lang", "phrase", F.lit(0).cast("long").alias("f")).where("false")

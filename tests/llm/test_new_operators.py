@@ -137,6 +137,33 @@ def test_chunks_lose_no_phrase(monkeypatch):
     assert got == want and whole.max() > 3
 
 
+def test_automata_run_over_words_and_are_built_once(monkeypatch):
+    """Each word of a key is three nodes at most, however long; tasks of one scan in a worker share an automaton."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs = [("en" if x is None else x, t) for x, t in prose(11, 200)]
+    held = Counter()
+    for lang, text in docs:
+        for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", (text or "").translate(_LOWER)):
+            w = re.findall(r"[^ \t]+", piece)
+            held.update((lang, " ".join(w[i : i + k])) for k in range(1, 6) for i in range(len(w) - k + 1))
+    keys = [*sorted(held)[::3], ("en", "never " * 4 + "met"), ("xx", "the")]
+    built, phrases = [], K._Phrases
+    monkeypatch.setattr(K, "_Phrases", lambda some: built.append(phrases(some)) or built[-1])
+    monkeypatch.setattr(K, "_built", {})
+    sent = type("Sent", (), {"value": keys})
+    total = np.zeros(len(keys), np.int64)
+    for at in range(0, len(docs), 70):
+        batch = pa.RecordBatch.from_pydict({"lang": [x for x, _ in docs[at : at + 70]], "text": pa.array([t for _, t in docs[at : at + 70]], pa.string())})
+        for made in K._matched(sent, "part")(iter([batch])):
+            for r, counts in zip(made.column(0).to_pylist(), made.column(1).to_pylist()):
+                total[r * K.KEYS : (r + 1) * K.KEYS] += np.frombuffer(counts, np.int64)
+    assert dict(zip(keys, total.tolist())) == {k: held.get(k, 0) for k in keys} and total.max() > 100
+    words = sum(len(p.split(" ")) for _, p in keys)
+    assert len(built) == 1 and built[0].automaton.get_stats()["nodes_count"] <= 3 * words + 1
+
+
 def test_collocations_of_little(spark):
     assert phrases(spark, []) == [] and phrases(spark, [("en", "one two three")]) == []
     assert phrases(spark, [(None, "one two"), (None, "One two")], least=2) == [("und", 1, "one two", 2, 2, 2, 4, 2000)]
